@@ -1,0 +1,4 @@
+"""All queries of the engine proper, with SQL equivalents."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
