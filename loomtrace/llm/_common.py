@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -53,6 +52,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def without(df: DataFrame, key: Column, removed: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not in the one column of ``removed``.
+
+    The removed keys are broadcast when their number is proven small, else joined.
+    """
+    gone = checkpoint(removed.toDF("_gone").distinct())
+    small = gone.count() * 128 <= BROADCAST_LIMIT  # hashes, digests and ids take less than 128 bytes each
+    return df.join(F.broadcast(gone) if small else gone, key.eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null reads as the empty text."""
     return [x or "" for x in column.to_pylist()]
@@ -61,8 +70,3 @@ def strings(column: pa.Array) -> list[str]:
 def blobs(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column, without decoding it; null reads as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def identifier(name: str) -> str:
-    """A name for a DDL schema string."""
-    return "`" + re.sub("`", "``", name) + "`"

@@ -10,7 +10,6 @@ by walking to sampled suffixes, and their spans merge into the words to remove.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_LIMIT, blobs
+from ._common import BROADCAST_LIMIT, blobs, without
 
 WINDOW = 13
 #: Suffix positions kept: one in so many.
@@ -211,7 +210,7 @@ def find_spans(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words bigint, spans array<struct<from:int,to:int>>, items array<string>"
 
-    def scan(source: DataFrame, block: int, extra: str) -> DataFrame:
+    def scan(source: DataFrame, block: int) -> DataFrame:
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         shared = df.sparkSession.sparkContext.broadcast(phrases([tuple(r) for r in part.collect()], window))
 
@@ -239,7 +238,7 @@ def find_spans(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
         return source.mapInArrow(run, schema)
 
-    found = scan(df.select(id_col, text_col), 0, "")
+    found = scan(df.select(id_col, text_col), 0)
     if blocks == 1:
         return found
     # each block scans distinct texts under a digest; the parts of a text meet by it
@@ -247,9 +246,9 @@ def find_spans(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     texts = df.select(F.sha2(F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\0")), 256).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).distinct()
     kind = "string"
     schema = f"`{id_col}` string, n_words bigint, spans array<struct<from:int,to:int>>, items array<string>"
-    parts = scan(texts, 0, "")
+    parts = scan(texts, 0)
     for block in range(1, blocks):
-        parts = parts.unionByName(scan(texts, block, ""))
+        parts = parts.unionByName(scan(texts, block))
     whole = parts.groupBy(F.col(id_col).alias("k")).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return keyed.select(id_col, "k").join(whole, "k").select(id_col, "n_words", _merged(F.col("spans")).alias("spans"), "items")
 
@@ -258,10 +257,8 @@ def _merged(spans):
     """Union of sorted half-open spans."""
 
     def step(done, s):
-        last = F.element_at(done, -1)
         joins = (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1))["to"], F.lit(-1)) >= s["from"])
         grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["from"].alias("from"), F.greatest(F.try_element_at(done, F.lit(-1))["to"], s["to"]).alias("to"))))
-        del last
         return F.when(joins, grown).otherwise(F.concat(done, F.array(s)))
 
     return F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<struct<from:int,to:int>>)"), step)
@@ -278,6 +275,11 @@ def report(df: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def item_digest(items: list) -> str:
-    """Digest of item ids, sorted as strings and joined by commas."""
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` that are not contaminated, all columns as they were.
+
+    The verdict is one on the text, so it goes back to rows by the text's digest.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    verdicts = report(df.select(digest.alias("_digest"), text_col), benchmark, id_col="_digest", text_col=text_col)
+    return without(df, digest, verdicts.where("contaminated").select("_digest"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import ASCII_LOWER, BROADCAST_LIMIT, blobs, checkpoint
 
@@ -130,33 +131,49 @@ def drop_frequent_lines(df: DataFrame, least: int = 10, id_col: str = "doc_id",
     of at least one character that stands in ``least`` documents or more loses all its
     lines; a line of blanks has no key and stays.  Repeated rows each count and stay; an
     empty table gives an empty result; no other column is read.
+    """
+    found = _with_kept(df.select(id_col, text_col), least, text_col)
+    return found.select(id_col, *[F.col(f"_lines.{c}").alias(c) for c in ("n_lines", "n_dropped", "kept")])
+
+
+def clean(df: DataFrame, least: int = 10, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``df``, its texts without the lines to drop."""
+    found = _with_kept(df, least, text_col)
+    return found.select(*[F.col("_lines.kept").alias(c) if c == text_col else F.col(c) for c in df.columns])
+
+
+def _with_kept(df: DataFrame, least: int, text_col: str) -> DataFrame:
+    """``df`` and the struct ``_lines`` (n_lines, n_dropped, kept).
 
     Confirmed keys are broadcast when they are proven to fit; beyond that the keys of
     each text are joined with them instead, and the lines to drop go back to the texts.
     """
     hot = checkpoint(frequent_lines(df, least, text_col))
     held = _bounded(hot, "digest", 20)
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_lines bigint, n_dropped bigint, kept string"
+    at = df.columns.index(text_col)
 
-    def kept(ids: pa.Array, texts: list[bytes], drops: Callable[[int], set | frozenset]) -> pa.RecordBatch:
-        out: tuple[list, list, list] = [], [], []
+    def kept(texts: list[bytes], drops: Callable[[int], set | frozenset]) -> pa.Array:
+        n_lines, n_dropped, stays = [], [], []
         for i, text in enumerate(texts):
             lines, drop = text.split(b"\n"), drops(i)
             stay = [x for x in lines if not (k := line_key(x)) or _digest(k) not in drop] if drop else lines
-            for column, value in zip(out, (len(lines), len(lines) - len(stay), b"\n".join(stay)), strict=True):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], [id_col, "n_lines", "n_dropped", "kept"])
-
+            n_lines.append(len(lines))
+            n_dropped.append(len(lines) - len(stay))
+            stays.append(b"\n".join(stay))
+        return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(stays, pa.binary()).cast(pa.string())], ["n_lines", "n_dropped", "kept"])
+
+    lines = T.StructType().add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("_lines", lines)])
+    names = schema.names
     if held is not None:
         shared = df.sparkSession.sparkContext.broadcast(frozenset(map(bytes, held)))
 
         def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             drop = shared.value
             for batch in batches:
-                yield kept(batch.column(0), blobs(batch.column(1)), lambda i: drop)
+                yield pa.RecordBatch.from_arrays([*batch.columns, kept(blobs(batch.column(at)), lambda i: drop)], names)
 
-        return df.select(id_col, text_col).mapInArrow(filtered, schema)
+        return df.mapInArrow(filtered, schema)
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,16 +182,18 @@ def drop_frequent_lines(df: DataFrame, least: int = 10, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(text)] * len(keys), pa.binary()), pa.array(keys, pa.binary())], ["text_key", "digest"])
 
     drops = df.select(text_col).mapInArrow(exploded, "text_key binary, digest binary").join(hot.select("digest"), "digest").distinct()
-    drops = drops.groupBy("text_key").agg(F.collect_list("digest").alias("drops"))
+    drops = drops.groupBy("text_key").agg(F.collect_list("digest").alias("_drops"))
+    keyed = T.StructType([*df.schema.fields, T.StructField("_text_key", T.BinaryType())])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_digest(t) for t in blobs(batch.column(1))], pa.binary())], ["id", "text", "text_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(t) for t in blobs(batch.column(at))], pa.binary())], keyed.names)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = batch.column(2).to_pylist()
-            yield kept(batch.column(0), blobs(batch.column(1)), lambda i, each=each: set(each[i] or ()))
+            *columns, each = batch.columns
+            each = each.to_pylist()
+            yield pa.RecordBatch.from_arrays([*columns, kept(blobs(batch.column(at)), lambda i, each=each: set(each[i] or ()))], names)
 
-    texts = df.select(id_col, text_col).mapInArrow(keyed, f"id {kind}, text string, text_key binary")
-    return texts.join(drops, "text_key", "left").select("id", "text", "drops").mapInArrow(joined, schema)
+    texts = df.mapInArrow(key, keyed)
+    return texts.join(drops, F.col("_text_key") == F.col("text_key"), "left").select(*[F.col(c) for c in df.columns], "_drops").mapInArrow(joined, schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_LOWER, blobs, checkpoint, map_batches
+from ._common import ASCII_LOWER, blobs, checkpoint, map_batches, without
 from .graph import components
 
 SHINGLE, LINK_BITS, BLOCKS = 3, 2, 5
@@ -126,10 +126,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that name their component; of repeated rows with that id, all stay.
+    """One row of ``df`` for each component: the smallest id, then a hash of its text.
 
-    Rows with a null id are kept.
+    Null ids come last, so a group of null ids keeps one of its texts; rows that repeat
+    the one that stays, id and text, stay with it.
     """
-    keep = near_duplicates(df, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    kept = df.join(keep, F.col(id_col) == F.col("_kept_id"), "left_semi")
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    found = near_duplicates(df.select(row.alias("_row"), text_col), "_row", text_col)
+    return without(df, row, found.where("_row <> component_id").select("_row"))

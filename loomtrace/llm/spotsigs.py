@@ -33,7 +33,8 @@ def signatures(text: Column) -> Column:
     """
     words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _GAP, " ")), " ")
     marked = F.concat(F.lit("# "), F.array_join(F.transform(words, lambda w: F.when(w.isin(ANCHORS), F.lit("#")).otherwise(w)), " "))
-    chains = F.regexp_extract_all(marked, F.lit(r"#(?= (?:# )*([^ #]+(?: (?:# )*[^ #]+){0,%d}))" % (CHAIN - 1)), 1)
+    marked = F.regexp_replace(marked, "(?:# )+", "# ")  # anchors in a row begin the same chain
+    chains = F.regexp_extract_all(marked, F.lit(r"#(?= ([^ #]+(?: (?:# )?[^ #]+){0,%d}))" % (CHAIN - 1)), 1)
     hashed = F.transform(F.array_distinct(chains), lambda c: F.substring(F.md5(F.regexp_replace(c, "# ", "")), 1, 8))
     return F.array_sort(F.array_distinct(hashed))
 
