@@ -1,4 +1,471 @@
-"""All queries of the engine proper, with SQL equivalents."""
+"""All queries of the engine proper over the driver's tables, with SQL equivalents.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Tables stand in for agent logs: conversations for turns, documents for sessions or
+passages (``source`` groups them), events for generations and observations, labels for
+remote documents, pages for locators.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .functions import plain as P
+from .operators import canonical, queue, reports, state
+from .plans import search
+from .sources import classify
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- canonical turns
+
+_WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_TURNS = f"""
+    turns AS (
+        SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g') AS content FROM conversations),
+    lines AS (SELECT conv_id, turn, role, content, to_json({{'role': role, 'content': content}})::VARCHAR AS line FROM turns WHERE content <> '')"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").withColumn("content", canonical.clean(F.col("role"), F.col("text"))).where("content <> ''")
+    return turns.withColumn("line", F.to_json(F.struct("role", "content")))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, role, sha256(content) AS content_sha256, length(content)::BIGINT AS n_chars FROM lines")
+def canonical_turns(spark, sf_dir):
+    return _lines(spark, sf_dir).select("conv_id", "turn", "role", F.sha2("content", 256).alias("content_sha256"), F.length("content").cast("bigint").alias("n_chars"))
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, sum(strlen(line) + 1)::BIGINT AS canonical_bytes, count(*) AS canonical_turns,
+    sha256(string_agg(line, chr(10) ORDER BY turn) || chr(10)) AS canonical_hash, CASE WHEN count(*) <= 1 THEN 'empty_after_normalization' ELSE 'eligible' END AS status
+    FROM lines GROUP BY conv_id""")
+def session_stats(spark, sf_dir):
+    return canonical.sessions(_lines(spark, sf_dir), "conv_id", "turn")
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN role = 'user' THEN 0 WHEN role = 'assistant' AND length(text) % 3 = 0 THEN 1 END AS ev FROM conversations)
+    SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN CASE WHEN coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'memory-assisted' ELSE 'original' END END AS provenance FROM e""")
+def provenance_chain(spark, sf_dir):
+    t = read(spark, sf_dir, "conversations")
+    called = F.length("text") % 3 == 0
+    return t.select("conv_id", "turn", canonical.provenance("conv_id", "turn", F.col("role"), F.lit(True), called).alias("provenance"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN turn - 1 - (CASE WHEN turn > 1 AND length(text) % 2 = 0 THEN 1 ELSE 0 END) END AS parent,
+        CASE WHEN role = 'user' THEN false WHEN length(text) % 3 = 0 THEN true END AS ev FROM conversations),
+    w(conv_id, turn, pending_out) AS (
+        SELECT conv_id, turn, coalesce(ev, false) FROM e WHERE parent IS NULL
+        UNION ALL SELECT e.conv_id, e.turn, coalesce(e.ev, w.pending_out) FROM e JOIN w ON e.conv_id = w.conv_id AND e.parent = w.turn)
+    SELECT * FROM w""")
+def provenance_tree(spark, sf_dir):
+    t = read(spark, sf_dir, "conversations")
+    parent = F.when(F.col("turn") > 0, F.col("turn") - 1 - F.when((F.col("turn") > 1) & (F.length("text") % 2 == 0), 1).otherwise(0))
+    event = F.when(F.col("role") == "user", F.lit(False)).when(F.length("text") % 3 == 0, F.lit(True))
+    tree = canonical.provenance_tree(t.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.col("turn").alias("entry"), parent.alias("parent"), event.alias("event")))
+    return tree.select(F.col("session").alias("conv_id"), F.col("entry").alias("turn"), "pending_out")
+
+
+# -- passages and search
+
+_PASSAGES = """
+    passages AS (
+        SELECT source AS document_id, doc_id::VARCHAR AS entry_id, off // 1600 + 1 AS passage_no, substr(p, (off + 1)::BIGINT, 2000) AS text, printf('%012d', doc_id) AS timestamp
+        FROM (SELECT source, doc_id, p, unnest(range(0, greatest(length(p), 1), 1600)) AS off FROM (SELECT source, doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS p FROM documents) WHERE p <> ''))"""
+_FOLD = "translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēėęěğīįłńňōőŕřśšťūůűźżž', 'aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeegiilnnoorrsstuuuzzz')"
+SEARCH_QUERY = "current Thinor tion retitioning and the shhahaerble heedion worthless"
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    found = search.passages(docs, ["source", "doc_id"], "text")
+    return found.select(F.col("source").alias("document_id"), F.col("doc_id").cast("string").alias("entry_id"), F.col("passage_no").cast("bigint").alias("passage_no"), "text", F.format_string("%012d", "doc_id").alias("timestamp"))
+
+
+@query(f"WITH {_PASSAGES} SELECT document_id, entry_id, passage_no, sha256(text) AS text_sha256 FROM passages")
+def passages(spark, sf_dir):
+    return _passages(spark, sf_dir).select("document_id", "entry_id", "passage_no", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""SELECT conv_id, turn, '# conv ' || conv_id || chr(10) || chr(10) || role || ':' || chr(10) || chr(10) || substr(t, (off + 1)::BIGINT, 2000) AS text, off // 1600 + 1 AS passage_no
+    FROM (SELECT conv_id, turn, role, t, unnest(range(0, length(t), 1600)) AS off FROM (SELECT conv_id, turn, role, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM conversations) WHERE t <> '')""")
+def passages_with_headings(spark, sf_dir):
+    t = read(spark, sf_dir, "conversations")
+    marked = t.select("conv_id", "turn", F.concat(F.lit("# conv "), "conv_id", F.lit("\n\n"), "role", F.lit(":\n\n"), "text").alias("content"))
+    return search.passages(marked, ["conv_id", "turn"]).withColumn("passage_no", F.col("passage_no").cast("bigint"))
+
+
+def _terms_sql(terms: list[str]) -> str:
+    return ", ".join(f"({k}, '{t}')" for k, t in enumerate(terms))
+
+
+_TERMS = P.query_terms(SEARCH_QUERY)
+_TOKENS = f"""
+    tok AS (SELECT *, regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+') AS w FROM passages),
+    terms(pos, term) AS (VALUES {_terms_sql(_TERMS)}),
+    tf AS (SELECT document_id, entry_id, passage_no, pos, term, len(w) AS n, len(list_filter(w, lambda x: x = term)) AS f FROM tok, terms)"""
+
+
+@query(f"WITH {_PASSAGES}, {_TOKENS} SELECT pos::INTEGER AS pos, term, count(DISTINCT document_id) AS n_docs FROM tf WHERE f > 0 GROUP BY ALL")
+def term_frequencies(spark, sf_dir):
+    return search.term_frequencies(_passages(spark, sf_dir), _TERMS)
+
+
+_RANKED = f"""{_PASSAGES}, {_TOKENS},
+    st AS (SELECT count(*) AS rows_, avg(len(w)) AS avg_ FROM tok),
+    df AS (SELECT pos, count(*) AS d FROM tf WHERE f > 0 GROUP BY pos),
+    ranked AS (SELECT document_id, entry_id, passage_no,
+        round(-sum(greatest(ln((rows_ - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / avg_))), 6) AS rank
+        FROM tf JOIN df USING (pos), st WHERE f > 0 GROUP BY ALL)"""
+
+
+@query(f"WITH {_RANKED} SELECT * FROM ranked ORDER BY rank, document_id, entry_id, passage_no LIMIT 100")
+def bm25_topk(spark, sf_dir):
+    ranked = search.scored(_passages(spark, sf_dir), _TERMS, ["document_id"]).withColumn("rank", F.round("rank", 6))
+    return ranked.select("document_id", "entry_id", "passage_no", "rank").orderBy("rank", "document_id", "entry_id", "passage_no").limit(100)
+
+
+@query()
+def evidence_search(spark, sf_dir):
+    """Hits of a query about the present: anchor, candidates, match test, corrections, latest, caps."""
+    return search.evidence(_passages(spark, sf_dir), SEARCH_QUERY).select("document_id", "entry_id", "passage_no", "bucket", "rank")
+
+
+PLAIN_QUERY = "tion retitioning and the shhahaerble"
+_PLAIN = P.query_terms(PLAIN_QUERY)
+
+
+@query(f"""WITH {_RANKED.replace(_terms_sql(_TERMS), _terms_sql(_PLAIN))},
+    rare AS (SELECT term FROM (SELECT pos, term, count(DISTINCT document_id) AS n FROM tf WHERE f > 0 GROUP BY ALL) ORDER BY n, pos LIMIT 1),
+    anchored AS (SELECT DISTINCT document_id FROM tf JOIN rare USING (term) WHERE f > 0),
+    best AS (SELECT * FROM ranked SEMI JOIN anchored USING (document_id) ORDER BY rank, document_id, entry_id, passage_no LIMIT 100),
+    words AS (SELECT document_id, entry_id, passage_no, text, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM passages),
+    ok AS (SELECT best.*, text FROM best JOIN words USING (document_id, entry_id, passage_no) WHERE len(list_intersect(w, {_PLAIN!r})) >= 2),
+    a AS (SELECT *, row_number() OVER (PARTITION BY document_id, entry_id, text ORDER BY rank, passage_no) AS r0 FROM ok),
+    b AS (SELECT *, row_number() OVER (PARTITION BY document_id, entry_id ORDER BY rank, passage_no) AS r1 FROM a WHERE r0 = 1),
+    c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY rank, entry_id, passage_no) AS r2 FROM b WHERE r1 <= 2)
+    SELECT document_id, entry_id, passage_no, rank FROM c WHERE r2 <= 3 ORDER BY rank, document_id, entry_id, passage_no LIMIT 6""")
+def evidence_lexical(spark, sf_dir):
+    return search.evidence(_passages(spark, sf_dir), PLAIN_QUERY).select("document_id", "entry_id", "passage_no", "rank")
+
+
+# -- text functions
+
+
+@query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '(?im)(^|[\\s{\\[,;(])((?:[A-Z_][A-Z0-9_-]*)?(?:API[_-]?KEY|TOKEN|SECRET|PASSWORD|PASSWD|PASS|PASSPHRASE|CREDENTIALS?|PRIVATE[_-]?KEY|AUTHORIZATION|COOKIE)(?:[_-][A-Z0-9_-]+)?)(\\s*[:=]\\s*)"(?:\\\\[\\s\\S]|[^"\\\\])*"', '\\1\\2\\3"[REDACTED:SECRET]"', 'g')) AS redacted_sha256 FROM documents""")
+def redact_documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(C.redact(F.col("text")), 256).alias("redacted_sha256"))
+
+
+@query()
+def redaction_rules(spark, sf_dir):
+    """Texts that each rule changes, over documents with one planted secret each."""
+    secrets = ["password=hunter2x", "Authorization: Bearer abc.def", "Cookie: a=b", "postgres://u:pw@h/db", "https://u:pw@h/", "see https://h/?token=abc", "AKIA" + "A" * 16, "ghp_" + "a" * 24, "sk-" + "a" * 24, "AIza" + "a" * 32, "Bearer abc"]
+    docs = read(spark, sf_dir, "documents").select(F.concat("text", F.lit("\n"), F.element_at(F.array(*map(F.lit, secrets)), (F.col("doc_id") % len(secrets) + 1).cast("int"))).alias("t"))
+    steps = C.redaction_steps(F.col("t"))
+    counts = docs.agg(*[F.count_if(before != after).alias(name) for name, before, after in steps])
+    return counts.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n, _, _ in steps]), F.array(*[F.col(n) for n, _, _ in steps]))).alias("rule", "n"))
+
+
+_NS = C.ID_NAMESPACE.replace("-", "")
+
+
+@query(f"""WITH h AS (SELECT doc_id, sha1(unhex('{_NS}') || encode('bank' || chr(10) || 'agent-session:pi:' || doc_id || chr(10) || sha256(text))) AS h FROM documents)
+    SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INTEGER % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS operation_id FROM h""")
+def operation_ids(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    wanted = d.select("doc_id", C.document_id(F.lit("pi"), F.col("doc_id").cast("string")).alias("document_id"), F.sha2("text", 256).alias("canonical_hash"))
+    return wanted.select("doc_id", C.operation_id(F.lit("bank"), F.col("document_id"), F.col("canonical_hash")).alias("operation_id"))
+
+
+@query("""SELECT doc_id, 'fallback-' || substr(sha256(concat_ws(chr(10), source, doc_id::VARCHAR, lang)), 1, 32) AS fallback_id, 'agent-session:' || source || ':' || doc_id AS document_id FROM documents""")
+def identifiers(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", C.fallback_id(F.col("source"), F.col("doc_id").cast("string"), F.col("lang")).alias("fallback_id"), C.document_id(F.col("source"), F.col("doc_id").cast("string")).alias("document_id"))
+
+
+@query("""SELECT source, sum(greatest(1, ceil(strlen(text) / 4.0)))::BIGINT AS tokens, round(sum(greatest(1, ceil(strlen(text) / 4.0)) * (3.0 / 1e6) + greatest(1, ceil(strlen(text) / 4.0)) * 0.25 * (15.0 / 1e6)), 6) AS cost FROM documents GROUP BY source""")
+def cost_estimate(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("t", C.estimate_tokens(F.octet_length("text")))
+    return d.groupBy("source").agg(F.sum("t").alias("tokens"), F.round(F.sum(C.estimate_cost(F.col("t"), 3.0, 15.0)), 6).alias("cost"))
+
+
+@query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k, event_type FROM events WHERE json_valid(props)")
+def json_props(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("v", F.try_parse_json("props")).where("v is not null")
+    return e.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), "event_type")
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || printf('%03d', (epoch_us(ts) // 1000) % 1000) || 'Z' AS iso FROM events""")
+def iso_times(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", C.iso_millis(F.col("ts")).alias("iso"))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(p, '^agent-') OR contains(lower(url), '/subagents/') THEN CASE WHEN page_id % 2 = 0 THEN 'subagent' ELSE 'ambiguous' END WHEN page_id % 2 = 0 THEN 'ambiguous' ELSE 'primary' END AS kind,
+    CASE WHEN page_id % 10 = 0 THEN 'configured-exclusion' WHEN page_id % 7 = 0 THEN 'subagent' ELSE 'primary' END AS effective
+    FROM (SELECT *, regexp_extract(url, '([^/]*)$', 1) AS p FROM pages)""")
+def classify_pages(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    kind = classify.claude(F.col("url"), F.lit(False), F.when(F.col("page_id") % 2 == 0, "agent"))
+    side = classify.claude(F.lit("x"), F.col("page_id") % 7 == 0, F.lit(None).cast("string"))
+    label = F.when(F.col("page_id") % 10 == 0, "excluded")
+    return p.select("page_id", kind["kind"].alias("kind"), classify.effective(side, label, ["excluded"], F.lit(None).cast("boolean"))["kind"].alias("effective"))
+
+
+@query("""WITH k AS (SELECT source, lang, min(doc_id) AS pos FROM documents GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM k GROUP BY source)
+    SELECT source, CASE WHEN n = 1 THEN (SELECT min(lang) FROM k WHERE k.source = n.source) ELSE 'ambiguous' END AS kind FROM n""")
+def merge_classifications(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("pos"))
+    folded = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("lang").alias("kind"), F.lit("r").alias("reason")))).alias("k"))
+    return folded.select("source", classify.merged(F.col("k"))["kind"].alias("kind"))
+
+
+# -- reports
+
+_INV = "SELECT source, CASE WHEN n_chars < 200 THEN 'empty_after_normalization' WHEN doc_id % 11 = 0 THEN 'excluded_subagent' WHEN doc_id % 13 = 0 THEN 'malformed' ELSE 'eligible' END AS status, n_chars AS source_bytes, n_chars + 50 AS canonical_bytes, doc_id % 5 AS canonical_turns, doc_id % 2 AS redactions, doc_id FROM documents"
+
+
+def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    status = F.when(F.col("n_chars") < 200, "empty_after_normalization").when(F.col("doc_id") % 11 == 0, "excluded_subagent").when(F.col("doc_id") % 13 == 0, "malformed").otherwise("eligible")
+    return d.select("source", status.alias("status"), F.col("n_chars").alias("source_bytes"), (F.col("n_chars") + 50).alias("canonical_bytes"), (F.col("doc_id") % 5).alias("canonical_turns"), (F.col("doc_id") % 2).alias("redactions"), "doc_id", F.format_string("%012d", "doc_id").alias("native_session_id"))
+
+
+_SOURCES = [f"src{k}" for k in range(25)]
+_LOADED = "status IN ('eligible', 'empty_after_normalization', 'too_large')"
+
+
+@query(f"""WITH r AS ({_INV}), a AS (SELECT source, count(*) AS discovered, count(*) FILTER (status = 'eligible') AS eligible, count(*) FILTER (status = 'empty_after_normalization') AS empty, count(*) FILTER (status = 'excluded_subagent') AS subagents,
+    count(*) FILTER (status = 'malformed') AS malformed, sum(source_bytes) FILTER ({_LOADED}) AS source_bytes, sum(canonical_turns) FILTER ({_LOADED}) AS canonical_turns, sum(redactions) FILTER ({_LOADED}) AS redactions
+    FROM r GROUP BY ROLLUP (source)), s AS (SELECT 'src' || k AS source FROM range(25) t(k) UNION ALL SELECT NULL)
+    SELECT s.source, coalesce(discovered, 0) AS discovered, coalesce(eligible, 0) AS eligible, coalesce(empty, 0) AS empty, coalesce(subagents, 0) AS subagents, coalesce(malformed, 0) AS malformed,
+    coalesce(source_bytes, 0)::BIGINT AS source_bytes, coalesce(canonical_turns, 0)::BIGINT AS canonical_turns, coalesce(redactions, 0)::BIGINT AS redactions FROM s LEFT JOIN a ON s.source IS NOT DISTINCT FROM a.source""")
+def inventory_rollup(spark, sf_dir):
+    return reports.inventory(_inventory(spark, sf_dir), _SOURCES).select("source", "discovered", "eligible", "empty", "subagents", "malformed", "source_bytes", "canonical_turns", "redactions")
+
+
+@query("SELECT source, doc_id, n_chars + 50 AS canonical_bytes FROM documents ORDER BY canonical_bytes DESC, source, doc_id LIMIT 20")
+def top20(spark, sf_dir):
+    return reports.largest(_inventory(spark, sf_dir)).select("source", "doc_id", "canonical_bytes")
+
+
+@query("SELECT sum(n)::BIGINT AS bytes FROM (SELECT arg_min(n_chars, doc_id) AS n FROM documents GROUP BY source)")
+def size_once(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select(reports.sizes_once(d, "source", "n_chars", "doc_id").alias("b")).agg(F.sum("b").alias("bytes"))
+
+
+@query("SELECT count(*) FILTER (starts_with(lang, 'e')) AS missing_identifiers, count(*) FILTER (n_chars IS NULL OR n_chars < 100) AS missing_timestamps FROM documents")
+def missing_counters(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return reports.gaps(d.select(F.when(F.col("lang").startswith("e"), "fallback-x").otherwise("y").alias("native_session_id"), F.when(F.col("n_chars") >= 100, "2026").alias("started_at")))
+
+
+@query(f"""WITH r AS (SELECT *, list_position({_SOURCES[:20]!r}, source) AS s, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM ({_INV}) WHERE source IN {tuple(_SOURCES[:20])!r} WINDOW w AS (PARTITION BY source ORDER BY canonical_bytes, doc_id)),
+    e AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE (SELECT min(2000 + d) FROM range(10) t(d) WHERE ((n - 1) * d) // 10 = i) END AS k0 FROM r),
+    f AS (SELECT *, coalesce(k0, 3000000 + row_number() OVER (PARTITION BY source, k0 IS NULL ORDER BY canonical_bytes, doc_id)) AS k FROM e)
+    SELECT doc_id, source, row_number() OVER (ORDER BY k, s)::INTEGER AS pick FROM f ORDER BY k, s LIMIT 120""")
+def pilot_sample(spark, sf_dir):
+    return reports.pilot(_inventory(spark, sf_dir), 120, sources=_SOURCES[:20]).select("doc_id", "source", "pick")
+
+
+# -- generations, queue, settle
+
+_GEN = "SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS state, (event_id % 5)::INTEGER AS attempt_count FROM events"
+
+
+def _generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    named = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "processing").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
+    return e.select("event_id", "user_id", "ts", named.alias("state"), (F.col("event_id") % 5).cast("int").alias("attempt_count"), F.lit("pi").alias("source"), F.col("user_id").alias("native_session_id"), F.col("event_id").alias("canonical_hash"), F.col("ts").alias("queued_at"), F.format_string("%012d", "event_id").alias("operation_id"))
+
+
+@query(f"SELECT state, count(*) AS n FROM ({_GEN}) GROUP BY state")
+def state_counts(spark, sf_dir):
+    return reports.state_counts(_generations(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (state = 'submitted') AS submitted, count(*) FILTER (state = 'processing') AS processing, count(*) FILTER (state NOT IN ('completed', 'queued', 'submitted', 'processing')) AS other FROM ({_GEN})")
+def bucket_counts(spark, sf_dir):
+    return reports.bucket_counts(_generations(spark, sf_dir))
+
+
+@query(f"SELECT user_id, event_id, state FROM ({_GEN}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_generation(spark, sf_dir):
+    return reports.latest(_generations(spark, sf_dir), ["user_id"], "ts", "event_id").select("user_id", "event_id", "state")
+
+
+@query(f"""SELECT event_id, state FROM ({_GEN}) WHERE state IN ('queued', 'submitted', 'processing') OR state = 'failed' AND attempt_count < 3
+    ORDER BY CASE WHEN state IN ('submitted', 'processing') THEN 0 WHEN state = 'queued' THEN 1 ELSE 2 END, ts, event_id LIMIT 250""")
+def work_queue(spark, sf_dir):
+    return queue.candidates(_generations(spark, sf_dir), 250).select("event_id", "state")
+
+
+@query(f"SELECT count(*) AS pending FROM ({_GEN}) WHERE state IN ('queued', 'submitted', 'processing') OR state = 'failed' AND attempt_count < 3")
+def pending_work(spark, sf_dir):
+    return queue.pending(_generations(spark, sf_dir))
+
+
+@query(f"SELECT g.event_id, EXISTS (SELECT 1 FROM ({_GEN}) o WHERE o.user_id = g.user_id AND o.event_id <> g.event_id AND o.state IN ('submitted', 'processing')) AS conflict FROM ({_GEN}) g")
+def active_conflict(spark, sf_dir):
+    return state.conflicts(_generations(spark, sf_dir)).select("event_id", "conflict")
+
+
+@query(f"""WITH g AS ({_GEN}), k AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS keep FROM g GROUP BY user_id)
+    SELECT event_id, CASE WHEN event_id <> keep AND state IN ('discovered', 'queued', 'failed') THEN 'superseded' ELSE state END AS state FROM g JOIN k USING (user_id)""")
+def supersede(spark, sf_dir):
+    g = _generations(spark, sf_dir)
+    keep = reports.latest(g, ["source", "native_session_id"], "ts", "event_id").select("source", "native_session_id", F.col("canonical_hash").alias("keep_hash"))
+    return state.supersede(g, keep).select("event_id", "state")
+
+
+@query(f"""WITH g AS ({_GEN}), b AS (SELECT user_id, count(*) FILTER (state IN ('submitted', 'processing')) AS busy FROM g GROUP BY user_id),
+    c AS (SELECT event_id FROM g JOIN b USING (user_id) WHERE busy = 0 AND state IN ('queued', 'failed') AND user_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)
+    SELECT g.event_id, CASE WHEN c.event_id IS NULL THEN state ELSE 'processing' END AS state, attempt_count + (c.event_id IS NOT NULL)::INTEGER AS attempt_count FROM g LEFT JOIN c USING (event_id)""")
+def claim_generations(spark, sf_dir):
+    g = _generations(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
+    sessions = g.select("source", "native_session_id").distinct().select("*", F.when(F.col("native_session_id") % 3 == 0, "subagent").otherwise("primary").alias("classification"), F.lit("discovered").alias("status"))
+    return state.claim(g, sessions, g).select("event_id", "state", "attempt_count")
+
+
+@query("""WITH o AS (SELECT event_id, user_id, ts, event_type, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM o)
+    SELECT event_id, island::BIGINT AS island, fresh = 0 AND epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id, island)) >= 3600000000 AS settled FROM i""")
+def settle_islands(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("_tie", F.col("event_id"))
+    return state.settle(e, ["user_id"], F.col("ts"), "event_type", 3600).select("event_id", "island", "settled")
+
+
+@query("""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY doc_id) AS pos, doc_id, (n_chars / 4)::BIGINT AS tokens, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM (SELECT doc_id, source, n_chars // 4 * 4 AS n_chars FROM documents)),
+    a(source, k, used, doc_id, admitted) AS (
+        SELECT source, k, CASE WHEN tokens <= 5000 THEN tokens ELSE 0 END, doc_id, tokens <= 5000 FROM r WHERE k = 1
+        UNION ALL SELECT r.source, r.k, CASE WHEN a.used + r.tokens <= 5000 THEN a.used + r.tokens ELSE a.used END, r.doc_id, a.used + r.tokens <= 5000 FROM a JOIN r ON r.source = a.source AND r.k = a.k + 1)
+    SELECT doc_id, admitted FROM a""")
+def budget_admit(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    asked = d.select("source", "doc_id", F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("operation_id"), F.floor(F.col("n_chars") / 4).alias("tokens"), F.lit(0.0).alias("cost"))
+    return queue.reserve(asked, 5000, 1.0, "source").select("doc_id", "admitted")
+
+
+@query(f"""WITH g AS ({_GEN}), ch AS (SELECT user_id, max(event_id) AS event_id, CASE WHEN user_id % 2 = 0 THEN 'done' END AS note FROM g GROUP BY user_id),
+    o AS (SELECT event_id, state FROM g WHERE event_id % 2 = 0)
+    SELECT coalesce(o.event_id, ch.event_id) AS event_id, CASE WHEN ch.event_id IS NOT NULL THEN coalesce(ch.note, o.state) ELSE o.state END AS state FROM o FULL JOIN ch ON o.event_id = ch.event_id""")
+def upsert_preserve(spark, sf_dir):
+    g = _generations(spark, sf_dir)
+    changes = g.groupBy("user_id").agg(F.max("event_id").alias("event_id")).select("event_id", F.when(F.col("user_id") % 2 == 0, "done").alias("state"))
+    return state.upsert(g.where("event_id % 2 = 0").select("event_id", "state"), changes, ["event_id"], keep=["state"])
+
+
+# -- reconciliation
+
+
+@query("""WITH l AS (SELECT doc_id, doc_id % 3 <> 0 AS expected, doc_id % 7 = 0 AS excluded, (doc_id % 2)::INTEGER AS h FROM documents)
+    SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN r.doc_id IS NOT NULL AND coalesce(excluded, false) THEN 'excluded_present' WHEN r.doc_id IS NOT NULL AND NOT coalesce(expected, false) THEN 'unexpected'
+    WHEN r.doc_id IS NULL AND coalesce(expected, false) THEN 'missing' WHEN r.doc_id IS NOT NULL AND h IS DISTINCT FROM quality THEN 'mismatch' WHEN r.doc_id IS NOT NULL THEN 'match' ELSE 'absent' END AS verdict
+    FROM l FULL JOIN labels r ON l.doc_id = r.doc_id""")
+def reconcile(spark, sf_dir):
+    local = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3 != 0).alias("expected"), (F.col("doc_id") % 7 == 0).alias("excluded"), (F.col("doc_id") % 2).cast("int").alias("h"))
+    return reports.reconcile(local, read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("h")), "doc_id", "h")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id").exceptAll(read(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query("SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM documents)")
+def excluded_present(spark, sf_dir):
+    return read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").intersect(read(spark, sf_dir, "documents").select("doc_id"))
+
+
+@query("""WITH o AS (SELECT doc_id, n_chars, source FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, n_chars + (doc_id % 9 = 0)::INTEGER AS n_chars, source FROM documents WHERE doc_id % 10 <> 1)
+    SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id
+    WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.n_chars <> n.n_chars OR o.source <> n.source""")
+def manifest_diff(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
+    new = d.where("doc_id % 10 <> 1").withColumn("n_chars", F.col("n_chars") + (F.col("doc_id") % 9 == 0).cast("int"))
+    return reports.manifest_diff(d.where("doc_id % 10 <> 0"), new, "doc_id", "n_chars", "source")
+
+
+@query("""SELECT job_id, kind, user_id FROM (SELECT sha256(concat_ws(chr(10), 'subagent-cleanup-v1', kind, 'pi', user_id::VARCHAR, event_id::VARCHAR)) AS job_id, kind, user_id
+    FROM (SELECT event_id, user_id, CASE WHEN user_id % 11 = 0 THEN 'configured-exclusion' WHEN user_id % 5 = 0 THEN 'subagent' WHEN user_id % 5 = 1 THEN 'ambiguous' ELSE 'primary' END AS kind, event_type FROM events) WHERE kind IN ('configured-exclusion', 'subagent'))""")
+def cleanup_plan(spark, sf_dir):
+    g = _generations(spark, sf_dir)
+    ids = g.select("source", "native_session_id").distinct()
+    doc = C.document_id(F.col("source"), F.col("native_session_id").cast("string"))
+    sessions = ids.select("*", doc.alias("document_id"), F.lit("l").alias("locator"), F.lit("imported").alias("status"))
+    groups = ids.select("*", F.when(F.col("native_session_id") % 5 == 0, "subagent").when(F.col("native_session_id") % 5 == 1, "ambiguous").otherwise("primary").alias("kind"))
+    buried = ids.where("native_session_id % 11 = 0").select("*", doc.alias("document_id"))
+    jobs = reports.cleanup_jobs(g, sessions, groups, buried, sessions.select("source", "native_session_id", "locator", F.lit("primary").alias("kind")))
+    return jobs.select("job_id", "kind", F.col("native_session_id").alias("user_id"))
+
+
+@query("""WITH s AS (SELECT unnest(generate_series(time_bucket(INTERVAL '1 hour', (SELECT min(ts) FROM events)), time_bucket(INTERVAL '1 hour', (SELECT max(ts) FROM events)), INTERVAL '1 hour')) AS window_start),
+    e AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1)
+    SELECT window_start, coalesce(n, 0) AS n, v FROM s LEFT JOIN e USING (window_start)""")
+def health_windows(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    low, high = e.agg(F.date_trunc("hour", F.min("ts")), F.date_trunc("hour", F.max("ts"))).first()
+    return reports.windows(e, "ts", "1 hour", F.lit(low), F.lit(high), F.round(F.sum("value"), 4).alias("v"))
+
+
+@query("SELECT event_type, count(*) AS n, max(value) AS longest FROM events GROUP BY event_type")
+def stage_times(spark, sf_dir):
+    return reports.stage_times(read(spark, sf_dir, "events").withColumn("outcome", F.lit("ok")), "event_type", "value", "outcome").select("event_type", "n", "longest")
+
+
+@query("SELECT round(avg((event_type = 'error')::INTEGER::DOUBLE), 9) AS rate, avg((event_type = 'error')::INTEGER::DOUBLE) > 0.05 AS abort FROM events")
+def failure_rate(spark, sf_dir):
+    return reports.failure_rate(read(spark, sf_dir, "events"), F.col("event_type") == "error", 0.05).withColumn("rate", F.round("rate", 9))
+
+
+@query("SELECT event_id AS pos, id, score FROM (SELECT event_id, (event_id % 50)::VARCHAR AS id, value AS score FROM events WHERE value IS NULL OR value >= 0.01) QUALIFY row_number() OVER (PARTITION BY id ORDER BY event_id) = 1 ORDER BY event_id LIMIT 6")
+def recall_filter(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    r = e.select(F.col("event_id").alias("pos"), (F.col("event_id") % 50).cast("string").alias("id"), F.lit("t").alias("type"), F.lit("x").alias("text"), F.lit("d").alias("document_id"), F.col("value").alias("score"))
+    return reports.recall_hits(r).select("pos", "id", "score")
+
+
+@query("SELECT source, n_chars FROM documents WHERE source IN (SELECT DISTINCT source FROM documents ORDER BY source DESC LIMIT 4) OR source = 'src0'")
+def retention(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    names = reports.retained(d.select("source").distinct(), "source", 4, "src0")
+    return d.join(names, "source", "left_semi").select("source", "n_chars")
+
+
+@query("SELECT source, count(DISTINCT lang) > 1 AS conflict FROM documents GROUP BY source")
+def owner_conflicts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").groupBy("source").agg((F.countDistinct("lang") > 1).alias("conflict"))
+
+
+@query("""SELECT doc_id, row_number() OVER (ORDER BY n_chars NULLS LAST, source, doc_id)::INTEGER AS n FROM documents ORDER BY n LIMIT 250 OFFSET 100""")
+def discovery_page(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").orderBy(F.asc_nulls_last("n_chars"), "source", "doc_id").limit(350)
+    return d.withColumn("n", F.row_number().over(Window.orderBy(F.asc_nulls_last("n_chars"), "source", "doc_id"))).where("n > 100").select("doc_id", "n")
+
+
+@query()
+def normalized_labels(spark, sf_dir):
+    """Full-width and mixed-case labels fold to one."""
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", C.nfkc_lower(F.concat(F.lit("ＳＲＣ－"), "source")).alias("label"))
