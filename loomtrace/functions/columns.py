@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .constants import HARNESS_BLOCKS, ID_NAMESPACE, INJECTED_BLOCKS, JS_SPACE, REDACTIONS
 from .plain import nfkc_lower as _nfkc_lower
@@ -123,7 +124,7 @@ def estimate_cost(tokens: Column, input_price: float, output_price: float, multi
     return tokens * (input_price / 1e6) + tokens * multiplier * (output_price / 1e6)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_lower(text: pd.Series) -> pd.Series:
     """NFKC and lower case; Spark has no normalization of its own."""
     return text.map(lambda t: None if t is None else _nfkc_lower(t))

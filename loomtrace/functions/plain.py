@@ -165,9 +165,9 @@ def file_timestamp(source: str, name: str) -> str:
     """Start of a session from its file name, else the epoch."""
     if source == "pi" and (m := re.match(r"(\d{4}-\d\d-\d\dT)(\d\d)-(\d\d)-(\d\d)-(\d{3})Z", name)):
         return f"{m[1]}{m[2]}:{m[3]}:{m[4]}.{m[5]}Z"
-    if source == "codex" and (m := re.search(r"rollout-(\d{4}-\d\d-\d\d)T(\d\d)-(\d\d)-(\d\d)", name)):
-        return f"{m[1]}T{m[2]}:{m[3]}:{m[4]}.000Z"
-    if source == "claude" and (m := re.search(r"(\d{4}-\d\d-\d\d)", name)):
+    if source == "codex" and (m := re.search(r"rollout-(\d{4}-\d\d-\d\d)T(\d\d)-(\d\d)-(\d\d)-[0-9a-f-]{20,}\.jsonl$", name, re.I)):
+        return f"{m[1]}T{m[2]}:{m[3]}:{m[4]}Z"
+    if source == "claude" and (m := re.match(r"(\d{4}-\d\d-\d\d)", name)):
         return f"{m[1]}T00:00:00.000Z"
     return EPOCH
 

@@ -108,8 +108,10 @@ def parse_pi(path: str, root: str, lines: list[jsonl.Line], label: str | None) -
 
 def parse_codex(path: str, root: str, lines: list[jsonl.Line], label: str | None) -> dict:
     first = _object(lines[0].value) if lines else {}
-    head = _object(first.get("payload")) if first.get("type") == "session_meta" else {}
-    started = P.iso(head.get("timestamp"), P.iso(first.get("timestamp"), P.file_timestamp("codex", os.path.basename(path))))
+    recognized = _role(first.get("type")) == "session_meta" and isinstance(first.get("payload"), (dict, list))
+    head = _object(first.get("payload"))
+    stamp = first.get("timestamp") if first.get("timestamp") is not None else head.get("timestamp")
+    started = P.iso(stamp, P.file_timestamp("codex", os.path.basename(path)))
     t, times, seen, pending = _Turns(), [], set(), False
     for line in lines:
         r = _object(line.value)
@@ -135,16 +137,16 @@ def parse_codex(path: str, root: str, lines: list[jsonl.Line], label: str | None
         else:
             continue
         t.after(entry, pending)
-    source, thread = head.get("source"), head.get("thread_source")
+    source, thread = head.get("source"), _role(head.get("thread_source"))
     sub = source == "subagent" or thread == "subagent" or (isinstance(source, dict) and source.get("subagent") is not None)
     parent = P.text_or_none(head.get("parent_thread_id"))
-    name, thread_name = P.text_or_none(source), P.text_or_none(thread)
+    name = source.lower() if isinstance(source, str) else None
     verdict = (
-        ("ambiguous", "codex-unrecognized-session-metadata") if not head or not (source is None or isinstance(source, (str, dict)))
+        ("ambiguous", "codex-unrecognized-session-metadata") if not recognized
         else ("subagent", "codex-explicit-subagent-thread-source") if sub
         else ("ambiguous", "codex-incomplete-subagent-marker") if parent or P.text_or_none(head.get("agent_role")) or P.text_or_none(head.get("agent_nickname"))
         else ("ambiguous", "codex-unrecognized-object-source") if isinstance(source, dict)
-        else ("ambiguous", "codex-unrecognized-thread-source") if thread_name and thread_name != "user"
+        else ("ambiguous", "codex-unrecognized-thread-source") if thread and thread != "user"
         else ("ambiguous", "codex-unrecognized-source") if name and name not in ("exec", "cli")
         else ("primary", "codex-primary-session")
     )
