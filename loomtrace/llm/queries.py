@@ -86,5 +86,66 @@ _OP7_SQL = r"""
     FROM keyed LEFT JOIN hot h ON keyed.key = h.key GROUP BY doc_id"""
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP4_SQL = rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS win
+           FROM (SELECT item_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM (SELECT *, least(13, len(ws)) AS size FROM b WHERE len(ws) > 0))),
+    sizes AS (SELECT DISTINCT size FROM bw),
+    words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+    ahead AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS ws FROM words),
+    hit AS (SELECT DISTINCT doc_id, i, a.size, item_id FROM (SELECT doc_id, i, size, array_to_string(ws[1:size], ' ') AS win FROM ahead, sizes WHERE len(ws) >= size) a JOIN bw ON a.size = bw.size AND a.win = bw.win),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+#: For pages whose main text is one article element.
+_OP6_SQL = r"""
+    WITH inner_ AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+    plain AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(?:p|h1|br|li|ul|div)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM inner_),
+    decoded AS (SELECT page_id, url, trim(regexp_replace(html_unescape, '\s+', ' ', 'g')) AS text
+                FROM (SELECT page_id, url, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;', '&') AS html_unescape FROM plain))
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM decoded"""
+
+_OP8_SQL = rf"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id), '') AS after FROM documents),
+    edits AS (SELECT doc_id, text, left(text, length(text) - length(text) // 4) || substr(after, 1, (length(text) // 4)::BIGINT) AS edited FROM docs),
+    every_ AS (SELECT doc_id, 't' AS kind, text FROM edits UNION ALL SELECT doc_id, 'e', edited FROM edits),
+    lists AS (SELECT doc_id, kind, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM every_),
+    words AS (SELECT doc_id, kind, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM lists UNION ALL SELECT doc_id, kind, NULL, 0 FROM lists),
+    marked AS (SELECT *, word IS NULL OR word IN ({", ".join(f"'{w}'" for w in sorted(set(spotsigs.ANCHORS)))}) AS anchor FROM words),
+    counted AS (SELECT *, sum((NOT anchor)::INTEGER) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM marked),
+    chains AS (SELECT doc_id, kind, c, word || coalesce(' ' || lead(word, 1) OVER w, '') || coalesce(' ' || lead(word, 2) OVER w, '') AS chain FROM counted WHERE NOT anchor WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+    sigs AS (SELECT DISTINCT a.doc_id, a.kind, substr(md5(chain), 1, 8) AS sig FROM (SELECT DISTINCT doc_id, kind, c FROM counted WHERE anchor) a JOIN chains b ON a.doc_id = b.doc_id AND a.kind = b.kind AND b.c = a.c + 1),
+    sets AS (SELECT e.doc_id, e.kind, coalesce(s, []) AS s FROM every_ e LEFT JOIN (SELECT doc_id, kind, list(sig ORDER BY sig) AS s FROM sigs GROUP BY ALL) g ON e.doc_id = g.doc_id AND e.kind = g.kind),
+    three AS (SELECT edits.doc_id, text, edited, a.s AS s, b.s AS e FROM edits JOIN sets a ON a.doc_id = edits.doc_id AND a.kind = 't' JOIN sets b ON b.doc_id = edits.doc_id AND b.kind = 'e'),
+    four AS (SELECT *, coalesce(lead(s) OVER (ORDER BY doc_id), first_value(s) OVER (ORDER BY doc_id)) AS n FROM three)
+    SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(s, '') AS fingerprint, array_to_string(e, '') AS edited_fingerprint,
+           CASE WHEN len(s) + len(e) = 0 THEN 1.0 ELSE len(list_intersect(s, e))::DOUBLE / (len(s) + len(e) - len(list_intersect(s, e))) END AS near_edited,
+           CASE WHEN len(s) + len(n) = 0 THEN 1.0 ELSE len(list_intersect(s, n))::DOUBLE / (len(s) + len(n) - len(list_intersect(s, n))) END AS near_next
+    FROM four"""
+
+_OP10_SQL = rf"""
+    WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', '{_FORGED}'), (-1, 1, 'assistant', '{_FORGED}')),
+    t AS (SELECT *, (ceil(length(text) / 4.0) + {4})::BIGINT AS tok,
+                 {len(chat.START) + 1 + len(chat.END) + 1} + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars FROM given),
+    p AS (SELECT *, row_number() OVER o AS pos, sum(tok) OVER (o ROWS UNBOUNDED PRECEDING) AS upto, sum(CASE WHEN tok > {chat.BUDGET // 2} THEN 2 ELSE 0 END) OVER (o ROWS UNBOUNDED PRECEDING) - (tok > {chat.BUDGET // 2})::INTEGER AS part
+          FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    f AS (SELECT *, (upto - tok) // {chat.BUDGET // 2} AS cell FROM p),
+    g AS (SELECT *, coalesce((lag(part) OVER o <> part) OR (lag(cell) OVER o <> cell), true)::INTEGER AS fresh FROM f WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+    h AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS win, sum(fresh) OVER (PARTITION BY conv_id) AS wins, min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id) AS sys,
+                 coalesce(lead(fresh, 1) OVER o, 0) + coalesce(lead(fresh, 2) OVER o, 0) AS again FROM g WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+    k AS (SELECT *, CASE WHEN pos = sys THEN wins - win + 1 WHEN tok <= {chat.HISTORY_TOKENS} THEN 1 + again ELSE 1 END AS copies FROM h)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(chars * copies)::BIGINT AS formatted_chars
+    FROM k GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _op1_sql(), "op7_line_dedup": _OP7_SQL}
+    return {"op1_sharding": _op1_sql(), "op4_decontaminate": _OP4_SQL, "op6_html": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op8_spotsigs": _OP8_SQL, "op10_chat": _OP10_SQL}
