@@ -145,7 +145,27 @@ def bm25_topk(spark, sf_dir):
     return ranked.select("document_id", "entry_id", "passage_no", "rank").orderBy("rank", "document_id", "entry_id", "passage_no").limit(100)
 
 
-@query()
+_EXPLICIT = P.explicit_terms(SEARCH_QUERY) or _TERMS
+
+
+@query(f"""WITH {_RANKED},
+    wanted(k, term) AS (VALUES {_terms_sql(_EXPLICIT)}),
+    rare AS (SELECT coalesce((SELECT term FROM (SELECT k, term, count(DISTINCT document_id) AS n FROM tf JOIN wanted USING (term) WHERE f > 0 GROUP BY ALL) ORDER BY n, k LIMIT 1), '{_TERMS[0]}') AS term),
+    anchored AS (SELECT DISTINCT document_id FROM tf JOIN rare USING (term) WHERE f > 0),
+    pool AS (SELECT r.*, p.timestamp, p.text FROM (SELECT * FROM ranked SEMI JOIN anchored USING (document_id)) r JOIN passages p USING (document_id, entry_id, passage_no)),
+    matched AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), {_TERMS!r})) >= 2 AS ok,
+        row_number() OVER (ORDER BY rank, document_id, entry_id, passage_no) AS b, row_number() OVER (ORDER BY timestamp DESC, rank, document_id, entry_id, passage_no) AS l FROM pool),
+    lexical AS (SELECT *, row_number() OVER (ORDER BY b) AS place FROM matched WHERE b <= 100 AND ok),
+    latest AS (SELECT *, row_number() OVER (ORDER BY l) AS place FROM matched WHERE l <= 100 AND ok),
+    corrected AS (SELECT *, row_number() OVER (ORDER BY l) AS again FROM latest WHERE regexp_matches(text, '(?i)\\b(correction|superseded|no longer|removed|retired)\\b')),
+    merged AS (SELECT 0 AS bucket, again AS place, document_id, entry_id, passage_no, rank, text FROM corrected WHERE again <= 2
+        UNION ALL SELECT 1, place, document_id, entry_id, passage_no, rank, text FROM lexical WHERE place <= 2
+        UNION ALL SELECT 2, place, document_id, entry_id, passage_no, rank, text FROM latest
+        UNION ALL SELECT 3, place, document_id, entry_id, passage_no, rank, text FROM lexical),
+    x AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY document_id, entry_id, text ORDER BY bucket, place) = 1),
+    y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY document_id, entry_id ORDER BY bucket, place) <= 2),
+    z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY bucket, place) <= 3)
+    SELECT document_id, entry_id, passage_no, bucket::INTEGER AS bucket, rank FROM z ORDER BY bucket, place LIMIT 6""")
 def evidence_search(spark, sf_dir):
     """Hits of a query about the present: anchor, candidates, match test, corrections, latest, caps."""
     return search.evidence(_passages(spark, sf_dir), SEARCH_QUERY).select("document_id", "entry_id", "passage_no", "bucket", "rank")

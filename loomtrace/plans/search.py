@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,24 +61,42 @@ def phrase_count(words: Column, term: list[str]) -> Column:
     return F.size(F.filter(at, lambda i: F.slice(words, i, len(term)) == F.array(*map(F.lit, term))))
 
 
-def scored(found: DataFrame, terms: list[str], keys: list[str]) -> DataFrame:
+class Statistics(NamedTuple):
+    """Figures of a collection for some phrases: passages, mean tokens, passages and documents with each phrase."""
+
+    passages: int
+    mean_tokens: float
+    with_phrase: list[int]
+    documents: list[int]
+
+
+def _counted(found: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """``found`` with its tokens ``_n`` and how often each phrase stands in it, ``_f0`` on."""
+    words = found.withColumn("_words", tokens(F.col("text")))
+    return words.select(*found.columns, F.size("_words").alias("_n"), *[phrase_count(F.col("_words"), p).alias(f"_f{k}") for k, p in enumerate(phrases)])
+
+
+def statistics(found: DataFrame, phrases: list[list[str]], document: str) -> Statistics:
+    """One pass over all passages, added up by document and then to one row of numbers."""
+    n = range(len(phrases))
+    by_document = _counted(found, phrases).groupBy(document).agg(F.count("*").alias("r"), F.sum("_n").alias("t"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"p{k}") for k in n])
+    row = by_document.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), *[F.coalesce(F.sum(f"p{k}"), F.lit(0)) for k in n], *[F.count_if(F.col(f"p{k}") > 0) for k in n]).first()
+    return Statistics(row[0], row[1] / max(row[0], 1), list(row[2 : 2 + len(phrases)]), list(row[2 + len(phrases) :]))
+
+
+def scored(found: DataFrame, terms: list[str], keys: list[str], known: Statistics | None = None) -> DataFrame:
     """``found`` with ``rank``: BM25 over passages that hold any term, more negative is better.
 
-    Collection figures are one aggregate row over all passages; the text is tokenized
-    once and never shuffled.
+    Text is tokenized in place and never shuffled; the collection's figures are literals.
     """
     phrases = [p for t in terms if (p := phrase(t))]
-    words = found.withColumn("_words", tokens(F.col("text")))
-    counted = words.select(*found.columns, F.size("_words").alias("_n"), *[phrase_count(F.col("_words"), p).alias(f"_f{k}") for k, p in enumerate(phrases)])
-    totals = counted.agg(F.count("*").alias("_rows"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(phrases))])
-    idf = [F.greatest(F.log((F.col("_rows") - F.col(f"_d{k}") + 0.5) / (F.col(f"_d{k}") + 0.5)), F.lit(1e-6)) for k in range(len(phrases))]
-    norm = K1 * (1 - B + B * F.col("_n") / F.col("_avg"))
-    part = [i * F.col(f"_f{k}") * (K1 + 1) / (F.col(f"_f{k}") + norm) for k, i in enumerate(idf)]
-    total = part[0]
-    hit = F.col("_f0") > 0
-    for k, x in enumerate(part[1:], 1):
-        total, hit = total + x, hit | (F.col(f"_f{k}") > 0)
-    return counted.where(hit).join(F.broadcast(totals), how="inner").select(*found.columns, (-total).alias("rank"))
+    known = known or statistics(found, phrases, keys[0])
+    counted, norm = _counted(found, phrases), K1 * (1 - B + B * F.col("_n") / max(known.mean_tokens, 1e-9))
+    total, hit = F.lit(0.0), F.lit(False)
+    for k in range(len(phrases)):
+        total = total + idf(known.passages, known.with_phrase[k]) * F.col(f"_f{k}") * (K1 + 1) / (F.col(f"_f{k}") + norm)
+        hit = hit | (F.col(f"_f{k}") > 0)
+    return counted.where(hit).select(*found.columns, (-total).alias("rank"))
 
 
 def term_frequencies(found: DataFrame, terms: list[str], document: str = "document_id") -> DataFrame:
@@ -104,28 +123,29 @@ def evidence(found: DataFrame, query: str) -> DataFrame:
     rarest term); the best hundred go through the match test; a query about the present
     puts corrections, two lexical hits and the latest first.
     """
-    terms = P.query_terms(query)
+    terms = [t for t in P.query_terms(query) if phrase(t)]
     if not terms:
         return found.limit(0).withColumn("bucket", F.lit(0)).withColumn("rank", F.lit(0.0))
-    wanted = P.explicit_terms(query) or terms
-    rare = term_frequencies(found, wanted).orderBy("n_docs", "pos").limit(1).select("term").collect()
-    anchor = phrase(rare[0].term if rare else terms[0])
-    holders = found.where(phrase_count(tokens(F.col("text")), anchor) > 0).select("document_id").distinct()
-    ranked = scored(found, terms, ["document_id"]).join(holders, "document_id", "left_semi").withColumn("rank", F.round("rank", 6))
+    known = statistics(found, phrases := [phrase(t) for t in terms], "document_id")
+    wanted = [t for t in P.explicit_terms(query) if t in terms] or terms
+    _, anchor = min(((n, k) for k, n in enumerate(known.documents) if n and terms[k] in wanted), default=(0, 0))
+    holders = found.where(phrase_count(tokens(F.col("text")), phrases[anchor]) > 0).select("document_id").distinct()
+    ranked = scored(found, terms, ["document_id"], known).join(holders, "document_id", "left_semi").withColumn("rank", F.round("rank", 6))
     matches = C.matched_terms(F.col("text"), terms) >= min(2, len(terms))
     tie = [F.col("document_id"), F.col("entry_id"), F.col("passage_no")]
     lexical = ranked.orderBy("rank", *tie).limit(CANDIDATES).where(matches)
     if not P.wants_recent(query):
         return caps(lexical.withColumn("bucket", F.lit(1)), [F.col("bucket"), F.col("rank"), *tie])
-    latest = ranked.orderBy(F.desc("timestamp"), "rank", *tie).limit(CANDIDATES).where(matches)
     by_time = [F.desc("timestamp"), F.col("rank"), *tie]
-    corrected = latest.where(F.rlike("text", F.lit(CORRECTION))).orderBy(*by_time).limit(PRIORITY)
-    head = lexical.orderBy("rank", *tie).limit(PRIORITY)
-    late = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by_time))  # at most a hundred rows
-    best = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("rank", *tie))
-    union = [d.withColumn("bucket", F.lit(k)).withColumn("place", p) for k, (d, p) in enumerate(((corrected, late), (head, best), (latest, late), (lexical, best)))]
-    merged = union[0].unionByName(union[1]).unionByName(union[2]).unionByName(union[3])
-    return caps(merged, [F.col("bucket"), F.col("place")]).drop("place")
+    latest = ranked.orderBy(*by_time).limit(CANDIDATES).where(matches)
+    # from here on at most a hundred rows a list
+    both = lexical.withColumn("list", F.lit(3)).unionByName(latest.withColumn("list", F.lit(2)))
+    late, best = (F.row_number().over(Window.partitionBy("list").orderBy(*o)) for o in (by_time, ["rank", *tie]))
+    both = both.withColumn("place", F.when(F.col("list") == 2, late).otherwise(best)).withColumn("corrects", (F.col("list") == 2) & F.rlike("text", F.lit(CORRECTION)))
+    nth = F.row_number().over(Window.partitionBy("list", "corrects").orderBy("place"))
+    both = both.withColumn("nth", nth)
+    first = F.when(F.col("corrects") & (F.col("nth") <= PRIORITY), 0).when((F.col("list") == 3) & (F.col("place") <= PRIORITY), 1).otherwise(F.col("list"))
+    return caps(both.withColumn("bucket", first), [F.col("bucket"), F.col("place")]).select(*found.columns, "bucket", "rank")
 
 
 def reviewed_facts(facts: DataFrame, query: str, limit: int = 4) -> DataFrame:
