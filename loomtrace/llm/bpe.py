@@ -25,7 +25,7 @@ from ._common import map_batches, strings
 #: The pre-token pattern of byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens kept with their ids, and the longest kept.
-CACHE_ENTRIES, CACHE_CHARS = 800_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 40
 
 
 def byte_symbols() -> list[str]:

@@ -29,7 +29,7 @@ HIDDEN, EPOCHS, BATCH, RATE, HELD = 32, 40, 256, 0.01, 5
 THRESHOLD = 0.3
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _PART = 200_000
-_KNOWN_TOKENS = 400_000
+_KNOWN_TOKENS = 150_000
 
 
 class _Buckets(dict):
