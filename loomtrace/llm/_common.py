@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Largest object, in bytes, that an operator of this package hands to every executor.
 BROADCAST_LIMIT = 32 << 20
 
+#: Rows of a batch that are Python objects at a time.
+SLICE_ROWS = 512
+
 #: ASCII lower-casing for UTF-8 bytes.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -40,14 +43,18 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(F.col(text) if isinstance(text, str) else text, upper, upper.lower())
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of bounded rows; an empty batch has none."""
+    return (batch.slice(i, SLICE_ROWS) for i in range(0, batch.num_rows, SLICE_ROWS))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with per-task state: ``make`` runs once a task, its result once a batch."""
+    """mapInArrow with per-task state: ``make`` runs once a task, its result once a slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            yield from map(step, slices(batch))
 
     return df.mapInArrow(run, schema)
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, strings
+from ._common import map_batches, slices, strings
 
 #: Token buckets, dimensions, non-zero entries of an index vector, neighbours to each side.
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 2, 2
@@ -43,7 +44,7 @@ class _Buckets(dict):
 _BUCKET = _Buckets()
 
 
-def bucket_ids(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_ids(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Token buckets of texts in parts of bounded size, each with the number of its text.
 
     A long text may span parts.
@@ -79,14 +80,14 @@ def word_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors()
         total = np.zeros(BUCKETS * DIMS)
-        for batch in batches:
-            for ids, owners in bucket_ids(strings(batch.column(0))):
-                for reach in range(1, REACH + 1):
-                    near = np.flatnonzero(owners[:-reach] == owners[reach:])
-                    left, right = ids[near], ids[near + reach]
-                    for word, context in ((left, right), (right, left)):
-                        for k in range(NONZERO):
-                            total += np.bincount(word * DIMS + place[context, k], weights=sign[context, k], minlength=BUCKETS * DIMS)
+        texts = (t for batch in batches for part in slices(batch) for t in strings(part.column(0)))
+        for ids, owners in bucket_ids(texts):
+            for reach in range(1, REACH + 1):
+                near = np.flatnonzero(owners[:-reach] == owners[reach:])
+                left, right = ids[near], ids[near + reach]
+                for word, context in ((left, right), (right, left)):
+                    for k in range(NONZERO):
+                        total += np.bincount(word * DIMS + place[context, k], weights=sign[context, k], minlength=BUCKETS * DIMS)
         table = total.astype(np.int64).reshape(BUCKETS, DIMS)
         used = np.flatnonzero(table.any(axis=1))
         for i in range(0, len(used), 4096):
@@ -223,7 +224,7 @@ def keep_good(df: DataFrame, model: Classifier, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             p = network.probability(pooled(strings(batch.column(names.index(text_col))), vectors))
             yield batch.filter(pa.array(p >= THRESHOLD))
 
