@@ -1,9 +1,9 @@
-"""Line deduplication with two Bloom filters.
+"""Line deduplication with sharded Bloom filters.
 
-Line hashes (8 bytes, once a task) go to the filter shard of their range.  A shard
-holds two Bloom filters: hashes seen once, and hashes seen again; a hash is a suspected
-repeat when it first enters the second.  Only lines whose hash is suspected are
-confirmed exactly, by the digest of their key and the number of documents; only keys
+Line hashes (8 bytes, once a task) go to the filter shard of their hash.  A shard holds
+a Bloom filter of the hashes seen; a hash that it may hold already is a suspected
+repeat, every time, and suspects are made distinct exactly: a second filter would lose
+those that it only seems to hold.  Only lines whose hash is suspected are confirmed exactly, by the digest of their key and the number of documents; only keys
 confirmed in enough documents drop lines.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ._common import ASCII_LOWER, BROADCAST_LIMIT, blobs, checkpoint
 
-#: Bits of each filter of a shard.  A shard with more lines than these hold well only suspects more.
+#: Bits of the filter of a shard.  A shard with more lines than these hold well only suspects more.
 FILTER_BITS = 1 << 26
 #: Distinct lines that a task counts before it hands them on.
 HELD_LINES = 400_000
@@ -45,7 +45,7 @@ def _digest(key: bytes) -> bytes:
 class Bloom:
     """A Bloom filter over 64-bit hashes, two positions each, for whole arrays."""
 
-    def __init__(self, bits: int = FILTER_BITS):
+    def __init__(self, bits: int):
         self.bits, self.words = bits, np.zeros(bits >> 6, np.uint64)
 
     def _places(self, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -73,29 +73,28 @@ def _counted(texts: Iterator[list[bytes]], wanted: Callable[[list[bytes]], list[
     yield held
 
 
-def _suspects(lines: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The two filters of one shard."""
-    once, twice = Bloom(), Bloom()
+def _suspects(lines: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Hashes that the filter of one shard may hold already, once a batch."""
+    seen = Bloom(bits)
     for batch in lines:
         hashes, first, n = np.unique(batch.column(0).to_numpy().view(np.uint64), return_index=True, return_counts=True)
-        again = (n > 1) | batch.column(1).to_numpy(zero_copy_only=False)[first] | once.has(hashes)
-        once.add(hashes)
+        again = (n > 1) | batch.column(1).to_numpy(zero_copy_only=False)[first] | seen.has(hashes)
+        seen.add(hashes)
         repeated = hashes[again]
-        repeated = repeated[~twice.has(repeated)]
-        twice.add(repeated)
         if len(repeated):
             yield pa.RecordBatch.from_arrays([pa.array(repeated.view(np.int64))], ["h"])
 
 
 def suspected(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``h``: hashes of lines that may stand in two documents or more (all that do, and few others)."""
+    """``h``, distinct: hashes of lines that may stand in two documents or more (all that do, and few others)."""
+    bits = FILTER_BITS
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _counted((blobs(b.column(0)) for b in batches), lambda keys: [_hash(k) for k in keys]):
             h = np.fromiter(held.keys(), np.uint64, len(held)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([n > 1 for n in held.values()], pa.bool_())], ["h", "again"])
 
-    return df.select(text_col).mapInArrow(hashes, "h bigint, again boolean").repartition("h").mapInArrow(_suspects, "h bigint")
+    return df.select(text_col).mapInArrow(hashes, "h bigint, again boolean").repartition("h").mapInArrow(lambda lines: _suspects(lines, bits), "h bigint").distinct()
 
 
 def _bounded(df: DataFrame, column: str, width: int) -> list | None:

@@ -242,6 +242,23 @@ def test_bloom():
     assert b.has(h).all() and b.has(h + np.uint64(1)).mean() < 0.05
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 13])
+def test_full_filters_lose_no_repeat(spark, monkeypatch, bits):
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
+    rows_a_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    docs = [(k, "\n".join(f"line {k % 200} {i}" for i in range(20)) + f"\nalone {k}") for k in range(2000)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    try:
+        found = [r.h for r in line_dedup.suspected(frame).collect()]
+        kept = rows(line_dedup.drop_frequent_lines(frame))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    repeats = {np.uint64(line_dedup._hash(f"line {k} {i}".encode())).astype(np.int64) for k in range(200) for i in range(20)}
+    assert len(found) == len(set(found)) and repeats <= set(found)
+    assert bag(kept) == bag(deduplicated(docs, 10))
+
+
 # -- 8
 
 
