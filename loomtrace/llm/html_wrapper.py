@@ -1,29 +1,38 @@
 """Main-text extraction with wrappers inferred for each host.
 
-Pages of a host share a template.  Their token streams (tags, texts) are aligned one
-after another into a union-free regular expression: adjacent repetitions of a token
-block become a repeated group, tokens that only some pages have become optional groups,
-texts that differ become slots, texts that agree stay constants.  Text positions of the
-wrapper are then named by their path of open elements and sorted into main text and the
-rest, and every page of the host is read through that table.
+Pages of a host share a template.  A page with a main element is judged by element
+names, classes, ids and roles alone.  On other pages also the host decides: text
+positions are named by their path of open elements and their number in it, every
+distinct page of the host is a witness, positions that agree on all pages are constants
+of the template, others are slots, and paths of constants alone are not main text.
+These states merge, so tasks infer them apart from each other.
+
+``infer`` is the same inference for a few pages in one process, as a wrapper: token
+streams (tags, texts) aligned one after another into a union-free regular expression,
+where adjacent repetitions of a token block become a repeated group, tokens that only
+some pages have optional groups, texts that differ slots, texts that agree constants.
+No query uses it: alignments do not merge, so it cannot read all pages of a large host.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from difflib import SequenceMatcher
+from itertools import chain
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_LIMIT, checkpoint
+from ._common import BROADCAST_LIMIT, checkpoint, slices
 
-#: Pages of a host that its wrapper is inferred from, at most; the smallest by a hash.
-SAMPLE_PAGES = 12
+#: Distinct pages that must say the same before a position counts as the template's.
+LEAST_PAGES = 3
+#: Positions that a task holds before it hands them on.
+HELD_POSITIONS = 200_000
 #: Tokens of a sample page that take part in the alignment; extraction reads whole pages.
 ALIGNED_TOKENS = 4000
 
@@ -194,57 +203,51 @@ def infer(pages: list[str]) -> list[tuple]:
     return wrapper
 
 
-def roles(wrapper: list[tuple], n_pages: int) -> dict[str, bool]:
-    """Path of each text position -> is it main text?  The empty path: is there a main element?
+# -- main text or not
 
-    Apart are elements whose role or marks say so.  Where the wrapper has a main
-    element, the rest outside of it is apart as well; where it has none, so are the
-    positions whose text is the same on all of several pages.
+
+def by_elements(path: tuple[str, ...], has_main: bool) -> bool:
+    """Is the text at a path main text, by element names, classes, ids and roles alone?
+
+    Apart are elements whose role or marks say so; on a page with a main element, also
+    all that is outside of it.
     """
-    slots: dict[tuple[str, ...], bool] = {}
+    for k, e in enumerate(path):
+        if _main(e):
+            return not any(_apart(x, in_main=True) for x in path[k + 1 :])
+    return not has_main and not any(map(_apart, path))
 
-    def visit(nodes) -> None:
-        for node in nodes:
-            if node[0] in ("slot", "constant"):
-                slots[node[1]] = slots.get(node[1], False) or node[0] == "slot"
-            elif node[0] in ("repeated", "optional"):
-                visit(node[1])
-
-    visit(wrapper)
-    has_main = any(_main(e) for path in slots for e in path)
-    out = {"": has_main}
-    for path, varies in slots.items():
-        outside = path
-        for k, e in enumerate(path):
-            if _main(e):
-                outside = path[k + 1 :]
-                break
-        if len(outside) < len(path):
-            main = not any(_apart(e, in_main=True) for e in outside)
-        else:
-            main = not has_main and (varies or n_pages < 3) and not any(map(_apart, path))
-        out["/".join(path)] = main
+
+def path_key(path: tuple[str, ...]) -> int:
+    return xxhash.xxh64_intdigest("/".join(path).encode()) - (1 << 63)
+
+
+def positions(page: str) -> dict[int, list[int]]:
+    """Path -> digests of its texts in page order, of a page without a main element; none of others."""
+    out: dict[int, list[int]] = {}
+    keys: dict[tuple[str, ...], int] = {}
+    for path, _, text in texts(page):
+        if path not in keys:
+            if any(map(_main, path)):
+                return {}
+            keys[path] = path_key(path)
+        if clean := " ".join(html.unescape(text).split()):
+            out.setdefault(keys[path], []).append(xxhash.xxh64_intdigest(clean.encode()) - (1 << 63))
     return out
 
 
-def extract(page: str | None, table: dict[str, bool]) -> str:
-    """Main text of a whole page through a host's table.
+def extract(page: str | None, constant: Container[int] = ()) -> str:
+    """Main text of a whole page; ``constant`` are the paths that say the same on all its host's pages.
 
-    A path that the table lacks is judged by itself, as are all paths of a page without
-    the main element that its host's pages have.
+    A page with a main element is judged by its elements alone.
     """
     found = list(texts(page or ""))
-    has_main = any(_main(e) for path in {p for p, _, _ in found} for e in path)
+    paths = {p for p, _, _ in found}
+    has_main = any(_main(e) for path in paths for e in path)
+    main = {p for p in paths if by_elements(p, has_main) and (has_main or path_key(p) not in constant)}
     blocks: dict[int, list[str]] = {}
-    judged: dict[str, bool] = {}
     for path, block, text in found:
-        key = "/".join(path)
-        main = table.get(key) if has_main or not table.get("") else None
-        if main is None:
-            if key not in judged:
-                judged[key] = roles([("slot", path)], 1)[key] and (not has_main or any(map(_main, path)))
-            main = judged[key]
-        if main:
+        if path in main:
             blocks.setdefault(block, []).append(text)
     joined = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return " ".join(b for b in joined if b)
@@ -253,27 +256,61 @@ def extract(page: str | None, table: dict[str, bool]) -> str:
 # -- on tables
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
-    """``host`` and ``roles`` (JSON) of every host.
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host``, ``path``, ``k``, ``d``, ``page``: what a task's pages show of each position.
 
-    The sample of a host is its pages with the smallest hashes.  The rank is cut off
-    before and after the shuffle of hashes, so a host with most of the pages costs no
-    more than others.  Host and hash of the sampled pages, broadcast when proven small
-    and else joined by both, pick the pages that follow.
+    A position is a path and the number ``k`` of a text among those of its path.  While
+    it says the same (digest ``d``), up to ``LEAST_PAGES`` distinct pages of it are
+    kept; two pages that differ settle the whole path.  States merge by union.
     """
-    keyed = pages.select(host(F.col(url_col)).alias("host"), F.xxhash64(url_col, html_col).alias("h"), F.col(html_col).alias("html"))
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.partitionBy("host").orderBy("h"))
-    picked = checkpoint(keyed.select("host", "h").withColumn("rn", order).where(F.col("rn") <= sample).select("host", "h").distinct())
-    size = picked.agg(F.coalesce(F.sum(F.octet_length("host") + 64), F.lit(0))).first()[0]
-    chosen = keyed.join(F.broadcast(picked) if size <= BROADCAST_LIMIT else picked, ["host", "h"]).withColumn("rn", order).where(F.col("rn") <= sample)
-
-    def learn(key: tuple, group: pa.Table) -> pa.Table:
-        found = [x or "" for x in group.column("html").to_pylist()]
-        return pa.table({"host": [key[0].as_py()], "roles": [json.dumps(roles(infer(found), len(found)))]}, schema=pa.schema([("host", pa.string()), ("roles", pa.string())]))
-
-    return chosen.select("host", "html").groupBy("host").applyInArrow(learn, "host string, roles string")
+    held: dict[tuple[str, int], list | tuple] = {}
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        out = []
+        for (at, path), state in held.items():
+            if isinstance(state, tuple):
+                out += [(at, path, *r) for r in state]
+            else:
+                out += [(at, path, k, d, p) for k, (d, pages) in enumerate(state) for p in pages]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "path", "k", "d", "page"])
+
+    for batch in chain.from_iterable(map(slices, batches)):
+        for at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            number = xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
+            for path, digests in positions(text or "").items():
+                state = held.setdefault((at, path), [])
+                if isinstance(state, tuple):
+                    continue
+                for k, d in enumerate(digests):
+                    if k == len(state):
+                        state.append((d, [number]))
+                        size += 1
+                    elif state[k][0] != d:
+                        held[at, path] = ((k, state[k][0], state[k][1][0]), (k, d, number))
+                        break
+                    elif len(state[k][1]) < LEAST_PAGES and number not in state[k][1]:
+                        state[k][1].append(number)
+            if size > HELD_POSITIONS:
+                yield rows()
+                held.clear()
+                size = 0
+    yield rows()
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host`` and ``constant``, its paths that say the same on all pages without a main element.
+
+    Every distinct page counts, and all of it.  A path is constant if each of its
+    positions stands on ``LEAST_PAGES`` distinct pages or more and says the same on all
+    of them.  Tasks merge their pages first, so a host with most of the pages costs no
+    more rows than others.
+    """
+    found = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_states, "host string, path bigint, k int, d bigint, page bigint")
+    same = found.distinct().groupBy("host", "path", "k").agg(((F.min("d") == F.max("d")) & (F.count("*") >= LEAST_PAGES)).alias("same"))
+    return same.groupBy("host", "path").agg(F.min("same").alias("same")).where("same").groupBy("host").agg(F.collect_list("path").alias("constant"))
 
 
 def host(url):
@@ -289,27 +326,22 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     column is read.  Host tables are broadcast when proven small, else joined by host.
     """
     learned = checkpoint(wrappers(pages, url_col, html_col))
-    size = learned.agg(F.coalesce(F.sum(F.octet_length("roles") + F.octet_length("host")), F.lit(0))).first()[0]
+    size = learned.agg(F.coalesce(F.sum(F.size("constant") * 64 + F.octet_length("host") + 300), F.lit(0))).first()[0]
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
     small = size <= BROADCAST_LIMIT
     if small:
-        shared = pages.sparkSession.sparkContext.broadcast({r.host: r.roles for r in learned.collect()})
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: frozenset(r.constant) for r in learned.collect()})
     else:
-        rows = rows.join(learned, "host", "left").select("id", "url", "html", "host", "roles")
+        rows = rows.join(learned, "host", "left").select("id", "url", "html", "host", "constant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, dict[str, bool]] = {}
         for batch in batches:
             found = []
             hosts = batch.column(3).to_pylist()
-            given = [shared.value.get(h) for h in hosts] if small else batch.column(4).to_pylist()
-            for page, h, text in zip(batch.column(2).to_pylist(), hosts, given, strict=True):
-                if h not in tables:
-                    if len(tables) > 2000:
-                        tables.clear()
-                    tables[h] = json.loads(text or "{}")
-                found.append(extract(page, tables[h]))
+            given = [shared.value.get(h, ()) for h in hosts] if small else [frozenset(c or ()) for c in batch.column(4).to_pylist()]
+            for page, constant in zip(batch.column(2).to_pylist(), given, strict=True):
+                found.append(extract(page, constant))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [id_col, "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, url string, text string, n_chars bigint")

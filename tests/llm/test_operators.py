@@ -189,6 +189,22 @@ def test_html(spark):
     assert html_wrapper.main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 25, -1])
+def test_html_reads_every_distinct_page(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_wrapper, "BROADCAST_LIMIT", limit)
+    copy = "<div><p>copied</p></div><div class=foot>Imprint</div>"
+    article = lambda k: f"<div><p>story {k}</p></div><div class=foot>Imprint</div>"
+    given = [(f"http://a.example/{k}", copy) for k in range(400)] + [("http://a.example/same", copy)] * 40  # copies outnumber the articles
+    given += [(f"http://a.example/s{k}", article(k)) for k in range(3)] + [("http://a.example/m", "<div>outside</div><main><p>inside</p></main>")]
+    given += [("http://b.example/", copy)] * 20
+    given += [(f"http://c.example/{k}", f"<div>Note</div><p>c{k}</p>" + "<i>only here</i>" * (k == 0)) for k in range(5)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(given)], "page_id bigint, url string, html string").repartition(5)
+    found = [r.text for r in html_wrapper.main_text(frame).orderBy("page_id").collect()]
+    assert found[:440] == ["copied"] * 440 and found[440:444] == ["story 0", "story 1", "story 2", "inside"]
+    assert found[444:464] == ["copied Imprint"] * 20  # one distinct page proves no template
+    assert found[464:] == ["c0 only here", "c1", "c2", "c3", "c4"]
+
+
 def test_html_wrapper_is_union_free():
     pages = [f"<ul>{''.join(f'<li>{k}{j}</li>' for j in range(n))}</ul>{'<p>now</p>' * (n > 3)}<p>end</p>" for k, n in enumerate((2, 3, 5))]
     wrapper = html_wrapper.infer(pages)
