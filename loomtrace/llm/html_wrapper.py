@@ -33,8 +33,6 @@ from ._common import BROADCAST_LIMIT, checkpoint, slices
 LEAST_PAGES = 3
 #: Positions that a task holds before it hands them on.
 HELD_POSITIONS = 200_000
-#: Tokens of a sample page that take part in the alignment; extraction reads whole pages.
-ALIGNED_TOKENS = 4000
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -132,14 +130,12 @@ def _shape(node: tuple) -> tuple:
 
 
 def stream(page: str) -> list[tuple]:
-    """Token stream of a page: tags, and texts by path."""
+    """Token stream of a whole page: tags, and texts by path."""
     out: list[tuple] = []
     for path, _, text in texts(page):
         clean = " ".join(html.unescape(text).split())
         if clean:
             out += [("path", path), ("constant", path, clean)]
-        if len(out) >= ALIGNED_TOKENS:
-            break
     return out
 
 

@@ -205,6 +205,17 @@ def test_html_reads_every_distinct_page(spark, monkeypatch, limit):
     assert found[464:] == ["c0 only here", "c1", "c2", "c3", "c4"]
 
 
+def test_html_reads_long_pages_to_their_end(spark):
+    body = lambda k, n: "".join(f"<p>{k} {j}</p>" for j in range(n))
+    page = lambda k, n: f"<div>{body(k, n)}</div><section>Imprint</section><ul><li>Terms</li><li>Contact</li></ul>"
+    late = "".join(f"<i>link {j}</i>" for j in range(3000)) + "<article><p>the article</p></article>"
+    given = [("http://a.example/", page(k, 3000 if k else 2)) for k in range(4)] + [("http://b.example/", late)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(given)], "page_id bigint, url string, html string")
+    found = [r.text for r in html_wrapper.main_text(frame).orderBy("page_id").collect()]
+    assert found == [" ".join(f"{k} {j}" for j in range(3000 if k else 2)) for k in range(4)] + ["the article"]
+    assert ("constant", ("section",), "Imprint") in html_wrapper.infer([h for _, h in given[1:4]])
+
+
 def test_html_wrapper_is_union_free():
     pages = [f"<ul>{''.join(f'<li>{k}{j}</li>' for j in range(n))}</ul>{'<p>now</p>' * (n > 3)}<p>end</p>" for k, n in enumerate((2, 3, 5))]
     wrapper = html_wrapper.infer(pages)
