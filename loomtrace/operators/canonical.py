@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ from ..functions import columns as C
 MAX_BYTES = 100 << 20
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint; only a session without a folder for it gets a local one."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def clean(role: Column, text: Column) -> Column:
     """Content of a turn: normalized, without harness context (users only) or injected memory."""
     text = C.normalize_text(text)
@@ -29,19 +39,21 @@ def provenance_tree(turns: DataFrame) -> DataFrame:
 
     ``event`` sets (true) or clears (false) the memory state, null passes it on; a
     parent must come earlier in its session, otherwise the state begins as false.
+    A repeated parent gives a row for each path to it, as in SQL.
+
+    Every round joins each path with the one above its end, so paths double in length
+    and rounds grow with the logarithm of the deepest chain, whatever the number of
+    turns.  Every round is cut off with a checkpoint.
     """
-    spark = turns.sparkSession
-    known = turns.select(F.col("session").alias("p_session"), F.col("entry").alias("p_entry"), F.col("seq").alias("p_seq"))
+    rows = checkpoint(turns.select("session", "seq", "entry", "parent", "event").withColumn("id", F.monotonically_increasing_id()))
+    known = rows.select(F.col("session").alias("p_session"), F.col("entry").alias("p_entry"), F.col("seq").alias("p_seq"), F.col("id").alias("up"))
     earlier = (F.col("session") == F.col("p_session")) & (F.col("parent") == F.col("p_entry")) & (F.col("p_seq") < F.col("seq"))
-    linked = turns.join(known, earlier, "left").select("session", "seq", "entry", F.col("p_entry").alias("above"), "event")
-    linked.createOrReplaceTempView("_provenance_links")
-    return spark.sql("""
-        WITH RECURSIVE walk(session, entry, pending_out) AS (
-            SELECT session, entry, coalesce(event, false) FROM _provenance_links WHERE above IS NULL
-            UNION ALL
-            SELECT l.session, l.entry, coalesce(l.event, w.pending_out)
-            FROM _provenance_links l JOIN walk w ON l.session = w.session AND l.above = w.entry)
-        SELECT * FROM walk""")
+    paths = checkpoint(rows.join(known, earlier, "left").select("id", "session", "entry", "up", "event"))
+    while paths.where("up is not null").limit(1).count():
+        above = paths.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("event").alias("before"))
+        further = paths.where("up is not null").join(above, "up").select("id", "session", "entry", F.col("next").alias("up"), F.coalesce("event", "before").alias("event"))
+        paths = checkpoint(paths.where("up is null").unionByName(further))
+    return paths.select("session", "entry", F.coalesce("event", F.lit(False)).alias("pending_out"))
 
 
 def sessions(lines: DataFrame, session: str, order: str, line: str = "line", max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -165,6 +165,18 @@ def test_plan_hash_and_limits(spark):
         canonical.export(lines, "s", "other", "k")
 
 
+def test_provenance_of_deep_chains(spark):
+    n, events = 3000, {1: True, 1500: False, 2900: True}
+    turns = [("a", k, f"e{k}", f"e{k - 1}" if k else None, events.get(k)) for k in range(n)]
+    turns += [("a", n + k, f"leaf{k}", f"e{k}", None) for k in (5, 2000, 2950)]
+    turns += [("b", 0, "e0", "e1", None), ("b", 1, "e1", "e0", True), ("b", 2, "e2", "e1", None), ("b", 3, "e3", "lost", None), (None, 0, "e0", None, True)]
+    frame = spark.createDataFrame(turns[::-1], "session string, seq int, entry string, parent string, event boolean").repartition(4)
+    want = {("a", f"e{k}"): 1 <= k < 1500 or k >= 2900 for k in range(n)} | {("a", "leaf5"): True, ("a", "leaf2000"): False, ("a", "leaf2950"): True}
+    want |= {("b", "e0"): False, ("b", "e1"): True, ("b", "e2"): True, ("b", "e3"): False, (None, "e0"): True}
+    found = canonical.provenance_tree(frame).collect()
+    assert len(found) == len(turns) and {(r.session, r.entry): r.pending_out for r in found} == want
+
+
 def test_search_session(spark):
     rows = [("d1", "user-a", "t1", "The current rollback plan uses logical backups"), ("d1", "bot", "t2", "rollback backups noted"), ("d1", "user-b", "t3", "Correction: the rollback plan no longer uses logical backups"), ("d2", "x", "t4", "unrelated words")]
     found = spark.createDataFrame([(*r, 1) for r in rows], "document_id string, entry_id string, timestamp string, text string, passage_no int")
