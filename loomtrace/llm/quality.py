@@ -177,19 +177,22 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Word vectors over all of ``df``; a network over labelled rows outside the held-out fold.
 
     The held-out fold is crc32(id as text) mod 5 = 0.  Null ids, null labels and labels
-    without a document teach nothing.  At most ``SAMPLE_ROWS`` labelled rows, in the
-    order of a hash of their id, are fitted on; that is the bound of what is collected.
+    without a document teach nothing.  At most ``SAMPLE_ROWS`` distinct labels, in the
+    order of a hash of their id, are fitted on; that is the bound of what is collected,
+    as each takes one row: of several rows with its id, the one whose text has the
+    smallest hash.
     """
     vectors = word_vectors(df, text_col)
     taught = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label")).where("_id is not null and _label is not null")
-    taught = taught.where(F.crc32(F.col("_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("_id"), "_id", "_label").limit(SAMPLE_ROWS)
+    taught = taught.where(F.crc32(F.col("_id").cast("string")) % 5 != 0).distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(SAMPLE_ROWS)
     shared = df.sparkSession.sparkContext.broadcast(vectors)
 
     def make():
-        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(pooled(strings(b.column(2)), shared.value)), pa.list_(pa.float64()))], ["id", "label", "x"])
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(list(pooled(strings(b.column(2)), shared.value)), pa.list_(pa.float64()))], ["id", "label", "h", "x"])
 
-    rows = df.select(id_col, text_col).join(F.broadcast(taught), F.col(id_col) == F.col("_id")).select(F.col(id_col).cast("string").alias("id"), F.col("_label").alias("label"), F.col(text_col).alias("text"))
-    found = map_batches(rows, make, "id string, label double, x array<double>").limit(2 * SAMPLE_ROWS).toArrow().to_pydict()
+    rows = df.select(id_col, text_col).join(F.broadcast(taught), F.col(id_col) == F.col("_id")).select(F.col(id_col).cast("string").alias("id"), F.col("_label").alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    one = map_batches(rows, make, "id string, label double, h bigint, x array<double>").groupBy("id", "label").agg(F.min(F.struct("h", "x")).alias("least"))
+    found = one.select("id", "label", "least.x").toArrow().to_pydict()
     order = sorted(range(len(found["id"])), key=lambda i: (found["id"][i], found["label"][i], found["x"][i]))
     x = np.array([found["x"][i] for i in order]).reshape(len(order), DIMS + 1)
     return Classifier(vectors, fit(x, np.array([found["label"][i] for i in order])))

@@ -172,6 +172,22 @@ def test_quality(spark, odd, none):
     assert all(abs(r.score - 0.5) < 1e-9 for r in quality.score(odd, unread).collect())
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:20]
+    docs = [(i, f"text of {i}") for i in ids] + [(ids[0], f"copy {k % 3}") for k in range(600)]
+    labels = [(i, k % 2) for k, i in enumerate(ids)] + [(ids[1], 1)] * 50
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", len(ids))
+    fit, seen = quality.fit, []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)) or fit(x, y))
+    for parts in (1, 7):
+        quality.train(frame.repartition(parts), labels)
+    (x, y), again = seen
+    assert len(x) == len(ids) and y.sum() == len(ids) / 2
+    assert np.allclose(x, again[0]) and (y == again[1]).all()
+
+
 # -- 6
 
 
