@@ -52,7 +52,8 @@ def fingerprint(sigs: Column) -> Column:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``a``, ``b``, ``similarity``: pairs of different fingerprints at least ``threshold`` alike,
-    each named by the smallest id that has it.
+    each named by the smallest id that has it.  Inside, a class goes by the digest of its
+    fingerprint, so texts that share an id stay apart (and may pair with each other).
 
     Repeated rows and equal fingerprints are one class; null ids never name one; empty
     fingerprints pair with nothing.  Fingerprints are partitioned by set size, so that a
@@ -62,18 +63,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without its sets being alike.
     """
     sets = df.select(F.col(id_col).alias("id"), signatures(F.col(text_col)).alias("s")).where("size(s) > 0")
-    classes = checkpoint(sets.groupBy("s").agg(F.min("id").alias("id")).where("id is not null"))
-    use = classes.select("id", F.explode("s").alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
-    ranked = classes.select("id", F.size("s").alias("size"), F.explode("s").alias("sig")).join(use, "sig")
-    order = Window.partitionBy("id").orderBy("n", "sig")
+    classes = sets.groupBy("s").agg(F.min("id").alias("id")).where("id is not null")
+    classes = checkpoint(classes.withColumn("c", F.md5(fingerprint(F.col("s")))))
+    use = classes.select(F.explode("s").alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
+    ranked = classes.select("c", "id", F.size("s").alias("size"), F.explode("s").alias("sig")).join(use, "sig")
+    order = Window.partitionBy("c").orderBy("n", "sig")
     heads = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
     band = F.floor(F.log(F.col("size")) / F.log(F.lit(1 / threshold)) + 1e-9)
-    heads = heads.select("id", "sig", "size", band.alias("band"))
-    other = heads.select(F.col("id").alias("b"), "sig", F.col("size").alias("b_size"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    heads = heads.select(F.struct("id", "c").alias("a"), "sig", F.col("size").alias("a_size"), band.alias("band"))
+    other = heads.select(F.col("a").alias("b"), "sig", F.col("a_size").alias("b_size"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
     close = (F.col("a_size") <= F.col("b_size")) & (F.col("a_size") >= F.col("b_size") * threshold - 1e-9) & ((F.col("a_size") < F.col("b_size")) | (F.col("a") < F.col("b")))
-    pairs = heads.select(F.col("id").alias("a"), "sig", F.col("size").alias("a_size"), "band").join(other, ["sig", "band"]).where(close).select("a", "b").distinct()
-    left, right = classes.select(F.col("id").alias("a"), F.col("s").alias("sa")), classes.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = heads.join(other, ["sig", "band"]).where(close).select(F.col("a.c").alias("ac"), F.col("b.c").alias("bc")).distinct()
+    left, right = (classes.select(F.col("c").alias(f"{k}c"), F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    return pairs.join(left, "ac").join(right, "bc").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 #: Rows of a bucket of neighbouring ids, about, and buckets at most.

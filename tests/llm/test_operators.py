@@ -344,6 +344,13 @@ def test_spotsigs_next_over_buckets(spark, monkeypatch):
     assert bag(rows(spotsigs.with_next(frame, "doc_id", "text"))) == bag(want)
 
 
+def test_spotsigs_pairs_of_a_repeated_id(spark):
+    text = lambda k, end: " ".join(f"the w{k}x{j} y{k}x{j} z{k}x{j}" for j in range(20)) + end
+    docs = [(1, text(k, "")) for k in range(8)] + [(10 + k, text(k, f" the end{k}")) for k in range(8)]
+    found = spotsigs.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted((r.a, r.b) for r in found) == [(1, 10 + k) for k in range(8)] and all(r.similarity >= 0.8 for r in found)
+
+
 def test_spotsigs_pairs(spark):
     base = [f"the word{k} runs{k} far{k}" for k in range(40)]
     texts = {1: base, 2: base[:-1], 3: base[:20] + base[30:], 4: base, 5: ["other text"]}
