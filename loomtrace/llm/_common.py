@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,10 @@ BROADCAST_LIMIT = 32 << 20
 #: Rows of a batch that are Python objects at a time.
 SLICE_ROWS = 512
 
+#: Bytes or code points of a text that are split into words at a time, about.
+PIECE = 1 << 16
+_BLANK = re.compile(rb"[ \t\n\v\f\r]")
+
 #: ASCII lower-casing for UTF-8 bytes.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -22,16 +28,28 @@ ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder of the cluster.
 
-    ``spark.checkpoint.dir`` is honoured where the session has it; only a session
-    without one (a local test) gets a folder of its own.
+    ``spark.checkpoint.dir`` is honoured where the session has it.  Without one a session
+    in a single process (a local test) gets a folder of its own; a cluster is refused, as
+    its executors would write to their own disks.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, *taken: DataFrame) -> str:
+    """A column name that no given table has, in any case."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of one of the input tables; a missing column reads as null."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,9 +82,32 @@ def without(df: DataFrame, key: Column, removed: DataFrame) -> DataFrame:
 
     The removed keys are broadcast when their number is proven small, else joined.
     """
-    gone = checkpoint(removed.toDF("_gone").distinct())
+    name = fresh("gone", df)
+    gone = checkpoint(removed.toDF(name).distinct())
     small = gone.count() * 128 <= BROADCAST_LIMIT  # hashes, digests and ids take less than 128 bytes each
-    return df.join(F.broadcast(gone) if small else gone, key.eqNullSafe(F.col("_gone")), "left_anti")
+    return df.join(F.broadcast(gone) if small else gone, key.eqNullSafe(F.col(name)), "left_anti")
+
+
+def pieces(pattern, text: str) -> Iterator[list[str]]:
+    """All matches of a pattern in a text, in lists of bounded length."""
+    if len(text) <= PIECE:
+        yield pattern.findall(text)
+        return
+    found = pattern.finditer(text)
+    while part := [m[0] for m in islice(found, PIECE)]:
+        yield part
+
+
+def blank_pieces(text: bytes) -> Iterator[list[bytes]]:
+    """Words of a text between its white space (as ``bytes.split`` has it), in lists of bounded length."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > PIECE:
+            gap = _BLANK.search(text, at + PIECE)
+            end = gap.start() if gap else end
+        yield text[at:end].split()
+        at = end
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomtrace.llm import bpe, chat, decontaminate, html_wrapper, line_dedup, quality, queries, sharding, simhash, spotsigs, token_count
 
@@ -268,14 +269,40 @@ def deduplicated(docs, least):
     return out
 
 
-@pytest.mark.parametrize("limit", [1 << 25, 0])
-def test_line_dedup(spark, none, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "whole"), [(1 << 25, 1 << 28), (0, 1 << 28), (0, 0)])
+def test_line_dedup(spark, odd, none, monkeypatch, limit, whole):
     monkeypatch.setattr(line_dedup, "BROADCAST_LIMIT", limit)
+    monkeypatch.setattr(line_dedup, "MAP_BITS", whole)
+    monkeypatch.setattr(line_dedup, "PIECE_BITS", 1 << 14)
     monkeypatch.setattr(line_dedup, "FILTER_BITS", 1 << 16)
     docs = documents() + ODD + [(100_000 + k, f"Shared Line\nonly {k}\n{'nine' if k < 9 else 'ten'}") for k in range(19)]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
     assert bag(rows(line_dedup.drop_frequent_lines(frame))) == bag(deduplicated(docs, 10))
     assert line_dedup.drop_frequent_lines(none).count() == 0
+    clash = odd.select("doc_id", "text", F.col("n").alias("lines"), F.col("fp").alias("text_key"), F.col("k").alias("DROPS"))
+    cleaned = line_dedup.clean(clash, 2)
+    assert cleaned.columns == clash.columns
+    assert bag(rows(cleaned)) == bag((i, t, 1, "x", 2) for i, _, _, t in deduplicated(ODD, 2))
+
+
+def test_filters_merge_in_any_order():
+    rng = np.random.default_rng(4)
+    lines = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    tasks = [np.unique(rng.choice(lines, 900)) for _ in range(5)]
+    of = [line_dedup.Seen(1 << 16) for _ in tasks]
+    for seen, h in zip(of, tasks, strict=True):
+        seen.add(h[:400], np.zeros(400, bool))
+        seen.add(h[400:], np.zeros(len(h) - 400, bool))
+    apart = line_dedup.Seen(1 << 16)
+    for seen in of:
+        apart.merge(seen.once.words, seen.twice.words)
+    pairs = [line_dedup.Seen(1 << 16), line_dedup.Seen(1 << 16)]
+    for k, seen in enumerate(reversed(of)):
+        pairs[k % 2].merge(seen.once.words, seen.twice.words)
+    pairs[0].merge(pairs[1].once.words, pairs[1].twice.words)
+    assert (pairs[0].once.words == apart.once.words).all() and (pairs[0].twice.words == apart.twice.words).all()
+    each, n = np.unique(np.concatenate(tasks), return_counts=True)
+    assert apart.twice.has(each[n > 1]).all() and apart.twice.has(each[n == 1]).mean() < 0.2
 
 
 def test_bloom():
@@ -288,6 +315,8 @@ def test_bloom():
 @pytest.mark.parametrize("bits", [64, 1 << 13])
 def test_full_filters_lose_no_repeat(spark, monkeypatch, bits):
     monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
+    monkeypatch.setattr(line_dedup, "MAP_BITS", 0)
+    monkeypatch.setattr(line_dedup, "_filter_bits", lambda df, text_col: 3 * bits)
     rows_a_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
     docs = [(k, "\n".join(f"line {k % 200} {i}" for i in range(20)) + f"\nalone {k}") for k in range(2000)]
