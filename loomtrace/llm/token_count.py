@@ -8,9 +8,11 @@ one next state and emits the change in the number of tokens (negative where a lo
 piece replaces several).  States and transitions are compiled when first met and kept.
 
 Texts are cut into chunks.  A chunk's state map says what it does to any state before
-it: characters up to the first reset (a place that no piece crosses) act on the
-incoming state, all that follows is a constant count and exit state.  State maps
-compose associatively, and a balanced scan combines those of a text.
+it.  It is made without knowing that state: the chunk is run from the start state, and
+the states on the way are kept up to the first reset (a place that no piece crosses),
+where all states meet.  Another state reads along until it meets the kept one, mostly
+after a few characters, and from there on both have the same future.  State maps compose
+associatively, and a balanced scan combines those of a text.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ from pyspark.sql import DataFrame
 from ._common import map_batches, strings
 
 #: Code points in a chunk, states kept, words kept with their counts, and the longest word kept.
-CHUNK, STATES, CACHE_ENTRIES, CACHE_CHARS = 1 << 16, 250_000, 800_000, 48
+CHUNK, STATES, CACHE_ENTRIES, CACHE_CHARS = 1 << 12, 250_000, 800_000, 48
+#: Chunks that are scanned together.
+BLOCK = 64
+#: Pairs of tokens, and shapes of open parts, that are remembered at a time.
+MEMO = 400_000
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 
@@ -74,10 +80,16 @@ def read_model(data: bytes) -> dict[str, float]:
 
 
 class StateMap(NamedTuple):
-    """What a chunk does: ``head`` acts on the state before it; if the chunk holds a
-    reset, ``count`` tokens follow and the state after it is ``exit``; else ``exit`` is None."""
+    """What a chunk does to the state before it.
+
+    ``head`` is the chunk up to its first reset, or all of it; ``met[i]`` is the state
+    before its i-th character and the tokens until there when it is read from the start
+    state, ``met[-1]`` those after it.  Behind the head ``count`` tokens follow, and if
+    there is a reset, the state after the chunk is ``exit`` (else None).
+    """
 
     head: str
+    met: list[tuple[int, int]]
     count: int
     exit: int | None
 
@@ -104,6 +116,7 @@ class CountTransducer:
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
         self.starts = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        # these two have no more entries than the vocabulary
         self.canonical: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.shapes: dict[str, tuple] = {}
@@ -121,7 +134,7 @@ class CountTransducer:
         self.known = _Words(self)
 
     def forget(self) -> None:
-        """Back to the start state alone."""
+        """Back to the start state alone; numbers of states before it mean nothing any more."""
         # state: (characters that may still be part of a piece, last tokens and relative counts at and before them)
         self.states: list[tuple] = [("", (None,), (0,))]
         self.number = {self.states[0]: 0}
@@ -146,6 +159,8 @@ class CountTransducer:
             return self.canonical[piece]
         key = last, piece
         if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) >= MEMO:
+                self.pairs.clear()
             known = self.pairs[key] = self.follows(None, piece) and self.stable(last, piece)
         return known
 
@@ -193,6 +208,8 @@ class CountTransducer:
         open_, lasts, counts = self.states[state]
         grown = open_ + char
         if (found := self.shapes.get(grown)) is None:
+            if len(self.shapes) >= MEMO:
+                self.shapes.clear()
             found = self.shapes[grown] = self.shape(grown)
         ends, keep, live = found
         for j, piece, cost in ends:
@@ -231,30 +248,61 @@ class CountTransducer:
     def state_map(self, chunk: str) -> StateMap:
         """State map of a chunk of escaped text."""
         first = self.reset.search(chunk, 1)
+        head = chunk[: first.start()] if first else chunk
+        state, n, met = 0, 0, [(0, 0)]
+        for char in head:
+            state, more = self.moves[state].get(char) or self.compile(state, char)
+            n += more
+            met.append((state, n))
         if not first:
-            return StateMap(chunk, 0, None)
+            return StateMap(head, met, 0, None)
         words = self.words.findall(chunk, first.start())
         exit_, last = self.run(0, words.pop())
-        return StateMap(chunk[: first.start()], sum(map(self.known.__getitem__, words)) + last, exit_)
-
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        """First ``a``, then ``b``."""
-        if a.exit is None:
-            return StateMap(a.head + b.head, b.count, b.exit)
-        state, n = self.run(a.exit, b.head)
-        return StateMap(a.head, a.count + n + b.count, state if b.exit is None else b.exit)
+        return StateMap(head, met, sum(map(self.known.__getitem__, words)) + last, exit_)
+
+    def through(self, state: int, m: StateMap) -> tuple[int, int]:
+        """State after a chunk that is entered in a state, and the tokens emitted."""
+        n = 0
+        for i, char in enumerate(m.head):
+            if state == m.met[i][0]:  # from here on as it was read before
+                state, n = m.met[-1][0], n + m.met[-1][1] - m.met[i][1]
+                break
+            state, more = self.moves[state].get(char) or self.compile(state, char)
+            n += more
+        return (state if m.exit is None else m.exit), n + m.count
+
+    def compose(self, a: tuple, b: tuple) -> tuple:
+        """First ``a``, then ``b``: each the maps that wait for a state, tokens after them, and the state then (or None)."""
+        waiting, n, state = a
+        if state is None:
+            return (*waiting, *b[0]), n + b[1], b[2]
+        for m in b[0]:
+            state, more = self.through(state, m)
+            n += more
+        return waiting, n + b[1], state if b[2] is None else b[2]
+
+    def scan(self, state: int, maps: list[StateMap]) -> tuple[int, int]:
+        """State and tokens after chunks in a row: neighbours are composed in turn, a balanced tree."""
+        level = [((m,), 0, m.exit) for m in maps]
+        while len(level) > 1:
+            level = [self.compose(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return self.compose(((), 0, state), level[0])[2:0:-1]
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        """Tokens of a whole text."""
-        if not text:
-            return 0
-        if len(self.states) > STATES:
-            self.forget()
-        escaped = SPACE + text.replace(" ", SPACE)
-        maps = [self.state_map(escaped[i : i + chunk]) for i in range(0, len(escaped), chunk)]
-        while len(maps) > 1:  # neighbours in turn: a balanced tree of compositions
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return self.run(0, maps[0].head)[1] + maps[0].count
+        """Tokens of a whole text, in blocks of chunks; between blocks old states may be forgotten."""
+        state = n = 0
+        for i in range(0, len(text), BLOCK * chunk):
+            escaped = SPACE * (i == 0) + text[i : i + BLOCK * chunk].replace(" ", SPACE)
+            state, more = self.scan(state, [self.state_map(escaped[j : j + chunk]) for j in range(0, len(escaped), chunk)])
+            n += more
+            if len(self.states) > STATES:
+                kept = self.states[state]
+                self.forget()
+                state = self.number.setdefault(kept, len(self.states))
+                if state:
+                    self.states.append(kept)
+                    self.moves.append({})
+        return n
 
 
 @lru_cache(maxsize=4)
