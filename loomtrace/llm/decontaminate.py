@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_LIMIT, blobs, without
+from ._common import BROADCAST_LIMIT, blank_pieces, blobs, checkpoint, fresh, without
 
 WINDOW = 13
 #: Suffix positions kept: one in so many.
 SAMPLE = 16
 #: Indexed words of a shard, about.
 SHARD_WORDS = 2_000_000
+#: Words of a benchmark item that are dealt to a block together, about.
+ITEM_WORDS = 2_000
 #: Every byte that is not part of a word becomes a space; A-Z become lower case.
 _WORDS = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -152,12 +154,13 @@ class _Shard:
         self.n_words: list[int] = []
 
     def add(self, text: bytes) -> None:
-        words = words_of(text)
-        number, get = len(self.n_words), self.test.vocabulary.get
-        self.n_words.append(len(words))
+        number, get, parts = len(self.n_words), self.test.vocabulary.get, [np.zeros(0, np.int32)]
+        for words in blank_pieces(text.translate(_WORDS)):
+            parts.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
+        ids = np.concatenate(parts)
+        self.n_words.append(len(ids))
         if not self.test.windows:
             return
-        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], ids != 0, [0]]).astype(np.int8)))
         starts, ends = edge[::2], edge[1::2]
         for a, b in zip(starts[(long := ends - starts >= self.test.shortest)].tolist(), ends[long].tolist(), strict=True):
@@ -194,6 +197,33 @@ class _Shard:
         return spans, items
 
 
+def _dealt(tests: DataFrame, window: int) -> DataFrame:
+    """``block``, ``item``, ``text``: distinct items, long ones in parts that overlap by a window less one word.
+
+    A part keeps whole windows, and an item of fewer words than a window is one part, so
+    the parts' windows are those of the items.  Blocks are made more until each of them
+    takes no more than the broadcast limit.
+    """
+    step = max(ITEM_WORDS, window)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(blobs(batch.column(1))):
+                words = words_of(text)
+                parts = [b" ".join(words[i : i + step + window - 1]) for i in range(0, max(1, len(words) - window + 1), step)]
+                for part in parts if words else ():
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([part], pa.binary()).cast(pa.string())], ["item", "text"])
+
+    parts = checkpoint(tests.mapInArrow(cut, tests.schema).distinct())
+    blocks = 1
+    while True:
+        dealt = parts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+        largest = dealt.groupBy("block").agg(F.sum(F.octet_length("text") + 64).alias("size")).agg(F.max("size")).first()[0] or 0
+        if largest * 16 <= BROADCAST_LIMIT or blocks > 1 << 20:
+            return dealt
+        blocks *= 2
+
+
 def find_spans(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``id_col``, ``n_words``, ``spans`` (words [from, to) to remove), ``items`` (item ids as strings).
 
@@ -201,17 +231,18 @@ def find_spans(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     ``None``; repeated rows stay, as do their results; empty tables on either side give
     no rows or no spans; only the named columns are read.
 
-    The phrases of a benchmark are broadcast in blocks of proven size: one pass over the
-    documents for each block, with all blocks of a document joined at the end.
+    The phrases of a benchmark are broadcast: whole if small, else in blocks, each of
+    measured size, with one pass over the distinct texts for each block; the blocks'
+    results of a text are joined at the end.
     """
     tests = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = 1 + int(size) * 16 // BROADCAST_LIMIT
+    dealt = None if size * 16 <= BROADCAST_LIMIT else _dealt(tests, window)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words bigint, spans array<struct<from:int,to:int>>, items array<string>"
 
     def scan(source: DataFrame, block: int) -> DataFrame:
-        part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
+        part = tests if dealt is None else dealt.where(F.col("block") == block).select("item", "text")
         shared = df.sparkSession.sparkContext.broadcast(phrases([tuple(r) for r in part.collect()], window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,19 +269,19 @@ def find_spans(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
         return source.mapInArrow(run, schema)
 
-    found = scan(df.select(id_col, text_col), 0)
-    if blocks == 1:
-        return found
+    if dealt is None:
+        return scan(df.select(id_col, text_col), 0)
     # each block scans distinct texts under a digest; the parts of a text meet by it
-    keyed = df.select(id_col, text_col, F.sha2(F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\0")), 256).alias("k"))
+    keyed = df.select(F.col(id_col), F.sha2(F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\0")), 256).alias(key := fresh("k", df)))
     texts = df.select(F.sha2(F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\0")), 256).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).distinct()
     kind = "string"
     schema = f"`{id_col}` string, n_words bigint, spans array<struct<from:int,to:int>>, items array<string>"
-    parts = scan(texts, 0)
-    for block in range(1, blocks):
-        parts = parts.unionByName(scan(texts, block))
-    whole = parts.groupBy(F.col(id_col).alias("k")).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return keyed.select(id_col, "k").join(whole, "k").select(id_col, "n_words", _merged(F.col("spans")).alias("spans"), "items")
+    texts, parts = checkpoint(texts), None
+    for block in sorted(r[0] for r in dealt.select("block").distinct().collect()) or [0]:
+        found = scan(texts, block)
+        parts = found if parts is None else parts.unionByName(found)
+    whole = parts.groupBy(F.col(id_col).alias(key)).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return keyed.join(whole, key).select(id_col, "n_words", _merged(F.col("spans")).alias("spans"), "items")
 
 
 def _merged(spans):
@@ -276,9 +307,11 @@ def report(df: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` that are not contaminated, all columns as they were.
+    """Rows of ``df`` that are not contaminated, all columns as they were, whatever their names.
 
-    The verdict is one on the text, so it goes back to rows by the text's digest.
+    The verdict is one on the text, so it goes back to rows by the text's digest.  Null
+    and empty texts have no words and stay, as do repeats of what stays; empty tables on
+    either side remove nothing.
     """
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     verdicts = report(df.select(digest.alias("_digest"), text_col), benchmark, id_col="_digest", text_col=text_col)
