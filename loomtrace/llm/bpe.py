@@ -13,14 +13,16 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import map_batches, strings
+from ._common import PIECE, map_batches, pieces, strings
 
 #: The pre-token pattern of byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,10 +77,19 @@ class _Ids(dict):
 
 
 class ByteBPE:
-    """Encoder and decoder of one ``tokenizers`` JSON file with a byte-level BPE model."""
+    """Encoder and decoder of one ``tokenizers`` JSON file with a byte-level BPE model.
+
+    A file with rules that this module does not follow is refused.
+    """
 
     def __init__(self, definition: bytes):
         spec = json.loads(definition)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+        split = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        marks = any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
+        if not plain or not split or marks or spec.get("normalizer") or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+            raise ValueError("only byte-level BPE without normalizer, prefix space, subword marks and stripping special tokens is supported")
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         symbol = byte_symbols()
@@ -99,11 +110,14 @@ class ByteBPE:
         self.beyond = re.compile(f"[^\0-{chr(min(self.newer, default=0x10FFFF) - 1)}]").search
         self.ids = _Ids(self)
 
-    def words(self, text: str) -> list[str]:
-        """Pre-tokens of a text without special strings."""
+    def words(self, text: str) -> Iterator[list[str]]:
+        """Pre-tokens of a text without special strings, in lists of bounded length."""
         if not self.beyond(text) or self.newer.keys().isdisjoint(map(ord, text)):
-            return self.pattern.findall(text)
-        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.newer))]
+            yield from pieces(self.pattern, text)
+            return
+        found = self.pattern.finditer(text.translate(self.newer))
+        while part := [text[m.start() : m.end()] for m in islice(found, PIECE)]:
+            yield part
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -135,10 +149,10 @@ class ByteBPE:
         """Ids of a whole text as little-endian uint32; special strings are special tokens."""
         out, at = [], 0
         for m in self.split.finditer(text) if self.special else ():
-            out.extend(map(self.ids.__getitem__, self.words(text[at : m.start()])))
+            out += [b"".join(map(self.ids.__getitem__, part)) for part in self.words(text[at : m.start()])]
             out.append(np.uint32(self.special[m[0]]).tobytes())
             at = m.end()
-        out.extend(map(self.ids.__getitem__, self.words(text[at:] if at else text)))
+        out += [b"".join(map(self.ids.__getitem__, part)) for part in self.words(text[at:] if at else text)]
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:

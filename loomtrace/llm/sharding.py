@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import fresh
+
 #: Slots.  Prime, and over a hundred times the shards placed by default.
 TABLE_SIZE = 8191
 
@@ -62,25 +64,30 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str], size: int =
     """``keys`` of every row plus ``slot`` and ``shard``.
 
     Repeated rows stay and land together; an empty table gives an empty result; other
-    columns are not read, so they cannot clash.  The table is a literal of ``size``
+    columns are not read, so they cannot clash, and if a key has the name of a result,
+    that result gets underscores behind its name.  The table is a literal of ``size``
     small integers in the plan: its bound is the parameter, whatever the data.
     Nothing is shuffled and no key group is ever gathered.
     """
     names = F.array(*[F.lit(s) for s in shards])
     table = F.from_json(F.lit("[" + ",".join(map(str, lookup_table(shards, size))) + "]"), "array<int>")
-    slotted = df.select(*keys).withColumn("slot", slot_of(*[F.col(k) for k in keys], size=size))
-    return slotted.withColumn("shard", F.get(names, F.get(table, F.col("slot"))))
+    given = df.select(*keys)
+    slot, shard = fresh("slot", given), fresh("shard", given)
+    slotted = given.select("*", slot_of(*[F.col(k) for k in keys], size=size).alias(slot))
+    return slotted.select("*", F.get(names, F.get(table, F.col(slot))).alias(shard))
 
 
 def write_shards(df: DataFrame, keys: Sequence[str], shards: Sequence[str], path: str, size: int = TABLE_SIZE, files_per_shard: int = 1) -> None:
-    """Write whole rows under ``path/shard=<name>/``.
+    """Write whole rows under ``path/shard=<name>/``, with all their columns.
 
-    Rows are dealt by shard and a hash of the key, so one shard is written by up to
+    Where ``df`` has a column ``shard``, the folders get underscores behind that name.
+    Repeated rows stay, null keys share one shard, an empty table writes no rows.  Rows are dealt by shard and a hash of the key, so one shard is written by up to
     ``files_per_shard`` tasks and a shard that grows is split rather than gathered.
     """
     names = F.array(*[F.lit(s) for s in shards])
     table = F.from_json(F.lit("[" + ",".join(map(str, lookup_table(shards, size))) + "]"), "array<int>")
     shard = F.get(names, F.get(table, slot_of(*[F.col(k) for k in keys], size=size)))
-    dealt = df.withColumn("shard", shard)
+    name = fresh("shard", df)
+    dealt = df.select("*", shard.alias(name))
     part = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(files_per_shard))
-    dealt.repartition(len(shards) * files_per_shard, F.col("shard"), part).write.partitionBy("shard").parquet(path)
+    dealt.repartition(len(shards) * files_per_shard, F.col(name), part).write.partitionBy(name).parquet(path)

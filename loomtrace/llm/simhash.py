@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_LOWER, blobs, checkpoint, map_batches, without
+from ._common import ASCII_LOWER, blank_pieces, blobs, checkpoint, map_batches, without
 from .graph import components
 
 SHINGLE, LINK_BITS, BLOCKS = 3, 2, 5
@@ -32,23 +32,21 @@ _EVEN = 0x5555555555555555
 
 def fingerprint(text: bytes) -> int:
     """Signed 64-bit fingerprint of a UTF-8 text."""
-    words = text.translate(ASCII_LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        shingles = [joined]
-    else:
+    ones, n, words = np.zeros(64, np.int64), 0, []
+    for more in blank_pieces(text.translate(ASCII_LOWER)):
+        words = words[-(SHINGLE - 1) :] + more if n else words + more
+        if len(words) < SHINGLE:
+            continue
+        joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         shingles = map(joined.__getitem__, map(slice, starts[: len(words) - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist()))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 15):
-        part = h[i : i + (1 << 15)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(h), bitorder="little")
-    return int(bits.view("<i8")[0])
+        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    if not n:
+        return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 42)).astype(np.int64)) if words else 0
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,10 +78,12 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between distinct ``fp`` values whose components are those of all links.
 
     Cells with up to ``PAIRED_CELL`` members give all their pairs within ``LINK_BITS``
-    bits.  Members of larger cells go through midpoints instead: two fingerprints differ
-    in at most two bits exactly if some point is within one bit of both, so all that
-    share a point are linked to the smallest of them.  That is exact and grows with the
-    members, not with their pairs.
+    bits.  Larger cells depart from the grid join, which would give all pairs of a cell:
+    their members go through midpoints, without the Manhattan bound.  Two fingerprints
+    differ in at most two bits exactly if some point is within one bit of both, so all
+    that share a point are linked to the smallest of them.  That is exact as well (the
+    components are the same for any ``PAIRED_CELL``) and grows with the members, not
+    with their pairs.  Null fingerprints are not expected; none give no edges.
     """
     cells = [F.struct(F.lit(k).alias("k"), F.col("e").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(_masks())]
     points = fps.select("fp", embedding(F.col("fp")).alias("e")).select("fp", "e", F.explode(F.array(*cells)).alias("c")).select("fp", "e", "c.k", "c.cell")
