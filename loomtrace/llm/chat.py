@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows, with DataFrame functions alone.
 
-Prefix sums of turn tokens place turns on an axis that strides of half the budget cut
-into turn-aligned spans.  Each window repeats the conversation's first system turn and
-the last few turns before it; the loss mask covers assistant texts of the window's own
-turns, so a repeated target is masked out and every assistant text is learned once.
+Prefix sums of turn tokens place turns on an axis that strides of a quarter of the
+budget cut into turn-aligned spans.  Each window repeats the conversation's first system
+turn and the last few turns before it, a quarter of the budget each at most; the loss
+mask covers assistant texts of the window's own turns, so a repeated target is masked
+out and every assistant text is learned once.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens of a window's own turns, turns repeated before them, and tokens of the longest turn repeated.
-BUDGET, HISTORY, HISTORY_TOKENS = 2048, 2, 256
+#: Tokens of a window with all that it repeats, and earlier turns repeated.
+BUDGET, HISTORY = 2048, 2
 
 
 def escape(text: Column) -> Column:
@@ -44,19 +45,23 @@ def windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", ro
     """``conv_col``, ``window``, ``formatted``, ``n_repeated``, ``loss`` of every window.
 
     ``formatted`` holds the window's turns, the first ``n_repeated`` of them repeated;
-    ``loss`` lists (start, length) in code points of ``formatted``.  A window's own turns
-    stay within the budget unless one turn alone exceeds it; turns are never cut.  Null
+    ``loss`` lists (start, length) in code points of ``formatted``.  A window keeps to the
+    budget: under half of it for its own turns, a quarter for the system turn, a quarter
+    for ``history`` earlier turns in equal parts.  Turns are never cut, so there are two
+    exceptions: a turn over a quarter of the budget has a window to itself, however long
+    it is; a system or earlier turn over its part is not repeated, it stands in its own
+    place alone.  So the output is bounded by a constant times the input.  Null
     roles and texts read as empty; turns are ordered by turn (null first), role and text;
     a null conversation is one of its own; an empty table has no windows.
     """
     conv, role, text = F.col("conv"), F.col("role"), F.col("text")
     rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tokens", tokens(text))
     order = Window.partitionBy("conv").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    stride = budget // 2
+    stride = budget // 4
     wide = F.col("tokens") > stride
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("pos", F.row_number().over(order)).withColumn("end", F.sum("tokens").over(upto))
-    # a turn over half the budget has a window to itself: it and the turn after it begin anew
+    # a turn over the stride has a window to itself: it and the turn after it begin anew
     placed = placed.withColumn("part", F.sum(F.when(wide, 2).otherwise(0)).over(upto) - F.when(wide, 1).otherwise(0))
     placed = placed.withColumn("cell", F.floor((F.col("end") - F.col("tokens")) / stride))
     fresh = F.coalesce((F.lag("part").over(order) != F.col("part")) | (F.lag("cell").over(order) != F.col("cell")), F.lit(True))
@@ -65,7 +70,7 @@ def windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", ro
     placed = placed.withColumn("system_pos", F.min(F.when(role == "system", F.col("pos"))).over(whole)).withColumn("last_window", F.max("window").over(whole))
     system = F.col("pos") == F.col("system_pos")
     later = [F.lead("window", k).over(order) for k in range(1, history + 1)]
-    short = F.col("tokens") <= HISTORY_TOKENS
+    short = F.col("tokens") <= budget // (4 * max(history, 1))
     # the k-th turn after this one opens a window exactly if it and the turn before it differ in theirs;
     # a turn is history of that window if it is among the last few before its opening turn
     opened = [F.when(F.lead("fresh", k).over(order) == 1, w) for k, w in enumerate(later, 1)]
@@ -73,7 +78,7 @@ def windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", ro
     past = F.transform(F.array_distinct(F.array_compact(F.array(*opened))), lambda w: F.struct(w.alias("window"), F.lit(1).alias("kind"))) if history else F.slice(own, 1, 0)
     kept = F.transform(F.sequence(F.col("window") + 1, F.col("last_window")), lambda w: F.struct(w.alias("window"), F.lit(1).alias("kind")))
     none = F.slice(own, 1, 0)
-    copies = F.when(system, F.when(F.col("last_window") > F.col("window"), F.concat(own, kept)).otherwise(own)).otherwise(F.concat(own, F.when(short, past).otherwise(none)))
+    copies = F.when(system, F.when((F.col("last_window") > F.col("window")) & ~wide, F.concat(own, kept)).otherwise(own)).otherwise(F.concat(own, F.when(short, past).otherwise(none)))
     each = placed.withColumn("copies", copies).select("conv", "pos", "role", F.explode("copies").alias("c"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body"))
     each = each.select("conv", F.col("c.window").alias("window"), F.struct("pos", (F.col("c.kind") == 1).alias("repeated"), (F.col("role") == "assistant").alias("target"), "head", "body").alias("t"))
     grouped = each.groupBy("conv", "window").agg(F.array_sort(F.collect_list("t")).alias("ts"))

@@ -134,13 +134,13 @@ _OP10_SQL = rf"""
                    UNION ALL VALUES (-1, 0, 'user', '{_FORGED}'), (-1, 1, 'assistant', '{_FORGED}')),
     t AS (SELECT *, (ceil(length(text) / 4.0) + {4})::BIGINT AS tok,
                  {len(chat.START) + 1 + len(chat.END) + 1} + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars FROM given),
-    p AS (SELECT *, row_number() OVER o AS pos, sum(tok) OVER (o ROWS UNBOUNDED PRECEDING) AS upto, sum(CASE WHEN tok > {chat.BUDGET // 2} THEN 2 ELSE 0 END) OVER (o ROWS UNBOUNDED PRECEDING) - (tok > {chat.BUDGET // 2})::INTEGER AS part
+    p AS (SELECT *, row_number() OVER o AS pos, sum(tok) OVER (o ROWS UNBOUNDED PRECEDING) AS upto, sum(CASE WHEN tok > {chat.BUDGET // 4} THEN 2 ELSE 0 END) OVER (o ROWS UNBOUNDED PRECEDING) - (tok > {chat.BUDGET // 4})::INTEGER AS part
           FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-    f AS (SELECT *, (upto - tok) // {chat.BUDGET // 2} AS cell FROM p),
+    f AS (SELECT *, (upto - tok) // {chat.BUDGET // 4} AS cell FROM p),
     g AS (SELECT *, coalesce((lag(part) OVER o <> part) OR (lag(cell) OVER o <> cell), true)::INTEGER AS fresh FROM f WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
     h AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS win, sum(fresh) OVER (PARTITION BY conv_id) AS wins, min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id) AS sys,
                  coalesce(lead(fresh, 1) OVER o, 0) + coalesce(lead(fresh, 2) OVER o, 0) AS again FROM g WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
-    k AS (SELECT *, CASE WHEN pos = sys THEN wins - win + 1 WHEN tok <= {chat.HISTORY_TOKENS} THEN 1 + again ELSE 1 END AS copies FROM h)
+    k AS (SELECT *, CASE WHEN pos = sys AND tok <= {chat.BUDGET // 4} THEN wins - win + 1 WHEN pos = sys THEN 1 WHEN tok <= {chat.BUDGET // (4 * chat.HISTORY)} THEN 1 + again ELSE 1 END AS copies FROM h)
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
            sum(chars * copies)::BIGINT AS formatted_chars

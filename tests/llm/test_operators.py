@@ -491,8 +491,20 @@ def test_chat(spark):
     parts = chat.windows(frame)
     assert bag(r[:5] for r in rows(chat.read_back(parts))) == bag(talked(turns))
     for r in parts.collect():
-        own = [b for b in r.formatted.split(chat.END + "\n")[:-1]][r.n_repeated :]
-        cost = [-(-(len(b) - len("<|im_start|>user\n")) // 4) + 4 for b in own]
-        assert len(own) == 1 or sum(cost) < 2 * chat.BUDGET
+        told = [b.split("\n", 1)[1].replace("<\\|", "<|").replace("\\\\", "\\") for b in r.formatted.split(chat.END + "\n")[:-1]]
+        cost = [-(-len(b) // 4) + 4 for b in told]
+        own, repeated = cost[r.n_repeated :], cost[: r.n_repeated]
+        assert sum(repeated) <= chat.BUDGET // 2 and (own[0] > chat.BUDGET // 4 and len(own) == 1 or sum(cost) <= chat.BUDGET)
     assert any(r.n_repeated for r in parts.collect())
     assert chat.read_back(chat.windows(frame.limit(0))).count() == 0
+
+
+def test_chat_output_is_linear(spark):
+    turns = [(1, 0, "system", "s" * 50_000)] + [(1, k, ("user", "assistant")[k % 2], "w" * 1500) for k in range(1, 400)]
+    turns += [(2, 0, "system", "be kind")] + [(2, k, ("user", "assistant")[k % 2], "w" * 1500) for k in range(1, 400)]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    found = {r.conv_id: r for r in chat.read_back(chat.windows(frame)).collect()}
+    assert found[1].formatted_chars < 2 * sum(len(t[3]) for t in turns if t[0] == 1)
+    parts = chat.windows(frame).where("conv_id = 2").collect()
+    assert len(parts) > 100 and all("be kind" in r.formatted for r in parts)
+    assert bag((i, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for i, r in found.items()) == bag(talked(turns))
