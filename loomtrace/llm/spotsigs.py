@@ -78,47 +78,57 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return pairs.join(left, "ac").join(right, "bc").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-#: Rows of a bucket of neighbouring ids, about, and buckets at most.
-BUCKET_ROWS, BUCKETS = 2_000, 4_096
+#: Rows of a bucket of neighbouring ids, about; buckets at most, beyond which they hold more rows; ids sampled for a bound.
+BUCKET_ROWS, BUCKETS, SAMPLED = 2_000, 1 << 20, 8
 
 
-def _bucket(id_: Column, bounds: list) -> Column:
-    """How many of the sorted bounds are at or below an id, by bisection."""
-    if not bounds:
-        return F.lit(0)
-    array = F.array(*[F.lit(b) for b in bounds])
-    steps = max(1, len(bounds).bit_length())
-    low = F.lit(0)
+def _bounds(ids: DataFrame, wanted: int, rows: int) -> DataFrame:
+    """One row with the array ``bounds``: about ``wanted`` of the ids, sorted, at even distances.
+
+    They come from a sample of ``SAMPLED`` ids for each, and decide only where buckets
+    are cut, never a result.  Any type that can be ordered will do.
+    """
+    sampled = ids.sample(min(1.0, SAMPLED * wanted / rows), 7).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return checkpoint(sampled.select(F.filter("ids", lambda _, i: i % SAMPLED == SAMPLED - 1).alias("bounds")))
+
+
+def _bucket(id_: Column, bounds: Column, n: int) -> Column:
+    """How many of ``n`` sorted bounds are at or below an id, by bisection; 0 for null."""
 
     def halve(span: Column, _: Column) -> Column:
         mid = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
-        up = (span["lo"] < span["hi"]) & (F.get(array, mid) <= id_)
+        up = (span["lo"] < span["hi"]) & F.coalesce(F.get(bounds, mid) <= id_, F.lit(False))
         return F.struct(F.when(up, mid + 1).otherwise(span["lo"]).alias("lo"), F.when(up, span["hi"]).otherwise(F.least(mid, span["hi"])).alias("hi"))
 
-    span = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(low.alias("lo"), F.lit(len(bounds)).alias("hi")), halve)
-    return span["lo"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve)["lo"]
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``text``, ``next`` (text of the following row by id; the first follows the last).
 
-    Null ids come first; ties are ordered by text.  Rows are dealt once, into buckets of
-    neighbouring ids; the last row of a bucket takes the first text of the next bucket.
+    Null ids come first; ties are ordered by text.  Ids may have any type that can be
+    ordered.  Rows are dealt once, into buckets of neighbouring ids whose number grows
+    with the rows; the last row of a bucket takes the first text of the next bucket.
+    Rows of one id share a bucket.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n, least, nulls = rows.agg(F.count("*"), F.min("id"), F.count_if(F.col("id").isNull())).first()
-    wanted = min(BUCKETS, n // BUCKET_ROWS)
-    shares = [k / (wanted + 1) for k in range(1, wanted + 1)]
-    bounds = sorted(b for b in set(rows.agg(F.percentile_approx("id", shares, 100_000)).first()[0] or []) if b > least) if shares else []
-    bucket = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_bucket(F.col("id"), bounds))
+    id_, bucket, n_bounds = F.col("id"), F.lit(0), 0
+    if wanted := min(BUCKETS, n // BUCKET_ROWS) if least is not None else 0:
+        found = _bounds(rows.select("id").where(id_ > F.lit(least)), wanted, n)
+        if n_bounds := found.select(F.size("bounds")).first()[0]:
+            rows = rows.withColumn("bounds", found.select("bounds").scalar())
+            bounds = F.col("bounds")
+            bucket, bound = _bucket(id_, bounds, n_bounds), F.get(bounds, F.col("bucket") - 1)
+    rows = rows.withColumn("bucket", bucket)
     order = Window.partitionBy("bucket").orderBy(F.asc_nulls_first("id"), "text")
-    local = rows.withColumn("bucket", bucket).select("bucket", "id", "text", F.lead("text").over(order).alias("next"))
+    local = rows.select("bucket", "id", "text", F.lead("text").over(order).alias("next"))
     # every bound is an id, so the first row of a bucket is known by its id
-    first = F.col("id").isNull() if nulls else F.col("id") == F.lit(least)
-    heads = rows.where(first | F.col("id").isin(bounds)).groupBy("id").agg(F.min("text").alias("head"))
-    before = F.pmod(bucket - 1, F.lit(len(bounds) + 1))
-    borders = heads.select(before.alias("bucket"), "head")
-    return local.join(borders, "bucket", "left").select("id", "text", F.coalesce("next", "head").alias("next"))
+    first = id_.isNull() if nulls else id_ == F.lit(least)
+    if n_bounds:
+        first = first | ((F.col("bucket") > 0) & (bound == id_))
+    heads = rows.where(first).groupBy(F.pmod(F.col("bucket") - 1, F.lit(n_bounds + 1)).alias("bucket")).agg(F.min("text").alias("head"))
+    return local.join(heads, "bucket", "left").select("id", "text", F.coalesce("next", "head").alias("next"))
 
 
 def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -373,6 +373,15 @@ def test_spotsigs_next_over_buckets(spark, monkeypatch):
     assert bag(rows(spotsigs.with_next(frame, "doc_id", "text"))) == bag(want)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,3)"])
+def test_spotsigs_next_of_any_id_type(spark, kind):
+    frame = spark.range(5000).select(F.expr(f"cast({'date_add(DATE\'2001-01-01\', cast(id as int))' if kind == 'date' else 'id * 7'} as {kind})").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    found = spotsigs.with_next(frame, "doc_id", "text")
+    ordered = sorted(rows(frame))
+    assert sorted(rows(found)) == [(i, t, ordered[(k + 1) % 5000][1]) for k, (i, t) in enumerate(ordered)]
+    assert found.select("id").distinct().count() == 5000
+
+
 def test_spotsigs_pairs_of_a_repeated_id(spark):
     text = lambda k, end: " ".join(f"the w{k}x{j} y{k}x{j} z{k}x{j}" for j in range(20)) + end
     docs = [(1, text(k, "")) for k in range(8)] + [(10 + k, text(k, f" the end{k}")) for k in range(8)]
