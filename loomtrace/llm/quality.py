@@ -1,28 +1,32 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
-Every token bucket has a sparse random index vector; a bucket's word vector is the sum
-of the index vectors of its neighbours over all documents, scaled to unit length.  A
-document is the mean of its tokens' vectors.  A two-layer network in numpy turns that
-into a probability, with a temperature fitted on labelled rows kept out of its training.
+Every word has a sparse random index vector, drawn from its hash; its word vector is the
+sum of the index vectors of its neighbours over all documents, scaled to unit length.
+Words that make up one in ``SHARE`` of all tokens or more have a row of their own, so
+there are at most ``SHARE`` of them whatever the data; rarer words share ``BUCKETS``
+rows by hash.  A document is the mean of its words' vectors.  A two-layer network in
+numpy turns that into a probability, with a temperature fitted on labelled rows kept out
+of its training.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, slices, strings
+from ._common import checkpoint, map_batches, pieces, slices, strings
 
-#: Token buckets, dimensions, non-zero entries of an index vector, neighbours to each side.
-BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 2, 2
+#: Words with a row of their own at most, rows of the rest, dimensions, non-zero entries of an index vector, neighbours to each side.
+SHARE, BUCKETS, DIMS, NONZERO, REACH = 200_000, 1 << 14, 48, 2, 2
 #: Labelled rows that the network is fitted on, at most; chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
 #: Hidden units, epochs, rows a step, step size, share of the sample kept for the temperature.
@@ -30,31 +34,40 @@ HIDDEN, EPOCHS, BATCH, RATE, HELD = 32, 40, 256, 0.01, 5
 THRESHOLD = 0.3
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _PART = 200_000
-_KNOWN_TOKENS = 150_000
+#: Words that a task remembers at a time, and counts before it hands them on.
+KNOWN, COUNTED = 150_000, 400_000
 
 
-class _Buckets(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) >= _KNOWN_TOKENS:
-            self.clear()
-        self[token] = b = zlib.crc32(token.encode()) % BUCKETS
-        return b
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode(), 5)
+
 
+class Rows(dict):
+    """Word -> its row of the table of vectors; ``words`` are the sorted hashes of those with a row of their own."""
 
-_BUCKET = _Buckets()
+    def __init__(self, words: np.ndarray, shared: int):
+        super().__init__()
+        self.shared = shared
+        self.own = dict(zip(words.tolist(), range(len(words)), strict=True))
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        h = _hash(word)
+        row = self.own.get(h)
+        self[word] = row = len(self.own) + h % self.shared if row is None else row
+        return row
 
-def bucket_ids(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Token buckets of texts in parts of bounded size, each with the number of its text.
 
-    A long text may span parts.
+def row_ids(texts: Iterable[str], rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the words of texts in parts of bounded size, each with the number of its text.
+
+    A long text may span parts; words are taken from it piece by piece.
     """
     ids, owners, n = [], [], 0
     for k, text in enumerate(texts):
-        tokens = _TOKENS.findall(text)
-        for i in range(0, len(tokens), _PART):
-            part = tokens[i : i + _PART]
-            ids.append(np.fromiter(map(_BUCKET.__getitem__, part), np.int32, len(part)))
+        for part in pieces(_TOKENS, text):
+            ids.append(np.fromiter(map(rows.__getitem__, part), np.int32, len(part)))
             owners.append(np.full(len(part), k, np.int32))
             n += len(part)
             if n >= _PART:
@@ -64,48 +77,90 @@ def bucket_ids(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(ids), np.concatenate(owners)
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the non-zero entries of every bucket's index vector."""
-    rng = np.random.default_rng(11)
-    return rng.integers(0, DIMS, (BUCKETS, NONZERO)), rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+def index_vectors(words: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the non-zero entries of every row's index vector, from the hash of its word or bucket."""
+    rest = np.fromiter((_hash(f"\0{b}") for b in range(shared)), np.uint64, shared)
+    h = np.concatenate([words.astype(np.uint64), rest])
+    place = np.stack([(h >> np.uint64(16 * k)) % np.uint64(DIMS) for k in range(NONZERO)], axis=1).astype(np.int64)
+    sign = np.stack([1 - 2 * (h >> np.uint64(63 - k) & np.uint64(1)).astype(np.int32) for k in range(NONZERO)], axis=1)
+    return place, sign
+
 
+def frequent_words(df: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of the words that are one in ``SHARE`` of all tokens or more; all documents are counted."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def handed() -> pa.RecordBatch:
+            out = [pa.array(np.fromiter(map(_hash, held), np.uint64, len(held)).view(np.int64)), pa.array(list(held.values()), pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, ["h", "n"])
+
+        for batch in chain.from_iterable(map(slices, batches)):
+            for text in strings(batch.column(0)):
+                for part in pieces(_TOKENS, text):
+                    held.update(part)
+                if len(held) > COUNTED:
+                    yield handed()
+        yield handed()
 
-def word_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Unit word vectors of all buckets, from all documents.
+    words = checkpoint(df.select(text_col).mapInArrow(counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    own = words.where(F.col("n") * SHARE >= total).select("h").toArrow().column(0).to_numpy()  # SHARE rows at most
+    return np.sort(own.view(np.uint64))
 
-    Tasks sum their own tables; rows (bucket, sums) are added up by partial aggregation.
-    The result is ``BUCKETS`` rows of ``DIMS`` numbers whatever the data.
+
+class Vectors(NamedTuple):
+    """Hashes of the words with a row of their own, and all rows: those, then the shared ones."""
+
+    words: np.ndarray
+    table: np.ndarray
+
+    def rows(self) -> Rows:
+        return Rows(self.words, len(self.table) - len(self.words))
+
+
+def word_vectors(df: DataFrame, text_col: str = "text") -> Vectors:
+    """Unit word vectors of all words, from all documents.
+
+    Tasks sum their own tables; rows of sums are added up by partial aggregation.  The
+    table has at most ``SHARE + BUCKETS`` rows of ``DIMS`` numbers whatever the data.
     """
+    words = frequent_words(df, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    rest = BUCKETS
+    size = len(words) + rest
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sign = index_vectors()
-        total = np.zeros(BUCKETS * DIMS)
+        place, sign = index_vectors(shared.value, rest)
+        total = np.zeros(size * DIMS, np.int32)
         texts = (t for batch in batches for part in slices(batch) for t in strings(part.column(0)))
-        for ids, owners in bucket_ids(texts):
+        for ids, owners in row_ids(texts, Rows(shared.value, rest)):
             for reach in range(1, REACH + 1):
                 near = np.flatnonzero(owners[:-reach] == owners[reach:])
-                left, right = ids[near], ids[near + reach]
+                left, right = ids[near].astype(np.int64), ids[near + reach].astype(np.int64)
                 for word, context in ((left, right), (right, left)):
                     for k in range(NONZERO):
-                        total += np.bincount(word * DIMS + place[context, k], weights=sign[context, k], minlength=BUCKETS * DIMS)
-        table = total.astype(np.int64).reshape(BUCKETS, DIMS)
+                        np.add.at(total, word * DIMS + place[context, k], sign[context, k])
+        table = total.reshape(size, DIMS)
         used = np.flatnonzero(table.any(axis=1))
         for i in range(0, len(used), 4096):
             at = used[i : i + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(table[at, d]) for d in range(DIMS)]], ["bucket", *[f"d{d}" for d in range(DIMS)]])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(table[at, d]) for d in range(DIMS)]], ["row", *[f"d{d}" for d in range(DIMS)]])
 
-    schema = "bucket int, " + ", ".join(f"d{d} bigint" for d in range(DIMS))
-    rows = df.select(text_col).mapInArrow(sums, schema).groupBy("bucket").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS)])
-    table = np.zeros((BUCKETS, DIMS), np.float32)
+    schema = "row int, " + ", ".join(f"d{d} int" for d in range(DIMS))
+    rows = df.select(text_col).mapInArrow(sums, schema).groupBy("row").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS)])
+    table = np.zeros((size, DIMS), np.float32)
     for part in rows.toArrow().to_batches():
         table[part.column(0).to_numpy()] = np.stack([part.column(d + 1).to_numpy() for d in range(DIMS)], axis=1)
-    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    return Vectors(words, table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9))
 
 
-def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector of each text and whether it has tokens; zeros without."""
+def pooled(texts: list[str], rows: Rows, vectors: np.ndarray) -> np.ndarray:
+    """Mean word vector of each text and whether it has words; zeros without."""
     out, n = np.zeros((len(texts), DIMS)), np.zeros(len(texts), np.int64)
-    for ids, owners in bucket_ids(texts):
+    for ids, owners in row_ids(texts, rows):
         starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
         out[owners[starts]] += np.add.reduceat(vectors[ids], starts, axis=0)
         n += np.bincount(owners, minlength=len(texts))
@@ -167,9 +222,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
 
 
 class Classifier(NamedTuple):
-    """What scoring needs: a few MB whatever the data."""
+    """What scoring needs: its size has a bound whatever the data (40 MB; 8 MB at 40,000 words)."""
 
-    vectors: np.ndarray
+    vectors: Vectors
     network: Network
 
 
@@ -183,14 +238,16 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     smallest hash.
     """
     vectors = word_vectors(df, text_col)
-    taught = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label")).where("_id is not null and _label is not null")
-    taught = taught.where(F.crc32(F.col("_id").cast("string")) % 5 != 0).distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(SAMPLE_ROWS)
+    taught = labels.select(F.col(id_col).alias("taught"), F.col(label_col).cast("double").alias("label")).where("taught is not null and label is not null")
+    taught = taught.where(F.crc32(F.col("taught").cast("string")) % 5 != 0).distinct().orderBy(F.xxhash64("taught"), "taught", "label").limit(SAMPLE_ROWS)
     shared = df.sparkSession.sparkContext.broadcast(vectors)
 
     def make():
-        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(list(pooled(strings(b.column(2)), shared.value)), pa.list_(pa.float64()))], ["id", "label", "h", "x"])
+        rows = shared.value.rows()
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(list(pooled(strings(b.column(2)), rows, shared.value.table)), pa.list_(pa.float64()))], ["id", "label", "h", "x"])
 
-    rows = df.select(id_col, text_col).join(F.broadcast(taught), F.col(id_col) == F.col("_id")).select(F.col(id_col).cast("string").alias("id"), F.col("_label").alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = given.join(F.broadcast(taught), F.col("id") == F.col("taught")).select(F.col("id").cast("string").alias("id"), "label", "text", F.xxhash64("text").alias("h"))
     one = map_batches(rows, make, "id string, label double, h bigint, x array<double>").groupBy("id", "label").agg(F.min(F.struct("h", "x")).alias("least"))
     found = one.select("id", "label", "least.x").toArrow().to_pydict()
     order = sorted(range(len(found["id"])), key=lambda i: (found["id"][i], found["label"][i], found["x"][i]))
@@ -208,9 +265,10 @@ def score(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: st
 
     def make():
         vectors, network = shared.value
+        rows = vectors.rows()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            p = network.probability(pooled(strings(batch.column(1)), vectors))
+            p = network.probability(pooled(strings(batch.column(1)), rows, vectors.table))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [id_col, "score", "predicted"])
 
         return step
@@ -221,14 +279,19 @@ def score(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(df: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` that the classifier does not reject, all columns as they were."""
+    """Rows of ``df`` that the classifier does not reject, all columns as they were, whatever their names.
+
+    Null and empty texts are judged as texts without words, all alike; repeated rows
+    share their verdict; an empty table stays empty.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value
+        rows = vectors.rows()
         for batch in chain.from_iterable(map(slices, batches)):
-            p = network.probability(pooled(strings(batch.column(names.index(text_col))), vectors))
+            p = network.probability(pooled(strings(batch.column(names.index(text_col))), rows, vectors.table))
             yield batch.filter(pa.array(p >= THRESHOLD))
 
     return df.mapInArrow(run, df.schema)

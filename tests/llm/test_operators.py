@@ -173,6 +173,50 @@ def test_quality(spark, odd, none):
     assert all(abs(r.score - 0.5) < 1e-9 for r in quality.score(odd, unread).collect())
 
 
+def test_word_vectors_and_pooling(spark, none, monkeypatch):
+    monkeypatch.setattr(quality, "SHARE", 25)
+    monkeypatch.setattr(quality, "BUCKETS", 3)
+    monkeypatch.setattr(quality, "COUNTED", 2)
+    monkeypatch.setattr("loomtrace.llm._common.PIECE", 50)
+    texts = ["the cat sat on the mat", "the dog, the cat", None, "", "on", "rare " + "the cat " * 40, "é 中文 the"]
+    tokens = [re.findall(r"\w+|[^\w\s]+", t or "") for t in texts]
+    total, counts = sum(map(len, tokens)), defaultdict(int)
+    for w in sum(tokens, []):
+        counts[w] += 1
+    own = sorted({quality._hash(w) for w, n in counts.items() if n * 25 >= total})
+    row = lambda w: own.index(quality._hash(w)) if quality._hash(w) in own else len(own) + quality._hash(w) % 3
+    want = np.zeros((len(own) + 3, quality.DIMS))
+    for words in tokens:
+        for i, w in enumerate(words):
+            for c in words[max(0, i - quality.REACH) : i] + words[i + 1 : i + 1 + quality.REACH]:
+                h = quality._hash(c) if quality._hash(c) in own else quality._hash(f"\0{quality._hash(c) % 3}")
+                for k in range(quality.NONZERO):
+                    want[row(w), (h >> 16 * k) % quality.DIMS] += 1 - 2 * (h >> 63 - k & 1)
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found = quality.word_vectors(frame)
+    assert found.words.tolist() == own and 1 < len(own) < len(counts)
+    assert np.allclose(found.table, want, atol=1e-6)
+    means = [np.mean([want[row(w)] for w in words], axis=0) if words else np.zeros(quality.DIMS) for words in tokens]
+    x = quality.pooled([t or "" for t in texts], found.rows(), found.table)
+    assert np.allclose(x[:, :-1], means, atol=1e-5) and x[:, -1].tolist() == [float(bool(w)) for w in tokens]
+    empty = quality.word_vectors(none)
+    assert len(empty.words) == 0 and not empty.table.any()
+
+
+def test_network_learns_and_is_calibrated():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 6))
+    p = 1 / (1 + np.exp(-2 * (x[:, 0] - x[:, 1] * x[:, 2])))
+    y = (rng.random(4000) < p).astype(float)
+    net = quality.fit(x[:3000], y[:3000])
+    got = net.probability(x[3000:])
+    loss = lambda q: -np.mean(np.log(np.where(y[3000:] == 1, q, 1 - q)))
+    assert loss(got) < 0.85 * loss(np.full(1000, y.mean())) and abs(got.mean() - y[3000:].mean()) < 0.05
+    assert loss(got) <= loss(net._replace(temperature=net.temperature * 3).probability(x[3000:]))
+    assert quality.fit(x[:30], np.ones(30)).probability(x[:30]).mean() > 0.7
+
+
 def test_quality_learns_from_every_label(spark, monkeypatch):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:20]
     docs = [(i, f"text of {i}") for i in ids] + [(ids[0], f"copy {k % 3}") for k in range(600)]
