@@ -1,25 +1,28 @@
 """Main-text extraction with wrappers inferred for each host.
 
-Pages of a host share a template.  A page with a main element is judged by element
-names, classes, ids and roles alone.  On other pages also the host decides: text
-positions are named by their path of open elements and their number in it, every
-distinct page of the host is a witness, positions that agree on all pages are constants
-of the template, others are slots, and paths of constants alone are not main text.
-These states merge, so tasks infer them apart from each other.
-
-``infer`` is the same inference for a few pages in one process, as a wrapper: token
-streams (tags, texts) aligned one after another into a union-free regular expression,
-where adjacent repetitions of a token block become a repeated group, tokens that only
-some pages have optional groups, texts that differ slots, texts that agree constants.
-No query uses it: alignments do not merge, so it cannot read all pages of a large host.
+Pages of a host share a template.  A page is a stream of texts, each named by its path of
+open elements.  Streams of a host are aligned one after another into a wrapper, a regular
+expression without alternatives: blocks that follow each other again and again become a
+repeated group, texts that only some pages have are optional, texts that differ are
+slots, texts that say the same on all pages are constants.  A wrapper matches every page
+that it was inferred from.  Wrappers align with each other as pages do, so tasks infer
+them apart, from all their pages, and hosts merge them.
+
+Extraction matches a page with the wrapper of its host.  Main text is what stands in
+slots, outside of elements whose name, class, id or role says otherwise, and inside the
+main element of pages that have one.  Constants proven by ``LEAST_PAGES`` distinct pages
+are template text.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
-from collections.abc import Container, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -31,8 +34,11 @@ from ._common import BROADCAST_LIMIT, checkpoint, slices
 
 #: Distinct pages that must say the same before a position counts as the template's.
 LEAST_PAGES = 3
-#: Positions that a task holds before it hands them on.
-HELD_POSITIONS = 200_000
+#: Nodes that a task holds before it hands them on; parts that a host's wrappers merge in first.
+HELD_NODES, SPREAD = 100_000, 32
+#: Longest block that is sought for repetition, and places of one path in a wrapper before they become one group.
+WIDTH, PLACES = 4, 4
+_SEPARATOR = "\x1f"
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,7 +77,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if name in ("script", "style", "noscript", "template", "iframe", "textarea") and not m[3].rstrip().endswith("/"):
             hidden = name
             continue
-        yield "open", name, " ".join(v.strip("\"'") for _, v in _ATTRIBUTE.findall(m[3]))
+        yield "open", name, " ".join(v.strip("\"'") for _, v in _ATTRIBUTE.findall(m[3])) if m[3] else ""
 
 
 def texts(page: str) -> Iterator[tuple[tuple[str, ...], int, str]]:
@@ -112,96 +118,207 @@ def _apart(element: str, in_main: bool = False) -> bool:
     return name in CHROME or bool(not in_main and HEAD_WORDS.search(marks))
 
 
+@lru_cache(maxsize=100_000)
 def _main(element: str) -> bool:
     name, _, marks = element.partition(".")
     return name in ("article", "main") or bool(re.search(r"(?:^|\s)main(?:\s|$)", marks))
 
 
+@lru_cache(maxsize=100_000)
+def _named(element: str) -> str:
+    """An element without marks that hold digits, which often name one page, unless they say what it is."""
+    name, _, marks = element.partition(".")
+    kept = [m for m in marks.split() if not re.search(r"\d", m) or _apart(f"a.{m}")]
+    return f"{name}.{' '.join(kept)}" if kept else name
+
+
+@lru_cache(maxsize=100_000)
+def place(path: tuple[str, ...]) -> str:
+    """Name of a path in wrappers."""
+    return _SEPARATOR.join(map(_named, path))
+
+
 # -- inference
 
 
-def _shape(node: tuple) -> tuple:
-    """What two nodes must share to be aligned: texts agree with any text."""
-    if node[0] in ("slot", "constant"):
-        return ("text", node[1])
-    if node[0] in ("repeated", "optional"):
-        return (node[0], tuple(map(_shape, node[1])))
-    return node
+@dataclass(slots=True)
+class Node:
+    """Texts at one place of a wrapper: one or more of a path (``many``), or none (``optional``).
 
+    ``says`` is the digest of what they say, None for a slot; ``pages`` are up to
+    ``LEAST_PAGES`` distinct pages that say so.  Neighbours of one ``group`` (not 0)
+    repeat together.  ``members`` are the numbers of the texts of the page at hand.
+    """
 
-def stream(page: str) -> list[tuple]:
-    """Token stream of a whole page: tags, and texts by path."""
-    out: list[tuple] = []
-    for path, _, text in texts(page):
-        clean = " ".join(html.unescape(text).split())
-        if clean:
-            out += [("path", path), ("constant", path, clean)]
-    return out
+    path: str
+    says: int | None
+    pages: tuple[int, ...] = ()
+    many: bool = False
+    optional: bool = False
+    group: int = 0
+    members: tuple[int, ...] = ()
 
+    def join(self, other: Node) -> None:
+        self.says = self.says if self.says == other.says else None
+        self.pages = tuple(sorted({*self.pages, *other.pages})[:LEAST_PAGES]) if self.says is not None else ()
+        self.many, self.optional, self.members = self.many or other.many, self.optional or other.optional, self.members + other.members
 
-def _both(a: tuple, b: tuple) -> tuple:
-    """One node for two of the same shape."""
-    if a[0] in ("slot", "constant"):
-        return a if a == b else ("slot", a[1])
-    if a[0] in ("repeated", "optional"):
-        return (a[0], tuple(map(_both, a[1], b[1])))
-    return a
-
-
-def squares(nodes: list[tuple]) -> list[tuple]:
-    """Fold adjacent repetitions of a block of up to four nodes into repeated groups."""
-    for width in (2, 1, 4):
-        out: list[tuple] = []
-        for node in nodes:
-            out.append(node)
-            if len(out) >= width:
-                block = out[-width:]
-                shape = tuple(map(_shape, block))
-                before = out[-width - 1] if len(out) > width else None
-                if before and before[0] == "repeated" and tuple(map(_shape, before[1])) == shape:
-                    out[-width - 1 :] = [("repeated", tuple(map(_both, before[1], block)))]
-                elif len(out) >= 2 * width and tuple(map(_shape, out[-2 * width : -width])) == shape and not (width == 1 and node[0] == "repeated"):
-                    out[-2 * width :] = [("repeated", tuple(map(_both, out[-2 * width : -width], block)))]
-        nodes = out
-    return nodes
-
-
-def align(wrapper: list[tuple], page: list[tuple]) -> list[tuple]:
-    """The wrapper generalized so that it also matches a page."""
-    flat = [n[1] if n[0] == "optional" else (n,) for n in wrapper]
-    spread = [(n, w[0] == "optional") for w, group in zip(wrapper, flat, strict=True) for n in group]
-    names: dict[tuple, int] = {}
-    left = [names.setdefault(_shape(n), len(names)) for n, _ in spread]
-    right = [names.setdefault(_shape(n), len(names)) for n in page]
-    out: list[tuple] = []
-
-    def optional(group: list[tuple]) -> None:
-        if group:
-            out.append(("optional", tuple(group)))
 
-    for tag, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if tag == "equal":
-            for (a, was_optional), b in zip(spread[i:j], page[k:m], strict=True):
-                both = _both(a, b)
-                optional([both]) if was_optional else out.append(both)
-        else:
-            optional([n for n, _ in spread[i:j]])
-            optional(page[k:m])
-    return squares(out)
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
 
+def fold(nodes: list[Node]) -> list[Node]:
+    """Blocks of up to ``WIDTH`` paths that follow each other again and again, as repeated groups.
 
-def infer(pages: list[str]) -> list[tuple]:
+    A block that holds or cuts another group loses its order: all its texts are optional.
+    """
+    out: list[Node] = []
+    groups = 0
+    for node in nodes:
+        out.append(node)
+        for w in range(1, WIDTH + 1):
+            if len(out) < 2 * w or any(out[-k].path != out[-k - w].path for k in range(1, w + 1)):
+                continue
+            kept, again = out[-2 * w : -w], out[-w:]
+            for a, b in zip(kept, again, strict=True):
+                a.members += b.members
+                a.many = a.many or b.many or w == 1
+            if w > 1:
+                known, before = {n.group for n in kept}, len(out) - 2 * w - 1
+                alone = len(known) == 1 and (before < 0 or out[before].group not in known)
+                whole = not any(n.group for n in again) and (known == {0} or alone)
+                groups += 1
+                while not whole and before >= 0 and out[before].group in known - {0}:
+                    kept = [out[before], *kept]
+                    before -= 1
+                for a in kept:
+                    a.group, a.optional = groups, a.optional or not whole
+            del out[-w:]
+            break
+    return settle(out, _spans(out))
+
+
+def _spans(nodes: list[Node]) -> list[tuple[int, int]]:
+    """First and last node of each group."""
+    spans: dict[int, list[int]] = {}
+    for i, n in enumerate(nodes):
+        if n.group:
+            spans.setdefault(n.group, [i, i])[1] = i
+    return [(a, b) for a, b in spans.values()]
+
+
+def settle(nodes: list[Node], spans: list[tuple[int, int]]) -> list[Node]:
+    """Spans as groups; spans that overlap, and paths that come again and again, become one group of optional texts."""
+    places: dict[str, list[int]] = {}
+    for i, n in enumerate(nodes):
+        places.setdefault(n.path, []).append(i)
+    # first, last, and whether the order in the span is lost
+    cuts = [(a, b, False) for a, b in set(spans)] + [(at[0], at[-1], True) for at in places.values() if len(at) > PLACES]
+    merged: list[list] = []
+    for a, b, loose in sorted(cuts):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = [merged[-1][0], max(b, merged[-1][1]), True]
+        else:
+            merged.append([a, b, loose])
+    out, at = [], 0
+    for number, (a, b, loose) in enumerate(merged, 1):
+        out += nodes[at:a]
+        inside = nodes[a : b + 1]
+        if loose:
+            by_path: dict[str, Node] = {}
+            for n in inside:
+                if n.path in by_path:
+                    by_path[n.path].join(n)
+                    by_path[n.path].many = True
+                else:
+                    by_path[n.path] = n
+            inside = list(by_path.values())
+        for n in inside:
+            n.group, n.optional = number, n.optional or loose
+        out += inside
+        at = b + 1
+    return out + nodes[at:]
+
+
+def matched(wrapper: list[Node], page: list[Node]) -> Iterator[tuple[list[Node], list[Node], bool]]:
+    """Stretches of both in order: of equal paths, or of one side alone."""
+    left, right = [n.path for n in wrapper], [n.path for n in page]
+    if left == right:
+        yield wrapper, page, True
+        return
+    for tag, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
+        yield wrapper[i:j], page[k:m], tag == "equal"
+
+
+def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
+    """The wrapper generalized so that it also matches a page, or all that another wrapper matches."""
+    out: list[Node] = []
+    theirs_at: dict[int, list[int]] = {}
+    for ours, theirs, equal in matched(wrapper, page):
+        if equal:
+            for a, b in zip(ours, theirs, strict=True):
+                a.join(b)
+                if b.group:
+                    theirs_at.setdefault(b.group, []).append(len(out))
+                out.append(a)
+            continue
+        for n in ours:
+            n.optional = True
+        out += ours
+        for n in theirs:
+            n.optional = True
+            if n.group:
+                theirs_at.setdefault(n.group, []).append(len(out))
+                n.group = 0
+            out.append(n)
+    ours_at: dict[int, list[int]] = {}
+    for i, n in enumerate(out):
+        if n.group:
+            ours_at.setdefault(n.group, []).append(i)
+            n.group = 0
+    # a span that repeats on both sides stays one group: what one side lacks in it is optional
+    return settle(out, [(at[0], at[-1]) for at in (*ours_at.values(), *theirs_at.values())])
+
+
+def stream(page: str) -> tuple[list[Node], list[tuple[tuple[str, ...], int, str]], list[str]]:
+    """The folded nodes of a page, all its texts, and what they say (blank ones are in no node)."""
+    found = list(texts(page))
+    clean = [" ".join(html.unescape(t).split()) for _, _, t in found]
+    nodes = fold([Node(place(path), None, members=(i,)) for i, (path, _, _) in enumerate(found) if clean[i]])
+    name = digest("\0".join(filter(None, clean)))
+    for n in nodes:
+        n.says, n.pages = digest("\0".join(clean[i] for i in n.members)), (name,)
+    return nodes, found, clean
+
+
+def infer(pages: Iterable[str]) -> list[Node]:
     """Wrapper of pages of one template; no pages give an empty wrapper."""
-    wrapper: list[tuple] = []
-    for number, page in enumerate(sorted(pages)):
-        folded = squares(stream(page))
-        wrapper = align(wrapper, folded) if number else folded
-    return wrapper
+    wrapper: list[Node] | None = None
+    for page in pages:
+        nodes = stream(page)[0]
+        wrapper = nodes if wrapper is None else align(wrapper, nodes)
+    return wrapper or []
+
+
+def expression(wrapper: list[Node], symbol: Callable[[str], str] = lambda path: f"<{path}>") -> str:
+    """The wrapper as a regular expression over paths."""
+    out, last = "", 0
+    for n in [*wrapper, Node("", None)]:
+        if last and n.group != last:
+            out += ")+"
+        if n.group and n.group != last:
+            out += "(?:"
+        last = n.group
+        if n.path:
+            out += symbol(n.path) + ("*" if n.many and n.optional else "+" if n.many else "?" if n.optional else "")
+    return out
 
 
 # -- main text or not
 
 
+@lru_cache(maxsize=100_000)
 def by_elements(path: tuple[str, ...], has_main: bool) -> bool:
     """Is the text at a path main text, by element names, classes, ids and roles alone?
 
@@ -214,36 +331,61 @@ def by_elements(path: tuple[str, ...], has_main: bool) -> bool:
     return not has_main and not any(map(_apart, path))
 
 
-def path_key(path: tuple[str, ...]) -> int:
-    return xxhash.xxh64_intdigest("/".join(path).encode()) - (1 << 63)
+def block_of(path: str) -> str:
+    """A path up to its last block element."""
+    names = path.split(_SEPARATOR)
+    while names and names[-1].partition(".")[0] not in BLOCKS:
+        names.pop()
+    return _SEPARATOR.join(names)
 
 
-def positions(page: str) -> dict[int, list[int]]:
-    """Path -> digests of its texts in page order, of a page without a main element; none of others."""
-    out: dict[int, list[int]] = {}
-    keys: dict[tuple[str, ...], int] = {}
-    for path, _, text in texts(page):
-        if path not in keys:
-            if any(map(_main, path)):
-                return {}
-            keys[path] = path_key(path)
-        if clean := " ".join(html.unescape(text).split()):
-            out.setdefault(keys[path], []).append(xxhash.xxh64_intdigest(clean.encode()) - (1 << 63))
-    return out
+def roles(wrapper: Sequence[Node], has_main: bool) -> list[bool]:
+    """Which nodes are main text, on pages with or without a main element.
+
+    Proven constants are not, unless they belong to a block that says other things as
+    well.  Where that leaves nothing, the wrapper's pages are copies, which do not show
+    what is template, and elements decide alone.
+    """
+    main = [by_elements(tuple(n.path.split(_SEPARATOR)), has_main) for n in wrapper]
+    varied = {block_of(n.path) for n in wrapper if n.says is None or len(n.pages) < LEAST_PAGES}
+    data = [m and block_of(n.path) in varied for m, n in zip(main, wrapper, strict=True)]
+    return data if any(data) else main
+
+
+@dataclass(slots=True)
+class Wrapper:
+    """A host's wrapper, ready for use."""
+
+    nodes: list[Node]
+    main: dict[bool, list[bool]]
+    by_path: dict[bool, dict[str, bool]]
+
+    @classmethod
+    def of(cls, nodes: list[Node]) -> Wrapper:
+        main = {known: roles(nodes, known) for known in (False, True)}
+        return cls(nodes, main, {k: dict(zip((n.path for n in nodes), m, strict=True)) for k, m in main.items()})
 
 
-def extract(page: str | None, constant: Container[int] = ()) -> str:
-    """Main text of a whole page; ``constant`` are the paths that say the same on all its host's pages.
+def extract(page: str | None, wrapper: Wrapper) -> str:
+    """Main text of a whole page, by the wrapper of its host.
 
-    A page with a main element is judged by its elements alone.
+    A text that alignment leaves over takes the role of its path, and a path that the
+    wrapper does not know that of its elements.
     """
-    found = list(texts(page or ""))
-    paths = {p for p, _, _ in found}
-    has_main = any(_main(e) for path in paths for e in path)
-    main = {p for p in paths if by_elements(p, has_main) and (has_main or path_key(p) not in constant)}
+    nodes, found, clean = stream(page or "")
+    has_main = any(_main(e) for path in {p for p, _, _ in found} for e in path)
+    role, by_path = wrapper.main[has_main], wrapper.by_path[has_main]
+    main: set[int] = set()
+    at = 0
+    for ours, theirs, equal in matched(wrapper.nodes, nodes):
+        for k, n in enumerate(theirs):
+            known = role[at + k] if equal else by_path.get(n.path)
+            if by_elements(tuple(n.path.split(_SEPARATOR)), has_main) if known is None else known:
+                main.update(n.members)
+        at += len(ours)
     blocks: dict[int, list[str]] = {}
-    for path, block, text in found:
-        if path in main:
+    for i, (path, block, text) in enumerate(found):
+        if i in main or (not clean[i] and by_elements(path, has_main)):
             blocks.setdefault(block, []).append(text)
     joined = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return " ".join(b for b in joined if b)
@@ -252,61 +394,57 @@ def extract(page: str | None, constant: Container[int] = ()) -> str:
 # -- on tables
 
 
-def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host``, ``path``, ``k``, ``d``, ``page``: what a task's pages show of each position.
+def pack(wrapper: list[Node]) -> str:
+    return json.dumps([[n.path, n.says, n.pages, int(n.many), int(n.optional), n.group] for n in wrapper], ensure_ascii=False)
 
-    A position is a path and the number ``k`` of a text among those of its path.  While
-    it says the same (digest ``d``), up to ``LEAST_PAGES`` distinct pages of it are
-    kept; two pages that differ settle the whole path.  States merge by union.
-    """
-    held: dict[tuple[str, int], list | tuple] = {}
+
+def unpack(text: str | None) -> list[Node]:
+    return [Node(path, says, tuple(pages), bool(many), bool(optional), group) for path, says, pages, many, optional, group in json.loads(text or "[]")]
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host``, ``wrapper``: of the pages of a task."""
+    held: dict[str, list[Node]] = {}
     size = 0
 
     def rows() -> pa.RecordBatch:
-        out = []
-        for (at, path), state in held.items():
-            if isinstance(state, tuple):
-                out += [(at, path, *r) for r in state]
-            else:
-                out += [(at, path, k, d, p) for k, (d, pages) in enumerate(state) for p in pages]
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "path", "k", "d", "page"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pack(w) for w in held.values()], pa.string())], ["host", "wrapper"])
+        held.clear()
+        return out
 
     for batch in chain.from_iterable(map(slices, batches)):
-        for at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            number = xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
-            for path, digests in positions(text or "").items():
-                state = held.setdefault((at, path), [])
-                if isinstance(state, tuple):
-                    continue
-                for k, d in enumerate(digests):
-                    if k == len(state):
-                        state.append((d, [number]))
-                        size += 1
-                    elif state[k][0] != d:
-                        held[at, path] = ((k, state[k][0], state[k][1][0]), (k, d, number))
-                        break
-                    elif len(state[k][1]) < LEAST_PAGES and number not in state[k][1]:
-                        state[k][1].append(number)
-            if size > HELD_POSITIONS:
-                yield rows()
-                held.clear()
-                size = 0
+        for at, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            nodes = stream(page or "")[0]
+            for n in nodes:
+                n.members = ()
+            if nodes:
+                before = held.get(at)
+                held[at] = align(before, nodes) if before else nodes
+                size += len(held[at]) - len(before or ())
+        if size > HELD_NODES:
+            yield rows()
+            size = 0
     yield rows()
 
 
+def _merge(table: pa.Table) -> pa.Table:
+    """One wrapper for all partial ones of a group."""
+    wrapper: list[Node] = []
+    for k, text in enumerate(sorted(table.column("wrapper").to_pylist())):
+        wrapper = align(wrapper, unpack(text)) if k else unpack(text)
+    return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([pack(wrapper)], pa.string())})
+
+
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host`` and ``constant``, its paths that say the same on all pages without a main element.
+    """``host`` and ``wrapper`` (JSON), inferred from all pages of the host.
 
-    Every distinct page counts, and all of it.  A path is constant if each of its
-    positions stands on ``LEAST_PAGES`` distinct pages or more and says the same on all
-    of them.  Tasks merge their pages first, so a host with most of the pages costs no
-    more rows than others.
+    Tasks infer from their own pages and send one wrapper a host, so a host with most of
+    the pages costs no more rows than others.  Its partial wrappers merge in two steps,
+    spread by a hash first.  A wrapper has at most ``PLACES`` nodes of a path.
     """
-    found = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_states, "host string, path bigint, k int, d bigint, page bigint")
-    same = found.distinct().groupBy("host", "path", "k").agg(((F.min("d") == F.max("d")) & (F.count("*") >= LEAST_PAGES)).alias("same"))
-    return same.groupBy("host", "path").agg(F.min("same").alias("same")).where("same").groupBy("host").agg(F.collect_list("path").alias("constant"))
+    found = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_partial, "host string, wrapper string").distinct()
+    spread = found.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(SPREAD))).applyInArrow(_merge, "host string, wrapper string")
+    return spread.groupBy("host").applyInArrow(_merge, "host string, wrapper string")
 
 
 def host(url):
@@ -322,22 +460,21 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     column is read.  Host tables are broadcast when proven small, else joined by host.
     """
     learned = checkpoint(wrappers(pages, url_col, html_col))
-    size = learned.agg(F.coalesce(F.sum(F.size("constant") * 64 + F.octet_length("host") + 300), F.lit(0))).first()[0]
+    size = learned.agg(F.coalesce(F.sum(F.octet_length("wrapper") * 4 + F.octet_length("host") + 300), F.lit(0))).first()[0]
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
     small = size <= BROADCAST_LIMIT
     if small:
-        shared = pages.sparkSession.sparkContext.broadcast({r.host: frozenset(r.constant) for r in learned.collect()})
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in learned.collect()})
     else:
-        rows = rows.join(learned, "host", "left").select("id", "url", "html", "host", "constant")
+        rows = rows.join(learned, "host", "left").select("id", "url", "html", "host", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
+        unpacked = lru_cache(maxsize=512)(lambda text: Wrapper.of(unpack(text)))
+        for batch in chain.from_iterable(map(slices, batches)):
             hosts = batch.column(3).to_pylist()
-            given = [shared.value.get(h, ()) for h in hosts] if small else [frozenset(c or ()) for c in batch.column(4).to_pylist()]
-            for page, constant in zip(batch.column(2).to_pylist(), given, strict=True):
-                found.append(extract(page, constant))
+            given = map(shared.value.get, hosts) if small else batch.column(4).to_pylist()
+            found = [extract(page, unpacked(wrapper)) for page, wrapper in zip(batch.column(2).to_pylist(), given, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [id_col, "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, url string, text string, n_chars bigint")

@@ -274,14 +274,53 @@ def test_html_reads_long_pages_to_their_end(spark):
     frame = spark.createDataFrame([(k, *r) for k, r in enumerate(given)], "page_id bigint, url string, html string")
     found = [r.text for r in html_wrapper.main_text(frame).orderBy("page_id").collect()]
     assert found == [" ".join(f"{k} {j}" for j in range(3000 if k else 2)) for k in range(4)] + ["the article"]
-    assert ("constant", ("section",), "Imprint") in html_wrapper.infer([h for _, h in given[1:4]])
+    wrapper = html_wrapper.infer([h for _, h in given[1:4]])
+    assert [(n.path, n.says == html_wrapper.digest("Imprint"), len(n.pages)) for n in wrapper if n.path == "section"] == [("section", True, 3)]
 
 
 def test_html_wrapper_is_union_free():
-    pages = [f"<ul>{''.join(f'<li>{k}{j}</li>' for j in range(n))}</ul>{'<p>now</p>' * (n > 3)}<p>end</p>" for k, n in enumerate((2, 3, 5))]
-    wrapper = html_wrapper.infer(pages)
-    kinds = {n[0] for n in wrapper}
-    assert "repeated" in kinds and kinds <= {"path", "slot", "constant", "repeated", "optional"}
+    pages = [f"<ul>{''.join(f'<li>{k}{j}</li><i>x</i>' for j in range(n))}</ul>{'<p>now</p>' * (n > 3)}<div>end</div>" for k, n in enumerate((2, 3, 5))]
+    said = html_wrapper.expression(html_wrapper.infer(pages))
+    assert said == "(?:<ul\x1fli><ul\x1fi>)+<p>?<div>"
+
+
+def test_html_wrappers_match_all_their_pages():
+    rng = np.random.default_rng(8)
+    block = lambda: "".join(f"<{x}>t{rng.integers(3)}</{x}>" for x in rng.choice(list("abiqsu"), rng.integers(1, 5)))
+    for _ in range(150):
+        parts = [block() for _ in range(3)]
+        pages = ["".join(parts[int(j)] * int(rng.integers(1, 4)) for j in rng.integers(0, 3, rng.integers(1, 5))) for _ in range(5)]
+        wrappers = [html_wrapper.infer(pages), html_wrapper.align(html_wrapper.infer(pages[:2]), html_wrapper.infer(pages[2:]))]
+        for wrapper in wrappers:
+            back = html_wrapper.unpack(html_wrapper.pack(wrapper))
+            assert html_wrapper.pack(back) == html_wrapper.pack(wrapper)
+            language = html_wrapper.expression(wrapper, str)
+            assert "|" not in language
+            for page in pages:
+                assert re.fullmatch(language, "".join(re.findall(r"<(\w)>", page))), (page, language)
+            seen = defaultdict(set)
+            for page in pages:
+                for name, text in re.findall(r"<(\w)>([^<]*)<", page):
+                    seen[name].add(text)
+            for n in wrapper:  # a constant says what all pages say there
+                assert n.says is None or len(seen[n.path]) > 0
+            assert max(map([n.path for n in wrapper].count, seen)) <= html_wrapper.PLACES
+
+
+def test_html_wrapper_decides(spark):
+    """Unmarked templates: without wrappers all of their texts would stay."""
+    made = {
+        "http://a.example/": lambda k: f"<table><tr><td>Home</td><td>World</td></tr></table><div><h2>Title {k}</h2><p>Body <b>of</b> {k}</p><p>More {k}</p></div><center>All rights</center>",
+        "http://b.example/": lambda k: f"<section><em>The Daily</em></section><ul>{''.join(f'<li>point {k} {j}</li>' for j in range(k + 1))}</ul>{'<blockquote>Sign up</blockquote>' * (k % 2)}<dl><dt>Contact</dt><dd>Imprint</dd></dl>",
+        "http://c.example/": lambda k: f"<h1>Site</h1><main><h2>On {k}</h2><div>By our staff</div><p>text {k}</p></main>",
+    }
+    given = [(f"{u}{k}", f(k)) for u, f in made.items() for k in range(6)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(given)], "page_id bigint, url string, html string").repartition(4)
+    found = [r.text for r in html_wrapper.main_text(frame).orderBy("page_id").collect()]
+    want = [f"Title {k} Body of {k} More {k}" for k in range(6)] + [" ".join(f"point {k} {j}" for j in range(k + 1)) for k in range(6)] + [f"On {k} text {k}" for k in range(6)]
+    assert found == want
+    bare = html_wrapper.Wrapper.of([])
+    assert all(html_wrapper.extract(h, bare) != w for (_, h), w in zip(given, want, strict=True))
 
 
 def test_html_on_the_smallest_input(spark):
