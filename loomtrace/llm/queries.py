@@ -103,12 +103,12 @@ _OP4_SQL = rf"""
            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
     FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-#: For pages whose main text is one article element.
+#: For pages whose main text is one article element, as all of the given tables; no equivalent of the operator elsewhere.
 _OP6_SQL = r"""
     WITH inner_ AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
     plain AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(?:p|h1|br|li|ul|div)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM inner_),
     decoded AS (SELECT page_id, url, trim(regexp_replace(html_unescape, '\s+', ' ', 'g')) AS text
-                FROM (SELECT page_id, url, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;', '&') AS html_unescape FROM plain))
+                FROM (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS html_unescape FROM plain))
     SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM decoded"""
 
 _OP8_SQL = rf"""
