@@ -7,6 +7,8 @@ remote documents, pages for locators.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import plain as P
+from .functions.constants import REDACTIONS
 from .operators import canonical, queue, reports, state
-from .plans import search
+from .plans import index, search
 from .sources import classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +52,7 @@ _TURNS = f"""
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").withColumn("content", canonical.clean(F.col("role"), F.col("text"))).where("content <> ''")
-    return turns.withColumn("line", F.to_json(F.struct("role", "content")))
+    return turns.withColumn("line", F.to_json(F.struct("role", "content"))).withColumn("redactions", C.redaction_count(F.col("content")))
 
 
 @query(f"WITH {_TURNS} SELECT conv_id, turn, role, sha256(content) AS content_sha256, length(content)::BIGINT AS n_chars FROM lines")
@@ -58,7 +61,7 @@ def canonical_turns(spark, sf_dir):
 
 
 @query(f"""WITH {_TURNS} SELECT conv_id, sum(strlen(line) + 1)::BIGINT AS canonical_bytes, count(*) AS canonical_turns,
-    sha256(string_agg(line, chr(10) ORDER BY turn) || chr(10)) AS canonical_hash, CASE WHEN count(*) <= 1 THEN 'empty_after_normalization' ELSE 'eligible' END AS status
+    sha256(string_agg(line, chr(10) ORDER BY turn) || chr(10)) AS canonical_hash, count(*) FILTER (regexp_matches(content, '(?i)(token|key|secret)\\s*[:=]'))::BIGINT AS redactions, CASE WHEN count(*) <= 1 THEN 'empty_after_normalization' ELSE 'eligible' END AS status
     FROM lines GROUP BY conv_id""")
 def session_stats(spark, sf_dir):
     return canonical.sessions(_lines(spark, sf_dir), "conv_id", "turn")
@@ -135,14 +138,14 @@ _RANKED = f"""{_PASSAGES}, {_TOKENS},
     st AS (SELECT count(*) AS rows_, avg(len(w)) AS avg_ FROM tok),
     df AS (SELECT pos, count(*) AS d FROM tf WHERE f > 0 GROUP BY pos),
     ranked AS (SELECT document_id, entry_id, passage_no,
-        round(-sum(greatest(ln((rows_ - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / avg_))), 6) AS rank
-        FROM tf JOIN df USING (pos), st WHERE f > 0 GROUP BY ALL)"""
+        -list_sum(list(greatest(ln((rows_ - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / avg_)) ORDER BY pos)) AS rank
+        FROM tf JOIN df USING (pos), st WHERE f > 0 GROUP BY document_id, entry_id, passage_no)"""
 
 
-@query(f"WITH {_RANKED} SELECT * FROM ranked ORDER BY rank, document_id, entry_id, passage_no LIMIT 100")
+@query(f"WITH {_RANKED} SELECT document_id, entry_id, passage_no, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank, document_id, entry_id, passage_no LIMIT 100")
 def bm25_topk(spark, sf_dir):
-    ranked = search.scored(_passages(spark, sf_dir), _TERMS, ["document_id"]).withColumn("rank", F.round("rank", 6))
-    return ranked.select("document_id", "entry_id", "passage_no", "rank").orderBy("rank", "document_id", "entry_id", "passage_no").limit(100)
+    ranked = search.scored(_passages(spark, sf_dir), _TERMS, ["document_id"])
+    return ranked.orderBy("rank", "document_id", "entry_id", "passage_no").limit(100).select("document_id", "entry_id", "passage_no", F.round("rank", 6).alias("rank"))
 
 
 _EXPLICIT = P.explicit_terms(SEARCH_QUERY) or _TERMS
@@ -165,7 +168,7 @@ _EXPLICIT = P.explicit_terms(SEARCH_QUERY) or _TERMS
     x AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY document_id, entry_id, text ORDER BY bucket, place) = 1),
     y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY document_id, entry_id ORDER BY bucket, place) <= 2),
     z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY bucket, place) <= 3)
-    SELECT document_id, entry_id, passage_no, bucket::INTEGER AS bucket, rank FROM z ORDER BY bucket, place LIMIT 6""")
+    SELECT document_id, entry_id, passage_no, bucket::INTEGER AS bucket, round(rank, 6) AS rank FROM z ORDER BY z.bucket, place LIMIT 6""")
 def evidence_search(spark, sf_dir):
     """Hits of a query about the present: anchor, candidates, match test, corrections, latest, caps."""
     return search.evidence(_passages(spark, sf_dir), SEARCH_QUERY).select("document_id", "entry_id", "passage_no", "bucket", "rank")
@@ -184,23 +187,105 @@ _PLAIN = P.query_terms(PLAIN_QUERY)
     a AS (SELECT *, row_number() OVER (PARTITION BY document_id, entry_id, text ORDER BY rank, passage_no) AS r0 FROM ok),
     b AS (SELECT *, row_number() OVER (PARTITION BY document_id, entry_id ORDER BY rank, passage_no) AS r1 FROM a WHERE r0 = 1),
     c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY rank, entry_id, passage_no) AS r2 FROM b WHERE r1 <= 2)
-    SELECT document_id, entry_id, passage_no, rank FROM c WHERE r2 <= 3 ORDER BY rank, document_id, entry_id, passage_no LIMIT 6""")
+    SELECT document_id, entry_id, passage_no, round(rank, 6) AS rank FROM c WHERE r2 <= 3 ORDER BY c.rank, document_id, entry_id, passage_no LIMIT 6""")
 def evidence_lexical(spark, sf_dir):
     return search.evidence(_passages(spark, sf_dir), PLAIN_QUERY).select("document_id", "entry_id", "passage_no", "rank")
 
 
+# -- the stored index
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[index.Index, DataFrame, DataFrame]:
+    """An index of all documents, each an entry of its source, and the tables it is made from."""
+    d = read(spark, sf_dir, "documents")
+    sessions = d.groupBy("source").agg(F.max("doc_id").cast("string").alias("canonical_hash")).select(F.col("source").alias("document_id"), "source", F.col("source").alias("native_session_id"), F.concat(F.lit("/h/"), "source").alias("source_path"), "canonical_hash")
+    turns = d.select(F.col("source").alias("document_id"), F.col("doc_id").cast("string").alias("entry_id"), F.lit(None).cast("string").alias("parent_entry_id"), F.lit("user").alias("role"), F.lit(None).cast("string").alias("provenance"), F.format_string("%012d", "doc_id").alias("timestamp"), F.col("text").alias("content"))
+    return index.build(sessions, turns), sessions, turns
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> index.Index:
+    path = f"{canonical.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.write(_indexed(spark, sf_dir)[0], path)
+    return index.read(spark, path)
+
+
+@query(f"""WITH {_PASSAGES}, {_TOKENS.split("terms(pos")[0].rstrip().rstrip(",")}, p AS (SELECT document_id, entry_id, passage_no, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tok)
+    SELECT term, count(*) AS n, count(DISTINCT (document_id, entry_id, passage_no)) AS n_passages, count(DISTINCT document_id) AS n_documents, sum(pos - 1)::BIGINT AS places FROM p GROUP BY term""")
+def index_postings(spark, sf_dir):
+    """The vocabulary of the index: how often each term stands in it, and where."""
+    p = _indexed(spark, sf_dir)[0].postings
+    return p.groupBy("term").agg(F.sum(F.size("positions")).alias("n"), F.count("*").alias("n_passages"), F.countDistinct("document_id").alias("n_documents"), F.sum(F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("places"))
+
+
+@query(ORACLE_SQL["evidence_search"])
+def index_search(spark, sf_dir):
+    """The same hits as a search of the texts, from the stored postings."""
+    return index.evidence(_stored(spark, sf_dir), SEARCH_QUERY).select("document_id", "entry_id", "passage_no", "bucket", "rank")
+
+
+@query("""WITH k AS (SELECT source, max(doc_id) AS h, max(doc_id) % 3 AS m FROM documents GROUP BY source)
+    SELECT d.source AS document_id, CASE WHEN m = 1 THEN h + 1 ELSE h END::VARCHAR AS canonical_hash, CASE WHEN m = 2 THEN '/h/' ELSE '/new/' END || d.source AS source_path,
+        count(*) FILTER (m = 1 OR trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '') AS n_entries, bool_and(m = 1 OR starts_with(text, 'B')) AS replaced
+    FROM documents d JOIN k ON d.source = k.source WHERE m <> 0 OR h % 2 = 1 GROUP BY ALL""")
+def index_upsert(spark, sf_dir):
+    """Sessions of three kinds against an index: unchanged with a new path, changed, and left out or empty."""
+    built, sessions, turns = _indexed(spark, sf_dir)
+    h = F.col("canonical_hash").cast("bigint")
+    kind = h % 3
+    given = sessions.withColumn("source_path", F.concat(F.lit("/new/"), "source")).withColumn("status", F.when((kind == 0) & (h % 2 == 0), "empty_after_normalization").otherwise("discovered"))
+    given = given.withColumn("classification", F.when(kind == 2, "subagent").otherwise("primary")).withColumn("canonical_hash", F.when(kind == 1, h + 1).otherwise(h).cast("string"))
+    got = index.update(built, given, turns.withColumn("content", F.concat(F.lit("B"), "content")))
+    each = got.passages.where("passage_no = 1").groupBy("document_id").agg(F.countDistinct("entry_id").alias("n_entries"), F.bool_and(F.col("text").startswith("B")).alias("replaced"))
+    return got.documents.join(each, "document_id").select("document_id", "canonical_hash", "source_path", "n_entries", "replaced")
+
+
 # -- text functions
 
 
-@query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '(?im)(^|[\\s{\\[,;(])((?:[A-Z_][A-Z0-9_-]*)?(?:API[_-]?KEY|TOKEN|SECRET|PASSWORD|PASSWD|PASS|PASSPHRASE|CREDENTIALS?|PRIVATE[_-]?KEY|AUTHORIZATION|COOKIE)(?:[_-][A-Z0-9_-]+)?)(\\s*[:=]\\s*)"(?:\\\\[\\s\\S]|[^"\\\\])*"', '\\1\\2\\3"[REDACTED:SECRET]"', 'g')) AS redacted_sha256 FROM documents""")
+_BOUNDARY = next(p for n, _, p, _, _ in REDACTIONS if n == "AWS_ACCESS_KEY").partition("AKIA")[0]
+
+
+def _redacted_sql(start: str) -> tuple[str, str]:
+    """Common table expressions of all rules over ``start(doc_id, t0)``, and the last text.
+
+    The engine of the SQL side has no lookaround: bare values end before a bracket there,
+    and what is redacted already is told by its bracket.
+    """
+    steps, at = [start], 0
+    for name, flags, pattern, to, _ in REDACTIONS:
+        head = pattern.partition(r"(\"(?:")[0]
+        bare = "[^\\s,;}\\]#\\[\"'][^\\s,;}\\]#\\[]*"
+        forms = [(pattern, to)]
+        if name == "SECRET_ASSIGNMENT":
+            named = [head.replace("([\"']?)", f"({q})").replace("(\\2", f"({q}") for q in ("", '"', "'")]
+            forms = [(h + v, "$1$2$3$4" + r) for h in named for v, r in ((r'"(?:\\[\s\S]|[^"\\])*"', '"[REDACTED:SECRET]"'), (r"'(?:\\[\s\S]|[^'\\])*'", "'[REDACTED:SECRET]'"), (bare, "[REDACTED:SECRET]"))]
+        text = f"t{at}"
+        for p, r in forms:
+            p = re.sub(r"\(\?!\[\^[^)]*REDACTED:\)", "", p.replace(_BOUNDARY, r"\b"))
+            options = f"(?{flags})" if flags else ""
+            text = "regexp_replace({}, '{}', '{}', 'g')".format(text, (options + p).replace("'", "''"), re.sub(r"\$(\d)", r"\\\1", r).replace("'", "''"))
+        steps.append(f"s{at + 1} AS (SELECT *, {text} AS t{at + 1} FROM s{at})")
+        at += 1
+    return ",\n    ".join(steps), f"s{at}"
+
+
+_REDACTED, _LAST = _redacted_sql(r"s0 AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t0 FROM documents)")
+
+
+@query(f"WITH {_REDACTED} SELECT doc_id, sha256(t{len(REDACTIONS)}) AS redacted_sha256 FROM {_LAST}")
 def redact_documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(C.redact(F.col("text")), 256).alias("redacted_sha256"))
 
 
-@query()
+#: One text for each rule, and some for several.
+PLANTED = ["password=hunter2x", "Authorization: Bearer abc.def", "Cookie: a=b", "postgres://u:pw@h/db", "https://u:pw@h/", "see https://h/?token=abc", "AKIA" + "A" * 16, "ghp_" + "a" * 24, "sk-" + "a" * 24, "AIza" + "a" * 32, "Bearer abc", "AWS_SESSION_TOKEN=abc/def", "-----BEGIN RSA PRIVATE KEY-----\nMII\n-----END RSA PRIVATE KEY-----", '"api_key": "a \\" b"', "'secret' : 'x y'"]
+_PLANTED, _ = _redacted_sql(f"s0 AS (SELECT doc_id, text || chr(10) || ([{', '.join('$$' + t + '$$' for t in PLANTED)}])[doc_id % {len(PLANTED)} + 1] AS t0 FROM documents)")
+
+
+@query(f"""WITH {_PLANTED} SELECT unnest([{', '.join(f"'{n}'" for n, *_ in REDACTIONS)}]) AS rule, unnest([{', '.join(f"count(*) FILTER (t{k} <> t{k + 1})" for k in range(len(REDACTIONS)))}]) AS n FROM {_LAST}""")
 def redaction_rules(spark, sf_dir):
     """Texts that each rule changes, over documents with one planted secret each."""
-    secrets = ["password=hunter2x", "Authorization: Bearer abc.def", "Cookie: a=b", "postgres://u:pw@h/db", "https://u:pw@h/", "see https://h/?token=abc", "AKIA" + "A" * 16, "ghp_" + "a" * 24, "sk-" + "a" * 24, "AIza" + "a" * 32, "Bearer abc"]
+    secrets = PLANTED
     docs = read(spark, sf_dir, "documents").select(F.concat("text", F.lit("\n"), F.element_at(F.array(*map(F.lit, secrets)), (F.col("doc_id") % len(secrets) + 1).cast("int"))).alias("t"))
     steps = C.redaction_steps(F.col("t"))
     counts = docs.agg(*[F.count_if(before != after).alias(name) for name, before, after in steps])

@@ -48,11 +48,15 @@ def _secret_forms() -> list[tuple[str, str]]:
     """The assignment rule for double-quoted, single-quoted and bare values.
 
     A value that is redacted already does not match; a bare value may begin with a
-    quote that nothing closes, and then shows it on both sides.
+    quote that nothing closes, and then shows it on both sides.  Loops take whole
+    stretches of plain characters and never give back, so they need no stack, however
+    long a value is.
     """
-    name = r"(?im)(^|[\s{\[,;(])([\"']?)((?:[A-Z_][A-Z0-9_-]*)?(?:API[_-]?KEY|TOKEN|SECRET|PASSWORD|PASSWD|PASS|PASSPHRASE|CREDENTIALS?|PRIVATE[_-]?KEY|AUTHORIZATION|COOKIE)(?:[_-][A-Z0-9_-]+)?)(\2\s*[:=]\s*)"
-    closed = {q: rf"{q}(?:\\[\s\S]|[^{q}\\])*+{q}" for q in "\"'"}
-    forms = [(f"{name}(?!{q}(?:\\\\[\\s\\S]|[^{q}\\\\])*?\\[REDACTED:){closed[q]}", f"$1$2$3$4{q}[REDACTED:SECRET]{q}") for q in "\"'"]
+    whole = next(pattern for name, _, pattern, _, _ in REDACTIONS if name == "SECRET_ASSIGNMENT")
+    name = "(?im)" + whole[: whole.index(r"(\"")]
+    closed = {q: rf"{q}[^{q}\\]*+(?:\\[\s\S][^{q}\\]*+)*+{q}" for q in "\"'"}
+    marked = {q: rf"{q}[^{q}\\\[]*+(?:(?:\\(?!\[REDACTED:)[\s\S]|\[(?!REDACTED:))[^{q}\\\[]*+)*+\\?\[REDACTED:" for q in "\"'"}
+    forms = [(f"{name}(?!{marked[q]}){closed[q]}", f"$1$2$3$4{q}[REDACTED:SECRET]{q}") for q in "\"'"]
     bare = r"(?![^\s,;}\]#]*\[REDACTED:)"
     forms += [(f"{name}{bare}(?!{closed[q]}){q}[^\\s,;}}\\]#]*", f"$1$2$3$4{q}[REDACTED:SECRET]{q}") for q in "\"'"]
     return [*forms, (f"{name}{bare}(?![\"'])[^\\s,;}}\\]#]+", "$1$2$3$4[REDACTED:SECRET]")]
@@ -85,6 +89,22 @@ def redact(text: Column) -> Column:
     return redaction_steps(text)[-1][2]
 
 
+def redaction_count(text: Column) -> Column:
+    """Replacements that change anything, over all rules; what is redacted already does not count again."""
+    now = F.struct(line_feeds(text).alias("t"), F.lit(0).alias("n"))
+    for name, flags, pattern, to, hint in REDACTIONS:
+        forms = _secret_forms() if name == "SECRET_ASSIGNMENT" else [(f"(?{flags}){pattern}" if flags else pattern, to)]
+        for p, s in forms:
+
+            def step(x: Column) -> Column:
+                changed = F.filter(F.regexp_extract_all(x["t"], F.lit(p), 0), lambda m: F.regexp_replace(m, p, s) != m)
+                after = F.struct(F.regexp_replace(x["t"], p, s).alias("t"), (x["n"] + F.size(changed)).alias("n"))
+                return F.when(F.rlike(x["t"], F.lit(f"(?i){hint}")), after).otherwise(x)
+
+            now = F.get(F.transform(F.array(now), step), 0)
+    return F.when(text.isNull(), 0).otherwise(now["n"])
+
+
 def document_id(source: Column, session: Column) -> Column:
     return F.concat(F.lit("agent-session:"), source, F.lit(":"), session)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -12,11 +12,24 @@ from ..functions import columns as C
 MAX_BYTES = 100 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for files between jobs: the one that ``spark.checkpoint.dir`` names.
+
+    Without that setting a session in one process gets a folder of its own; a cluster is
+    refused, as its executors would write to their own disks.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint; only a session without a folder for it gets a local one."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -57,23 +70,37 @@ def provenance_tree(turns: DataFrame) -> DataFrame:
 
 
 def sessions(lines: DataFrame, session: str, order: str, line: str = "line", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Bytes, turns and content hash of each session; one above the limit is refused, never cut."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, line)))
-    text = F.concat(F.array_join(F.transform(ordered, lambda x: x[line]), "\n"), F.lit("\n"))
-    n = F.sum(F.octet_length(line) + 1)
-    made = lines.groupBy(session).agg(n.alias("canonical_bytes"), F.count("*").alias("canonical_turns"), F.when(n <= max_bytes, F.sha2(text, 256)).alias("canonical_hash"))
+    """Bytes, turns, redactions and content hash of each session; one above the limit is refused, never cut.
+
+    The bytes are added up first, and lines of a session above the limit are not
+    gathered.  Redactions are the sum of that column, where ``lines`` have one.
+    """
+    size = F.sum(F.octet_length(line) + 1).over(Window.partitionBy(session))
+    sized = lines.withColumn("_size", size).withColumn("_line", F.when(F.col("_size") <= max_bytes, F.struct(order, line)))
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("_line")), lambda x: x[line]), "\n"), F.lit("\n"))
+    redactions = F.sum("redactions") if "redactions" in lines.columns else F.lit(0)
+    made = sized.groupBy(session).agg(F.max("_size").alias("canonical_bytes"), F.count("*").alias("canonical_turns"), redactions.cast("bigint").alias("redactions"), F.when(F.max("_size") <= max_bytes, F.sha2(text, 256)).alias("canonical_hash"))
     return made.withColumn("status", F.when(F.col("canonical_bytes") > max_bytes, "too_large").when(F.col("canonical_turns") <= 1, "empty_after_normalization").otherwise("eligible"))
 
 
-def write_spool(lines: DataFrame, path: str, session: str, order: str) -> None:
-    """Canonical lines as text, a folder a session."""
-    lines.repartition(F.col(session)).sortWithinPartitions(session, order).select(session, F.col("line").alias("value")).write.partitionBy(session).text(path)
+def write_spool(lines: DataFrame, path: str, session: str, order: str, buckets: int = 256, max_bytes: int = MAX_BYTES) -> None:
+    """Canonical lines in order as Parquet, by buckets of sessions (a folder a session would be too many files).
+
+    A session above the limit stops the write: a document is never cut.
+    """
+    size = F.sum(F.octet_length("line") + 1).over(Window.partitionBy(session))
+    fits = F.when(size <= max_bytes, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("canonical document exceeds "), F.lit(str(max_bytes)), F.lit(" bytes"))).cast("boolean"))
+    kept = lines.withColumn("_fits", fits).where("_fits").drop("_fits").withColumn("bucket", F.pmod(F.xxhash64(session), F.lit(buckets)))
+    kept.repartition("bucket").sortWithinPartitions("bucket", session, order).write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
-def export(lines: DataFrame, session: str, wanted: object, order: str) -> DataFrame:
-    """Lines of exactly one session; none is an error."""
+def export(lines: DataFrame, session: str, wanted: object, order: str, artifact: str | None = None) -> DataFrame:
+    """Lines of exactly one session, in order.
+
+    None is an error, and so is more than one artifact (files that claim the session), where a column names it.
+    """
     found = lines.where(F.col(session) == wanted)
-    n = found.select(session).limit(1).count()
-    if not n:
-        raise ValueError(f"no session {wanted!r}")
+    n = found.select(artifact or session).distinct().limit(2).count()
+    if n != 1:
+        raise ValueError(f"{'no' if not n else 'more than one artifact of'} session {wanted!r}")
     return found.orderBy(order)

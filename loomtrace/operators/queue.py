@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .canonical import checkpoint
 from .state import ACTIVE, GENERATION_KEY, SESSION_KEY
 
 
@@ -23,37 +27,62 @@ def pending(generations: DataFrame, max_attempts: int = 3) -> DataFrame:
     return generations.where(eligible(max_attempts)).agg(F.count("*").alias("pending"))
 
 
-def next_operation_ids(wanted: DataFrame, used: DataFrame, bank: str, tries: int = 32) -> DataFrame:
-    """First unused of the base identifier and its replays: ``wanted(document_id, canonical_hash)``."""
-    base = C.operation_id(F.lit(bank), F.col("document_id"), F.col("canonical_hash"))
-    replay = C.operation_id(F.lit(bank), F.col("document_id"), F.col("canonical_hash"), F.lit("replay"), F.col("n").cast("string"))
-    each = wanted.select("document_id", "canonical_hash", F.explode(F.sequence(F.lit(0), F.lit(tries))).alias("n"))
-    named = each.select("document_id", "canonical_hash", "n", F.when(F.col("n") == 0, base).otherwise(replay).alias("operation_id"))
-    free = named.join(used.select("operation_id").distinct(), "operation_id", "left_anti")
-    return free.groupBy("document_id", "canonical_hash").agg(F.min_by("operation_id", "n").alias("operation_id"))
-
+def next_operation_ids(wanted: DataFrame, used: DataFrame, bank: str) -> DataFrame:
+    """First unused of the base identifier and its replays: ``wanted(document_id, canonical_hash)``.
 
-def reserve(requests: DataFrame, max_tokens: int | None, max_cost: float, group: str | None = None) -> DataFrame:
+    There is no last replay.  Each round tests one identifier of the rows that have none
+    yet, twice as many rounds of them at a time, so rows are few and rounds grow with
+    the logarithm of the longest run of used ones.
+    """
+    taken = used.select(F.col("operation_id").alias("operation_id")).distinct()
+    left = wanted.select("document_id", "canonical_hash").distinct()
+    name = C.operation_id(F.lit(bank), F.col("document_id"), F.col("canonical_hash"))
+    replay = C.operation_id(F.lit(bank), F.col("document_id"), F.col("canonical_hash"), F.lit("replay"), F.col("n").cast("string"))
+    out, begin, width = None, 0, 1
+    while True:
+        each = left.select("document_id", "canonical_hash", F.explode(F.sequence(F.lit(begin), F.lit(begin + width - 1))).alias("n"))
+        named = each.select("document_id", "canonical_hash", "n", F.when(F.col("n") == 0, name).otherwise(replay).alias("operation_id"))
+        free = named.join(taken, "operation_id", "left_anti").groupBy("document_id", "canonical_hash").agg(F.min_by("operation_id", "n").alias("operation_id"))
+        free = checkpoint(free)
+        out = free if out is None else out.unionByName(free)
+        left = checkpoint(left.join(free, ["document_id", "canonical_hash"], "left_anti"))
+        if not left.limit(1).count():
+            return out
+        begin, width = begin + width, width * 2
+
+
+def reserve(requests: DataFrame, max_tokens: int | None, max_cost: float, group: str | None = None, spent: tuple[int, float] = (0, 0.0)) -> DataFrame:
     """Greedy admission in order of ``pos``: a request over a cap is skipped and later ones still tried.
 
     ``requests(pos, operation_id, tokens, cost)``; a repeated operation is admitted as
-    before and costs nothing.  The fold is sequential by its meaning, so it runs over
-    one array of numbers a ``group`` (or one in all), which the caller bounds.
+    before and costs nothing; ``spent`` is what was reserved earlier.  The fold is
+    sequential by its meaning: one task a ``group`` (or one in all) reads its requests
+    in order, batch by batch, and holds two totals and no rows.
     """
-    key = [group] if group else []
-    first = requests.withColumn("again", F.row_number().over(Window.partitionBy(*key, "operation_id").orderBy("pos")) > 1)
-    packed = first.where("not again").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "operation_id", "tokens", "cost"))).alias("r"))
-
-    def admit(done: Column, x: Column) -> Column:
-        ok = done["cost"] + x["cost"] <= max_cost
-        if max_tokens is not None:
-            ok = ok & (done["tokens"] + x["tokens"] <= max_tokens)
-        grown = F.struct((done["tokens"] + x["tokens"]).alias("tokens"), (done["cost"] + x["cost"]).alias("cost"), F.concat(done["ids"], F.array(x["operation_id"])).alias("ids"))
-        return F.when(ok, grown).otherwise(done)
-
-    zero = F.expr("struct(cast(0 as bigint) as tokens, cast(0 as double) as cost, cast(array() as array<string>) as ids)")
-    admitted = packed.select(*key, F.explode(F.aggregate("r", zero, admit)["ids"]).alias("operation_id")).withColumn("_ok", F.lit(True))
-    return requests.join(admitted, [*key, "operation_id"], "left").withColumn("admitted", F.coalesce("_ok", F.lit(False))).drop("_ok")
+    first = Window.partitionBy(*([group] if group else []), "operation_id").orderBy("pos")
+    marked = requests.withColumn("_first", F.min("pos").over(first))
+    asked = marked.where("pos = _first").select(F.col(group).alias("g") if group else F.lit(0).alias("g"), "pos", "operation_id", "tokens", "cost")
+    asked = asked.dropDuplicates(["g", "operation_id"])
+    kind = asked.schema
+    out = f"g {kind['g'].dataType.simpleString()}, operation_id {kind['operation_id'].dataType.simpleString()}, _ok boolean"
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tokens, cost = object(), 0, 0.0
+        for batch in batches:
+            ok = []
+            for g, t, c in zip(*(batch.column(n).to_pylist() for n in ("g", "tokens", "cost")), strict=True):
+                if g != at:
+                    at, (tokens, cost) = g, spent
+                fits = cost + (c or 0) <= max_cost and (max_tokens is None or tokens + (t or 0) <= max_tokens)
+                if fits:
+                    tokens, cost = tokens + (t or 0), cost + (c or 0)
+                ok.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("operation_id"), pa.array(ok, pa.bool_())], ["g", "operation_id", "_ok"])
+
+    dealt = asked.repartition("g") if group else asked.repartition(1)
+    admitted = dealt.sortWithinPartitions("g", "pos").mapInArrow(admit, out)
+    on = [requests["operation_id"].eqNullSafe(admitted["operation_id"])] + ([requests[group].eqNullSafe(admitted["g"])] if group else [])
+    return requests.join(admitted, on, "left").select(requests["*"], F.coalesce(admitted["_ok"], F.lit(False)).alias("admitted"))
 
 
 def release(reserved: DataFrame, gone: DataFrame) -> DataFrame:
@@ -63,15 +92,20 @@ def release(reserved: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def enqueue(sessions: DataFrame, generations: DataFrame, bank: str, policy: str, at: str) -> DataFrame:
-    """The generations that sessions add: primary, not empty, not acknowledged under this policy, none live.
+    """The generations that sessions add: primary, not empty, this version not live.
 
-    A version that failed before keeps its attempts; a changed policy marks a repair.
+    A version acknowledged under this policy is left out, unless another version of its
+    session is in flight and would replace it.  One that failed before keeps its
+    attempts; an acknowledged hash under another policy, or none, marks a repair.
     """
-    live = generations.where(F.col("state").isin(*ACTIVE))
-    failed = generations.where("state = 'failed'").select(*GENERATION_KEY, F.col("attempt_count").alias("kept"))
+    live = generations.where(F.col("state").isin(*ACTIVE)).select(*GENERATION_KEY).distinct()
+    failed = generations.where("state = 'failed'").groupBy(*GENERATION_KEY).agg(F.max("attempt_count").alias("kept"))
+    flying = generations.where(F.col("state").isin("submitted", "processing")).groupBy(*SESSION_KEY).agg(F.collect_set("canonical_hash").alias("_flying"))
     new = sessions.where((F.col("classification") == "primary") & (F.col("status") != "empty_after_normalization") & F.col("canonical_hash").isNotNull())
+    new = new.join(live, list(GENERATION_KEY), "left_anti").join(flying, list(SESSION_KEY), "left")
+    other = F.coalesce(F.exists("_flying", lambda h: h != F.col("canonical_hash")), F.lit(False))
     current = (F.col("acknowledged_hash") == F.col("canonical_hash")) & (F.col("acknowledged_policy") == policy)
-    new = new.where(~F.coalesce(current, F.lit(False))).join(live, list(GENERATION_KEY), "left_anti").join(failed, list(GENERATION_KEY), "left")
+    new = new.where(other | ~F.coalesce(current, F.lit(False))).join(failed, list(GENERATION_KEY), "left")
     ids = next_operation_ids(new, generations, bank)
-    repair = F.coalesce((F.col("acknowledged_hash") == F.col("canonical_hash")) & (F.col("acknowledged_policy") != policy), F.lit(False))
+    repair = F.col("acknowledged_hash").isNotNull() & ~F.col("acknowledged_policy").eqNullSafe(F.lit(policy))
     return new.join(ids, ["document_id", "canonical_hash"]).select(*GENERATION_KEY, "operation_id", F.lit("queued").alias("state"), F.lit(at).alias("queued_at"), F.coalesce("kept", F.lit(0)).alias("attempt_count"), F.lit(policy).alias("retain_policy_version"), repair.alias("repair"))
