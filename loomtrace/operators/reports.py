@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import EPOCH, SOURCES
-from .state import SESSION_KEY
+from .state import SESSION_KEY, unrecorded
 
 
 def inventory(results: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
@@ -19,9 +21,10 @@ def inventory(results: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame
     names = {"eligible": "eligible", "empty": "empty_after_normalization", "subagents": "excluded_subagent", "configured": "excluded_configured", "ambiguous": "ambiguous", "malformed": "malformed", "too_large": "too_large", "errors": "error"}
     loaded = F.col("status").isin("eligible", "empty_after_normalization", "too_large")
     sums = [F.coalesce(F.sum(F.when(loaded, F.col(c))), F.lit(0)).alias(c) for c in ("source_bytes", "canonical_bytes", "canonical_turns", "redactions")]
-    each = results.rollup("source").agg(F.count("*").alias("discovered"), *[F.count_if(F.col("status") == s).alias(n) for n, s in names.items()], *sums)
-    spine = results.sparkSession.createDataFrame([(s,) for s in [*sources, None]], "source string")
-    return spine.join(each, spine.source.eqNullSafe(each.source), "left").select(spine.source, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in each.columns[1:]])
+    each = results.rollup("source").agg(F.grouping_id().alias("total"), F.count("*").alias("discovered"), *[F.count_if(F.col("status") == s).alias(n) for n, s in names.items()], *sums)
+    spine = results.sparkSession.createDataFrame([(s, int(s is None)) for s in [*sources, None]], "source string, total int")
+    found = spine.source.eqNullSafe(each.source) & (spine.total == each.total)  # a session without a source counts in the total alone
+    return spine.join(each, found, "left").select(spine.source, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in each.columns[2:]])
 
 
 def sizes_once(rows: DataFrame, path: str, size: str, order: str) -> Column:
@@ -65,6 +68,92 @@ def pilot(results: DataFrame, count: int = 200, include_largest: bool = False, s
     return ordered.withColumn("pick", F.row_number().over(Window.orderBy("phase", "k", "s"))).drop("phase", "k", "s")
 
 
+def pilot_totals(picked: DataFrame, times: int = 2) -> DataFrame:
+    """One row: sessions of a pilot, their bytes, and the input tokens of ``times`` readings."""
+    tokens = F.ceil(F.col("canonical_bytes") / 4) * times
+    return picked.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("canonical_bytes"), F.lit(0)).cast("bigint").alias("canonical_bytes"), F.coalesce(F.sum(tokens), F.lit(0)).cast("bigint").alias("estimated_tokens"))
+
+
+def imported_documents(sessions: DataFrame, generations: DataFrame) -> DataFrame:
+    """How many documents have a completed generation."""
+    done = generations.where("state = 'completed'").select(*SESSION_KEY).distinct()
+    return sessions.join(done, list(SESSION_KEY), "left_semi").agg(F.countDistinct("document_id").alias("documents"))
+
+
+#: Outcomes of a scan, in the order in which they are reported.
+OUTCOMES = ("queued", "unchanged", "active", "empty", "error", "source_missing", "excluded", "configured", "ambiguous")
+
+
+def scan_counts(outcomes: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """One row: sessions discovered and of each outcome; a missing source was not discovered."""
+    return outcomes.agg(F.count_if(F.col(outcome) != "source_missing").alias("discovered"), *[F.count_if(F.col(outcome) == o).alias(o) for o in OUTCOMES])
+
+
+def artifact_counts(artifacts: DataFrame) -> DataFrame:
+    """One row: artifacts by classification."""
+    kinds = {"subagents": "subagent", "configured": "configured-exclusion", "ambiguous": "ambiguous", "primary": "primary"}
+    return artifacts.agg(F.count("*").alias("artifacts"), *[F.count_if(F.col("classification") == k).alias(n) for n, k in kinds.items()])
+
+
+def health_counts(errors: DataFrame, candidates: DataFrame, sessions: DataFrame, artifacts: DataFrame, sources: DataFrame, generations: DataFrame, policy: str, stale_before: str) -> DataFrame:
+    """``name``, ``n``: scan errors, deferred sessions, unprocessed ones, stale sources and uncertain operations.
+
+    Unprocessed are primary sessions whose current hash is not acknowledged under the
+    policy, and those that artifacts name and the state does not know.
+    """
+    current = (F.col("acknowledged_hash") == F.col("canonical_hash")) & (F.col("acknowledged_policy") == policy)
+    open_ = sessions.where((F.col("classification") == "primary") & ~F.col("status").isin("empty_after_normalization", "source_missing") & (F.col("canonical_bytes") > 0) & ~F.coalesce(current, F.lit(False)))
+    parts = {
+        "scan_errors": errors, "deferred": candidates, "stale_sources": sources.where(F.col("enabled") & (F.col("last_scan_completed_at").isNull() | (F.col("last_scan_completed_at") < stale_before))),
+        "uncertain": generations.where("state in ('submitted', 'processing') and error is not null"),
+    }
+    rows = open_.select(F.lit("unprocessed").alias("name")).unionByName(unrecorded(artifacts, sessions).select(F.lit("unprocessed").alias("name")))
+    for name, part in parts.items():
+        rows = rows.unionByName(part.select(F.lit(name).alias("name")))
+    names = rows.sparkSession.createDataFrame([(n,) for n in ("unprocessed", *parts)], "name string")
+    return names.join(rows.groupBy("name").agg(F.count("*").alias("n")), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+LISTS = {"artifacts": ("source", "native_session_id", "locator"), "sessions": ("source", "native_session_id"), "jobs": ("created_at", "job_id"), "generations": ("queued_at",)}
+
+
+def listed(table: DataFrame, name: str) -> DataFrame:
+    """A state table in the order in which it is listed, made definite by its other columns."""
+    order = LISTS[name]
+    return table.orderBy(*order, *[c for c in table.columns if c not in order])
+
+
+def discovery_order(references: DataFrame, started: str = "started_at") -> list[Column]:
+    """Start time, those without one last, then source and session (by bytes)."""
+    return [F.asc_nulls_last(started), F.col("source"), F.col("native_session_id")]
+
+
+def discovery_page(references: DataFrame, offset: int = 0, limit: int | None = None, sources: Sequence[str] | None = None, ids: Sequence[str] | None = None, started: str = "started_at") -> DataFrame:
+    """References of a scan: chosen sources and sessions, in order, from an offset on."""
+    if sources is not None:
+        references = references.where(F.col("source").isin(*sources))
+    if ids is not None:
+        references = references.where(F.col("native_session_id").isin(*ids))
+    page = references.orderBy(*discovery_order(references, started)).offset(offset)
+    return page if limit is None else page.limit(limit)
+
+
+def owner_conflicts(references: DataFrame, origin: str = "origin") -> DataFrame:
+    """Sessions that more than one origin claims."""
+    return references.groupBy(*SESSION_KEY).agg(F.countDistinct(origin).alias("origins")).where("origins > 1")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report of bounded size as one JSON file, readable by its owner alone; it appears whole or not at all."""
+    folder = os.path.dirname(os.path.abspath(path))
+    handle, part = tempfile.mkstemp(dir=folder, prefix=".report-")
+    with os.fdopen(handle, "w") as f:
+        f.write("[" + ",\n".join(rows.toJSON().collect()) + "]\n")
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(part, path)
+
+
 def state_counts(generations: DataFrame, state: str = "state") -> DataFrame:
     return generations.groupBy(state).agg(F.count("*").alias("n"))
 
@@ -123,10 +212,15 @@ def cleanup_jobs(generations: DataFrame, sessions: DataFrame, groups: DataFrame,
 
 
 def plan_hash(rows: DataFrame, *order: str) -> DataFrame:
-    """SHA-256 over the rows' hashes in order: a plan that changes anywhere has another hash."""
-    line = F.sha2(F.to_json(F.struct(*[F.col(c) for c in rows.columns])), 256)
-    packed = F.array_sort(F.collect_list(F.struct(*order, line.alias("h"))))
-    return rows.agg(F.sha2(F.array_join(F.transform(packed, lambda x: x["h"]), "\n"), 256).alias("plan_hash"))
+    """SHA-256 of a plan: another one wherever a row changes, the same for any order of rows.
+
+    Rows hash as JSON of their columns (``order`` first), sorted hashes of a bucket hash
+    to one, and those of the 4,096 buckets to the plan's: no task holds all rows.
+    """
+    line = F.sha2(F.to_json(F.struct(*[F.col(c) for c in (*order, *[c for c in rows.columns if c not in order])]), {"ignoreNullFields": "false"}), 256)
+    hashed = rows.select(line.alias("h")).withColumn("bucket", F.substring("h", 1, 3))
+    buckets = hashed.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
+    return buckets.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", "h"))), "\n"), 256).alias("plan_hash"))
 
 
 def repair_targets(sessions: DataFrame, remote: DataFrame, policy: str) -> DataFrame:

@@ -1,74 +1,100 @@
-"""Session classification, as Columns."""
+"""Session classification: one table of rules a source, for Columns and for single sessions."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Rules in order; a rule holds if all of its flags do.  What none names is primary.
+RULES: dict[str, tuple[tuple[tuple[str, ...], str, str], ...]] = {
+    "pi": (
+        (("nested", "legacy"), "subagent", "pi-child-layout-and-session-info-subagent-name"),
+        (("parent", "generated"), "subagent", "pi-parent-session-and-generated-agent-name"),
+        (("parent", "legacy"), "subagent", "pi-parent-session-and-session-info-subagent-name"),
+        (("parent", "task"), "subagent", "pi-parent-session-and-task-child-layout"),
+        (("parent",), "ambiguous", "pi-parent-session-without-agent-marker"),
+        (("nested",), "ambiguous", "pi-child-layout-without-subagent-name"),
+        (("legacy",), "ambiguous", "pi-agent-name-without-child-marker"),
+        (("generated",), "ambiguous", "pi-agent-name-without-child-marker"),
+        ((), "primary", "pi-primary-session"),
+    ),
+    "codex": (
+        (("unrecognized",), "ambiguous", "codex-unrecognized-session-metadata"),
+        (("explicit",), "subagent", "codex-explicit-subagent-thread-source"),
+        (("marked",), "ambiguous", "codex-incomplete-subagent-marker"),
+        (("object_source",), "ambiguous", "codex-unrecognized-object-source"),
+        (("odd_thread",), "ambiguous", "codex-unrecognized-thread-source"),
+        (("odd_source",), "ambiguous", "codex-unrecognized-source"),
+        ((), "primary", "codex-primary-session"),
+    ),
+    "claude": (
+        (("sidechain",), "subagent", "claude-explicit-sidechain"),
+        (("agent", "placed"), "subagent", "claude-agent-id-and-agent-path"),
+        (("agent",), "ambiguous", "claude-incomplete-sidechain-marker"),
+        (("placed",), "ambiguous", "claude-incomplete-sidechain-marker"),
+        ((), "primary", "claude-primary-session"),
+    ),
+    "opencode": (
+        (("incapable",), "ambiguous", "opencode-missing-classification-columns"),
+        (("parent", "generated"), "subagent", "opencode-parent-and-generated-subagent-title"),
+        (("parent",), "ambiguous", "opencode-parent-without-generated-subagent-title"),
+        (("generated",), "ambiguous", "opencode-generated-subagent-title-without-parent"),
+        ((), "primary", "opencode-root-session"),
+    ),
+}
+# Names and places that mark an agent's session; all but the layout in any case.
+LEGACY_NAME, GENERATED_NAME, GENERATED_TITLE = r"\Asubagent-", r"\A[a-z][a-z0-9_-]*#[0-9a-f]{8}\Z", r" \(@[^()]+ subagent\)\Z"
+CHILD_LAYOUT, TASK_LAYOUT, AGENT_FILE = r"\A[^/]+/(?:.*/)?run-\d+/session\.jsonl\Z", r"(?:\A|/)tasks(?:/|\Z)", r"(?:\A|/)agent-[^/]*\Z"
+
+
+def verdict(source: str, flags: Mapping[str, object]) -> tuple[str, str]:
+    """Kind and reason of one session."""
+    return next((kind, reason) for names, kind, reason in RULES[source] if all(flags[n] for n in names))
+
+
+def _by_rules(source: str, flags: Mapping[str, Column]) -> Column:
+    out = None
+    for names, kind, reason in RULES[source]:
+        made = F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
+        if not names:
+            return out.otherwise(made)
+        test = F.lit(True)
+        for n in names:
+            test = test & F.coalesce(flags[n], F.lit(False))
+        out = (F if out is None else out).when(test, made)
+    return out
 
-def _kind(kind: str, reason: str) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
 
+def _found(pattern: str, text: Column, *, any_case: bool = True) -> Column:
+    return F.rlike(text, F.lit(("(?i)" if any_case else "") + pattern.replace(r"\Z", r"\z")))
 
-def _cases(*cases: tuple[Column | bool, str, str]) -> Column:
-    out = None
-    for test, kind, reason in cases:
-        if test is True:
-            return out.otherwise(_kind(kind, reason))
-        out = (F if out is None else out).when(F.coalesce(test, F.lit(False)), _kind(kind, reason))
-    return out
+
+def found(pattern: str, text: str | None, *, any_case: bool = True) -> bool:
+    return bool(text and re.search(pattern, text, re.I if any_case else 0))
 
 
 def pi(relative_path: Column, name: Column, parent: Column) -> Column:
     """By folder layout, session name and parent session."""
-    legacy = F.rlike(name, F.lit("(?i)^subagent-"))
-    generated = F.rlike(name, F.lit(r"(?i)^[a-z][a-z0-9_-]*#[0-9a-f]{8}\z"))
-    nested = F.rlike(relative_path, F.lit(r"^[^/]+/.*?/?run-\d+/session\.jsonl\z"))
-    task = F.rlike(relative_path, F.lit("(?:^|/)tasks(?:/|$)"))
-    parented = parent.isNotNull()
-    return _cases(
-        (nested & legacy, "subagent", "pi-child-layout-and-session-info-subagent-name"),
-        (parented & generated, "subagent", "pi-parent-session-and-generated-agent-name"),
-        (parented & legacy, "subagent", "pi-parent-session-and-session-info-subagent-name"),
-        (parented & task, "subagent", "pi-parent-session-and-task-child-layout"),
-        (parented, "ambiguous", "pi-parent-session-without-agent-marker"),
-        (nested, "ambiguous", "pi-child-layout-without-subagent-name"),
-        (F.coalesce(legacy, F.lit(False)) | F.coalesce(generated, F.lit(False)), "ambiguous", "pi-agent-name-without-child-marker"),
-        (True, "primary", "pi-primary-session"),
-    )
+    return _by_rules("pi", {"legacy": _found(LEGACY_NAME, name), "generated": _found(GENERATED_NAME, name), "nested": _found(CHILD_LAYOUT, relative_path, any_case=False), "task": _found(TASK_LAYOUT, relative_path, any_case=False), "parent": parent.isNotNull()})
 
 
 def codex(recognized: Column, explicit: Column, parent: Column, role: Column, nickname: Column, object_source: Column, thread_source: Column, source_name: Column) -> Column:
-    return _cases(
-        (~recognized, "ambiguous", "codex-unrecognized-session-metadata"),
-        (explicit, "subagent", "codex-explicit-subagent-thread-source"),
-        (parent.isNotNull() | role.isNotNull() | nickname.isNotNull(), "ambiguous", "codex-incomplete-subagent-marker"),
-        (object_source, "ambiguous", "codex-unrecognized-object-source"),
-        (thread_source != "user", "ambiguous", "codex-unrecognized-thread-source"),
-        (~source_name.isin("exec", "cli"), "ambiguous", "codex-unrecognized-source"),
-        (True, "primary", "codex-primary-session"),
-    )
+    return _by_rules("codex", {"unrecognized": ~recognized, "explicit": explicit, "marked": parent.isNotNull() | role.isNotNull() | nickname.isNotNull(), "object_source": object_source, "odd_thread": thread_source != "user", "odd_source": ~source_name.isin("exec", "cli")})
 
 
 def claude(path: Column, sidechain: Column, agent: Column) -> Column:
-    marked = F.rlike(path, F.lit(r"(?:^|/)agent-[^/]*\z")) | F.lower(path).contains("/subagents/")
-    return _cases(
-        (sidechain, "subagent", "claude-explicit-sidechain"),
-        (agent.isNotNull() & marked, "subagent", "claude-agent-id-and-agent-path"),
-        (agent.isNotNull() | marked, "ambiguous", "claude-incomplete-sidechain-marker"),
-        (True, "primary", "claude-primary-session"),
-    )
+    return _by_rules("claude", {"sidechain": sidechain, "agent": agent.isNotNull(), "placed": _found(AGENT_FILE, path, any_case=False) | F.lower(path).contains("/subagents/")})
 
 
 def opencode(capable: Column, parent: Column, title: Column) -> Column:
-    generated = F.rlike(title, F.lit(r"(?i) \(@[^()]+ subagent\)\z"))
-    return _cases(
-        (~capable, "ambiguous", "opencode-missing-classification-columns"),
-        (parent.isNotNull() & generated, "subagent", "opencode-parent-and-generated-subagent-title"),
-        (parent.isNotNull(), "ambiguous", "opencode-parent-without-generated-subagent-title"),
-        (generated, "ambiguous", "opencode-generated-subagent-title-without-parent"),
-        (True, "primary", "opencode-root-session"),
-    )
+    return _by_rules("opencode", {"incapable": ~capable, "parent": parent.isNotNull(), "generated": _found(GENERATED_TITLE, title)})
+
+
+def _kind(kind: str, reason: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
 
 
 def effective(structural: Column, label: Column, excluded_labels: list[str], tombstone: Column) -> Column:

@@ -7,9 +7,9 @@ in Arrow batches (a file is a row, the number of files sets the parallelism).
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-import re
 import sqlite3
 from collections.abc import Callable, Iterator
 
@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import columns as C
 from ..functions import plain as P
 from ..functions.constants import EPOCH
 from ..schemas import LOADED
-from . import jsonl
+from . import classify, jsonl
 
 
 class _Turns:
@@ -90,19 +91,8 @@ def parse_pi(path: str, root: str, lines: list[jsonl.Line], label: str | None) -
         t.after(entry, pending)
     name, parent = P.text_or_none(names[-1]) if names else None, P.text_or_none(head.get("parentSession"))
     relative = os.path.relpath(path, root)
-    legacy, generated = bool(name and re.match("subagent-", name, re.I)), bool(name and re.fullmatch("[a-z][a-z0-9_-]*#[0-9a-f]{8}", name, re.I))
-    parts = relative.split(os.sep)
-    nested = len(parts) >= 3 and parts[-1] == "session.jsonl" and bool(re.fullmatch(r"run-\d+", parts[-2]))
-    verdict = (
-        ("subagent", "pi-child-layout-and-session-info-subagent-name") if nested and legacy
-        else ("subagent", "pi-parent-session-and-generated-agent-name") if parent and generated
-        else ("subagent", "pi-parent-session-and-session-info-subagent-name") if parent and legacy
-        else ("subagent", "pi-parent-session-and-task-child-layout") if parent and "tasks" in parts
-        else ("ambiguous", "pi-parent-session-without-agent-marker") if parent
-        else ("ambiguous", "pi-child-layout-without-subagent-name") if nested
-        else ("ambiguous", "pi-agent-name-without-child-marker") if legacy or generated
-        else ("primary", "pi-primary-session")
-    )
+    relative = relative.replace(os.sep, "/")
+    verdict = classify.verdict("pi", {"legacy": classify.found(classify.LEGACY_NAME, name), "generated": classify.found(classify.GENERATED_NAME, name), "nested": classify.found(classify.CHILD_LAYOUT, relative, any_case=False), "task": classify.found(classify.TASK_LAYOUT, relative, any_case=False), "parent": parent})
     return {"id": P.text_or_none(head.get("id")), "started": started, "updated": _latest(started, iter(times)), "cwd": P.text_or_none(head.get("cwd")), "title": name, "verdict": verdict, "parent": parent, "turns": t.turns}
 
 
@@ -141,15 +131,8 @@ def parse_codex(path: str, root: str, lines: list[jsonl.Line], label: str | None
     sub = source == "subagent" or thread == "subagent" or (isinstance(source, dict) and source.get("subagent") is not None)
     parent = P.text_or_none(head.get("parent_thread_id"))
     name = source.lower() if isinstance(source, str) else None
-    verdict = (
-        ("ambiguous", "codex-unrecognized-session-metadata") if not recognized
-        else ("subagent", "codex-explicit-subagent-thread-source") if sub
-        else ("ambiguous", "codex-incomplete-subagent-marker") if parent or P.text_or_none(head.get("agent_role")) or P.text_or_none(head.get("agent_nickname"))
-        else ("ambiguous", "codex-unrecognized-object-source") if isinstance(source, dict)
-        else ("ambiguous", "codex-unrecognized-thread-source") if thread and thread != "user"
-        else ("ambiguous", "codex-unrecognized-source") if name and name not in ("exec", "cli")
-        else ("primary", "codex-primary-session")
-    )
+    marked = parent or P.text_or_none(head.get("agent_role")) or P.text_or_none(head.get("agent_nickname"))
+    verdict = classify.verdict("codex", {"unrecognized": not recognized, "explicit": sub, "marked": marked, "object_source": isinstance(source, dict), "odd_thread": thread and thread != "user", "odd_source": name and name not in ("exec", "cli")})
     return {"id": P.text_or_none(head.get("id")) or P.text_or_none(head.get("session_id")), "started": started, "updated": _latest(started, iter(times)), "cwd": P.text_or_none(head.get("cwd")), "title": label, "verdict": verdict, "parent": parent, "turns": t.turns}
 
 
@@ -169,13 +152,9 @@ def parse_claude(path: str, root: str, lines: list[jsonl.Line], label: str | Non
         entry, parent = P.text_or_none(r.get("uuid")) or f"line:{line.record}", P.text_or_none(r.get("parentUuid"))
         t.after(entry, t.message(role, message.get("content"), at, entry, parent, t.before(parent), user_tools=True))
     agent = P.text_or_none(head.get("agentId"))
-    marked = os.path.basename(path).startswith("agent-") or f"{os.sep}subagents{os.sep}" in path.lower()
-    verdict = (
-        ("subagent", "claude-explicit-sidechain") if head.get("isSidechain") is True
-        else ("subagent", "claude-agent-id-and-agent-path") if agent and marked
-        else ("ambiguous", "claude-incomplete-sidechain-marker") if agent or marked
-        else ("primary", "claude-primary-session")
-    )
+    posix = path.replace(os.sep, "/")
+    placed = classify.found(classify.AGENT_FILE, posix, any_case=False) or "/subagents/" in posix.lower()
+    verdict = classify.verdict("claude", {"sidechain": head.get("isSidechain") is True, "agent": agent, "placed": placed})
     return {"id": P.text_or_none(head.get("sessionId")), "started": started, "updated": _latest(started, iter(times)), "cwd": P.text_or_none(head.get("cwd")), "title": None, "verdict": verdict, "parent": None, "turns": t.turns}
 
 
@@ -184,7 +163,8 @@ PARSERS: dict[str, Callable[..., dict]] = {"pi": parse_pi, "codex": parse_codex,
 
 def load_session(source: str, path: str, root: str, content: bytes, label: str | None = None, max_bytes: int = 100 << 20) -> dict:
     """One session file as a row of ``schemas.LOADED``; a failure is a row with its status and error."""
-    row = {"source": source, "locator": path, "size": len(content), "sample_hash": jsonl.read_sample_hash(content), "turns": []}
+    sample = jsonl.read_sample_hash(content)
+    row = {"source": source, "locator": path, "size": len(content), "sample_hash": jsonl.with_label(sample, label), "turns": []}
     try:
         got = PARSERS[source](path, root, jsonl.read_lines(content), label)
         session = got["id"] or P.fallback_id(source, os.path.relpath(path, root), got["started"])
@@ -208,15 +188,25 @@ _ARROW = pa.schema(
 )
 
 
-def read_sessions(spark: SparkSession, source: str, root: str, labels: DataFrame | None = None, max_bytes: int = 100 << 20) -> DataFrame:
-    """Sessions of one source below a folder.  ``labels`` (id, name, title) names Codex sessions."""
+def read_sessions(spark: SparkSession, source: str, root: str, labels: DataFrame | None = None, max_bytes: int = 100 << 20, pattern: str = "*.jsonl") -> DataFrame:
+    """Sessions of one source below a folder, from the files whose names fit a pattern.
+
+    ``labels`` (id, name, title) names Codex sessions: by the thread's id, else by the
+    session's, as the header has them; a label takes part in the fingerprint.
+    """
     root = root.rstrip("/")
-    found = jsonl.files(spark, root).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    found = jsonl.files(spark, root, pattern).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
     if labels is None:
         found = found.withColumn("label", F.lit(None).cast("string"))
     else:
-        thread = F.regexp_extract(F.decode(F.substring("content", 1, 4096), "UTF-8"), r'"(?:id|session_id)"\s*:\s*"([^"]+)"', 1)
-        found = found.withColumn("_id", thread).join(labels.select(F.col("id").alias("_id"), F.coalesce("name", "title").alias("label")), "_id", "left").drop("_id")
+        head = F.try_parse_json(jsonl.first_line(F.col("content")))
+        for name, field in (("_thread", "session_id"), ("_id", "id")):
+            found = found.withColumn(name, F.try_variant_get(head, f"$.payload.{field}", "string"))
+        named = labels.select(C.text_or_null(F.col("id")).alias("id"), F.coalesce(C.text_or_null(F.col("name")), C.text_or_null(F.col("title"))).alias("label")).where("id is not null and label is not null")
+        named = named.groupBy("id").agg(F.max("label").alias("label"))
+        for name in ("_thread", "_id"):
+            found = found.join(named.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label")), name, "left")
+        found = found.withColumn("label", F.coalesce("_thread_label", "_id_label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,13 +242,39 @@ class _Reader(DataSourceReader):
 
     def read(self, part: _Part) -> Iterator[tuple]:
         with self._open() as db:
-            have = {r[1] for r in db.execute("PRAGMA table_info(session)")}
-            columns = ", ".join(c if c in have else f"NULL AS {c}" for c in ("id", "parent_id", "directory", "title", "time_created", "time_updated"))
+            db.execute("BEGIN")  # one snapshot for a session and its fingerprint
+            have = self._columns(db, "session")
+            columns = ", ".join(c if c in have else f"NULL AS {c}" for c in SESSION_COLUMNS)
             capable = {"parent_id", "title"} <= have
             for row in db.execute(f"SELECT {columns} FROM session WHERE (?1 IS NULL OR id >= ?1) AND (?2 IS NULL OR id < ?2) ORDER BY id", (part.low, part.high)).fetchall():
-                messages = db.execute("SELECT id, time_created, data FROM message WHERE session_id = ? ORDER BY time_created, id", (row[0],)).fetchall()
-                parts = [(m, [p for (p,) in db.execute("SELECT data FROM part WHERE message_id = ? ORDER BY time_created, id", (m[0],))]) for m in messages]
-                yield json.dumps({"row": row, "capable": capable, "messages": parts}),
+                messages = self._rows(db, "message", "session_id = ?", row[0])
+                parts = [(m, [p[3] for p in self._rows(db, "part", "message_id = ?", m[0])]) for m in messages]
+                print_ = fingerprint(dict(zip(SESSION_COLUMNS, row, strict=True)), messages, self._rows(db, "part", "message_id IN (SELECT id FROM message WHERE session_id = ?)", row[0]))
+                yield json.dumps({"row": row, "capable": capable, "messages": [((m[0], m[1], m[3]), p) for m, p in parts], "fingerprint": print_}),
+
+    def _columns(self, db: sqlite3.Connection, table: str) -> set[str]:
+        return {r[1] for r in db.execute(f"PRAGMA table_info({table})")}
+
+    def _rows(self, db: sqlite3.Connection, table: str, where: str, key: str) -> list[tuple]:
+        """(id, time_created, time_updated, data) in the order of time and id."""
+        updated = "time_updated" if "time_updated" in self._columns(db, table) else "NULL"
+        return db.execute(f"SELECT id, time_created, {updated}, data FROM {table} WHERE {where} ORDER BY time_created, id", (key,)).fetchall()
+
+
+#: Columns read of a session; those that a database lacks are null.
+SESSION_COLUMNS = ("id", "parent_id", "project_id", "directory", "title", "agent", "model", "time_created", "time_updated")
+
+
+def fingerprint(session: dict, messages: list[tuple], parts: list[tuple]) -> str:
+    """SHA-256 over a session row and all its messages and parts, each framed by its size."""
+    compact = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode()
+    h = hashlib.sha256(compact(session))
+    for name, rows in (("messages", messages), ("parts", parts)):
+        h.update(f"\n{name}\n".encode())
+        for id_, created, updated, data in rows:
+            body = str(data).encode()
+            h.update(compact([id_, created, updated, len(body)]) + b"\0" + body + b"\n")
+    return h.hexdigest()
 
 
 class OpenCodeSource(DataSource):
@@ -278,10 +294,10 @@ class OpenCodeSource(DataSource):
 def parse_opencode(text: str, path: str) -> dict:
     """One session of the database as a row of ``schemas.LOADED``."""
     got = json.loads(text)
-    session, parent, cwd, title, created, updated = got["row"]
+    session, parent, _, cwd, title, _, _, created, updated = got["row"]
     started = P.iso(created, EPOCH)
     t, times = _Turns(), [P.iso(updated, started)]
-    row = {"source": "opencode", "native_session_id": session, "document_id": P.document_id("opencode", session), "locator": f"{path}#{session}", "turns": [], "size": 0}
+    row = {"source": "opencode", "native_session_id": session, "document_id": P.document_id("opencode", session), "locator": f"{path}#{session}", "turns": [], "size": 0, "sample_hash": got["fingerprint"]}
     try:
         for (message, at_ms, data), parts in got["messages"]:
             m = json.loads(data)
@@ -310,14 +326,7 @@ def parse_opencode(text: str, path: str) -> dict:
     except ValueError as e:
         return row | {"status": "malformed", "error": f"malformed JSON: {e}"}
     parent, title = P.text_or_none(parent), P.text_or_none(title)
-    generated = bool(title and re.search(r" \(@[^()]+ subagent\)$", title, re.I))
-    verdict = (
-        ("ambiguous", "opencode-missing-classification-columns") if not got["capable"]
-        else ("subagent", "opencode-parent-and-generated-subagent-title") if parent and generated
-        else ("ambiguous", "opencode-parent-without-generated-subagent-title") if parent
-        else ("ambiguous", "opencode-generated-subagent-title-without-parent") if generated
-        else ("primary", "opencode-root-session")
-    )
+    verdict = classify.verdict("opencode", {"incapable": not got["capable"], "parent": parent, "generated": classify.found(classify.GENERATED_TITLE, title)})
     doc = row["document_id"]
     first = {"seq": 0, "role": "system", "content": f"REF-ID: {doc}", "timestamp": started, "native_entry_id": None, "parent_entry_id": None, "provenance": None}
     row |= {"started_at": started, "updated_at": max(times), "title": title, "cwd": P.text_or_none(cwd), "turns": [first, *t.turns], "status": "discovered" if t.turns else "empty_after_normalization"}
@@ -339,3 +348,21 @@ def read_opencode(spark: SparkSession, path: str, partitions: int = 8) -> DataFr
 def turns_of(sessions: DataFrame) -> DataFrame:
     """One row a turn."""
     return sessions.select("source", "native_session_id", "document_id", F.explode("turns").alias("t")).select("source", "native_session_id", "document_id", "t.*")
+
+
+def dead_letters(sessions: DataFrame, at: str) -> DataFrame:
+    """Sessions that could not be read, as rows of the table of scan errors, redacted, with their status."""
+    return sessions.where("error is not null").select("source", "locator", C.redact(F.col("error")).alias("error"), F.lit(at).alias("observed_at"), C.status_of_error(F.col("error")).alias("status"))
+
+
+def stable_sessions(first: DataFrame, again: DataFrame) -> DataFrame:
+    """Sessions whose fingerprint was the same before and after they were read (``again``: source, locator, sample_hash).
+
+    The others changed meanwhile; they are errors, to be read by the next scan.
+    """
+    now = again.select("source", "locator", F.col("sample_hash").alias("_now")).distinct()
+    got = first.join(now, ["source", "locator"], "left")
+    same = F.col("sample_hash").eqNullSafe(F.col("_now"))
+    empty = F.array().cast(first.schema["turns"].dataType)
+    values = {"error": F.when(same, F.col("error")).otherwise("source changed while it was read"), "status": F.when(same, F.col("status")).otherwise("error"), "turns": F.when(same, F.col("turns")).otherwise(empty)}
+    return got.select(*[values[c].alias(c) if c in values else F.col(c) for c in first.columns])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import fcntl
+import os
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+PAUSE, LOCK = "paused", "writer.lock"
 OUT = "source string, native_session_id string, fingerprint string, observed_at timestamp, settled boolean"
 
 
@@ -36,14 +40,85 @@ def settled(observations: DataFrame, seconds: int) -> DataFrame:
 
 
 def heartbeat_windows(heartbeats: DataFrame, at: str = "ts", every: str = "2 minutes", late: str = "3 minutes") -> DataFrame:
-    """Heartbeats of each tumbling window, for an alert on empty ones."""
-    return heartbeats.withWatermark(at, late).groupBy(F.window(at, every).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "n")
+    """``window_start``, ``n``: heartbeats of each tumbling window, also of those without any, for an alert on them.
+
+    A second stream of clock ticks (``rate``) opens every window, so a window closes with
+    zero even if nothing was heard.  Over a table the windows between the first and the
+    last heartbeat are shown.
+    """
+    if heartbeats.isStreaming:
+        ticks = heartbeats.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+        heard = heartbeats.select(F.col(at).alias("at"), F.lit(1).alias("n")).unionByName(ticks.select(F.col("timestamp").alias("at"), F.lit(0).alias("n")))
+        return heard.withWatermark("at", late).groupBy(F.window("at", every).alias("w")).agg(F.sum("n").alias("n")).select(F.col("w.start").alias("window_start"), "n")
+    start = F.window(at, every)["start"]
+    got = heartbeats.where(F.col(at).isNotNull()).groupBy(start.alias("window_start")).agg(F.count("*").alias("n"))
+    spine = got.agg(F.min("window_start").alias("a"), F.max("window_start").alias("z")).select(F.explode(F.sequence("a", "z", F.expr(f"interval {every}"))).alias("window_start"))
+    return spine.join(got, "window_start", "left").select("window_start", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def outbox_writer(path: str):
-    """A ``foreachBatch`` writer with one effect a batch: its rows, by batch id, first write wins."""
+def outbox_writer(path: str, order: str | None = None):
+    """A ``foreachBatch`` writer with one effect an operation, in whatever batches it comes and however often one is repeated.
+
+    A batch replaces its own folder, and leaves out operations that an earlier batch has
+    written.  Of repeated operations in a batch the first by ``order`` stays (the
+    smallest row where none is given), so a batch that is run again writes the same.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(["operation_id"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rest = [c for c in batch.columns if c != "operation_id"]
+        by = F.struct(*[F.col(c) for c in ([order] if order else []) + [c for c in rest if c != order]]) if rest else None
+        first = batch.select("operation_id").distinct() if by is None else batch.groupBy("operation_id").agg(F.min(by).alias("r")).select(*[F.col("r")[c].alias(c) if c in rest else F.col(c) for c in batch.columns])
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            earlier = spark.read.schema(f"operation_id {batch.schema['operation_id'].dataType.simpleString()}, batch bigint").option("recursiveFileLookup", False).parquet(path).where(F.col("batch") < batch_id)
+            first = first.join(earlier.select("operation_id").distinct(), "operation_id", "left_anti").select(batch.columns)
+        first.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def paused(folder: str) -> bool:
+    """Is the pause marker set?"""
+    return os.path.exists(os.path.join(folder, PAUSE))
+
+
+def set_paused(folder: str, value: bool) -> None:
+    marker = os.path.join(folder, PAUSE)
+    if value:
+        with open(marker, "w", encoding="utf-8") as f:
+            f.write("paused\n")
+    elif os.path.exists(marker):
+        os.remove(marker)
+
+
+@contextmanager
+def single_writer(folder: str) -> Iterator[None]:
+    """The right to write the state in a folder: a second holder on the same host is refused while the first lives."""
+    with open(os.path.join(folder, LOCK), "a+", encoding="utf-8") as f:
+        try:
+            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except BlockingIOError:
+            raise RuntimeError(f"another writer holds {folder}") from None
+        try:
+            yield
+        finally:
+            fcntl.flock(f, fcntl.LOCK_UN)
+
+
+def run_loop(stream: DataFrame, folder: str, checkpoint: str, step: Callable[[DataFrame, int], None], seconds: int | None = 900):
+    """A scan or drain as a query: ``step`` a batch, every so many seconds (None: once over what is there).
+
+    While the pause marker is set a batch fails before it does anything, so it is done
+    whole after the query starts again.  Batches are bounded by the options of the source
+    (files or rows a trigger).
+    """
+
+    def guarded(batch: DataFrame, batch_id: int) -> None:
+        if paused(folder):
+            raise RuntimeError("paused")
+        with single_writer(folder):
+            step(batch, batch_id)
+
+    writer = stream.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
