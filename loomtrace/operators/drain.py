@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import RETAIN
+from .canonical import checkpoint
 from .queue import next_operation_ids
 from .state import GENERATION_KEY, SESSION_KEY, acknowledge, cleanup_pending, delete, finalize_excluded, one, update, upsert
 
@@ -37,7 +38,7 @@ def actions(generations: DataFrame, sessions: DataFrame, operations: DataFrame,
     polled = remote.isNotNull() & ~remote.isin(*FAILED, "prepared", "ready")
     preserved = (kind == "ambiguous") & F.col("acknowledged_hash").isNotNull() & remote.isNull()
     action = F.when(polled, "poll").when(kind != "primary", F.when(preserved, "preserve").otherwise("exclude")).when(remote.isin(*FAILED), "resubmit").otherwise("submit")
-    got = got.withColumn("action", action)
+    got = checkpoint(got.withColumn("action", action))
     again = got.where("action = 'resubmit'")
     ids = next_operation_ids(again, generations.select("operation_id").unionByName(operations.select("operation_id")), bank).withColumnRenamed("operation_id", "_new")
     got = got.join(ids, ["document_id", "canonical_hash"], "left")
@@ -67,6 +68,8 @@ def apply(state: State, done: DataFrame, replies: DataFrame, at: str) -> State:
         F.when(F.col("action") == "preserve", "superseded").when(F.col("action") == "exclude", "cleanup_pending").when(F.col("status") == "completed", "completed")
         .when(failed, "failed").when(F.col("status") == "not_found", "processing").otherwise("submitted")
     )
+    got = checkpoint(got.withColumn("_new_state", new))
+    new = F.col("_new_state")
     moved = one(got.select(*GENERATION_KEY, F.col("operation_id").alias("_id"), new.alias("_state"), F.col("error").alias("_error")), GENERATION_KEY)
     g = state.generations.join(moved, list(GENERATION_KEY), "left")
     hit = F.col("_state").isNotNull() & F.col("state").isin("processing", "submitted")

@@ -30,12 +30,12 @@ def pending(generations: DataFrame, max_attempts: int = 3) -> DataFrame:
 def next_operation_ids(wanted: DataFrame, used: DataFrame, bank: str) -> DataFrame:
     """First unused of the base identifier and its replays: ``wanted(document_id, canonical_hash)``.
 
-    There is no last replay.  Each round tests one identifier of the rows that have none
+    A document or hash that is null gets none.  There is no last replay.  Each round tests one identifier of the rows that have none
     yet, twice as many rounds of them at a time, so rows are few and rounds grow with
     the logarithm of the longest run of used ones.
     """
     taken = used.select(F.col("operation_id").alias("operation_id")).distinct()
-    left = wanted.select("document_id", "canonical_hash").distinct()
+    left = wanted.select("document_id", "canonical_hash").where("document_id is not null and canonical_hash is not null").distinct()
     name = C.operation_id(F.lit(bank), F.col("document_id"), F.col("canonical_hash"))
     replay = C.operation_id(F.lit(bank), F.col("document_id"), F.col("canonical_hash"), F.lit("replay"), F.col("n").cast("string"))
     out, begin, width = None, 0, 1

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import queue
+from ..operators.canonical import checkpoint
 from ..operators.state import PROTECTED, SESSION_KEY, cleanup_pending, delete, mark_missing, mark_seen, missing_sessions, one, record_errors, supersede, upsert
 from ..settings import RETAIN
 
@@ -69,6 +70,7 @@ def scan(references: DataFrame, loaded: DataFrame, tables: Tables, healthy: list
     got = decided.join(one(loaded.select(*SESSION_KEY, *content), SESSION_KEY), list(SESSION_KEY), "left")
     bad = (F.col("outcome") == "load") & (F.col("error").isNotNull() | F.col("canonical_hash").isNull())
     got = got.withColumns({"outcome": F.when(bad, "error").otherwise(F.col("outcome")), "error": F.when(bad, F.coalesce("error", F.lit("source was not read")))})
+    got = checkpoint(got)  # what follows reads it many times
     of = lambda *names: got.where(F.col("outcome").isin(*names))
 
     # sessions: seen again, loaded, reclassified
@@ -81,19 +83,20 @@ def scan(references: DataFrame, loaded: DataFrame, tables: Tables, healthy: list
     out = of("excluded", "configured", "ambiguous").where("not preserved").join(place, list(SESSION_KEY)).where((F.col("source") != "claude") | (F.col("_place") == F.col("locator"))).join(latest, list(SESSION_KEY), "left")
     keep = (F.col("kind") == "ambiguous") & (F.col("_latest") == "completed")
     name = F.when(F.col("kind") == "subagent", "excluded_subagent").when(F.col("kind") == "configured-exclusion", "excluded_configured").when(F.coalesce(keep, F.lit(False)), "ambiguous_preserved").otherwise("excluded_ambiguous")
-    out = out.select(*SESSION_KEY, F.col("kind").alias("_kind"), name.alias("_status"))
+    out = checkpoint(out.select(*SESSION_KEY, F.col("kind").alias("_kind"), name.alias("_status")))
     sessions = sessions.join(out, list(SESSION_KEY), "left").select(*[F.coalesce({"classification": "_kind", "status": "_status"}[c], c).alias(c) if c in ("classification", "status") else F.col(c) for c in tables.sessions.columns])
+    sessions = checkpoint(sessions)
     hurt = {r[0] for r in of("error").select("source").distinct().collect()}
     gone = missing_sessions(sessions, references.where("kind = 'primary'"), [s for s in healthy if s not in hurt], filtered=not whole)
-    gone = gone.where(~F.col("status").isin(*PROTECTED, "source_missing"))
+    gone = checkpoint(gone.where(~F.col("status").isin(*PROTECTED, "source_missing")))
     sessions = mark_missing(sessions, gone, at)
 
     # generations: cleanup, older versions, new ones
     generations = cleanup_pending(tables.generations, out.where("_status <> 'ambiguous_preserved'"))
     kept = of("load").where("status is null or status <> 'empty_after_normalization'").select(*SESSION_KEY, F.col("canonical_hash").alias("keep_hash"))
-    generations = supersede(generations, kept)
+    generations = checkpoint(supersede(generations, kept))
     ready = sessions.join(of("load").select(*SESSION_KEY), list(SESSION_KEY), "left_semi")
-    new = queue.enqueue(ready, generations, bank, RETAIN, at)
+    new = checkpoint(queue.enqueue(ready, generations, bank, RETAIN, at))
     generations = upsert(generations, new.select(*[c for c in new.columns if c in generations.columns]), ["source", "native_session_id", "canonical_hash"])
     sessions = sessions.join(new.select(*SESSION_KEY, F.lit(True).alias("_new")), list(SESSION_KEY), "left").join(of("load").select(*SESSION_KEY, F.lit(True).alias("_loaded")), list(SESSION_KEY), "left")
     known = F.col("_loaded") & F.col("_new").isNull() & (F.col("status") != "empty_after_normalization") & (F.col("acknowledged_hash") == F.col("canonical_hash"))

@@ -96,7 +96,7 @@ def _below(root: str) -> Column:
 def read(spark: SparkSession, root: str) -> DataFrame:
     """``path``, ``size``, ``mtime``, ``sha256``, ``complete`` and ``malformed`` of the files as they are read."""
     found = jsonl.files(spark, root)
-    text = F.decode("content", "UTF-8")
+    text = F.col("content").cast("string")
     whole = F.forall(F.filter(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != ""), lambda x: F.try_parse_json(x).isNotNull())
     return found.select(_below(root), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), ((F.col("length") == 0) | text.endswith("\n")).alias("complete"), (text.endswith("\n") & ~whole).alias("malformed"))
 

@@ -30,10 +30,11 @@ def sample_hash(content):
 def lines(found: DataFrame) -> DataFrame:
     """``path``, ``line_no`` (physical, from 1), ``record_no`` (parsed records, from 1), ``line``.
 
-    Text after the last line feed is an unfinished line and left out even if it parses;
+    Text after the last line feed is an unfinished line and left out even if it parses,
+    or ends within a character (bytes are not decoded before they are cut);
     one trailing carriage return goes; blank lines count but give no row.
     """
-    parts = found.select("path", F.split(F.decode("content", "UTF-8"), "\n").alias("parts"))
+    parts = found.select("path", F.split(F.col("content").cast("string"), "\n").alias("parts"))
     each = parts.select("path", F.posexplode(F.slice("parts", 1, F.size("parts") - 1)).alias("i", "raw")).select("path", (F.col("i") + 1).alias("line_no"), F.regexp_replace("raw", r"\r\z", "").alias("line"))
     rows = each.where(F.trim(F.regexp_replace("line", r"\s", "")) != "")
     return rows.withColumn("record_no", F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
@@ -48,7 +49,7 @@ def records(found: DataFrame) -> DataFrame:
 
 def first_line(content):
     """First terminated line of a file that is not blank, without reading on; null without one."""
-    return F.nullif(F.regexp_extract(F.decode(content, "UTF-8"), r"\A\s*+(\S[^\n]*+)\n", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(content.cast("string"), r"\A\s*+(\S[^\n]*+)\n", 1), F.lit(""))
 
 
 def header(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrace import catalog
+from loomtrace import catalog, catalog_flow  # noqa: F401
 from loomtrace.operators import canonical, queue, reports, state
 from loomtrace.plans import search
 from loomtrace.streaming import settle
@@ -177,16 +177,21 @@ def test_provenance_of_deep_chains(spark):
     assert len(found) == len(turns) and {(r.session, r.entry): r.pending_out for r in found} == want
 
 
-def test_search_session(spark):
-    rows = [("d1", "user-a", "t1", "The current rollback plan uses logical backups"), ("d1", "bot", "t2", "rollback backups noted"), ("d1", "user-b", "t3", "Correction: the rollback plan no longer uses logical backups"), ("d2", "x", "t4", "unrelated words")]
+def test_search_ranks_caps_and_corrections(spark):
+    rows = [("m1", f"e{k}", f"2026-0{k}", f"the kiln in hall seven runs at {k}00 degrees") for k in range(1, 5)]
+    rows += [("m1", "fix", "2026-09", "hall seven: the kiln was removed, correction of the plan"), ("m2", "x", "2026-10", "kiln"), ("m3", "y", "2026-08", "a hall of mirrors")]
     found = spark.createDataFrame([(*r, 1) for r in rows], "document_id string, entry_id string, timestamp string, text string, passage_no int")
-    hits = search.evidence(found, "What is the current rollback plan for logical backups").orderBy("bucket").collect()
-    assert hits[0].entry_id == "user-b" and {h.document_id for h in hits} == {"d1"}
-    assert search.evidence(found, "the of").count() == 0
-    facts = spark.createDataFrame([(0, "rollback plan", "use logical backups", "2026-01-01T00:00:00Z", "s", None), (1, "k", "other", "2026-01-01T00:00:00Z", "s", None)], "pos int, key string, text string, verifiedAt string, source string, supersedes string")
-    assert [r.key for r in search.reviewed_facts(facts, "rollback plan").collect()] == ["rollback plan"]
+    hits = search.evidence(found, "is the kiln in hall seven still on today").orderBy("bucket").collect()
+    assert (hits[0].entry_id, hits[0].bucket) == ("fix", 0) and [h.document_id for h in hits].count("m1") == search.PER_DOCUMENT
+    assert {h.document_id for h in hits} == {"m1"}  # one term of three is no match
+    before = search.evidence(found, "was the kiln in hall seven on before").collect()
+    assert len(before) == search.PER_DOCUMENT and {h.bucket for h in before} == {1}
+    assert search.evidence(found, "to be or").count() == 0
+    facts = spark.createDataFrame([(k, key, text, "2026-01-01T00:00:00Z", "log", None) for k, (key, text) in enumerate([("kiln hall", "sold, password=abc"), ("oven", "kiln"), ("kiln", "hall")])], "pos int, key string, text string, verifiedAt string, source string, supersedes string")
+    got = search.reviewed_facts(facts, "kiln hall").collect()
+    assert [r.pos for r in got] == [0, 2] and got[0].text == "sold, password=[REDACTED:SECRET]"
     with pytest.raises(Exception, match="Invalid reviewed fact"):
-        search.reviewed_facts(facts.withColumn("verifiedAt", F.lit("never")), "rollback plan").collect()
+        search.reviewed_facts(facts.withColumn("source", F.lit(None).cast("string")), "kiln hall").collect()
 
 
 def test_passage_headings(spark):
