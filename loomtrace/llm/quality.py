@@ -34,8 +34,8 @@ HIDDEN, EPOCHS, BATCH, RATE, HELD = 32, 40, 256, 0.01, 5
 THRESHOLD = 0.3
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _PART = 200_000
-#: Words that a task remembers at a time, and counts before it hands them on.
-KNOWN, COUNTED = 150_000, 400_000
+#: Words that a task counts before it hands them on.
+COUNTED = 400_000
 
 
 def _hash(word: str) -> int:
@@ -51,11 +51,11 @@ class Rows(dict):
         self.own = dict(zip(words.tolist(), range(len(words)), strict=True))
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
         h = _hash(word)
         row = self.own.get(h)
-        self[word] = row = len(self.own) + h % self.shared if row is None else row
+        if row is None:  # not kept: rare words are many, and looked up faster than a large table
+            return len(self.own) + h % self.shared
+        self[word] = row
         return row
 
 
