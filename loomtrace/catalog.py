@@ -569,7 +569,7 @@ def discovery_page(spark, sf_dir):
     return d.withColumn("n", F.row_number().over(Window.orderBy(F.asc_nulls_last("n_chars"), "source", "doc_id"))).where("n > 100").select("doc_id", "n")
 
 
-@query()
+@query("SELECT doc_id, 'src-' || lower(source) AS label FROM documents")
 def normalized_labels(spark, sf_dir):
     """Full-width and mixed-case labels fold to one."""
     d = read(spark, sf_dir, "documents")

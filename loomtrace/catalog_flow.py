@@ -441,7 +441,7 @@ def work_adapters(spark, sf_dir):
 
 @query("""WITH b AS (SELECT doc_id AS i, n_chars FROM documents)
     SELECT i::VARCHAR AS path, CASE WHEN i % 10 <> 9 AND i % 5 <> 0 AND i % 7 <> 0 THEN 'captured' WHEN i % 2 = 0 OR i % 10 = 9 THEN 'deferred' ELSE 'omitted' END AS verdict,
-        CASE WHEN i % 10 <> 9 AND i % 5 <> 0 AND i % 7 <> 0 THEN n_chars WHEN i % 2 = 0 OR i % 10 = 9 THEN 1 END AS size FROM b""")
+        CASE WHEN i % 10 <> 9 AND i % 5 <> 0 AND i % 7 <> 0 THEN n_chars WHEN i % 2 = 0 OR i % 10 = 9 THEN 1 ELSE -1 END AS size FROM b""")
 def feed_capture(spark, sf_dir):
     """A capture over files that change, end unfinished, or are gone, with a previous generation."""
     d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
@@ -450,7 +450,7 @@ def feed_capture(spark, sf_dir):
     after = before.withColumn("mtime", F.when(i % 5 == 0, 2).otherwise(1).cast("bigint"))
     files = before.select("path", "size", "mtime", F.sha2("path", 256).alias("sha256"), (i % 7 != 0).alias("complete"), F.lit(False).alias("malformed"))
     previous = rows.where((i % 2 == 0) | (i % 10 == 9)).select("path", F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("mtime"), F.lit("old").alias("sha256"))
-    return feed.capture(before.drop("doc_id"), files, after.drop("doc_id"), previous).select("path", "verdict", "size")
+    return feed.capture(before.drop("doc_id"), files, after.drop("doc_id"), previous).select("path", "verdict", F.coalesce("size", F.lit(-1)).alias("size"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'known' || doc_id ELSE doc_id::VARCHAR END AS native_session_id, origin, CASE WHEN origin = 'desktop' THEN '/feed/current/' || doc_id ELSE '/home/' || doc_id END AS locator, '/home/' || doc_id AS logical_locator

@@ -165,7 +165,10 @@ def bucket_counts(generations: DataFrame, state: str = "state") -> DataFrame:
 
 
 def latest(generations: DataFrame, keys: Sequence[str] = SESSION_KEY, at: str = "queued_at", tie: str = "canonical_hash") -> DataFrame:
-    return generations.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(tie)))).where("_rn = 1").drop("_rn")
+    """The last row of each key by time, then by ``tie``: a partial aggregate, rows of a key are never sorted."""
+    rest = [c for c in generations.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(F.col(at).alias("at"), F.col(tie).alias("tie")))
+    return generations.groupBy(*keys).agg(last.alias("_last")).select(*[F.col("_last")[c].alias(c) if c in rest else F.col(c) for c in generations.columns])
 
 
 def reconcile(local: DataFrame, remote: DataFrame, key: str, hash_: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import sqlite3
 from collections.abc import Callable, Iterator
 
@@ -194,7 +195,7 @@ def read_sessions(spark: SparkSession, source: str, root: str, labels: DataFrame
     ``labels`` (id, name, title) names Codex sessions: by the thread's id, else by the
     session's, as the header has them; a label takes part in the fingerprint.
     """
-    root = root.rstrip("/")
+    root = re.sub("^file:/*", "/", root.rstrip("/"))
     found = jsonl.files(spark, root, pattern).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
     if labels is None:
         found = found.withColumn("label", F.lit(None).cast("string"))
