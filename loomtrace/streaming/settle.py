@@ -27,13 +27,12 @@ def settled(observations: DataFrame, seconds: int) -> DataFrame:
         known = state.get if state.exists else (None, None)
         for frame in frames:
             frame = frame.sort_values("observed_at", kind="stable")
-            out = []
-            for fingerprint, at in zip(frame["fingerprint"], frame["observed_at"], strict=True):
-                micros = at.value // 1000
-                fresh = known[0] != fingerprint
-                known = (fingerprint, micros) if fresh else known
-                out.append(not fresh and micros - known[1] >= seconds * 1_000_000)
-            yield pd.DataFrame({"source": key[0], "native_session_id": key[1], "fingerprint": frame["fingerprint"].values, "observed_at": frame["observed_at"].values, "settled": out})
+            at, look = frame["observed_at"].astype("datetime64[us]").astype("int64"), frame["fingerprint"].fillna("\0")
+            fresh = look != look.shift()
+            fresh.iloc[0] = known[1] is None or look.iloc[0] != known[0]
+            since = at.where(fresh).ffill().fillna(known[1] or 0).astype("int64")
+            yield pd.DataFrame({"source": key[0], "native_session_id": key[1], "fingerprint": frame["fingerprint"].values, "observed_at": frame["observed_at"].values, "settled": (~fresh & (at - since >= seconds * 1_000_000)).values})
+            known = (look.iloc[-1], int(since.iloc[-1]))
         state.update(known)
 
     return observations.groupBy("source", "native_session_id").applyInPandasWithState(step, OUT, "fingerprint string, first_seen bigint", "append", GroupStateTimeout.NoTimeout)
