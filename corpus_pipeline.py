@@ -2,6 +2,11 @@
 
 Every stage works on all rows that the one before it kept.  All but the last return the
 columns of ``documents``; the last returns token ids.
+
+Edge cases hold for every stage: null and empty texts are texts without words or lines
+(line dedup makes a null text empty); rows that repeat share their verdict; a null id
+takes part but never names a group; an empty table passes through; columns of any name
+stay as they are.  A text of any length is read whole, piece by piece.
 """
 
 from __future__ import annotations
