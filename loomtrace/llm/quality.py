@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _PART = 200_000
 #: Words that a task counts before it hands them on.
-COUNTED = 400_000
+COUNTED = 100_000
 
 
 def _hash(word: str) -> int:
