@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_wrapper, line_dedup, quality, sharding, simhash, spotsigs, token_count
+from . import bpe, chat, decontaminate, html_wrapper, line_dedup, quality, sharding, simhash, spotsigs, token_count, vector_codes
 from ._common import table
 
 #: Shards that the placement query deals documents to.
@@ -64,6 +64,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(given.unionByName(forged)))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -147,5 +151,27 @@ _OP10_SQL = rf"""
     FROM k GROUP BY conv_id"""
 
 
+def _op11_sql() -> str:
+    """Rounds written out: a part meets the sixteen entries of its codebook by the part's number."""
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    steps = [
+        f"""kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"cut AS (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS r(p))",
+        f"b0 AS (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1) AS e, x AS y FROM cut JOIN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id))",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, any_value(label) AS label, min({{'d': list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}}) AS best
+            FROM cut JOIN b{k} USING (p) GROUP BY vec_id, p)""")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT p, e, i, sum(c)::HUGEINT AS s, count(*) AS n FROM (SELECT p, best.e AS e, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY p, e, i)")
+            steps.append(f"u{k} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS y FROM m{k} GROUP BY p, e)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(u.y, b.y) AS y FROM b{k} b LEFT JOIN u{k} u ON b.p = u.p AND b.e = u.e)")
+    return f"""WITH {", ".join(steps)},
+        code AS (SELECT vec_id, any_value(label) AS label, string_agg(lpad(format('{{:x}}', best.e), 2, '0'), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM code"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _op1_sql(), "op4_decontaminate": _OP4_SQL, "op6_html": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op8_spotsigs": _OP8_SQL, "op10_chat": _OP10_SQL}
+    return {"op11_vector_codes": _op11_sql(), "op1_sharding": _op1_sql(), "op4_decontaminate": _OP4_SQL, "op6_html": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op8_spotsigs": _OP8_SQL, "op10_chat": _OP10_SQL}
