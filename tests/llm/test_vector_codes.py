@@ -77,8 +77,9 @@ def test_odd_tables(spark):
 @pytest.mark.parametrize("scale", [1, 1 << 40])
 def test_annulus_is_exact_and_prunes(scale):
     rng = np.random.default_rng(1)
-    parts = rng.integers(-500, 500, (400, 8)) * rng.integers(1, 30, (400, 1))
-    entries = [[int(x) * scale for x in row] for row in parts[:16]]
+    centres = rng.integers(-500, 500, (16, 8)) * rng.integers(1, 30, (16, 1))
+    parts = np.repeat(centres, 25, axis=0) + rng.integers(-40, 40, (400, 8))
+    entries = [[int(x) * scale for x in row] for row in centres]
     parts = parts.astype(object) * scale if scale > 1 else parts
     book = vector_codes.Codebook(entries, 8)
     index, distance = book.nearest(parts)
