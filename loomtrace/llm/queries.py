@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_wrapper, line_dedup, quality, sharding, simhash, spotsigs, token_count, vector_codes
+from . import bpe, chat, decontaminate, html_wrapper, line_dedup, quality, sharding, simhash, source_audit, spotsigs, token_count, vector_codes
 from ._common import table
 
 #: Shards that the placement query deals documents to.
@@ -68,6 +68,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -173,5 +177,26 @@ def _op11_sql() -> str:
             (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM code"""
 
 
+#: Integer division is exact on HUGEINT; divergences are never negative.
+_OP13_SQL = rf"""
+    WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+            regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+    c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT lang, source, r, unnest(ws) AS term FROM d) GROUP BY ALL),
+    k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= {source_audit.LEAST_DOCUMENTS}),
+    v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+    g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d)
+        LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c SEMI JOIN k USING (lang, term) GROUP BY ALL) s USING (lang, source) LEFT JOIN (SELECT lang, v FROM v) USING (lang)),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + ({source_audit.UNIT}::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + g.v))::HUGEINT AS p, k.total
+        FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+        ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (SELECT p.lang, p.source, p.term AS item, (p.p - q) * (p.p - q) // q AS value
+        FROM (SELECT p.*, (1 + ({source_audit.UNIT}::HUGEINT * (total + 1)) // (v.n + v.v))::HUGEINT AS q FROM p JOIN v USING (lang)) p WHERE p.n > 0 AND p.p > q),
+    both_ AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+    SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY both_.value DESC, item))::INTEGER AS rank
+    FROM both_ QUALIFY part = 'pair' OR rank <= {source_audit.LAST_RANK}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_vector_codes": _op11_sql(), "op1_sharding": _op1_sql(), "op4_decontaminate": _OP4_SQL, "op6_html": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op8_spotsigs": _OP8_SQL, "op10_chat": _OP10_SQL}
+    return {"op11_vector_codes": _op11_sql(), "op13_source_audit": _OP13_SQL, "op1_sharding": _op1_sql(), "op4_decontaminate": _OP4_SQL, "op6_html": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op8_spotsigs": _OP8_SQL, "op10_chat": _OP10_SQL}
