@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_wrapper, line_dedup, quality, sharding, simhash, source_audit, spotsigs, token_count, vector_codes
+from . import bpe, chat, decontaminate, html_wrapper, line_dedup, quality, sharding, simhash, source_audit, spotsigs, substring_dedup, token_count, vector_codes
 from ._common import table
 
 #: Shards that the placement query deals documents to.
@@ -68,6 +68,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
@@ -177,6 +182,15 @@ def _op11_sql() -> str:
             (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM code"""
 
 
+_OP12_SQL = rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    w AS (SELECT doc_id, i, array_to_string(ws[i:i + {substring_dedup.WINDOW - 1}], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {substring_dedup.WINDOW - 2})) AS i FROM d WHERE len(ws) >= {substring_dedup.WINDOW})),
+    gone AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+    words AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substring_dedup.WINDOW})) AS p FROM gone),
+    every_ AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+    kept AS (SELECT e.doc_id, count(words.p) AS n_removed, string_agg(word, ' ' ORDER BY e.p) FILTER (words.p IS NULL) AS kept FROM every_ e LEFT JOIN words ON words.doc_id = e.doc_id AND words.p = e.p GROUP BY e.doc_id)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
 #: Integer division is exact on HUGEINT; divergences are never negative.
 _OP13_SQL = rf"""
     WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
@@ -199,4 +213,4 @@ _OP13_SQL = rf"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_vector_codes": _op11_sql(), "op13_source_audit": _OP13_SQL, "op1_sharding": _op1_sql(), "op4_decontaminate": _OP4_SQL, "op6_html": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op8_spotsigs": _OP8_SQL, "op10_chat": _OP10_SQL}
+    return {"op11_vector_codes": _op11_sql(), "op12_substring_dedup": _OP12_SQL, "op13_source_audit": _OP13_SQL, "op1_sharding": _op1_sql(), "op4_decontaminate": _OP4_SQL, "op6_html": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op8_spotsigs": _OP8_SQL, "op10_chat": _OP10_SQL}
