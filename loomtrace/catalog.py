@@ -195,32 +195,48 @@ def evidence_lexical(spark, sf_dir):
 # -- the stored index
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> tuple[index.Index, DataFrame, DataFrame]:
-    """An index of all documents, each an entry of its source, and the tables it is made from."""
+def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as sessions, each an entry of its source: sessions and turns."""
     d = read(spark, sf_dir, "documents")
-    sessions = d.groupBy("source").agg(F.max("doc_id").cast("string").alias("canonical_hash")).select(F.col("source").alias("document_id"), "source", F.col("source").alias("native_session_id"), F.concat(F.lit("/h/"), "source").alias("source_path"), "canonical_hash")
+    sessions = d.groupBy("source").agg(F.max("doc_id").cast("string").alias("canonical_hash")).select(F.col("source").alias("document_id"), "source", F.col("source").alias("native_session_id"), F.concat(F.lit("/h/"), "source").alias("source_path"), "canonical_hash", F.lit("primary").alias("classification"), F.lit("discovered").alias("status"))
     turns = d.select(F.col("source").alias("document_id"), F.col("doc_id").cast("string").alias("entry_id"), F.lit(None).cast("string").alias("parent_entry_id"), F.lit("user").alias("role"), F.lit(None).cast("string").alias("provenance"), F.format_string("%012d", "doc_id").alias("timestamp"), F.col("text").alias("content"))
-    return index.build(sessions, turns), sessions, turns
+    return sessions, turns
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> index.Index:
+def _stored(spark: SparkSession, sf_dir: str, use: Callable[[index.Index], DataFrame], commits: int = 1, fan: int = index.FAN) -> DataFrame:
+    """What ``use`` gives of a stored index of all documents, written in so many commits; its folder goes again."""
     path = f"{canonical.shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    index.write(_indexed(spark, sf_dir)[0], path)
-    return index.read(spark, path)
+    sessions, turns = _sources(spark, sf_dir)
+    try:
+        for k in range(commits):
+            part = sessions.where(F.pmod(F.xxhash64("document_id"), F.lit(commits)) == k)
+            index.update(index.read(spark, path), part, turns, fan=fan)
+        return canonical.checkpoint(use(index.read(spark, path)))
+    finally:
+        canonical.remove_folder(spark, path)
 
 
-@query(f"""WITH {_PASSAGES}, {_TOKENS.split("terms(pos")[0].rstrip().rstrip(",")}, p AS (SELECT document_id, entry_id, passage_no, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tok)
-    SELECT term, count(*) AS n, count(DISTINCT (document_id, entry_id, passage_no)) AS n_passages, count(DISTINCT document_id) AS n_documents, sum(pos - 1)::BIGINT AS places FROM p GROUP BY term""")
+_POSTINGS = f"""WITH {_PASSAGES}, {_TOKENS.split("terms(pos")[0].rstrip().rstrip(",")}, p AS (SELECT document_id, entry_id, passage_no, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tok)"""
+
+
+@query(f"""{_POSTINGS} SELECT term, count(*) AS n, count(DISTINCT (document_id, entry_id, passage_no)) AS n_passages, count(DISTINCT document_id) AS n_documents, sum(pos - 1)::BIGINT AS places FROM p GROUP BY term""")
 def index_postings(spark, sf_dir):
     """The vocabulary of the index: how often each term stands in it, and where."""
-    p = _indexed(spark, sf_dir)[0].postings
+    passages = _passages(spark, sf_dir).select(F.xxhash64(*index.KEYS).alias("passage"), *index.KEYS, "timestamp", F.size(search.tokens(F.col("text"))).alias("n_tokens"), "text")
+    p = index.postings(passages).select("term", F.explode("entries").alias("e")).select("term", "e.document_id", "e.positions")
     return p.groupBy("term").agg(F.sum(F.size("positions")).alias("n"), F.count("*").alias("n_passages"), F.countDistinct("document_id").alias("n_documents"), F.sum(F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("places"))
 
 
 @query(ORACLE_SQL["evidence_search"])
 def index_search(spark, sf_dir):
     """The same hits as a search of the texts, from the stored postings."""
-    return index.evidence(_stored(spark, sf_dir), SEARCH_QUERY).select("document_id", "entry_id", "passage_no", "bucket", "rank")
+    return _stored(spark, sf_dir, lambda i: index.evidence(i, SEARCH_QUERY)).select("document_id", "entry_id", "passage_no", "bucket", "rank")
+
+
+@query(ORACLE_SQL["bm25_topk"])
+def index_topk(spark, sf_dir):
+    """The same ranking as a search of the texts, from the blocks whose bounds reach it, over several segments."""
+    return _stored(spark, sf_dir, lambda i: index.best(i, _TERMS).hits, commits=3).select("document_id", "entry_id", "passage_no", F.round("rank", 6).alias("rank"))
 
 
 @query("""WITH k AS (SELECT source, max(doc_id) AS h, max(doc_id) % 3 AS m FROM documents GROUP BY source)
@@ -229,14 +245,39 @@ def index_search(spark, sf_dir):
     FROM documents d JOIN k ON d.source = k.source WHERE m <> 0 OR h % 2 = 1 GROUP BY ALL""")
 def index_upsert(spark, sf_dir):
     """Sessions of three kinds against an index: unchanged with a new path, changed, and left out or empty."""
-    built, sessions, turns = _indexed(spark, sf_dir)
+    return _stored(spark, sf_dir, lambda i: _entries_of(_upserted(spark, sf_dir, i)), commits=2)
+
+
+def _upserted(spark: SparkSession, sf_dir: str, stored: index.Index, fan: int = index.FAN) -> index.Index:
+    sessions, turns = _sources(spark, sf_dir)
     h = F.col("canonical_hash").cast("bigint")
     kind = h % 3
     given = sessions.withColumn("source_path", F.concat(F.lit("/new/"), "source")).withColumn("status", F.when((kind == 0) & (h % 2 == 0), "empty_after_normalization").otherwise("discovered"))
     given = given.withColumn("classification", F.when(kind == 2, "subagent").otherwise("primary")).withColumn("canonical_hash", F.when(kind == 1, h + 1).otherwise(h).cast("string"))
-    got = index.update(built, given, turns.withColumn("content", F.concat(F.lit("B"), "content")))
-    each = got.passages.where("passage_no = 1").groupBy("document_id").agg(F.countDistinct("entry_id").alias("n_entries"), F.bool_and(F.col("text").startswith("B")).alias("replaced"))
-    return got.documents.join(each, "document_id").select("document_id", "canonical_hash", "source_path", "n_entries", "replaced")
+    return index.update(stored, given, turns.withColumn("content", F.concat(F.lit("B"), "content")), fan=fan)
+
+
+def _entries_of(stored: index.Index) -> DataFrame:
+    live = stored.live(stored.table("passages"))
+    each = live.where("passage_no = 1").groupBy("document_id").agg(F.countDistinct("entry_id").alias("n_entries"), F.bool_and(F.col("text").startswith("B")).alias("replaced"))
+    return stored.documents().join(each, "document_id").select("document_id", "canonical_hash", "source_path", "n_entries", "replaced")
+
+
+_CHANGED = _PASSAGES.replace("FROM documents", "FROM (SELECT d.* REPLACE (CASE WHEN h % 3 = 1 THEN 'B' || text ELSE text END AS text) FROM documents d JOIN (SELECT source, max(doc_id) AS h FROM documents GROUP BY source) k USING (source) WHERE h % 3 <> 0 OR h % 2 = 1) documents", 1)
+
+
+@query(f"""WITH {_CHANGED}, {_TOKENS.split("terms(pos")[0].rstrip().rstrip(",")}, p AS (SELECT document_id, entry_id, passage_no, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tok)
+    SELECT term, count(DISTINCT (document_id, entry_id, passage_no)) AS n_passages, count(DISTINCT document_id) AS n_documents, count(DISTINCT (document_id, entry_id, passage_no)) AS n_entries FROM p GROUP BY term""")
+def index_merge(spark, sf_dir):
+    """The vocabulary of an index after commits, updates, deletions and merges: by the log of terms, and by the postings themselves."""
+
+    def use(stored: index.Index) -> DataFrame:
+        merged = _upserted(spark, sf_dir, stored, fan=2)
+        log = merged.table("terms").groupBy("term").agg(F.sum("n_passages").alias("n_passages"), F.sum("n_documents").alias("n_documents"))
+        found = merged.live(merged.table("postings").select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.document_id")).groupBy("term").agg(F.count("*").alias("n_entries"))
+        return log.where("n_passages <> 0 or n_documents <> 0").join(found, "term", "full_outer")
+
+    return _stored(spark, sf_dir, use, commits=3, fan=2)
 
 
 # -- text functions

@@ -1,112 +1,405 @@
-"""A stored passage index: documents, passages and postings, updated by hash.
-
-Postings lie in buckets of their term and, inside, in its order; passages lie in buckets
-of their document.  A search reads the buckets of its terms and, for at most two hundred
-candidates, the buckets of their documents; the text of the rest is never read.
+"""A stored passage index of immutable segments.
+
+A commit writes one segment and a manifest, and never touches what is there:
+
+* ``passages``, in the order of their keys, each with a number; ``postings`` of its new
+  documents, a row a term and block of ``BLOCK`` neighbouring numbers;
+* ``documents``, a log: the last row of a document counts, and names the segment that
+  holds its passages (none once it is gone);
+* ``deletes``: documents that an earlier segment holds no longer (its deletion vector);
+* ``terms``, a log of passages and documents with each term, with negative rows for what
+  was deleted, so that the figures of a collection need no look at its postings.
+
+A manifest lists the segments with their sizes and the totals of the collection.  Its
+file is created under the next version, which only one writer can do; a commit that
+fails leaves files that no manifest names.  Segments of a like size are merged when there
+are enough of them, so a passage is rewritten a logarithmic number of times.
+
+Postings are sorted by term and block and split by range, so a frequent term lies in many
+files and a rare one is found by the statistics of its file.  Each block carries the
+impacts that no other one in it beats (occurrences and passage length), from which a bound
+of its BM25 scores follows for whatever the collection has become; blocks of all terms
+span the same passages, so bounds add up by block.  The best ``k`` passages are sought in
+the blocks of the highest bounds first; what these give bounds which others are read.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import plain as P
-from ..operators.state import delete
 from . import search
+from .search import checkpoint
 
-#: Buckets of terms and of documents.
-BUCKETS = 64
-DOCUMENT = "document_id string, source string, native_session_id string, source_path string, canonical_hash string"
-PASSAGE = "document_id string, entry_id string, passage_no bigint, parent_entry_id string, role string, provenance string, timestamp string, text string, n_tokens int"
-POSTING = "term string, document_id string, entry_id string, passage_no bigint, timestamp string, n_tokens int, positions array<int>"
+#: Passages that a block spans, segments of a level before they are merged, bytes of a file, and rows that are handed to every task.
+BLOCK, FAN, FILE_BYTES, SMALL = 16, 4, 128 << 20, 100_000
+KEYS = ["document_id", "entry_id", "passage_no"]
+DOCUMENT = "document_id string, source string, native_session_id string, source_path string, canonical_hash string, holder string, n_passages bigint, n_tokens bigint, version bigint"
+PASSAGE = "passage bigint, document_id string, entry_id string, passage_no bigint, parent_entry_id string, role string, provenance string, timestamp string, text string, n_tokens int"
+ENTRY = "struct<passage:bigint,document_id:string,entry_id:string,passage_no:bigint,timestamp:string,n_tokens:int,positions:array<int>>"
+POSTING = f"term string, block bigint, n int, impacts array<struct<f:int,n:int>>, entries array<{ENTRY}>"
+TERM = "term string, n_passages bigint, n_documents bigint"
+DELETE = "holder string, document_id string"
+TABLES = {"documents": DOCUMENT, "passages": PASSAGE, "postings": POSTING, "terms": TERM, "deletes": DELETE}
 
 
-class Index(NamedTuple):
-    """Tables of an index, each with its bucket."""
+class Conflict(RuntimeError):
+    """Another writer made the version that this one wanted to make."""
 
-    documents: DataFrame
-    passages: DataFrame
-    postings: DataFrame
 
+class Segment(NamedTuple):
+    """What a manifest says of a segment; ``size`` is the number of rows it was written with."""
 
-def _bucket(of: str) -> Column:
-    return F.pmod(F.xxhash64(of), F.lit(BUCKETS)).cast("int").alias("bucket")
+    name: str
+    version: int
+    size: int
 
 
-def empty(spark: SparkSession) -> Index:
-    return Index(*[spark.createDataFrame([], s).withColumn("bucket", F.lit(0)) for s in (DOCUMENT, PASSAGE, POSTING)])
+class Index(NamedTuple):
+    """One version of an index: its segments, the totals of its live passages, and where merged segments went."""
+
+    spark: SparkSession
+    path: str
+    version: int = 0
+    segments: tuple[Segment, ...] = ()
+    passages: int = 0
+    tokens: int = 0
+    merged: tuple[tuple[str, str, int], ...] = ()
+
+    def table(self, name: str, segments: tuple[str, ...] | None = None) -> DataFrame:
+        """A table over the given segments (all, if none are given), with the column ``segment``."""
+        names = [s.name for s in self.segments] if segments is None else list(segments)
+        schema = f"{TABLES[name]}, segment string"
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        folder = f"{self.path}/{name}"
+        return self.spark.read.schema(schema).option("basePath", folder).parquet(*[f"{folder}/segment={s}" for s in names])
+
+    def documents(self, only: DataFrame | None = None) -> DataFrame:
+        """Live documents (``only`` some, where given) with the segment that holds them now; a partial aggregate over the log."""
+        rows = self.table("documents").drop("segment")
+        if only is not None:
+            rows = rows.join(only.select("document_id").distinct(), "document_id", "left_semi")
+        return _last(rows).where("holder is not null").withColumn("holder", self.now("holder"))
+
+    def now(self, holder: str) -> Column:
+        """The present name of a segment that may have been merged since."""
+        pairs = [F.lit(x) for a, b, _ in self.merged for x in (a, b)]
+        return F.coalesce(F.create_map(*pairs)[F.col(holder)], F.col(holder)) if pairs else F.col(holder)
+
+    def live(self, rows: DataFrame, segments: tuple[str, ...] | None = None) -> DataFrame:
+        """Passages or entries (with ``segment`` and ``document_id``) without deleted documents.
+
+        A deletion names a segment as it was called then.  If that was merged since, it
+        has been carried out, and the document may stand in the merged one by a later commit.
+        """
+        gone = self.table("deletes").select(F.col("holder").alias("segment"), "document_id")
+        gone = gone.where(F.col("segment").isin([s.name for s in self.segments] if segments is None else list(segments)))
+        return rows.join(gone.distinct(), ["segment", "document_id"], "left_anti")
+
+
+def _last(log: DataFrame) -> DataFrame:
+    """The last row of each document."""
+    rest = F.struct(*[c for c in log.columns if c != "document_id"])
+    return log.groupBy("document_id").agg(F.max_by(rest, "version").alias("r")).select("document_id", "r.*")
+
+
+# -- manifests
+
+
+def _fs(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _list(spark: SparkSession, path: str) -> list[str]:
+    fs, place = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def read(spark: SparkSession, path: str, version: int | None = None) -> Index:
+    """The last version of an index, or a given one; a folder without a manifest is an empty index."""
+    names = [n for n in _list(spark, f"{path}/manifest") if n.endswith(".json")]
+    if version is not None:
+        names = [n for n in names if int(n[:-5]) == version]
+    if not names:
+        return Index(spark, path)
+    found = json.loads(spark.read.text(f"{path}/manifest/{names[-1]}", wholetext=True).first()[0])
+    return Index(spark, path, found["version"], tuple(Segment(*s) for s in found["segments"]), found["passages"], found["tokens"], tuple(map(tuple, found["merged"])))
+
+
+def _publish(index: Index) -> Index:
+    """Make a version visible, if nobody has made it before: the file is written aside and moved without overwriting."""
+    spark, body = index.spark, json.dumps({"version": index.version, "segments": index.segments, "passages": index.passages, "tokens": index.tokens, "merged": index.merged})
+    fs, place = _fs(spark, f"{index.path}/manifest/{index.version:012d}.json")
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{index.path}/manifest/.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(body.encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(aside, place, none)
+    except Exception as e:
+        fs.delete(aside, False)
+        if fs.exists(place):
+            raise Conflict(f"version {index.version} of {index.path} exists") from e
+        raise
+    return index
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Remove manifests but the last ``keep`` and the segments that none of these names; the names of what went.
+
+    Not to be run beside a writer: a segment that is being written has no manifest yet.
+    """
+    names = [n for n in _list(spark, f"{path}/manifest") if n.endswith(".json")]
+    stay = {s.name for n in names[-keep:] for s in read(spark, path, int(n[:-5])).segments}
+    gone = [f"manifest/{n}" for n in names[:-keep]]
+    gone += [f"{t}/{n}" for t in TABLES for n in _list(spark, f"{path}/{t}") if n.partition("=")[2] not in stay]
+    for name in gone:
+        fs, place = _fs(spark, f"{path}/{name}")
+        fs.delete(place, True)
+    return gone
 
 
-def build(sessions: DataFrame, turns: DataFrame) -> Index:
-    """Index of sessions and their turns.
+# -- writing
 
-    ``sessions(document_id, source, native_session_id, source_path, canonical_hash)``,
-    ``turns(document_id, entry_id, parent_entry_id, role, provenance, timestamp, content)``;
-    only what users and assistants say is indexed.  A turn without an entry has the empty one.
-    """
-    documents = sessions.select("document_id", "source", "native_session_id", C.redact(F.col("source_path")).alias("source_path"), "canonical_hash", _bucket("document_id"))
-    said = turns.where(F.col("role").isin("user", "assistant"))
+
+def said(turns: DataFrame) -> DataFrame:
+    """What users and assistants say: the turns that are indexed.  A turn without an entry has the empty one."""
+    rows = turns.where(F.col("role").isin("user", "assistant"))
+    return rows.select("document_id", F.coalesce("entry_id", F.lit("")).alias("entry_id"), "parent_entry_id", "role", F.coalesce("provenance", F.lit("original")).alias("provenance"), "timestamp", "content")
+
+
+def _passages(turns: DataFrame) -> DataFrame:
+    """Passages of turns as :func:`said` gives them; within a row, so nothing moves."""
     keys = ["document_id", "entry_id", "parent_entry_id", "role", "provenance", "timestamp"]
-    said = said.select("document_id", F.coalesce("entry_id", F.lit("")).alias("entry_id"), "parent_entry_id", "role", F.coalesce("provenance", F.lit("original")).alias("provenance"), "timestamp", "content")
-    found = search.passages(said, keys).withColumn("passage_no", F.col("passage_no").cast("bigint")).withColumn("_words", search.tokens(F.col("text")))
-    passages = found.select(*keys[:2], "passage_no", *keys[2:], "text", F.size("_words").alias("n_tokens"), _bucket("document_id"))
-    each = found.select("document_id", "entry_id", "passage_no", "timestamp", F.size("_words").alias("n_tokens"), F.posexplode("_words").alias("_at", "term"))
-    postings = each.groupBy("term", "document_id", "entry_id", "passage_no").agg(F.max("timestamp").alias("timestamp"), F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list("_at")).alias("positions"))
-    return Index(documents, passages, postings.select("*", _bucket("term")))
+    found = search.passages(turns, keys).withColumn("passage_no", F.col("passage_no").cast("bigint"))
+    return found.select(*KEYS, *keys[2:], "text", F.size(search.tokens(F.col("text"))).alias("n_tokens"))
+
 
+def postings(passages: DataFrame) -> DataFrame:
+    """``POSTING`` rows of numbered passages, a batch at a time: the blocks of neighbours never move.
 
-def update(index: Index, sessions: DataFrame, turns: DataFrame, force: bool = False) -> Index:
-    """The index with sessions upserted, ``sessions`` as in :func:`build` and ``classification``, ``status``.
+    A block that two tasks share has a row in each.
+    """
+    given = passages.select("passage", *KEYS, "timestamp", "n_tokens", search.tokens(F.col("text")).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32 * BLOCK):
+                part = batch.slice(at, 32 * BLOCK)
+                if len(part.column(6).flatten()):
+                    yield _block_rows(part)
+
+    return given.mapInArrow(run, POSTING)
+
+
+def _block_rows(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Blocks of a batch: sorted by term, block, passage and place, and cut where these change."""
+    sizes = np.diff(part.column(6).offsets.to_numpy())
+    row = np.repeat(np.arange(part.num_rows), sizes)
+    words = part.column(6).flatten().dictionary_encode()
+    term, block = words.indices.to_numpy(), part.column(0).to_numpy()[row] // BLOCK
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((place, row, block, term))
+    term, block, row, place = (x[order] for x in (term, block, row, place))
+    new_block = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))
+    new_entry = new_block | np.append(True, row[1:] != row[:-1])
+    entry_at, block_at = np.flatnonzero(new_entry), np.flatnonzero(new_block)
+    f = np.diff(np.append(entry_at, len(row))).astype(np.int32)
+    of = row[entry_at]
+    offsets = np.append(np.searchsorted(entry_at, block_at), len(entry_at)).astype(np.int32)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(entry_at, len(row)).astype(np.int32)), pa.array(place.astype(np.int32)))
+    columns = [part.column(k).take(pa.array(of)) for k in range(6)]
+    names = ["passage", *KEYS, "timestamp", "n_tokens", "positions"]
+    entries = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([*columns, positions], names))
+    best, counts = _impacts(f, part.column(5).to_numpy()[of], offsets)
+    impacts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(best[:, 0]), pa.array(best[:, 1])], ["f", "n"]))
+    return pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[block_at])), pa.array(block[block_at]), pa.array(np.diff(offsets)), impacts, entries], ["term", "block", "n", "impacts", "entries"])
+
+
+def _impacts(f: np.ndarray, n: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each block the (occurrences, length) that no other has at more occurrences and less length."""
+    block = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((n, -f, block))
+    block, f, n = block[order], f[order], n[order].astype(np.int32)
+    keep, least, last = np.zeros(len(f), bool), 0, -1
+    for k, (b, m) in enumerate(zip(block.tolist(), n.tolist(), strict=True)):
+        if b != last or m < least:
+            keep[k], least, last = True, m, b
+    return np.stack([f[keep], n[keep]], axis=1), np.bincount(block[keep], minlength=len(offsets) - 1)
+
+
+def _files(spark: SparkSession, rows: int, bytes_: int) -> int:
+    """Files of bounded bytes; more of them where cores would idle, but none of less than a thousand rows."""
+    return max(1, -(-bytes_ // FILE_BYTES), min(spark.sparkContext.defaultParallelism, rows // 1000))
+
+
+def _write_passages(index: Index, name: str, rows: DataFrame, text: str, make: Callable[[DataFrame], DataFrame]) -> tuple[int, int]:
+    """Store the passages that ``make`` gives of rows, numbered in the order of their keys, and their postings; how many passages and tokens."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    place = lambda table: f"{index.path}/{table}/segment={name}"
+    files = _files(index.spark, n, size)
+    ordered = make(rows.repartitionByRange(files, "document_id", "entry_id")).sortWithinPartitions(*KEYS)
+    ordered.select(F.monotonically_increasing_id().alias("passage"), *KEYS, "parent_entry_id", "role", "provenance", "timestamp", "text", "n_tokens").write.parquet(place("passages"))
+    stored = index.spark.read.schema(PASSAGE).parquet(place("passages"))
+    # kept once: splitting by range looks at the rows before it moves them
+    checkpoint(postings(stored)).repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block").write.parquet(place("postings"))
+    return tuple(stored.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first())
+
+
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """Passages and documents with each term, of ``rows(term, document_id, n)``."""
+    each = rows.groupBy("term", "document_id").agg(F.sum("n").alias("n"))
+    return each.groupBy("term").agg(F.sum("n").alias("n_passages"), F.count("*").alias("n_documents"))
+
+
+def _terms_of(passages: DataFrame) -> DataFrame:
+    """Terms of stored passages: term, document, passages."""
+    found = passages.select("segment", "document_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
+    return found.groupBy("segment", "term", "document_id").agg(F.count("*").alias("n"))
+
+
+def _write_logs(index: Index, name: str, documents: DataFrame, terms: DataFrame, deletes: DataFrame) -> None:
+    for table, rows, order in (("documents", documents, "document_id"), ("terms", terms, "term"), ("deletes", deletes, "holder")):
+        columns = [c.split()[0] for c in TABLES[table].split(", ")]
+        rows.select(*columns).sortWithinPartitions(order).write.parquet(f"{index.path}/{table}/segment={name}")
+
+
+def _name(version: int) -> str:
+    return f"{version:012d}-{uuid.uuid4().hex[:8]}"
+
+
+def _made(name: str) -> int:
+    """The version that a segment was written for."""
+    return int(name.partition("-")[0])
+
+
+def commit(index: Index, changed: DataFrame, turns: DataFrame, kept: DataFrame | None = None, gone: DataFrame | None = None) -> Index:
+    """The next version: ``changed`` documents replaced whole, ``kept`` ones with a new path, ``gone`` ones deleted.
+
+    ``changed(document_id, source, native_session_id, source_path, canonical_hash)``,
+    ``kept(document_id, source_path)``, ``gone(document_id)``; one row a document.  What
+    is written grows with these, not with the index.
+    """
+    spark, version = index.spark, index.version + 1
+    name = _name(version)
+    changed = checkpoint(changed.select("document_id", "source", "native_session_id", C.redact(F.col("source_path")).alias("source_path"), "canonical_hash"))
+    n, tokens = _write_passages(index, name, checkpoint(said(turns.join(changed.select("document_id"), "document_id", "left_semi"))), "content", _passages)
+    new = index._replace(version=version, segments=(*index.segments, Segment(name, version, n)))
+    count = new.table("passages", (name,)).groupBy("document_id").agg(F.count("*").alias("n_passages"), F.sum("n_tokens").alias("n_tokens"))
+    zero = F.lit(0).cast("bigint")
+    rows = changed.join(count, "document_id", "left").select("document_id", "source", "native_session_id", "source_path", "canonical_hash", F.lit(name).alias("holder"), F.coalesce("n_passages", zero).alias("n_passages"), F.coalesce("n_tokens", zero).alias("n_tokens"), F.lit(version).cast("bigint").alias("version"))
+    leave = changed.select("document_id") if gone is None else changed.select("document_id").unionByName(gone.select("document_id"))
+    had = checkpoint(index.documents(leave))
+    if gone is not None:
+        none = had.join(gone.select("document_id").distinct(), "document_id", "left_semi")
+        rows = rows.unionByName(none.select("document_id", "source", "native_session_id", "source_path", "canonical_hash", F.lit(None).cast("string").alias("holder"), zero.alias("n_passages"), zero.alias("n_tokens"), F.lit(version).cast("bigint").alias("version")))
+    if kept is not None:
+        path = kept.select("document_id", C.redact(F.col("source_path")).alias("_path"))
+        moved = index.documents(path).join(path, "document_id").where(~F.col("source_path").eqNullSafe(F.col("_path")))
+        rows = rows.unionByName(moved.withColumn("source_path", F.col("_path")).withColumn("version", F.lit(version).cast("bigint")).select(rows.columns))
+    # what leaves takes its terms along: its passages alone are read again
+    deletes = had.where("n_passages > 0").select("holder", "document_id")
+    holders = tuple(r[0] for r in deletes.select("holder").distinct().collect())  # segments, a few
+    lost = _terms_of(index.table("passages", holders).join(deletes.withColumnRenamed("holder", "segment"), ["segment", "document_id"], "left_semi"))
+    found = _term_counts(new.table("postings", (name,)).select("term", F.explode("entries.document_id").alias("document_id"), F.lit(1).alias("n")))
+    less = _term_counts(lost).select("term", (-F.col("n_passages")).alias("n_passages"), (-F.col("n_documents")).alias("n_documents"))
+    terms = found.unionByName(less).groupBy("term").agg(F.sum("n_passages").alias("n_passages"), F.sum("n_documents").alias("n_documents"))
+    _write_logs(index, name, rows, terms, deletes)
+    left = had.agg(F.coalesce(F.sum("n_passages"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    return _publish(new._replace(passages=index.passages + n - left[0], tokens=index.tokens + tokens - left[1]))
+
+
+def update(index: Index, sessions: DataFrame, turns: DataFrame, force: bool = False, fan: int = FAN) -> Index:
+    """The index with sessions upserted: those of :func:`commit` with ``classification`` and ``status``.
 
     Only primary sessions are taken; an empty one leaves the index; one whose hash is
     indexed already only brings its path up to date, unless ``force``; any other is
-    replaced whole.
+    replaced whole.  Segments are merged where ``fan`` of a level have come together.
     """
     primary = sessions.where("classification = 'primary'")
-    gone = primary.where("status = 'empty_after_normalization'")
+    gone = primary.where("status = 'empty_after_normalization'").select("document_id")
     rest = primary.where("status is null or status <> 'empty_after_normalization'")
-    known = index.documents.select("document_id", F.col("canonical_hash").alias("_known"))
-    rest = rest.join(known, "document_id", "left")
+    known = index.documents(rest).select("document_id", F.col("canonical_hash").alias("_known"))
+    rest = checkpoint(rest.join(known, "document_id", "left"))
     same = F.coalesce(F.col("_known") == F.col("canonical_hash"), F.lit(False)) & F.lit(not force)
-    changed, kept = rest.where(~same).drop("_known"), rest.where(same).select("document_id", C.redact(F.col("source_path")).alias("_path"))
-    new = build(changed, turns.join(changed.select("document_id"), "document_id", "left_semi"))
-    leave = gone.select("document_id").unionByName(changed.select("document_id"))
-    documents = remove(index, leave).documents.join(kept, "document_id", "left")
-    documents = documents.select(*[F.coalesce("_path", c).alias(c) if c == "source_path" else F.col(c) for c in index.documents.columns])
-    stay = remove(index, leave)
-    return Index(documents.unionByName(new.documents), stay.passages.unionByName(new.passages), stay.postings.unionByName(new.postings))
+    new = commit(index, rest.where(~same), turns, rest.where(same), gone)
+    while len(group := due(new, fan)) > 1:
+        new = merge(new, group)
+    return new
 
 
 def remove(index: Index, gone: DataFrame) -> Index:
     """The index without some documents."""
-    return Index(*[delete(t, gone, ["document_id"]) for t in index])
-
-
-def write(index: Index, path: str) -> None:
-    """Store an index; the folder must be another than that of the index it was made from."""
-    for table, name, order in zip(index, Index._fields, (["document_id"], ["document_id", "entry_id", "passage_no"], ["term", "document_id"]), strict=True):
-        table.repartition("bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/{name}")
-
-
-def read(spark: SparkSession, path: str) -> Index:
-    """A stored index; a table that nothing was written to is empty."""
-
-    def table(name: str, schema: str) -> DataFrame:
-        return spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/{name}")
-
-    return Index(table("documents", DOCUMENT), table("passages", PASSAGE), table("postings", POSTING))
+    none = index.spark.createDataFrame([], "document_id string, source string, native_session_id string, source_path string, canonical_hash string")
+    turns = index.spark.createDataFrame([], "document_id string, entry_id string, parent_entry_id string, role string, provenance string, timestamp string, content string")
+    return commit(index, none, turns, gone=gone)
+
+
+def due(index: Index, fan: int = FAN) -> tuple[str, ...]:
+    """Segments to merge: the first ``fan`` of a level, the lowest first.  A level holds ``fan`` times the one below."""
+    levels: dict[int, list[str]] = {}
+    for s in index.segments:
+        level, size = 0, 1000
+        while s.size > size:
+            level, size = level + 1, size * fan
+        levels.setdefault(level, []).append(s.name)
+    for _, names in sorted(levels.items()):
+        if len(names) >= fan:
+            return tuple(names[:fan])
+    return ()
+
+
+def merge(index: Index, names: tuple[str, ...]) -> Index:
+    """The next version, with some segments as one: deleted passages gone, logs reduced to what still says something."""
+    version = index.version + 1
+    name = _name(version)
+    live = index.live(index.table("passages", names), names)
+    n, _ = _write_passages(index, name, checkpoint(live.drop("segment", "passage")), "text", lambda rows: rows)
+    last = _last(index.table("documents", names).drop("segment"))
+    rest = tuple(s for s in index.segments if s.name not in names)
+    if not rest or min(s.version for s in rest) > max(s.version for s in index.segments if s.name in names):
+        last = last.where("holder is not null")  # nothing older is left that it would hide
+    holder = F.when(index.now("holder").isin(list(names)), F.lit(name)).otherwise(index.now("holder"))
+    documents = last.withColumn("holder", holder)
+    terms = index.table("terms", names).groupBy("term").agg(F.sum("n_passages").alias("n_passages"), F.sum("n_documents").alias("n_documents")).where("n_passages <> 0 or n_documents <> 0")
+    deletes = index.table("deletes", names).where(F.col("holder").isin([s.name for s in rest])).distinct()
+    _write_logs(index, name, documents, terms, deletes)
+    segments = tuple(sorted((*rest, Segment(name, max(s.version for s in index.segments if s.name in names), n)), key=lambda s: s.version))
+    merged = [(a, name if b in names else b, v) for a, b, v in index.merged] + [(x, name, version) for x in names]
+    # a log names segments that were there when it was written
+    merged = tuple((a, b, v) for a, b, v in merged if any(_made(a) <= _made(s.name) < v for s in segments))
+    return _publish(index._replace(version=version, segments=segments, merged=merged))
+
+
+# -- searching
+
+
+def _read(index: Index, terms: list[str]) -> DataFrame:
+    return index.table("postings").where(F.col("term").isin(terms))
+
+
+def _entries(index: Index, rows: DataFrame) -> DataFrame:
+    """Live entries of blocks: one row a term and passage."""
+    return index.live(rows.select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.*"))
 
 
 def counted(index: Index, phrases: list[list[str]]) -> DataFrame:
     """Passages that hold some phrase, as :func:`search.counted` has them, from the postings of their terms alone."""
     terms = sorted({t for p in phrases for t in p})
-    spark = index.postings.sparkSession
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket("term")).distinct().collect()]
-    hits = index.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    each = hits.groupBy("document_id", "entry_id", "passage_no").agg(F.max("timestamp").alias("timestamp"), F.max("n_tokens").alias("_n"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    each = _entries(index, _read(index, terms)).groupBy("segment", "passage", *KEYS).agg(F.max("timestamp").alias("timestamp"), F.max("n_tokens").alias("_n"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
 
     def count(p: list[str]) -> Column:
         places = [F.coalesce(F.try_element_at(F.col("at"), F.lit(t)), F.array().cast("array<int>")) for t in p]
@@ -115,31 +408,85 @@ def counted(index: Index, phrases: list[list[str]]) -> DataFrame:
             first = F.array_intersect(first, _shifted(later, k))
         return F.size(first)
 
-    out = each.select("document_id", "entry_id", "passage_no", "timestamp", "_n", *[count(p).alias(f"_f{k}") for k, p in enumerate(phrases)])
-    return search.checkpoint(out)
+    out = each.select(*KEYS, "timestamp", "_n", *[count(p).alias(f"_f{k}") for k, p in enumerate(phrases)])
+    return checkpoint(out.where(F.greatest(*[F.col(f"_f{k}") for k in range(len(phrases))], F.lit(0)) > 0))
 
 
 def _shifted(places: Column, by: int) -> Column:
     return F.transform(places, lambda x: x - by)
 
 
+def frequencies(index: Index, terms: list[str]) -> dict[str, tuple[int, int]]:
+    """Live passages and documents with each term, from the log of terms."""
+    rows = index.table("terms").where(F.col("term").isin(terms)).groupBy("term").agg(F.sum("n_passages").alias("p"), F.sum("n_documents").alias("d")).collect()  # a row a term asked for
+    return {t: next(((r.p, r.d) for r in rows if r.term == t), (0, 0)) for t in terms}
+
+
+class Found(NamedTuple):
+    """The best passages, and how many entries of how many were read for them."""
+
+    hits: DataFrame
+    entries_read: int
+    entries: int
+
+
+def best(index: Index, terms: list[str], k: int = search.CANDIDATES) -> Found:
+    """``document_id``, ``entry_id``, ``passage_no``, ``timestamp``, ``rank`` of the ``k`` best passages for single terms (BM25, more negative is better).
+
+    Ties go by key.  The blocks of the highest bounds are read first; the ``k``-th score
+    in them bounds what can still enter, and of the others only blocks that reach it are
+    read.  Every passage of a block that is read is scored with all its terms, so the
+    result is exact.  A repeated term counts once each time it is given.
+    """
+    known = frequencies(index, sorted(set(terms)))
+    mean = index.tokens / max(index.passages, 1)
+    norm = lambda n: search.K1 * (1 - search.B + search.B * n / max(mean, 1e-9))
+    figures = search.Statistics(index.passages, mean, [known[t][0] for t in terms], [known[t][1] for t in terms])
+    weight = {t: terms.count(t) * search.idf(index.passages, p) * (search.K1 + 1) for t, (p, _) in known.items()}
+    of = F.create_map(*[F.lit(x) for t in weight.items() for x in t])[F.col("term")]
+    rows = _read(index, sorted(weight))
+    # a block that two tasks wrote has two rows a term: their bounds add up, which is a bound as well
+    bounds = rows.select("segment", "block", "n", (of * F.array_max(F.transform("impacts", lambda x: x["f"] / (x["f"] + norm(x["n"]))))).alias("bound"))
+    bounds = checkpoint(bounds.groupBy("segment", "block").agg(F.sum("n").alias("n"), F.sum("bound").alias("bound")))
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        few = blocks.select("segment", "block").limit(SMALL + 1).collect()
+        read_ = rows
+        if len(few) <= SMALL:  # literals reach the scan
+            read_ = rows.where(F.col("block").isin(sorted({r.block for r in few})) & F.col("segment").isin(sorted({r.segment for r in few})))
+            blocks = F.broadcast(blocks)
+        read_ = read_.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi")
+        count = lambda t: F.coalesce(F.max(F.when(F.col("term") == t, F.size("positions"))), F.lit(0))
+        part = _entries(index, read_).groupBy("segment", "passage", *KEYS).agg(F.max("timestamp").alias("timestamp"), F.max("n_tokens").alias("_n"), *[count(t).alias(f"_f{i}") for i, t in enumerate(terms)])
+        return search.ranked(part, figures).select(*KEYS, "timestamp", "rank")
+
+    order = ["rank", *KEYS]
+    seeds = checkpoint(bounds.orderBy(F.desc("bound"), "segment", "block").limit(k))  # of one term: their best passages alone are k
+    top = checkpoint(scored(seeds).orderBy(*order).limit(k))
+    least = top.agg(F.count("*"), F.max("rank")).first()
+    floor = -least[1] * (1 - 1e-9) if least[0] == k else float("-inf")
+    others = checkpoint(bounds.where(F.col("bound") >= floor).join(F.broadcast(seeds.select("segment", "block")), ["segment", "block"], "left_anti"))
+    found = checkpoint(top.unionByName(scored(others)).orderBy(*order).limit(k))
+    read_, every = seeds.unionByName(others).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], bounds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return Found(found, read_, every)
+
+
 def evidence(index: Index, query: str) -> DataFrame:
     """Hits of a query as :func:`search.evidence` has them, with the source path of their document.
 
     Only user and assistant turns of primary sessions are in an index.
     """
     phrases = [p for t in P.query_terms(query) if (p := search.phrase(t))]
-    columns = [c for c in index.passages.columns if c not in ("n_tokens", "bucket")]
+    passages = index.table("passages")
+    columns = [c for c in passages.columns if c not in ("passage", "n_tokens", "segment")]
     if not phrases:
-        found = index.passages.limit(0).withColumn("bucket", F.lit(0)).withColumn("rank", F.lit(0.0)).select(*columns, "bucket", "rank")
+        found = passages.limit(0).withColumn("bucket", F.lit(0)).withColumn("rank", F.lit(0.0)).select(*columns, "bucket", "rank")
     else:
         hits = counted(index, phrases)
-        row = index.passages.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-        known = search.statistics(hits, phrases, "document_id", (row[0], row[1]))
-
-        def texts(keys: DataFrame) -> DataFrame:
-            buckets = [r[0] for r in keys.select(_bucket("document_id")).distinct().collect()]
-            return search.texts_of(index.passages.where(F.col("bucket").isin(buckets)), keys).select(columns)
-
+        known = search.statistics(hits, phrases, "document_id", (index.passages, index.tokens))
+        texts = lambda keys: search.texts_of(index.live(passages), keys).select(columns)
         found = search.select_hits(hits, known, query, texts, columns)
-    return found.join(index.documents.select("document_id", "source_path"), "document_id")
+    found = checkpoint(found)  # at most six rows
+    log = index.table("documents").where(F.col("document_id").isin([r[0] for r in found.select("document_id").distinct().collect()]))
+    paths = log.groupBy("document_id").agg(F.max_by("source_path", "version").alias("source_path"))
+    return found.join(paths, "document_id")

@@ -354,19 +354,22 @@ def test_budget_of_several_groups(spark):
 def test_index_is_updated_by_hash(spark, tmp_path):
     s = lambda *rows: spark.createDataFrame(list(rows), "document_id string, source string, native_session_id string, source_path string, canonical_hash string, classification string, status string")
     t = lambda *rows: spark.createDataFrame([(d, e, None, role, None, "2026", text) for d, e, role, text in rows], "document_id string, entry_id string, parent_entry_id string, role string, provenance string, timestamp string, content string")
-    first = index.update(index.empty(spark), s(("d1", "pi", "1", "/p", "h", "primary", None), ("d2", "pi", "2", "/p", "h", "primary", None), ("d3", "pi", "3", "/p", "h", "subagent", None)), t(("d1", "a", "user", "granite harbour lights"), ("d1", "b", "action", "granite"), ("d2", "a", "assistant", "granite harbour-lights wall"), ("d3", "a", "user", "granite")))
-    index.write(first, str(tmp_path / "one"))
-    stored = index.read(spark, str(tmp_path / "one"))
+    at = str(tmp_path / "index")
+    first = index.update(index.read(spark, at), s(("d1", "pi", "1", "/p", "h", "primary", None), ("d2", "pi", "2", "/p", "h", "primary", None), ("d3", "pi", "3", "/p", "h", "subagent", None)), t(("d1", "a", "user", "granite harbour lights"), ("d1", "b", "action", "granite"), ("d2", "a", "assistant", "granite harbour-lights wall"), ("d3", "a", "user", "granite")))
+    stored = index.read(spark, at)
+    assert stored == first and stored.passages == 2
     assert {(r.document_id, r.entry_id, r.source_path) for r in index.evidence(stored, "granite harbour").collect()} == {("d1", "a", "/p"), ("d2", "a", "/p")}
     assert {r.document_id for r in index.evidence(stored, "harbour-lights granite").collect()} == {"d2"}
-    later = index.update(stored, s(("d1", "pi", "1", "/q", "h", "primary", None), ("d2", "pi", "2", "/q", "h2", "primary", None), ("d4", "pi", "4", "/q", "h", "primary", "empty_after_normalization")), t(("d1", "a", "user", "ignored"), ("d2", "z", "user", "granite meadow")))
-    index.write(later, str(tmp_path / "two"))
-    again = index.read(spark, str(tmp_path / "two"))
+    index.update(stored, s(("d1", "pi", "1", "/q", "h", "primary", None), ("d2", "pi", "2", "/q", "h2", "primary", None), ("d4", "pi", "4", "/q", "h", "primary", "empty_after_normalization")), t(("d1", "a", "user", "ignored"), ("d2", "z", "user", "granite meadow")))
+    again = index.read(spark, at)
     assert {(r.document_id, r.entry_id, r.source_path, r.text) for r in index.evidence(again, "granite").collect()} == {("d1", "a", "/q", "granite harbour lights"), ("d2", "z", "/q", "granite meadow")}
+    with pytest.raises(index.Conflict):  # a writer that has not seen the second version
+        index.remove(stored, s(("d1", "pi", "1", "/q", "h", "primary", None)))
     left = index.update(again, s(("d1", "pi", "1", "/q", "h", "primary", "empty_after_normalization")), t())
-    assert {r.document_id for r in left.passages.collect()} == {"d2"} and index.evidence(left, "the").count() == 0
-    forced = index.update(again, s(("d1", "pi", "1", "/q", "h", "primary", None)), t(("d1", "n", "user", "granite now")), force=True)
-    assert {r.entry_id for r in forced.passages.where("document_id = 'd1'").collect()} == {"n"}
+    assert {r.document_id for r in left.live(left.table("passages")).collect()} == {"d2"} and index.evidence(left, "the").count() == 0
+    assert (left.passages, left.tokens) == (1, 2)
+    forced = index.update(left, s(("d2", "pi", "2", "/q", "h2", "primary", None)), t(("d2", "n", "user", "granite now")), force=True)
+    assert {r.entry_id for r in forced.live(forced.table("passages")).where("document_id = 'd2'").collect()} == {"n"}
 
 
 def test_search_report():
