@@ -126,37 +126,11 @@ def retain_items(documents: DataFrame) -> DataFrame:
     return documents.select("operation_id", "document_id", "canonical_hash", F.to_json(item).alias("item"))
 
 
-def send(items: DataFrame, fetch: str, inflight: int = 4) -> DataFrame:
-    """Send each item once; ``operation_id``, ``document_id``, ``status`` (null: no reply), ``accepted``.
-
-    At most ``inflight`` tasks send at a time.  The operation id makes a repeat harmless:
-    the service knows it, whether a task or a batch is run again.
-    """
-
-    def run(rows: Iterator) -> Iterator:
-        import pandas as pd
-
-        post = resolve(fetch)
-        for frame in rows:
-            out = []
-            for op, doc, item in zip(frame["operation_id"], frame["document_id"], frame["item"], strict=True):
-                try:
-                    reply = call(post, "POST", "/memories", {"items": [json.loads(item)], "async": True, "operation_id": op}) or {}
-                    out.append((op, doc, "accepted", reply.get("operation_id") in (None, op)))
-                except ConnectionError as e:
-                    out.append((op, doc, str(e), False))
-            yield pd.DataFrame(out, columns=["operation_id", "document_id", "status", "accepted"])
-
-    return items.select("operation_id", "document_id", "item").coalesce(inflight).mapInPandas(run, "operation_id string, document_id string, status string, accepted boolean")
-
-
-def retain_writer(fetch: str, sent_path: str, inflight: int = 4):
-    """A ``foreachBatch`` sink: sends items that no earlier batch has sent, and records what came of them."""
-    from ..streaming.settle import outbox_writer
-
-    record = outbox_writer(sent_path)
+def retain_writer(fetch: str, path: str, inflight: int = 4):
+    """A ``foreachBatch`` sink: items are delivered under the ledger in ``path``, each operation to completion and once."""
+    from ..streaming.delivery import deliver
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        record(send(batch, fetch, inflight), batch_id)
+        deliver(batch, path, fetch, inflight=inflight)
 
     return write

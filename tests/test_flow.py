@@ -1,6 +1,7 @@
 """The import path on small cases: feeds, settings, the remote service, scans, drains, streaming helpers."""
 
 import datetime as dt
+import hashlib
 import json
 import os
 import uuid
@@ -14,7 +15,7 @@ from loomtrace.functions import telemetry
 from loomtrace.operators import canonical, drain, queue, reports, state
 from loomtrace.plans import index, scan, search
 from loomtrace.sources import feed, jsonl, remote, sessions
-from loomtrace.streaming import settle
+from loomtrace.streaming import delivery, settle
 
 KEY = "source string, native_session_id string"
 
@@ -85,6 +86,8 @@ def service(method, route, body):
         return 404, None
     if route == "/memories":
         return (200, {"operation_id": body["operation_id"]}) if body["operation_id"] != "bad" else (400, None)
+    if route.startswith("/operations/"):
+        return 200, {"status": "completed"}
     query = dict(p.split("=") for p in route.partition("?")[2].split("&"))
     offset, limit = int(query["offset"]), int(query["limit"])
     if route.startswith("/documents"):
@@ -112,16 +115,17 @@ def test_remote_calls():
 
 
 def test_retain_sink_sends_once(spark, tmp_path):
-    rows = [("a", "d1", "h1", "text", "t", "pi", None, "token=abcdef"), ("bad", "d2", "h2", "text", "t", "pi", "/w", None)]
+    sha = hashlib.sha256(b"text").hexdigest()
+    rows = [("a", "d1", sha, "text", "t", "pi", None, "token=abcdef"), ("bad", "d2", sha, "text", "t", "pi", "/w", None)]
     given = spark.createDataFrame(rows, "operation_id string, document_id string, canonical_hash string, content string, started_at string, source string, cwd string, title string")
     items = remote.retain_items(given)
     first = json.loads(items.where("operation_id = 'a'").first().item)
-    assert first["metadata"] == {"source": "pi", "title": "token=[REDACTED:SECRET]", "canonical_hash": "h1", "retain_policy_version": "2"} and first["update_mode"] == "replace"
+    assert first["metadata"] == {"source": "pi", "title": "token=[REDACTED:SECRET]", "canonical_hash": sha, "retain_policy_version": "2"} and first["update_mode"] == "replace"
     write = remote.retain_writer("tests.test_flow:service", str(tmp_path / "sent"))
     for batch in (0, 0, 1):
         write(items, batch)
-    sent = {r.operation_id: r.accepted for r in spark.read.parquet(str(tmp_path / "sent")).collect()}
-    assert sent == {"a": True, "bad": False} and spark.read.parquet(str(tmp_path / "sent")).count() == 2
+    sent = {r.operation_id: (r.state, r.attempts) for r in delivery.operations(delivery.ledger(spark, str(tmp_path / "sent"))).collect()}
+    assert sent == {"a": ("completed", 1), "bad": ("prepared", 3)}
 
 
 # -- feeds
