@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,25 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def create_new(spark: SparkSession, path: str, body: str) -> bool:
+    """Make a file that appears whole, unless there is one of its name: of several writers one succeeds."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, aside = hadoop.Path(path), hadoop.Path(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(aside, False)
+    out.write(bytearray(body.encode()))
+    out.close()
+    context = hadoop.FileContext.getFileContext(fs.makeQualified(place).toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(aside), fs.makeQualified(place), spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Exception:
+        fs.delete(aside, False)
+        if fs.exists(place):
+            return False
+        raise
+    return True
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of files between jobs, if it is there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import plain as P
+from ..operators.canonical import create_new
 from . import search
 from .search import checkpoint
 
@@ -140,20 +141,8 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> Index:
 def _publish(index: Index) -> Index:
     """Make a version visible, if nobody has made it before: the file is written aside and moved without overwriting."""
     spark, body = index.spark, json.dumps({"version": index.version, "segments": index.segments, "passages": index.passages, "tokens": index.tokens, "merged": index.merged})
-    fs, place = _fs(spark, f"{index.path}/manifest/{index.version:012d}.json")
-    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{index.path}/manifest/.{uuid.uuid4().hex}")
-    out = fs.create(aside, False)
-    out.write(bytearray(body.encode()))
-    out.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
-    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    try:
-        context.rename(aside, place, none)
-    except Exception as e:
-        fs.delete(aside, False)
-        if fs.exists(place):
-            raise Conflict(f"version {index.version} of {index.path} exists") from e
-        raise
+    if not create_new(spark, f"{index.path}/manifest/{index.version:012d}.json", body):
+        raise Conflict(f"version {index.version} of {index.path} exists")
     return index
 
 

@@ -30,12 +30,12 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.dataset as ds
-import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 
+from ..sources.files import Folder
 from ..sources.remote import Fetch, call, resolve
 
 # States of an operation, from first to last; what ended without success; what was taken.
@@ -65,37 +65,9 @@ class Item(NamedTuple):
     acknowledged_hash: str | None = None
 
 
-class Folder:
+class Ledger(Folder):
     """The files of a ledger."""
 
-    def __init__(self, path: str):
-        scheme, _, rest = path.partition(":")
-        uri = f"file://{rest}" if scheme == "file" and not rest.startswith("//") else path
-        self.fs, self.root = pyarrow.fs.FileSystem.from_uri(uri)
-
-    def put(self, name: str, body: bytes) -> None:
-        """A file that appears whole or not at all."""
-        place = f"{self.root}/{name}"
-        self.fs.create_dir(place.rpartition("/")[0])
-        aside = f"{place}.{uuid.uuid4().hex}.tmp"
-        with self.fs.open_output_stream(aside) as out:
-            out.write(body)
-        self.fs.move(aside, place)
-
-    def get(self, name: str) -> bytes | None:
-        if self.fs.get_file_info(f"{self.root}/{name}").type == pyarrow.fs.FileType.NotFound:
-            return None
-        with self.fs.open_input_stream(f"{self.root}/{name}") as f:
-            return f.read()
-
-    def drop(self, name: str) -> None:
-        if self.fs.get_file_info(f"{self.root}/{name}").type != pyarrow.fs.FileType.NotFound:
-            self.fs.delete_file(f"{self.root}/{name}")
-
-    def names(self, folder: str, end: str) -> list[str]:
-        found = self.fs.get_file_info(pyarrow.fs.FileSelector(f"{self.root}/{folder}", allow_not_found=True))
-        return sorted(i.base_name for i in found if i.base_name.endswith(end))
-
     def parts(self) -> list[str]:
         """Names of the parts that commits name.  A commit that replaces others counts in their place."""
         commits = {name: json.loads(self.get(f"commits/{name}")) for name in self.names("commits", ".json")}
@@ -190,7 +162,7 @@ class _Task:
         self.options = options
 
     def run(self, rows: Iterator, label: str) -> Written:
-        folder, fetch = Folder(self.options["path"]), resolve(self.options["fetch"])
+        folder, fetch = Ledger(self.options["path"]), resolve(self.options["fetch"])
         repairing, parts = self.options.get("repair") == "true", folder.parts()
         attempt, out, seen = uuid.uuid4().hex, [], set()
         while chunk := list(islice(rows, CHUNK)):
@@ -220,13 +192,13 @@ class _Task:
 def _commit(options: dict[str, str], messages: list, label: str) -> None:
     parts = [m.part for m in messages if m is not None and m.part]
     if parts:
-        Folder(options["path"]).put(f"commits/{label}-{uuid.uuid4().hex}.json", json.dumps({"parts": parts, "replaces": []}).encode())
+        Ledger(options["path"]).put(f"commits/{label}-{uuid.uuid4().hex}.json", json.dumps({"parts": parts, "replaces": []}).encode())
 
 
 def _abort(options: dict[str, str], messages: list) -> None:
     for m in messages:
         if m is not None and m.part:
-            Folder(options["path"]).drop(f"parts/{m.part}")
+            Ledger(options["path"]).drop(f"parts/{m.part}")
 
 
 class _StreamWriter(DataSourceStreamWriter):
@@ -294,7 +266,7 @@ def deliver_stream(items: DataFrame, path: str, fetch: str, checkpoint: str, rep
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """All committed attempts."""
-    folder = Folder(path)
+    folder = Ledger(path)
     parts = folder.parts()
     if not parts:
         return spark.createDataFrame([], LEDGER)
@@ -314,7 +286,7 @@ def compact(spark: SparkSession, path: str) -> int:
     The new parts count from the one file on that names them and the commits that they
     replace; not to be run beside a delivery.
     """
-    folder = Folder(path)
+    folder = Ledger(path)
     commits, parts = folder.names("commits", ".json"), folder.parts()
     if len(parts) < 2:
         return len(parts)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import fcntl
-import os
+import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-PAUSE, LOCK = "paused", "writer.lock"
+from ..operators.canonical import create_new
+from ..sources.files import Folder
+
+PAUSE = "paused"
 OUT = "source string, native_session_id string, fingerprint string, observed_at timestamp, settled boolean"
 
 
@@ -79,45 +82,73 @@ def outbox_writer(path: str, order: str | None = None):
 
 def paused(folder: str) -> bool:
     """Is the pause marker set?"""
-    return os.path.exists(os.path.join(folder, PAUSE))
+    return Folder(folder).get(PAUSE) is not None
 
 
 def set_paused(folder: str, value: bool) -> None:
-    marker = os.path.join(folder, PAUSE)
     if value:
-        with open(marker, "w", encoding="utf-8") as f:
-            f.write("paused\n")
-    elif os.path.exists(marker):
-        os.remove(marker)
-
-
-@contextmanager
-def single_writer(folder: str) -> Iterator[None]:
-    """The right to write the state in a folder: a second holder on the same host is refused while the first lives."""
-    with open(os.path.join(folder, LOCK), "a+", encoding="utf-8") as f:
-        try:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except BlockingIOError:
-            raise RuntimeError(f"another writer holds {folder}") from None
-        try:
-            yield
-        finally:
-            fcntl.flock(f, fcntl.LOCK_UN)
-
-
-def run_loop(stream: DataFrame, folder: str, checkpoint: str, step: Callable[[DataFrame, int], None], seconds: int | None = 900):
+        Folder(folder).put(PAUSE, b"paused\n")
+    else:
+        Folder(folder).drop(PAUSE)
+
+
+class Fenced(RuntimeError):
+    """Another writer has taken the folder over."""
+
+
+class Writer:
+    """The right to change the state in a folder, for all sessions that share it.
+
+    The folder has a log of numbered files, each made by one writer only.  A new writer
+    opens by taking the next number; one that it displaces finds that number taken when
+    it next commits, and is refused, wherever it runs and however long it has slept.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.log, self.me = spark, f"{folder}/log", uuid.uuid4().hex
+        self.files = Folder(self.log)
+        while not self._append(len(self.files.names("", ".json")) + 1, {"kind": "open"}):
+            pass  # another one opens as well: the last one stays
+
+    def _append(self, number: int, entry: dict) -> bool:
+        self.number = number
+        return create_new(self.spark, f"{self.log}/{number:012d}.json", json.dumps(entry | {"writer": self.me}))
+
+    def check(self) -> None:
+        """Refuse if another writer has come since."""
+        if self.files.get(f"{self.number + 1:012d}.json") is not None:
+            raise Fenced(f"another writer holds {self.log}")
+
+    def commit(self, **entry) -> None:
+        """Record what has been done, or refuse, in one step."""
+        if not self._append(self.number + 1, {"kind": "commit"} | entry):
+            raise Fenced(f"another writer holds {self.log}")
+
+    def done(self, batch_id: int) -> bool:
+        """Has a batch been committed, by whomever?"""
+        found = (json.loads(self.files.get(n)) for n in reversed(self.files.names("", ".json")))
+        last = next((e for e in found if "batch" in e), None)
+        return last is not None and last["batch"] >= batch_id
+
+
+def run_loop(stream: DataFrame, folder: str, checkpoint: str, step: Callable[[DataFrame, int], None], seconds: int | None = 900, poll: float = 1.0):
     """A scan or drain as a query: ``step`` a batch, every so many seconds (None: once over what is there).
 
-    While the pause marker is set a batch fails before it does anything, so it is done
-    whole after the query starts again.  Batches are bounded by the options of the source
-    (files or rows a trigger).
+    While the pause marker is set a batch waits before it does anything, and goes on
+    without a restart.  One writer holds the folder: the loop that was started last; an
+    older one fails at its next batch, at the latest when it commits.  A batch that was
+    committed is not done again.  Batches are bounded by the options of the source (files
+    or rows a trigger).
     """
+    writer = Writer(stream.sparkSession, folder)
 
     def guarded(batch: DataFrame, batch_id: int) -> None:
-        if paused(folder):
-            raise RuntimeError("paused")
-        with single_writer(folder):
+        while paused(folder):
+            time.sleep(poll)
+        writer.check()
+        if not writer.done(batch_id):
             step(batch, batch_id)
+            writer.commit(batch=batch_id)
 
-    writer = stream.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+    out = stream.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if seconds is None else out.trigger(processingTime=f"{seconds} seconds")).start()

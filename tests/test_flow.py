@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 import os
+import time
 import uuid
 
 import pytest
@@ -429,16 +430,39 @@ def test_heartbeat_windows(spark, tmp_path):
 def test_loop_pauses_and_has_one_writer(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
-    seen = []
-    settle.set_paused(str(tmp_path), True)
-    with pytest.raises(Exception, match="paused"):
-        settle.run_loop(stream(), str(tmp_path), str(tmp_path / "cp"), lambda b, n: seen.append(b.count()), None).awaitTermination()
-    settle.set_paused(str(tmp_path), False)
-    settle.set_paused(str(tmp_path), False)
-    settle.run_loop(stream(), str(tmp_path), str(tmp_path / "cp"), lambda b, n: seen.append(b.count()), None).awaitTermination()
+    seen, folder, loop = [], str(tmp_path), lambda b, n: seen.append(b.count())
+    settle.set_paused(folder, True)
+    query = settle.run_loop(stream(), folder, str(tmp_path / "cp"), loop, None, poll=0.1)
+    time.sleep(5)
+    assert settle.paused(folder) and query.isActive and seen == []
+    settle.set_paused(folder, False)
+    settle.set_paused(folder, False)
+    query.awaitTermination()  # it goes on without a restart
     assert seen == [3]
-    with settle.single_writer(str(tmp_path)), pytest.raises(RuntimeError), settle.single_writer(str(tmp_path)):
-        pass
+    # a query that lost its checkpoint does no batch again that is committed
+    settle.run_loop(stream(), folder, str(tmp_path / "other"), loop, None).awaitTermination()
+    assert seen == [3]
+
+
+def test_an_older_writer_is_refused(spark, tmp_path):
+    first = settle.Writer(spark, str(tmp_path))
+    first.commit(batch=0)
+    first.check()
+    second = settle.Writer(spark.newSession(), str(tmp_path))
+    for refused in (first.check, first.commit):
+        with pytest.raises(settle.Fenced):
+            refused()
+    assert second.done(0) and not second.done(1)
+    second.commit(batch=1)
+    assert settle.Writer(spark, str(tmp_path)).done(1)
+    with pytest.raises(settle.Fenced):
+        second.commit(batch=2)
+    # a loop that is overtaken in the middle of a batch does not commit it
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    overtaken = settle.run_loop(spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")), str(tmp_path / "x"), str(tmp_path / "cp"), lambda b, n: settle.Writer(spark, str(tmp_path / "x")), None)
+    with pytest.raises(Exception, match="another writer"):
+        overtaken.awaitTermination()
+    assert not settle.Writer(spark, str(tmp_path / "x")).done(0)
 
 
 def test_long_secrets(spark):
