@@ -4,6 +4,9 @@ import datetime as dt
 
 import duckdb
 import pandas as pd
+import random
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +84,35 @@ def test_budget(spark):
     assert queue.release(asked, asked.where("operation_id <> 'op-5'")).first().tokens == 40
 
 
+def test_budget_in_blocks_equals_the_fold(spark):
+    """Sizes that overflow early, late and often, in one group and in several, against reading them one by one."""
+    rng = random.Random(7)
+    falling = [n for k in range(60) for n in (1, 100 - k)]
+    shapes = {"a": [rng.randint(1, 90) for _ in range(150)], "b": falling, "c": [10] * 150, "d": [500] + [1] * 149, "e": [None, 0] * 30, None: [99, 2, 1, 1] * 20}
+    rows = [(k, f"{g}-{k}", g, n, "0.1" if g == "c" else "0.001") for g, sizes in shapes.items() for k, n in enumerate(sizes)]
+    rows += [(900 + k, f"a-{k}", "a", 1, "0") for k in range(20)]  # repeats
+    asked = spark.createDataFrame(rows, "pos int, operation_id string, g string, tokens bigint, cost string").withColumn("cost", F.col("cost").cast("double")).repartition(3)
+
+    def fold(rows, group):
+        left, out = {}, {}
+        for _, op, g, n, cost in sorted(rows, key=lambda r: r[0]):
+            k = g if group else 0
+            room, money = left.setdefault(k, [100, Decimal("2.5")])
+            if (k, op) not in out:
+                out[k, op] = (n or 0) <= room and Decimal(cost) <= money
+                if out[k, op]:
+                    left[k] = [room - (n or 0), money - Decimal(cost)]
+        return out
+
+    for group, block, most in (("g", 13, 60), ("g", 10_000, 1), (None, 40, 20)):
+        rows_ = rows if group else [r for r in rows if r[2] == "b"]
+        found = queue.admission(asked if group else asked.where("g = 'b'"), 100, 2.5, group, block_rows=block)
+        want = fold(rows_, group)
+        got = found.requests.collect()
+        assert len(got) == len(rows_) and all(r.admitted == want[(r.g if group else 0), r.operation_id] for r in got)
+        assert 1 <= found.rounds <= most
+
+
 def test_enqueue_and_ids(spark):
     s = sessions(spark, a=("primary", "discovered"), b=("subagent", "discovered"), c=("primary", "empty_after_normalization"))
     got = queue.enqueue(s, gen(spark).limit(0), "bank", "2", "now").collect()
