@@ -5,13 +5,17 @@ open elements.  Streams of a host are aligned one after another into a wrapper,
 expression without alternatives: blocks that follow each other again and again become a
 repeated group, texts that only some pages have are optional, texts that differ are
 slots, texts that say the same on all pages are constants.  A wrapper matches every page
-that it was inferred from.  Wrappers align with each other as pages do, so tasks infer
-them apart, from all their pages, and hosts merge them.
+that it was inferred from.  Wrappers align with each other as pages do.  Alignment depends
+on order, so order is fixed by the pages themselves: the pages of a host are dealt to
+leaves by a hash of what they say, a leaf aligns its pages in the order of their digests,
+and leaves merge in the order of their wrappers.  How pages lie in files or tasks changes
+nothing.
 
 Extraction matches a page with the wrapper of its host.  Main text is what stands in
-slots, outside of elements whose name, class, id or role says otherwise, and inside the
-main element of pages that have one.  Constants proven by ``LEAST_PAGES`` distinct pages
-are template text.
+slots, outside of elements whose name, class, id or role says otherwise.  Constants proven
+by ``LEAST_PAGES`` distinct pages are template text there.  On a page with a main element
+that element says where the main text is: inside it elements alone decide, and nothing
+goes because other pages say it too.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ from ._common import BROADCAST_LIMIT, checkpoint, slices
 
 #: Distinct pages that must say the same before a position counts as the template's.
 LEAST_PAGES = 3
-#: Nodes that a task holds before it hands them on; parts that a host's wrappers merge in first.
-HELD_NODES, SPREAD = 100_000, 32
+#: Leaves that the pages of a host are dealt to, and parts that the wrappers of its leaves merge in first.
+LEAVES, SPREAD = 4096, 32
 #: Longest block that is sought for repetition, and places of one path in a wrapper before they become one group.
 WIDTH, PLACES = 4, 4
 _SEPARATOR = "\x1f"
@@ -342,11 +346,14 @@ def block_of(path: str) -> str:
 def roles(wrapper: Sequence[Node], has_main: bool) -> list[bool]:
     """Which nodes are main text, on pages with or without a main element.
 
-    Proven constants are not, unless they belong to a block that says other things as
-    well.  Where that leaves nothing, the wrapper's pages are copies, which do not show
-    what is template, and elements decide alone.
+    With one, elements decide alone.  Without one proven constants are not main text,
+    unless they belong to a block that says other things as well.  Where that leaves
+    nothing, the wrapper's pages are copies, which do not show what is template, and
+    elements decide alone as well.
     """
     main = [by_elements(tuple(n.path.split(_SEPARATOR)), has_main) for n in wrapper]
+    if has_main:
+        return main
     varied = {block_of(n.path) for n in wrapper if n.says is None or len(n.pages) < LEAST_PAGES}
     data = [m and block_of(n.path) in varied for m, n in zip(main, wrapper, strict=True)]
     return data if any(data) else main
@@ -402,29 +409,36 @@ def unpack(text: str | None) -> list[Node]:
     return [Node(path, says, tuple(pages), bool(many), bool(optional), group) for path, says, pages, many, optional, group in json.loads(text or "[]")]
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host``, ``wrapper``: of the pages of a task."""
-    held: dict[str, list[Node]] = {}
-    size = 0
-
-    def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pack(w) for w in held.values()], pa.string())], ["host", "wrapper"])
-        held.clear()
-        return out
-
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host``, ``name`` (a digest of what the page says), ``page``, ``size``: the folded nodes of each page that says something."""
     for batch in chain.from_iterable(map(slices, batches)):
+        rows = {}
         for at, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             nodes = stream(page or "")[0]
-            for n in nodes:
-                n.members = ()
             if nodes:
-                before = held.get(at)
-                held[at] = align(before, nodes) if before else nodes
-                size += len(held[at]) - len(before or ())
-        if size > HELD_NODES:
-            yield rows()
-            size = 0
-    yield rows()
+                raw = pack(nodes).encode()
+                rows[at, nodes[0].pages[0], pa.compress(raw, codec="zstd", asbytes=True), len(raw)] = None
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.binary(), pa.int64()))], ["host", "name", "page", "size"])
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host``, ``wrapper`` of each leaf; its pages come in order, copies of a page after each other."""
+    at, last, wrapper = None, None, []
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.string()), pa.array([pack(wrapper)], pa.string())], ["host", "wrapper"])
+
+    for batch in batches:
+        for host_, leaf, page, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (host_, leaf) != at:
+                if at is not None:
+                    yield row()
+                at, last, wrapper = (host_, leaf), None, []
+            if page != last:
+                nodes = unpack(pa.decompress(page, decompressed_size=size, codec="zstd", asbytes=True).decode())
+                wrapper, last = align(wrapper, nodes) if wrapper else nodes, page
+    if at is not None:
+        yield row()
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -438,11 +452,14 @@ def _merge(table: pa.Table) -> pa.Table:
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``host`` and ``wrapper`` (JSON), inferred from all pages of the host.
 
-    Tasks infer from their own pages and send one wrapper a host, so a host with most of
-    the pages costs no more rows than others.  Its partial wrappers merge in two steps,
-    spread by a hash first.  A wrapper has at most ``PLACES`` nodes of a path.
+    Only the folded nodes of pages move, and copies of a page but once a slice of a task.
+    A host with most of the pages has ``LEAVES`` leaves, whose wrappers merge in two
+    steps, spread by a hash first.  A wrapper has at most ``PLACES`` nodes of a path.
     """
-    found = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_partial, "host string, wrapper string").distinct()
+    found = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_streams, "host string, name bigint, page binary, size bigint")
+    leaf = F.pmod(F.xxhash64("name"), F.lit(LEAVES)).alias("leaf")
+    ordered = found.select("host", leaf, "name", "page", "size").repartition("host", "leaf").sortWithinPartitions("host", "leaf", "name", "page")
+    found = ordered.select("host", "leaf", "page", "size").mapInArrow(_leaves, "host string, wrapper string").distinct()
     spread = found.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(SPREAD))).applyInArrow(_merge, "host string, wrapper string")
     return spread.groupBy("host").applyInArrow(_merge, "host string, wrapper string")
 
