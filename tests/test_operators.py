@@ -10,7 +10,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrace import catalog, catalog_flow  # noqa: F401
+from loomtrace import catalog, catalog_flow, catalog_stream  # noqa: F401
 from loomtrace.operators import canonical, queue, reports, state
 from loomtrace.plans import search
 from loomtrace.streaming import settle
