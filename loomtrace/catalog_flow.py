@@ -7,7 +7,9 @@ files, conversations for session logs, which are written and read back.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from .operators import canonical, drain, queue, reports, state
 from .plans import search
 from .plans import scan as scans
 from .sources import feed, jsonl, remote, sessions
+from .sources.files import Folder
 
 TEXT = "string"
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -52,19 +55,38 @@ def _records(source: str, t: DataFrame) -> DataFrame:
     return head.select("conv_id", "n", first.alias("value")).unionByName(rows.select("conv_id", "n", line.alias("value")))
 
 
-def _logs(spark: SparkSession, sf_dir: str, source: str) -> str:
-    """A folder of logs, a file a conversation, in the shared folder."""
-    path = f"{canonical.shared_folder(spark)}/logs-{uuid.uuid4().hex}/{source}"
+def _write_logs(spark: SparkSession, sf_dir: str, source: str, path: str) -> None:
+    """A file a conversation, in a bounded number of folders, written by the tasks that have their lines."""
     lines = _records(source, read(spark, sf_dir, "conversations"))
-    lines.repartition("conv_id").sortWithinPartitions("conv_id", "n").select("conv_id", "value").write.partitionBy("conv_id").text(path)
-    return path
+    rows = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("lines"))
+    rows = rows.select(F.concat(F.lpad(F.pmod("conv_id", F.lit(64)).cast(TEXT), 2, "0"), F.lit("/"), F.col("conv_id").cast(TEXT), F.lit(".jsonl")).alias("name"), F.concat(F.array_join("lines.value", "\n"), F.lit("\n")).alias("content"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = Folder(path)
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder.put(name, content.encode())
+            yield batch.select(["name"])
 
-def _read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [sessions.read_sessions(spark, s, _logs(spark, sf_dir, s), pattern="*.txt") for s in ("pi", "codex", "claude")]
-    return feed.union_adapters(*parts)
+    rows.mapInArrow(run, "name string").agg(F.count("*")).collect()
+
+
+def _with_logs(spark: SparkSession, sf_dir: str, names: Sequence[str], use: Callable[[dict[str, str]], DataFrame]) -> DataFrame:
+    """What ``use`` makes of folders of logs, one a source; the folders go again."""
+    home = f"{canonical.shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    try:
+        for source in names:
+            _write_logs(spark, sf_dir, source, f"{home}/{source}")
+        return canonical.checkpoint(use({s: f"{home}/{s}" for s in names}))
+    finally:
+        canonical.remove_folder(spark, home)
+
+
+def _sessions_of(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    return feed.union_adapters(*[sessions.read_sessions(spark, s, root) for s, root in roots.items()])
 
 
+LAYOUTS = ("pi", "codex", "claude")
 _SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _SAID = f"""said AS (SELECT s.source, c.conv_id, c.turn, c.role, regexp_replace(regexp_replace(c.text, '\\r\\n?', chr(10), 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS content
     FROM conversations c, (VALUES ('pi'), ('codex'), ('claude')) s(source) WHERE c.role IN ('user', 'assistant') AND NOT (s.source = 'claude' AND c.turn % 10 = 9))"""
@@ -74,8 +96,12 @@ _SAID = f"""said AS (SELECT s.source, c.conv_id, c.turn, c.role, regexp_replace(
     CASE WHEN role = 'assistant' THEN 'original' END AS provenance, turn::VARCHAR AS entry FROM said WHERE content <> ''""")
 def source_turns(spark, sf_dir):
     """Turns of three layouts, read from files."""
-    t = sessions.turns_of(_read_logs(spark, sf_dir)).where("seq > 0")
-    return t.select("source", "native_session_id", "seq", "role", F.sha2("content", 256).alias("content_sha256"), "provenance", F.col("native_entry_id").alias("entry"))
+
+    def use(roots: dict[str, str]) -> DataFrame:
+        t = sessions.turns_of(_sessions_of(spark, roots)).where("seq > 0")
+        return t.select("source", "native_session_id", "seq", "role", F.sha2("content", 256).alias("content_sha256"), "provenance", F.col("native_entry_id").alias("entry"))
+
+    return _with_logs(spark, sf_dir, LAYOUTS, use)
 
 
 @query(f"""WITH {_SAID}, n AS (SELECT source, conv_id, count(*) FILTER (content <> '') AS n FROM said GROUP BY ALL), k AS (SELECT source, conv_id, max(turn) AS last FROM conversations, (VALUES ('pi'), ('codex'), ('claude')) s(source) GROUP BY ALL)
@@ -84,23 +110,27 @@ def source_turns(spark, sf_dir):
         strftime(make_timestamp((1700000000 + last) * 1000000::BIGINT), '%Y-%m-%dT%H:%M:%S.000Z') AS updated_at FROM k LEFT JOIN n USING (source, conv_id)""")
 def source_sessions(spark, sf_dir):
     """One row a session file: identity, verdict, status, and the time of its last record, skipped ones included."""
-    s = _read_logs(spark, sf_dir)
-    return s.select("source", "native_session_id", "document_id", F.col("classification.kind").alias("kind"), (F.size("turns") - 1).cast("bigint").alias("n_turns"), "status", "started_at", "updated_at")
+    columns = ["source", "native_session_id", "document_id", F.col("classification.kind").alias("kind"), (F.size("turns") - 1).cast("bigint").alias("n_turns"), "status", "started_at", "updated_at"]
+    return _with_logs(spark, sf_dir, LAYOUTS, lambda roots: _sessions_of(spark, roots).select(*columns))
 
 
 @query("SELECT conv_id::VARCHAR AS id, false AS malformed, count(*) + 1 AS n_records FROM conversations GROUP BY conv_id")
 def header_scan(spark, sf_dir):
     """Headers of log files, and how many records each file has."""
-    found = jsonl.files(spark, _logs(spark, sf_dir, "pi"), "*.txt")
-    heads = jsonl.header(found).select("path", F.try_variant_get("value", "$.id", TEXT).alias("id"), "malformed")
-    return heads.join(jsonl.records(found).groupBy("path").agg(F.count("*").alias("n_records")), "path").drop("path")
 
+    def use(roots: dict[str, str]) -> DataFrame:
+        found = jsonl.files(spark, roots["pi"])
+        heads = jsonl.header(found).select("path", F.try_variant_get("value", "$.id", TEXT).alias("id"), "malformed")
+        return heads.join(jsonl.records(found).groupBy("path").agg(F.count("*").alias("n_records")), "path").drop("path")
+
+    return _with_logs(spark, sf_dir, ["pi"], use)
 
-@query("""SELECT doc_id, sha256(left(text, 65536) || right(text, 65536) || strlen(text)::VARCHAR) AS sample_hash,
-    sha256(sha256(left(text, 65536) || right(text, 65536) || strlen(text)::VARCHAR) || chr(10) || 'label:' || lang) AS labeled FROM documents WHERE strlen(text) = length(text)""")
+
+@query("""WITH b AS (SELECT doc_id, lang, encode(text) AS b FROM documents), h AS (SELECT doc_id, lang, sha256(b[1:65536] || b[greatest(1, octet_length(b) - 65535):octet_length(b)] || encode(octet_length(b)::VARCHAR)) AS h FROM b)
+    SELECT doc_id, h AS sample_hash, sha256(h || chr(10) || 'label:' || lang) AS labeled FROM h""")
 def fingerprints(spark, sf_dir):
-    """Fingerprints of plain texts as files, alone and with a label."""
-    d = read(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
+    """Fingerprints of texts as files, by their bytes, alone and with a label."""
+    d = read(spark, sf_dir, "documents")
     sample = jsonl.sample_hash(F.encode("text", "UTF-8"))
     return d.select("doc_id", sample.alias("sample_hash"), jsonl.label_folded(sample, F.col("lang")).alias("labeled"))
 
