@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .catalog import _GEN, ORACLE_SQL, QUERIES, _generations, _inventory, query, read
 from .functions import columns as C
 from .functions import telemetry
-from .operators import canonical, drain, queue, reports, state
+from .operators import canonical, drain, merkle, queue, reports, state
 from .plans import search
 from .plans import scan as scans
 from .sources import feed, jsonl, remote, sessions
@@ -135,6 +135,26 @@ def fingerprints(spark, sf_dir):
     return d.select("doc_id", sample.alias("sample_hash"), jsonl.label_folded(sample, F.col("lang")).alias("labeled"))
 
 
+# -- comparison by hash trees
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'missing' WHEN doc_id < 0 THEN 'unexpected' ELSE 'mismatch' END AS verdict FROM (
+        SELECT doc_id FROM documents UNION ALL SELECT -1 - doc_id FROM documents WHERE doc_id % 89 = 0) WHERE doc_id < 0 OR doc_id % 97 = 0 OR doc_id % 101 = 0""")
+def tree_differences(spark, sf_dir):
+    """Documents that are missing, changed or unexpected in a copy, found without reading what agrees."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    copy = d.where("doc_id % 97 <> 0").withColumn("h", F.when(F.col("doc_id") % 101 == 0, F.lit("other")).otherwise(F.col("h"))).unionByName(d.where("doc_id % 89 = 0").withColumn("doc_id", -1 - F.col("doc_id")))
+    home = f"{canonical.shared_folder(spark)}/trees-{uuid.uuid4().hex}"
+    try:
+        depth = merkle.depth_for(d.count())
+        local, remote_ = (merkle.write(t, "doc_id", "h", f"{home}/{n}", depth) for t, n in ((d, "local"), (copy, "remote")))
+        found = merkle.compare(local, remote_).rows
+        verdict = F.when(F.col("right").isNull(), "missing").when(F.col("left").isNull(), "unexpected").otherwise("mismatch")
+        return canonical.checkpoint(found.select("doc_id", verdict.alias("verdict")))
+    finally:
+        canonical.remove_folder(spark, home)
+
+
 # -- state transitions
 
 

@@ -12,12 +12,13 @@ import json
 import os
 import re
 import sqlite3
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
 from ..functions import columns as C
 from ..functions import plain as P
@@ -226,42 +227,112 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """Ranges of session ids, one partition each, over read-only connections."""
+    """Ranges of session ids, one partition each, over read-only connections.
+
+    A partition reads its sessions, their messages and their parts by one ordered scan
+    each, and merges the three by session.
+    """
 
     def __init__(self, path: str, partitions: int):
         self.path, self.n = path, partitions
+        self.tests: list[tuple[str, list[str]]] = []
 
     def _open(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
+    def _where(self, column: str, part: _Part | None = None) -> tuple[str, list]:
+        tests = [(t.format(id=column), v) for t, v in self.tests]
+        if part and part.low is not None:
+            tests.append((f"{column} >= ?", [part.low]))
+        if part and part.high is not None:
+            tests.append((f"{column} < ?", [part.high]))
+        return " AND ".join(t for t, _ in tests) or "1", [x for _, v in tests for x in v]
+
     def partitions(self) -> list[InputPartition]:
+        where, values = self._where("id")
         with self._open() as db:
-            total = db.execute("SELECT count(*) FROM session").fetchone()[0]
+            total = db.execute(f"SELECT count(*) FROM session WHERE {where}", values).fetchone()[0]
             step = max(1, -(-total // self.n))
-            edges = [r[0] for r in db.execute("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM session) WHERE (n - 1) % ? = 0 AND n > 1 ORDER BY id", (step,))]
+            edges = [r[0] for r in db.execute(f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM session WHERE {where}) WHERE (n - 1) % {step} = 0 AND n > 1 ORDER BY id", values)]
         return [_Part(self.path, a, b) for a, b in zip([None, *edges], [*edges, None], strict=True)]
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         with self._open() as db:
-            db.execute("BEGIN")  # one snapshot for a session and its fingerprint
+            db.execute("BEGIN")  # one snapshot for sessions, messages and parts
             have = self._columns(db, "session")
             columns = ", ".join(c if c in have else f"NULL AS {c}" for c in SESSION_COLUMNS)
             capable = {"parent_id", "title"} <= have
-            for row in db.execute(f"SELECT {columns} FROM session WHERE (?1 IS NULL OR id >= ?1) AND (?2 IS NULL OR id < ?2) ORDER BY id", (part.low, part.high)).fetchall():
-                messages = self._rows(db, "message", "session_id = ?", row[0])
-                parts = [(m, [p[3] for p in self._rows(db, "part", "message_id = ?", m[0])]) for m in messages]
-                print_ = fingerprint(dict(zip(SESSION_COLUMNS, row, strict=True)), messages, self._rows(db, "part", "message_id IN (SELECT id FROM message WHERE session_id = ?)", row[0]))
-                yield json.dumps({"row": row, "capable": capable, "messages": [((m[0], m[1], m[3]), p) for m, p in parts], "fingerprint": print_}),
+            where, values = self._where("id", part)
+            sessions = db.execute(f"SELECT {columns} FROM session WHERE {where} ORDER BY id", values)
+            where, values = self._where("m.session_id", part)
+            messages = _Groups(db.execute(f"SELECT m.session_id, m.id, m.time_created, {self._updated(db, 'message', 'm')}, m.data FROM message m WHERE {where} ORDER BY m.session_id, m.time_created, m.id", values))
+            parts = _Groups(db.execute(f"SELECT m.session_id, p.id, p.time_created, {self._updated(db, 'part', 'p')}, p.data, p.message_id FROM part p JOIN message m ON m.id = p.message_id WHERE {where} ORDER BY m.session_id, p.time_created, p.id", values))
+            ids, rows, size = [], [], 0
+            for row in sessions:
+                said, inside = messages.of(row[0]), parts.of(row[0])
+                by_message: dict[str, list] = {}
+                for *p, message in inside:
+                    by_message.setdefault(message, []).append(p[3])
+                print_ = fingerprint(dict(zip(SESSION_COLUMNS, row, strict=True)), said, [p[:4] for p in inside])
+                text = json.dumps({"row": row, "capable": capable, "messages": [((m[0], m[1], m[3]), by_message.get(m[0], [])) for m in said], "fingerprint": print_})
+                ids.append(row[0])
+                rows.append(text)
+                size += len(text)
+                if size > BATCH_CHARS:
+                    yield _batch(ids, rows)
+                    ids, rows, size = [], [], 0
+            yield _batch(ids, rows)
 
     def _columns(self, db: sqlite3.Connection, table: str) -> set[str]:
         return {r[1] for r in db.execute(f"PRAGMA table_info({table})")}
 
-    def _rows(self, db: sqlite3.Connection, table: str, where: str, key: str) -> list[tuple]:
-        """(id, time_created, time_updated, data) in the order of time and id."""
-        updated = "time_updated" if "time_updated" in self._columns(db, table) else "NULL"
-        return db.execute(f"SELECT id, time_created, {updated}, data FROM {table} WHERE {where} ORDER BY time_created, id", (key,)).fetchall()
+    def _updated(self, db: sqlite3.Connection, table: str, name: str) -> str:
+        return f"{name}.time_updated" if "time_updated" in self._columns(db, table) else "NULL"
+
+
+class _Pushing(_Reader):
+    """The same, with filters on ``id`` in the scans and in the choice of ranges."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        """Take comparisons of the id with values; the others stay with Spark."""
+        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        for f in filters:
+            if getattr(f, "attribute", None) != ("id",):
+                yield f
+            elif type(f) in signs:
+                self.tests.append((f"{{id}} {signs[type(f)]} ?", [f.value]))
+            elif isinstance(f, In):
+                self.tests.append((f"{{id}} IN ({', '.join('?' * len(f.value)) or 'NULL'})", list(f.value)))
+            elif isinstance(f, StringStartsWith):
+                self.tests.append(("substr({id}, 1, ?) = ?", [len(f.value), f.value]))
+            elif not isinstance(f, IsNotNull):  # an id is never null
+                yield f
+
 
+class _Groups:
+    """Rows in the order of their first column, handed out by its values in that order."""
 
+    def __init__(self, rows: Iterator[tuple]):
+        self.groups = groupby(rows, key=lambda r: r[0])
+        self.next = next(self.groups, None)
+
+    def of(self, key: str) -> list[tuple]:
+        """Rows of a key without it; rows of smaller keys belong to nothing and are passed over."""
+        while self.next is not None and self.next[0] < key:
+            self.next = next(self.groups, None)
+        if self.next is None or self.next[0] != key:
+            return []
+        found = [r[1:] for r in self.next[1]]
+        self.next = next(self.groups, None)
+        return found
+
+
+def _batch(ids: list[str], rows: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(rows, pa.string())], ["id", "session"])
+
+
+#: Characters of the sessions of a batch, about.
+BATCH_CHARS = 16 << 20
 #: Columns read of a session; those that a database lacks are null.
 SESSION_COLUMNS = ("id", "parent_id", "project_id", "directory", "title", "agent", "model", "time_created", "time_updated")
 
@@ -279,17 +350,18 @@ def fingerprint(session: dict, messages: list[tuple], parts: list[tuple]) -> str
 
 
 class OpenCodeSource(DataSource):
-    """``spark.read.format("opencode_sessions").option("path", ...)``: one JSON row a session."""
+    """``spark.read.format("opencode_sessions").option("path", ...)``: ``id`` and ``session`` (JSON), a row a session."""
 
     @classmethod
     def name(cls) -> str:
         return "opencode_sessions"
 
     def schema(self) -> str:
-        return "session string"
+        return "id string, session string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("partitions", "8")))
+        kind = _Pushing if self.options.get("pushdown") == "true" else _Reader
+        return kind(self.options["path"], int(self.options.get("partitions", "8")))
 
 
 def parse_opencode(text: str, path: str) -> dict:
@@ -334,10 +406,16 @@ def parse_opencode(text: str, path: str) -> dict:
     return row | {"classification": {"kind": verdict[0], "reason": verdict[1], "label": title, "parent_session_id": parent}}
 
 
-def read_opencode(spark: SparkSession, path: str, partitions: int = 8) -> DataFrame:
-    """Sessions of a SQLite database that all executors can open."""
+def read_opencode(spark: SparkSession, path: str, partitions: int = 8, where: Column | None = None) -> DataFrame:
+    """Sessions of a SQLite database that all executors can open; ``where``, over ``id``, is a filter for its scans.
+
+    Filters reach the database if ``spark.sql.python.filterPushdown.enabled`` is set, and
+    are applied by Spark otherwise.
+    """
     spark.dataSource.register(OpenCodeSource)
-    raw = spark.read.format("opencode_sessions").option("path", path).option("partitions", partitions).load()
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    raw = spark.read.format("opencode_sessions").option("path", path).option("partitions", partitions).option("pushdown", pushed).load()
+    raw = (raw if where is None else raw.where(where)).select("session")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 """Session sources on inline logs of the four layouts."""
 
 import json
+import re
 import sqlite3
 
 import pytest
@@ -100,6 +101,60 @@ def test_opencode(spark, tmp_path):
     assert (found["s1"].classification.kind, found["s0"].classification.kind) == ("subagent", "primary")
 
 
+def database(path, n):
+    db = sqlite3.connect(path)
+    db.executescript("CREATE TABLE session(id TEXT PRIMARY KEY, parent_id TEXT, title TEXT, time_created INT, time_updated INT); CREATE TABLE message(id TEXT, session_id TEXT, time_created INT, time_updated INT, data TEXT); CREATE TABLE part(id TEXT, message_id TEXT, time_created INT, data TEXT);")
+    for k in range(n):
+        db.execute("INSERT INTO session VALUES (?, NULL, 't', 1, 2)", (f"s{k:02d}",))
+    for k in range(3 * n):  # also of sessions that do not exist, and not in order
+        i = (7 * k) % (3 * n)
+        db.execute("INSERT INTO message VALUES (?, ?, ?, ?, ?)", (f"m{i}", f"s{i % (n + 2):02d}", i % 4, i, json.dumps({"role": "user"})))
+        for j in range(i % 3):
+            db.execute("INSERT INTO part VALUES (?, ?, ?, ?)", (f"p{i}-{j}", f"m{i}", 5 - j, json.dumps({"type": "text", "text": f"é {i} {j}"})))
+    db.commit()
+    return db
+
+
+def test_opencode_scans_merge_as_lookups_do(tmp_path):
+    """Three ordered scans give what a lookup for each session and message gives."""
+    path = str(tmp_path / "s.db")
+    db = database(path, 13)
+    asked = []
+    reader = sessions._Reader(path, 3)
+    plain = reader._open
+    reader._open = lambda: (c := plain(), c.set_trace_callback(asked.append))[0]
+    got = {}
+    for part in reader.partitions():
+        asked.clear()
+        for batch in reader.read(part):
+            got |= dict(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        assert sum(q.startswith("SELECT") for q in asked) == 3
+    assert sorted(got) == [f"s{k:02d}" for k in range(13)]
+    for id_, text in got.items():
+        said = db.execute("SELECT id, time_created, time_updated, data FROM message WHERE session_id = ? ORDER BY time_created, id", (id_,)).fetchall()
+        inside = {m[0]: db.execute("SELECT id, time_created, NULL, data FROM part WHERE message_id = ? ORDER BY time_created, id", (m[0],)).fetchall() for m in said}
+        every = db.execute("SELECT id, time_created, NULL, data FROM part WHERE message_id IN (SELECT id FROM message WHERE session_id = ?) ORDER BY time_created, id", (id_,)).fetchall()
+        row = json.loads(text)
+        assert row["messages"] == [[[m[0], m[1], m[3]], [p[3] for p in inside[m[0]]]] for m in said]
+        assert row["fingerprint"] == sessions.fingerprint(dict(zip(sessions.SESSION_COLUMNS, row["row"], strict=True)), said, every)
+
+
+def test_opencode_filters_reach_the_database(spark, tmp_path):
+    path = str(tmp_path / "s.db")
+    database(path, 13).close()
+    ids = lambda where: sorted(r.native_session_id for r in sessions.read_opencode(spark, path, 3, where).collect())
+    id_ = F.col("id")
+    tests = {"s05": id_ == "s05", "s11 s12": id_ > "s10", "s00 s01": id_ <= "s01", "s03 s07": id_.isin("s03", "s07", "zz"), "s10 s11 s12": id_.startswith("s1"), "s02": (id_ >= "s02") & (id_ < "s03"), "s09": id_.endswith("9"), "": id_ == "nobody"}
+    for pushed in ("false", "true"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", pushed)
+        try:
+            assert {want: ids(where) for want, where in tests.items()} == {want: want.split() for want in tests}
+            plan = spark.read.format("opencode_sessions").option("path", path).option("pushdown", pushed).load().where(id_ == "s05")._jdf.queryExecution().executedPlan().toString()
+            assert (re.search(r"\bFilter\b", plan) is None) == (pushed == "true")
+        finally:
+            spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_tail_safe_lines(spark, tmp_path):
     """Only terminated lines count, wherever a writer has been stopped."""
     whole = '{"n":0}\r\n \n{"n":1,"s":"é中"}\n\n{"n":2}\r\n'.encode()
