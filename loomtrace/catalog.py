@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from .functions.constants import REDACTIONS
 from .operators import canonical, queue, reports, state
 from .plans import index, search
 from .sources import classify
+from .streaming import metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -398,16 +400,29 @@ def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SOURCES = [f"src{k}" for k in range(25)]
+
+
+def _names(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Sources of the tables, and some that have no documents."""
+    return sorted({*_SOURCES, *[r[0] for r in read(spark, sf_dir, "documents").select("source").distinct().where("source is not null").collect()]})
+
+
 _LOADED = "status IN ('eligible', 'empty_after_normalization', 'too_large')"
 
 
-@query(f"""WITH r AS ({_INV}), a AS (SELECT source, count(*) AS discovered, count(*) FILTER (status = 'eligible') AS eligible, count(*) FILTER (status = 'empty_after_normalization') AS empty, count(*) FILTER (status = 'excluded_subagent') AS subagents,
-    count(*) FILTER (status = 'malformed') AS malformed, sum(source_bytes) FILTER ({_LOADED}) AS source_bytes, sum(canonical_turns) FILTER ({_LOADED}) AS canonical_turns, sum(redactions) FILTER ({_LOADED}) AS redactions
-    FROM r GROUP BY ROLLUP (source)), s AS (SELECT 'src' || k AS source FROM range(25) t(k) UNION ALL SELECT NULL)
-    SELECT s.source, coalesce(discovered, 0) AS discovered, coalesce(eligible, 0) AS eligible, coalesce(empty, 0) AS empty, coalesce(subagents, 0) AS subagents, coalesce(malformed, 0) AS malformed,
-    coalesce(source_bytes, 0)::BIGINT AS source_bytes, coalesce(canonical_turns, 0)::BIGINT AS canonical_turns, coalesce(redactions, 0)::BIGINT AS redactions FROM s LEFT JOIN a ON s.source IS NOT DISTINCT FROM a.source""")
+_KINDS = {"eligible": "eligible", "empty": "empty_after_normalization", "subagents": "excluded_subagent", "configured": "excluded_configured", "ambiguous": "ambiguous", "malformed": "malformed", "too_large": "too_large", "errors": "error"}
+_SUMS = ("source_bytes", "canonical_bytes", "canonical_turns", "redactions")
+
+
+@query(f"""WITH r AS (SELECT * REPLACE (CASE WHEN doc_id % 17 = 0 THEN (['excluded_configured', 'ambiguous', 'too_large', 'error'])[doc_id % 4 + 1] ELSE status END AS status) FROM ({_INV})),
+    a AS (SELECT source, count(*) AS discovered, {", ".join(f"count(*) FILTER (status = '{k}') AS {n}" for n, k in _KINDS.items())}, {", ".join(f"sum({c}) FILTER ({_LOADED}) AS {c}" for c in _SUMS)} FROM r GROUP BY ROLLUP (source)),
+    s AS (SELECT 'src' || k AS source FROM range(25) t(k) UNION SELECT source FROM documents WHERE source IS NOT NULL UNION ALL SELECT NULL)
+    SELECT s.source, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("discovered", *_KINDS, *_SUMS))} FROM s LEFT JOIN a ON s.source IS NOT DISTINCT FROM a.source""")
 def inventory_rollup(spark, sf_dir):
-    return reports.inventory(_inventory(spark, sf_dir), _SOURCES).select("source", "discovered", "eligible", "empty", "subagents", "malformed", "source_bytes", "canonical_turns", "redactions")
+    """All figures of all sources, also of those without documents."""
+    kind = F.element_at(F.array(*map(F.lit, ("excluded_configured", "ambiguous", "too_large", "error"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = _inventory(spark, sf_dir).withColumn("status", F.when(F.col("doc_id") % 17 == 0, kind).otherwise(F.col("status")))
+    return reports.inventory(rows, _names(spark, sf_dir)).select("source", *[F.col(c).cast("bigint").alias(c) for c in ("discovered", *_KINDS, *_SUMS)])
 
 
 @query("SELECT source, doc_id, n_chars + 50 AS canonical_bytes FROM documents ORDER BY canonical_bytes DESC, source, doc_id LIMIT 20")
@@ -575,9 +590,22 @@ def health_windows(spark, sf_dir):
     return reports.windows(e, "ts", "1 hour", F.lit(low), F.lit(high), F.round(F.sum("value"), 4).alias("v"))
 
 
-@query("SELECT event_type, count(*) AS n, max(value) AS longest FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS longest FROM events GROUP BY event_type")
 def stage_times(spark, sf_dir):
-    return reports.stage_times(read(spark, sf_dir, "events").withColumn("outcome", F.lit("ok")), "event_type", "value", "outcome").select("event_type", "n", "longest")
+    found = reports.stage_times(read(spark, sf_dir, "events").withColumn("outcome", F.lit("ok")), "event_type", "value", "outcome")
+    return found.select("event_type", "n", F.get("p50_p95", 0).alias("p50"), F.get("p50_p95", 1).alias("p95"), "longest")
+
+
+@query("SELECT event_type AS stage, count(*) AS n, max(value) AS longest, true AS p50_in_bound, true AS p95_in_bound FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def stage_sketches(spark, sf_dir):
+    """Sketches of seven parts, merged: are the ranks of their percentiles within two hundredths of the whole's?"""
+    e = read(spark, sf_dir, "events").withColumn("outcome", F.lit("ok"))
+    part = F.pmod("event_id", F.lit(7))
+    parts = [metrics.sketches(e.where(part == k), "event_type", "outcome", "value") for k in range(7)]
+    found = metrics.percentiles(metrics.merged(reduce(DataFrame.unionByName, parts), "stage"), 0.5, 0.95)
+    met = e.select(F.col("event_type").alias("stage"), "value").join(F.broadcast(found), "stage")
+    share = lambda p, q: (F.avg((F.col("value") < F.col(p)).cast("double")) - 0.02 <= q) & (F.avg((F.col("value") <= F.col(p)).cast("double")) + 0.02 >= q)
+    return met.groupBy("stage", "n", "longest").agg(share("p50", 0.5).alias("p50_in_bound"), share("p95", 0.95).alias("p95_in_bound"))
 
 
 @query("SELECT round(avg((event_type = 'error')::INTEGER::DOUBLE), 9) AS rate, avg((event_type = 'error')::INTEGER::DOUBLE) > 0.05 AS abort FROM events")
@@ -599,9 +627,46 @@ def retention(spark, sf_dir):
     return d.join(names, "source", "left_semi").select("source", "n_chars")
 
 
-@query("SELECT source, count(DISTINCT lang) > 1 AS conflict FROM documents GROUP BY source")
+@query("SELECT 'pi' AS source, source || '/' || doc_id % 3 AS native_session_id, count(DISTINCT lang) AS origins FROM documents GROUP BY ALL HAVING count(DISTINCT lang) > 1")
 def owner_conflicts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("source").agg((F.countDistinct("lang") > 1).alias("conflict"))
+    """Sessions that more than one origin claims."""
+    references = read(spark, sf_dir, "documents").select(F.lit("pi").alias("source"), F.concat("source", F.lit("/"), (F.col("doc_id") % 3).cast("string")).alias("native_session_id"), F.col("lang").alias("origin"))
+    return reports.owner_conflicts(references)
+
+
+@query("""WITH h AS (SELECT sha256(to_json({'doc_id': doc_id, 'lang': lang, 'source': source})::VARCHAR) AS h, doc_id % 5 AS plan FROM documents),
+    b AS (SELECT plan, substr(h, 1, 3) AS bucket, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY ALL)
+    SELECT plan, sha256(string_agg(bucket || h, chr(10) ORDER BY bucket)) AS plan_hash FROM b GROUP BY plan""")
+def plan_hashes(spark, sf_dir):
+    """The hash of five plans."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return reduce(DataFrame.unionByName, [reports.plan_hash(d.where(F.col("doc_id") % 5 == k), "doc_id").select(F.lit(k).cast("bigint").alias("plan"), "plan_hash") for k in range(5)])
+
+
+@query("""SELECT doc_id, quality IS NOT NULL AND quality = doc_id % 2 AS agrees FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 1""")
+def policy_repairs(spark, sf_dir):
+    """Imported sessions under an older policy, or none, and whether their remote documents agree."""
+    i = F.col("doc_id")
+    s = read(spark, sf_dir, "documents").select("doc_id", i.cast("string").alias("document_id"), F.when(i % 3 == 0, "discovered").otherwise("imported").alias("status"), F.when(i % 4 == 1, "2").when(i % 4 == 2, "1").alias("acknowledged_policy"), (i % 2).cast("string").alias("acknowledged_hash"))
+    remote = read(spark, sf_dir, "labels").select(i.cast("string").alias("document_id"), F.col("quality").cast("string").alias("content_hash"))
+    return reports.repair_targets(s, remote, "2").select("doc_id", "agrees")
+
+
+@query(f"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')) AS cleaned_sha256 FROM documents""")
+def injected_blocks(spark, sf_dir):
+    """Texts with planted blocks of every kind, cleaned: what was there before."""
+    i, text = F.col("doc_id"), F.col("text")
+    harness = F.element_at(F.array(F.lit("# AGENTS.md instructions for /w\n\n<INSTRUCTIONS>\nbe brief\n</INSTRUCTIONS>\n"), F.lit("<environment_context>\ncwd\n</environment_context>\n"), F.lit("")), (i % 3 + 1).cast("int"))
+    memory = F.element_at(F.array(*map(F.lit, ("\n<memory-context a='b'>x\n\ny</memory-context>", "\n<HERMES-memory>x</hermes-MEMORY>", "\n<!-- hindsight\nx -->", "\n<system-reminder>\nx</system-reminder>\n", "\n[ BLACKHOLE recall ] x\ny"))), (i % 5 + 1).cast("int"))
+    d = read(spark, sf_dir, "documents").select("doc_id", canonical.clean(F.lit("user"), F.concat(harness, text, memory)).alias("t"))
+    return d.select("doc_id", F.sha2("t", 256).alias("cleaned_sha256"))
+
+
+@query("""SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3') AND doc_id % 4 <> 0""")
+def missing_sources(spark, sf_dir):
+    """Sessions that a scan did not see any more, of sources that it read whole."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("native_session_id"))
+    return state.missing_sessions(d, d.where("doc_id % 4 = 0"), ["src1", "src2", "src3"]).select("doc_id")
 
 
 @query("""SELECT doc_id, row_number() OVER (ORDER BY n_chars NULLS LAST, source, doc_id)::INTEGER AS n FROM documents ORDER BY n LIMIT 250 OFFSET 100""")

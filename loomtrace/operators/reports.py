@@ -143,15 +143,33 @@ def owner_conflicts(references: DataFrame, origin: str = "origin") -> DataFrame:
     return references.groupBy(*SESSION_KEY).agg(F.countDistinct(origin).alias("origins")).where("origins > 1")
 
 
+#: Characters of a report, at most.
+REPORT_CHARS = 100 << 20
+
+
 def write_report(rows: DataFrame, path: str) -> None:
-    """A report of bounded size as one JSON file, readable by its owner alone; it appears whole or not at all."""
+    """A report as one JSON file, readable by its owner alone; it appears whole or not at all.
+
+    Rows come from one partition after another and are never held together.  A report
+    over ``REPORT_CHARS`` is refused: that is a table, to be written as one.
+    """
     folder = os.path.dirname(os.path.abspath(path))
     handle, part = tempfile.mkstemp(dir=folder, prefix=".report-")
-    with os.fdopen(handle, "w") as f:
-        f.write("[" + ",\n".join(rows.toJSON().collect()) + "]\n")
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(part, path)
+    try:
+        with os.fdopen(handle, "w") as f:
+            size = 0
+            for k, line in enumerate(rows.toJSON().toLocalIterator()):
+                size += len(line) + 2
+                if size > REPORT_CHARS:
+                    raise ValueError(f"a report of more than {REPORT_CHARS} characters")
+                f.write((",\n" if k else "[") + line)
+            f.write("]\n" if size else "[]\n")
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(part, path)
+    except BaseException:
+        os.unlink(part)
+        raise
 
 
 def state_counts(generations: DataFrame, state: str = "state") -> DataFrame:
