@@ -13,9 +13,10 @@ together are far more than one tree can hold, so they are dealt to groups by a p
   into as many groups as its size asks for.
 
 In each group a tree is built from the root down, a level at a time: suffixes part by
-their next words, and a node with a single suffix is a leaf that no further level looks
-at.  The nodes that are left at the depth of a window are the repeats; of the places
-below one the first stays, and neighbouring places join to maximal spans.
+their prefix first and then by their next words, and a node with a single suffix is a
+leaf that no further level looks at.  The nodes that are left at the depth of a window
+are the repeats; of the places below one the first stays, and neighbouring places join to
+maximal spans.
 
 Equal stretches of one map task are sent once: of two of them the later is known to be a
 repeat at once.  So what a group holds of one text is at most one record a task.
@@ -46,8 +47,8 @@ SPREAD, APART = 3, 7
 BLOCK_WORDS, HELD_BYTES, REMEMBERED, HASHES = 60_000, 32 << 20, 150_000, 300_000
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: What a stretch is besides its words: is its id null, id, digest of the text, first word, number of windows, bytes.
-_STRETCH = [("null", np.uint8), ("id", np.int64), ("digest", np.int64), ("start", np.int64), ("n", np.int32), ("size", np.int32)]
+#: What a stretch is besides its words: is its id null, id, digest of the text, first word, number of windows, mark of its prefix, bytes.
+_STRETCH = [("null", np.uint8), ("id", np.int64), ("digest", np.int64), ("start", np.int64), ("n", np.int32), ("mark", np.uint32), ("size", np.int32)]
 _SPAN = "null boolean, id bigint, digest bigint, start bigint, end bigint"
 
 
@@ -94,17 +95,19 @@ class Groups:
         self.large, self.splits = np.array(large or [], np.int64)[order], np.array(splits or [], np.int64)[order]
         self.first = number + np.cumsum(self.splits) - self.splits
 
-    def of(self, anchors: np.ndarray, whole) -> np.ndarray:
-        """Groups of windows; ``whole`` gives hashes of their whole texts, if asked for."""
+    def of(self, anchors: np.ndarray, whole) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of windows and the hashes of their prefixes; ``whole`` gives hashes of their whole texts, if asked for."""
         if self.everything:
-            return (whole() % np.uint64(self.number * APART)).astype(np.int64)
-        group = (anchors % np.uint64(self.number)).astype(np.int64)
+            prefix = whole()
+            return (prefix % np.uint64(self.number * APART)).astype(np.int64), prefix
+        group, prefix = (anchors % np.uint64(self.number)).astype(np.int64), anchors
         if len(self.large):
             at = np.minimum(np.searchsorted(self.large, group), len(self.large) - 1)
             hot = self.large[at] == group
             if hot.any():
-                group[hot] = self.first[at[hot]] + (whole()[hot] % self.splits[at[hot]].astype(np.uint64)).astype(np.int64)
-        return group
+                prefix = np.where(hot, whole(), prefix)
+                group[hot] = self.first[at[hot]] + (prefix[hot] % self.splits[at[hot]].astype(np.uint64)).astype(np.int64)
+        return group, prefix
 
 
 class Stretches:
@@ -135,7 +138,7 @@ class Stretches:
             yield held
 
     def cut(self, held: list[tuple]) -> tuple:
-        """Stretches of a block: numbers of their parts, groups, first words, windows, byte ranges; and the words of all parts."""
+        """Stretches of a block: numbers of their parts, groups, first words, windows, marks of their prefixes, byte ranges; and the words of all parts."""
         words = [w for *_, part in held for w in part]
         sizes = np.array([len(part) for *_, part in held])
         ends = np.cumsum(sizes)
@@ -146,13 +149,14 @@ class Stretches:
         part = np.repeat(np.arange(len(held)), sizes)[: len(least)]
         inside = np.flatnonzero(np.arange(len(least)) + self.window <= ends[part])
         least, where = least[inside], where[inside]
-        group = self.groups.of(least, lambda: _run_hash(hashes, self.window)[inside])
+        group, prefix = self.groups.of(least, lambda: _run_hash(hashes, self.window)[inside])
         fresh_ = np.ones(len(inside), bool)
-        fresh_[1:] = (inside[1:] != inside[:-1] + 1) | (where[1:] != where[:-1]) | (group[1:] != group[:-1])
+        fresh_[1:] = (inside[1:] != inside[:-1] + 1) | (where[1:] != where[:-1]) | (prefix[1:] != prefix[:-1])
         begin = np.flatnonzero(fresh_)
         n = np.diff(np.append(begin, len(inside)))
         first = inside[begin]
-        return part[first], group[begin], first - (ends - sizes)[part[first]], n, offsets[first], offsets[first + n + self.window - 1] - 1, b" ".join(words)
+        mark = (prefix[begin] >> np.uint64(32)).astype(np.uint32)  # groups take the lower bits
+        return part[first], group[begin], first - (ends - sizes)[part[first]], n, mark, offsets[first], offsets[first + n + self.window - 1] - 1, b" ".join(words)
 
 
 def _count_groups(texts: DataFrame, groups: Groups, window: int) -> DataFrame:
@@ -161,9 +165,9 @@ def _count_groups(texts: DataFrame, groups: Groups, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretches, held = Stretches(groups, window), {}
         for block in stretches.blocks(batches):
-            _, group, _, _, low, high, _ = stretches.cut(block)
+            _, group, _, _, _, low, high, _ = stretches.cut(block)
             found, at = np.unique(group, return_inverse=True)
-            for g, size in zip(found.tolist(), np.bincount(at, weights=high - low + 33).astype(np.int64).tolist(), strict=True):
+            for g, size in zip(found.tolist(), np.bincount(at, weights=high - low + 37).astype(np.int64).tolist(), strict=True):
                 held[g] = held.get(g, 0) + size
             if len(held) > HASHES:
                 yield _columns(held)
@@ -213,8 +217,8 @@ def _dealt(texts: DataFrame, groups: Groups, window: int) -> DataFrame:
         stretches, first = Stretches(groups, window), {}
         held, gone, size = defaultdict(list), [], 0
         for block in stretches.blocks(batches):
-            of, group, start, n, low, high, joined = stretches.cut(block)
-            for k, g, s, m, a, z in zip(of.tolist(), group.tolist(), start.tolist(), n.tolist(), low.tolist(), high.tolist(), strict=True):
+            of, group, start, n, mark, low, high, joined = stretches.cut(block)
+            for k, g, s, m, r, a, z in zip(of.tolist(), group.tolist(), start.tolist(), n.tolist(), mark.tolist(), low.tolist(), high.tolist(), strict=True):
                 null, doc, digest, at, _ = block[k]
                 words, me = joined[a:z], (null, doc, digest, at + s)
                 key = xxhash.xxh3_128_digest(words)
@@ -223,15 +227,15 @@ def _dealt(texts: DataFrame, groups: Groups, window: int) -> DataFrame:
                     continue  # a repeated row
                 if known is not None and known < me:
                     if gone and gone[-1][:3] == me[:3] and gone[-1][3] <= me[3] <= gone[-1][3] + gone[-1][4]:
-                        gone[-1] = *me[:3], gone[-1][3], me[3] + m + window - 1 - gone[-1][3], 0, b""
+                        gone[-1] = *me[:3], gone[-1][3], me[3] + m + window - 1 - gone[-1][3], 0, 0, b""
                     else:
-                        gone.append((*me, m + window - 1, 0, b""))
-                    size += 33
+                        gone.append((*me, m + window - 1, 0, 0, b""))
+                    size += 37
                     continue
                 if len(first) >= REMEMBERED:
                     first.clear()
                 first[key] = me
-                held[g].append((*me, m, len(words), words))
+                held[g].append((*me, m, r, len(words), words))
                 size += len(words) + 200  # the objects of a record
             if size > HELD_BYTES:
                 yield flushed(held, gone)
@@ -284,7 +288,15 @@ def deep_nodes(words: list[bytes], sizes: np.ndarray, window: int = WINDOW) -> n
 def _repeats(parts: list[tuple[dict[str, np.ndarray], bytes]], window: int) -> Iterator[pa.RecordBatch]:
     """Spans of a group's stretches that repeat an earlier place."""
     of = {name: np.concatenate([c[name] for c, _ in parts]) for name, _ in _STRETCH}
-    words = b" ".join(text for _, text in parts).split(b" ")
+    # the first level: a prefix that one stretch alone has is a leaf below the root
+    _, mark, n = np.unique(of["mark"], return_inverse=True, return_counts=True)
+    shared = n[mark] > 1
+    if not shared.any():
+        return
+    starts = np.concatenate([np.cumsum(c["size"].astype(np.int64) + 1) - c["size"] - 1 for c, _ in parts])
+    source = np.repeat(np.arange(len(parts)), [len(c["size"]) for c, _ in parts])
+    words = b" ".join(parts[k][1][a : a + z] for k, a, z in zip(source[shared].tolist(), starts[shared].tolist(), of["size"][shared].tolist(), strict=True)).split(b" ")
+    of = {name: c[shared] for name, c in of.items()}
     sizes = of["n"].astype(np.int64) + window - 1
     node = deep_nodes(words, sizes, window)
     del words
