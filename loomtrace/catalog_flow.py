@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -449,6 +450,24 @@ def drain_apply(spark, sf_dir):
     return got.generations.groupBy("state").agg(F.count("*").alias("n"))
 
 
+_HELD = f"""{_WORK}, h AS (SELECT a.*, i % 2 = 0 AND action IN ('submit', 'resubmit') AND CASE WHEN user_id % 3 = 2 THEN NULL WHEN user_id % 2 = 0 THEN '2' ELSE '1' END IS DISTINCT FROM '2' AS repair,
+        CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'strange' ELSE CASE WHEN user_id % 3 = 0 THEN hi WHEN user_id % 3 = 1 THEN lo END::VARCHAR END AS remote_hash, user_id % 4 <> 0 AS there, CASE WHEN user_id % 3 = 0 THEN hi WHEN user_id % 3 = 1 THEN lo END::VARCHAR AS ack
+        FROM a JOIN (SELECT user_id, max(event_id) AS hi, min(event_id) AS lo FROM ({_GEN}) GROUP BY user_id) u USING (user_id))"""
+
+
+@query(f"""WITH {_HELD} SELECT 'plain' AS run, CASE WHEN repair THEN 'refuse' ELSE action END AS action, count(*) AS n FROM h GROUP BY ALL
+    UNION ALL SELECT 'repair', CASE WHEN repair AND there THEN CASE WHEN coalesce(remote_hash = ack OR remote_hash = i::VARCHAR, false) THEN 'replace' ELSE 'conflict' END ELSE action END, count(*) FROM h GROUP BY ALL
+    UNION ALL SELECT 'full disk', CASE WHEN repair THEN 'refuse' WHEN action IN ('submit', 'resubmit') THEN 'no_space' ELSE action END, count(*) FROM h GROUP BY ALL""")
+def drain_guards(spark, sf_dir):
+    """Actions outside of a repair, inside one, and without free space."""
+    st, todo = _work(spark, sf_dir)
+    g = st.generations.withColumn("repair", F.col("canonical_hash").cast("bigint") % 2 == 0)
+    u = F.col("native_session_id")
+    remote_ = st.sessions.where(u % 4 != 0).select("document_id", F.when(u % 4 == 1, "strange").otherwise(F.col("acknowledged_hash")).alias("content_hash"))
+    runs = {"plain": drain.guard(todo, g, st.sessions, remote_), "repair": drain.guard(todo, g, st.sessions, remote_, True), "full disk": drain.guard(todo, g, st.sessions, remote_, free_bytes=5, least_free=6)}
+    return reduce(DataFrame.unionByName, [d.groupBy("action").agg(F.count("*").alias("n")).select(F.lit(name).alias("run"), "action", "n") for name, d in runs.items()])
+
+
 @query(f"""WITH j AS (SELECT event_id AS i, user_id, CASE WHEN event_id % 3 = 0 THEN 'remote_deleted' ELSE 'planned' END AS phase, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'completed' WHEN 2 THEN 'ready' ELSE 'processing' END AS remote FROM events WHERE event_id % 10 = 0),
     k AS (SELECT *, CASE remote WHEN 'pending' THEN 'cancel' WHEN 'processing' THEN 'wait' ELSE 'none' END AS settle FROM j)
     SELECT 'settle' AS what, settle AS value, count(*) AS n FROM k WHERE phase = 'planned' GROUP BY ALL UNION ALL

@@ -11,9 +11,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..settings import RETAIN
 from .canonical import checkpoint
-from .queue import next_operation_ids
+from .queue import next_operation_ids, reserve
 from .state import GENERATION_KEY, SESSION_KEY, acknowledge, cleanup_pending, delete, finalize_excluded, one, update, upsert
 
 # Remote states of an operation.
@@ -45,6 +46,58 @@ def actions(generations: DataFrame, sessions: DataFrame, operations: DataFrame,
     return got.select(*GENERATION_KEY, "document_id", F.coalesce(F.when(F.col("action") == "resubmit", F.col("_new")), "operation_id").alias("operation_id"), F.col("operation_id").alias("previous_id"), "action", "kind")
 
 
+#: What a held action says.
+HELD = {"refuse": "historical repairs require a reviewed plan", "conflict": "the remote document changed outside of the repair", "over_budget": "the approved budget is exceeded", "no_space": "free space is below the approved minimum"}
+SENDS = ("submit", "resubmit", "replace")
+
+
+def guard(todo: DataFrame, generations: DataFrame, sessions: DataFrame, remote: DataFrame, repairing: bool = False, free_bytes: int | None = None, least_free: int | None = None) -> DataFrame:
+    """Actions with repairs held or prepared, before anything is sent.
+
+    A generation marked ``repair`` is refused outside of a repair (unless its policy is
+    acknowledged by now: then it is no repair any more).  In one, the remote document
+    (``remote(document_id, content_hash)``) must have the acknowledged content or the new
+    one, and is then replaced; another content is a conflict, no document a plain submit.
+    With less space than the approval asks for nothing is sent.
+    """
+    marked = one(generations.select(*GENERATION_KEY, F.coalesce("repair", F.lit(False)).alias("_repair"), F.col("retain_policy_version").alias("_policy")), GENERATION_KEY)
+    known = one(sessions.select(*SESSION_KEY, F.col("acknowledged_hash").alias("_ack"), F.col("acknowledged_policy").alias("_acked")), SESSION_KEY)
+    there = one(remote.select("document_id", F.col("content_hash").alias("_remote"), F.lit(True).alias("_there")), ["document_id"])
+    got = todo.join(marked, list(GENERATION_KEY), "left").join(known, list(SESSION_KEY), "left").join(there, "document_id", "left")
+    repair = F.col("_repair") & ~F.col("_acked").eqNullSafe(F.col("_policy")) & F.col("action").isin("submit", "resubmit")
+    ours = F.coalesce((F.col("_remote") == F.col("_ack")) | (F.col("_remote") == F.col("canonical_hash")), F.lit(False))
+    allowed = F.when(F.col("_there").isNull(), F.col("action")).when(ours, "replace").otherwise("conflict") if repairing else F.lit("refuse")
+    action = F.when(F.coalesce(repair, F.lit(False)), allowed).otherwise(F.col("action"))
+    if least_free is not None and (free_bytes or 0) < least_free:
+        action = F.when(action.isin(*SENDS), "no_space").otherwise(action)
+    return got.withColumn("action", action).select(todo.columns)
+
+
+class Budgeted(NamedTuple):
+    """Actions that a budget admits, and all reservations after it."""
+
+    todo: DataFrame
+    reservations: DataFrame
+
+
+def budget(todo: DataFrame, sizes: DataFrame, reservations: DataFrame, max_tokens: int | None, max_cost: float, usd_in: float, usd_out: float) -> Budgeted:
+    """Reserve budget for what is sent, in the order of operations; what it does not admit is held as ``over_budget``.
+
+    ``sizes(source, native_session_id, canonical_hash, canonical_bytes)``,
+    ``reservations(operation_id, tokens, cost)``.  An operation that has a reservation
+    keeps it and costs nothing again.
+    """
+    tokens = C.estimate_tokens(F.coalesce("canonical_bytes", F.lit(0)))
+    sends = todo.where(F.col("action").isin(*SENDS)).join(one(sizes.select(*GENERATION_KEY, "canonical_bytes"), GENERATION_KEY), list(GENERATION_KEY), "left")
+    asked = sends.select(F.col("operation_id").alias("pos"), "operation_id", tokens.cast("bigint").alias("tokens"), C.estimate_cost(tokens, usd_in, usd_out).alias("cost"))
+    asked = checkpoint(asked.join(reservations.select("operation_id").distinct(), "operation_id", "left_anti"))
+    spent = reservations.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("cost"), F.lit(0.0))).first()
+    found = checkpoint(reserve(asked, max_tokens, max_cost, spent=(int(spent[0]), float(spent[1]))))
+    over = found.where(~F.col("admitted")).select("operation_id", F.lit(True).alias("_over"))
+    held = todo.join(over.distinct(), "operation_id", "left").withColumn("action", F.when(F.col("_over") & F.col("action").isin(*SENDS), "over_budget").otherwise(F.col("action")))
+    return Budgeted(held.select(todo.columns), reservations.select("operation_id", "tokens", "cost").unionByName(found.where("admitted").select("operation_id", "tokens", "cost")))
+
+
 class State(NamedTuple):
     """The tables that a drain changes."""
 
@@ -65,10 +118,12 @@ def apply(state: State, done: DataFrame, replies: DataFrame, at: str) -> State:
     got = done.join(one(replies.select("operation_id", "status", "error"), ["operation_id"]), "operation_id", "left")
     failed = F.col("status").isin(*FAILED)
     new = (
-        F.when(F.col("action") == "preserve", "superseded").when(F.col("action") == "exclude", "cleanup_pending").when(F.col("status") == "completed", "completed")
+        F.when(F.col("action").isin("refuse", "over_budget", "no_space"), "failed").when(F.col("action") == "conflict", "submitted")
+        .when(F.col("action") == "preserve", "superseded").when(F.col("action") == "exclude", "cleanup_pending").when(F.col("status") == "completed", "completed")
         .when(failed, "failed").when(F.col("status") == "not_found", "processing").otherwise("submitted")
     )
-    got = checkpoint(got.withColumn("_new_state", new))
+    held = F.create_map(*[F.lit(x) for pair in HELD.items() for x in pair])[F.col("action")]
+    got = checkpoint(got.withColumn("_new_state", new).withColumn("error", F.coalesce(held, F.col("error"))))
     new = F.col("_new_state")
     moved = one(got.select(*GENERATION_KEY, F.col("operation_id").alias("_id"), new.alias("_state"), F.col("error").alias("_error")), GENERATION_KEY)
     g = state.generations.join(moved, list(GENERATION_KEY), "left")
@@ -81,7 +136,7 @@ def apply(state: State, done: DataFrame, replies: DataFrame, at: str) -> State:
     out = one(kinds.select(*SESSION_KEY, "kind", name.alias("_status")), SESSION_KEY).withColumnRenamed("kind", "_kind")
     sessions = sessions.join(out, list(SESSION_KEY), "left").select(*[F.coalesce({"status": "_status", "classification": "_kind"}[c], c).alias(c) if c in ("status", "classification") else F.col(c) for c in state.sessions.columns])
     g = cleanup_pending(g, kinds.where("action = 'exclude'"))
-    seen = got.where(~F.col("action").isin("exclude", "preserve")).select("operation_id", F.when(F.col("status") == "not_found", "ready").otherwise(F.coalesce("status", F.lit("pending"))).alias("remote_status"))
+    seen = got.where(~F.col("action").isin("exclude", "preserve", "refuse", "over_budget", "no_space")).select("operation_id", F.when(F.col("status") == "not_found", "ready").otherwise(F.coalesce("status", F.lit("pending"))).alias("remote_status"))
     return State(g, sessions, upsert(state.operations.select("operation_id", "remote_status"), one(seen, ["operation_id"]), ["operation_id"]))
 
 

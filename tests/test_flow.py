@@ -317,6 +317,23 @@ def test_repairs_stop(spark):
         drain.next_repairs(plan, s.withColumn("classification", F.lit("subagent")), none)
 
 
+def test_budget_is_reserved_before_sending(spark):
+    todo = spark.createDataFrame([("pi", str(k), f"h{k}", f"d{k}", f"op{k}", f"op{k}", "poll" if k == 4 else "submit", "primary") for k in range(5)], "source string, native_session_id string, canonical_hash string, document_id string, operation_id string, previous_id string, action string, kind string")
+    sizes = todo.select("source", "native_session_id", "canonical_hash", F.when(F.col("document_id") == "d1", 4000).otherwise(400).alias("canonical_bytes"))
+    none = spark.createDataFrame([], "operation_id string, tokens bigint, cost double")
+    first = drain.budget(todo, sizes, none, 250, 100.0, 1.0, 1.0)
+    # the large one is over the cap, smaller ones after it are tried, and what is only polled costs nothing
+    assert {r.operation_id: r.action for r in first.todo.collect()} == {"op0": "submit", "op1": "over_budget", "op2": "submit", "op3": "over_budget", "op4": "poll"}
+    again = drain.budget(todo, sizes, first.reservations, 300, 100.0, 1.0, 1.0)
+    assert {r.operation_id: r.tokens for r in again.reservations.collect()} == {"op0": 100, "op2": 100, "op3": 100}
+    assert {r.operation_id for r in again.todo.where("action = 'submit'").collect()} == {"op0", "op2", "op3"}
+    g = todo.select("source", "native_session_id", "canonical_hash", "operation_id", F.lit("processing").alias("state"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("submitted_at"), F.lit(None).cast("string").alias("completed_at"))
+    s = spark.createDataFrame([], "source string, native_session_id string, document_id string, classification string, status string, canonical_hash string, acknowledged_hash string, acknowledged_policy string")
+    replies = spark.createDataFrame([("op0", "completed", None), ("op1", "completed", None)], "operation_id string, status string, error string")
+    after = {r.operation_id: (r.state, r.error) for r in drain.apply(drain.State(g.withColumn("retain_policy_version", F.lit("2")), s, spark.createDataFrame([], "operation_id string, remote_status string")), first.todo, replies, "t").generations.collect()}
+    assert after["op0"] == ("completed", None) and after["op1"] == ("failed", "the approved budget is exceeded") and after["op2"][0] == "submitted"
+
+
 def test_one_change_a_key(spark):
     s = spark.createDataFrame([("pi", "a", "h1", "discovered", None, None, "primary")], f"{KEY}, canonical_hash string, status string, acknowledged_hash string, acknowledged_policy string, classification string")
     g = spark.createDataFrame([("pi", "a", "h1", "completed", "1", "2026-01-01"), ("pi", "a", "h2", "completed", "2", "2026-01-02"), ("pi", "a", "h3", "failed", "2", "2026-01-03")], f"{KEY}, canonical_hash string, state string, retain_policy_version string, completed_at string")
