@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import _GEN, ORACLE_SQL, QUERIES, _generations, _inventory, query, read
@@ -348,9 +348,9 @@ def health_counters(spark, sf_dir):
 def discovery_cohort(spark, sf_dir):
     """The second cohort of a scan of chosen sources."""
     d = read(spark, sf_dir, "documents").withColumn("native_session_id", F.col("doc_id"))
-    names = [f"src{k}" for k in range(1000) if k != 3]
-    page = reports.discovery_page(d, 100, 250, names, started="n_chars").select("doc_id").collect()  # a page is bounded by its limit
-    return spark.createDataFrame([(r[0], k) for k, r in enumerate(page, 1)], "doc_id bigint, n int")
+    names = [r[0] for r in d.select("source").distinct().where("source <> 'src3'").collect()]
+    page = reports.discovery_page(d, 100, 250, names, started="n_chars")
+    return page.select("doc_id", F.row_number().over(Window.orderBy(*reports.discovery_order(page, "n_chars"))).alias("n"))  # at most 250 rows
 
 
 # -- scan and drain

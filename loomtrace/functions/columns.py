@@ -162,11 +162,15 @@ def words(text: Column) -> Column:
 
 
 def matched_terms(text: Column, terms: Sequence[str]) -> Column:
-    """How many terms stand in a text: words as whole words, hyphenated terms anywhere."""
+    """How many terms stand in a text, NFKC and in lower case: words as whole words, hyphenated terms anywhere.
+
+    For candidates, of which there are a few hundred: normalization is an Arrow UDF.
+    """
+    text = nfkc_lower(text)
     plain, joined = [t for t in terms if "-" not in t], [t for t in terms if "-" in t]
     n = F.size(F.array_intersect(F.array_distinct(words(text)), F.array(*map(F.lit, plain)))) if plain else F.lit(0)
     for t in joined:
-        n = n + F.lower(text).contains(t).cast("int")
+        n = n + text.contains(t).cast("int")
     return n
 
 

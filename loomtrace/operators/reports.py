@@ -308,8 +308,3 @@ def stage_times(spans: DataFrame, stage: str, seconds: str, outcome: str) -> Dat
 def failure_rate(runs: DataFrame, failed: Column, most: float) -> DataFrame:
     rate = F.coalesce(F.avg(failed.cast("double")), F.lit(0.0))
     return runs.agg(rate.alias("rate"), (rate > most).alias("abort"))
-
-
-def allowed_attributes(attributes: Column, allowed: Sequence[str]) -> Column:
-    """Map entries with allowed keys only."""
-    return F.map_filter(attributes, lambda k, v: k.isin(*allowed) & v.isNotNull())

@@ -265,14 +265,3 @@ def settle(observations: DataFrame, keys: Sequence[str], at: Column, fingerprint
     since = F.min("_at").over(island)
     settled = (F.col("_fresh") == 0) & ((F.unix_micros("_at") - F.unix_micros(since)) >= seconds * 1_000_000)
     return rows.withColumn("settled", settled).drop("_fresh", "_tie")
-
-
-def unchanged(references: DataFrame, sessions: DataFrame, generations: DataFrame, indexed: DataFrame, force: bool = False) -> DataFrame:
-    """References with ``unchanged``: hash known, index current (or empty), acknowledged or in flight, same fingerprint."""
-    state = generations.where(F.col("state").isin("queued", "submitted", "processing", "failed")).select(*SESSION_KEY, "canonical_hash").distinct().withColumn("in_flight", F.lit(True))
-    known = sessions.select(*SESSION_KEY, "document_id", "canonical_hash", "acknowledged_hash", "status", F.col("fingerprint").alias("known_fingerprint"))
-    got = references.join(known, list(SESSION_KEY), "left").join(state, [*SESSION_KEY, "canonical_hash"], "left").join(indexed.select("document_id", "indexed_hash"), "document_id", "left")
-    empty = F.col("status") == "empty_after_normalization"
-    done = (F.col("acknowledged_hash") == F.col("canonical_hash")) | F.col("in_flight")
-    same = F.col("canonical_hash").isNotNull() & (empty | ((F.col("indexed_hash") == F.col("canonical_hash")) & done)) & (F.col("fingerprint") == F.col("known_fingerprint"))
-    return got.select(*references.columns, (F.coalesce(same, F.lit(False)) & F.lit(not force)).alias("unchanged"))

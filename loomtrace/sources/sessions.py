@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from ..functions import columns as C
 from ..functions import plain as P
 from ..functions.constants import EPOCH
+from ..operators.canonical import checkpoint
 from ..schemas import LOADED
 from . import classify, jsonl
 
@@ -434,6 +435,9 @@ def dead_letters(sessions: DataFrame, at: str) -> DataFrame:
     return sessions.where("error is not null").select("source", "locator", C.redact(F.col("error")).alias("error"), F.lit(at).alias("observed_at"), C.status_of_error(F.col("error")).alias("status"))
 
 
+MOVED = "source changed while it was read"
+
+
 def stable_sessions(first: DataFrame, again: DataFrame) -> DataFrame:
     """Sessions whose fingerprint was the same before and after they were read (``again``: source, locator, sample_hash).
 
@@ -443,5 +447,21 @@ def stable_sessions(first: DataFrame, again: DataFrame) -> DataFrame:
     got = first.join(now, ["source", "locator"], "left")
     same = F.col("sample_hash").eqNullSafe(F.col("_now"))
     empty = F.array().cast(first.schema["turns"].dataType)
-    values = {"error": F.when(same, F.col("error")).otherwise("source changed while it was read"), "status": F.when(same, F.col("status")).otherwise("error"), "turns": F.when(same, F.col("turns")).otherwise(empty)}
+    values = {"error": F.when(same, F.col("error")).otherwise(MOVED), "status": F.when(same, F.col("status")).otherwise("error"), "turns": F.when(same, F.col("turns")).otherwise(empty)}
     return got.select(*[values[c].alias(c) if c in values else F.col(c) for c in first.columns])
+
+
+def read_stable(load: Callable[[DataFrame | None], DataFrame], look: Callable[[], DataFrame], attempts: int = 2) -> DataFrame:
+    """Sessions whose fingerprint stood still while they were read; those that moved are read again, ``attempts`` times in all.
+
+    ``load`` reads sessions (all, or those of ``source``, ``locator``), ``look`` gives the
+    fingerprints of now.  What still moves at the last attempt is an error.
+    """
+    got = checkpoint(stable_sessions(checkpoint(load(None)), look()))
+    for _ in range(attempts - 1):
+        moved = got.where(F.col("error") == MOVED)
+        if not moved.limit(1).count():
+            break
+        again = checkpoint(load(moved.select("source", "locator")))
+        got = checkpoint(got.where(~F.col("error").eqNullSafe(F.lit(MOVED))).unionByName(stable_sessions(again, look())))
+    return got

@@ -237,6 +237,12 @@ def test_reads_that_changed_meanwhile(spark, tmp_path):
     other = got.select("source", "locator", F.lit("x").alias("sample_hash"))
     assert {r.error for r in sessions.stable_sessions(got, other).collect()} == {"source changed while it was read"}
     assert sessions.stable_sessions(got, got).where("error is null").count() == 1
+    # a second attempt reads what moved once; what keeps moving is an error
+    for moves, errors, loads in ((0, 1, 1), (1, 1, 2), (2, 2, 2)):  # one file is malformed all the time
+        looks, loaded = iter([other] * moves + [got] * 3), []
+        load = lambda only: loaded.append(only) or (got if only is None else got.join(only, ["source", "locator"], "left_semi"))  # noqa: E731, B023
+        found = sessions.read_stable(load, lambda: next(looks))  # noqa: B023
+        assert found.count() == got.count() and found.where("error is not null").count() == errors and len(loaded) == loads
 
 
 # -- scan, drain, index

@@ -119,3 +119,9 @@ def test_recall_format():
 
 def test_sha_twins(spark):
     assert one(spark, F.sha2("c0", 256), "é") == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_terms_match_after_normalization(spark):
+    texts = ["ＦＵＬＬ－width ﬁne", "full-width fine", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(C.matched_terms(F.col("t"), ["fine", "full-width"])).collect()] == [2, 2, 0]
