@@ -76,7 +76,7 @@ def _write_logs(docs: DataFrame, path: str) -> None:
     s AS (SELECT source, any_value(goes) AS goes, count(*) FILTER (k = 0) AS n0, sum(doc_id) FILTER (k = 0) AS t0, count(*) FILTER (k < 2) AS n1, sum(doc_id) FILTER (k < 2) AS t1, count(*) FILTER (k = 2) AS n2, sum(doc_id) FILTER (k = 2) AS t2 FROM d GROUP BY source)
     SELECT 1 AS look, source, 'added' AS change, n0 AS n_records, t0::BIGINT AS total FROM s WHERE n0 > 0
     UNION ALL SELECT 2, source, CASE WHEN n0 > 0 THEN 'changed' ELSE 'added' END, n1, t1::BIGINT FROM s WHERE n1 > n0
-    UNION ALL SELECT 3, source, CASE WHEN goes OR n2 = 0 THEN 'removed' WHEN n1 > 0 THEN 'changed' ELSE 'added' END, CASE WHEN NOT goes THEN nullif(n2, 0) END, CASE WHEN NOT goes THEN t2::BIGINT END FROM s WHERE n1 > 0 OR (n2 > 0 AND NOT goes)""")
+    UNION ALL SELECT 3, source, CASE WHEN goes OR n2 = 0 THEN 'removed' WHEN n1 > 0 THEN 'changed' ELSE 'added' END, CASE WHEN goes THEN 0 ELSE n2 END, CASE WHEN goes THEN 0 ELSE coalesce(t2, 0) END::BIGINT FROM s WHERE n1 > 0 OR (n2 > 0 AND NOT goes)""")
 def file_changes(spark, sf_dir):
     """Logs that are made, appended to, and then rewritten or removed, each time read as a stream of changes."""
     d = read(spark, sf_dir, "documents").select("source", "doc_id")
@@ -103,6 +103,6 @@ def file_changes(spark, sf_dir):
         _write_logs(d.where((k == 2) & stays).unionByName(d.select("source", F.lit(None).cast("bigint").alias("doc_id"))), logs)
         look(3)
         found = spark.read.parquet(out)
-        return canonical.checkpoint(found.select("look", "source", "change", *[F.when(~F.col("gone"), F.col(c)).alias(c) for c in ("n_records", "total")]))
+        return canonical.checkpoint(found.select("look", "source", "change", *[F.when(F.col("gone"), 0).otherwise(F.col(c)).cast("bigint").alias(c) for c in ("n_records", "total")]))
     finally:
         canonical.remove_folder(spark, home)

@@ -31,10 +31,10 @@ def content(i):
     return sorted(map(tuple, live)), sorted(map(repr, map(tuple, entries))), sorted(tuple(r) for r in terms if r[1] or r[2]), sorted(map(tuple, documents)), i.passages, i.tokens
 
 
-@pytest.mark.parametrize("fan", [2, 100])
-def test_merges_equal_a_new_index(spark, tmp_path, fan):
+def test_merges_equal_a_new_index(spark, tmp_path):
+    fan = 2
     rng, now, at = random.Random(4), {}, str(tmp_path / "index")
-    for step in range(5):
+    for step in range(4):
         change = {f"d{rng.randint(0, 7)}": (f"h{step}", f"/p{step}", rng.choice([None, None, None, "empty_after_normalization"]), texts(rng, 3)) for _ in range(4)}
         for d in rng.sample(sorted(now), min(2, len(now))):
             change.setdefault(d, (now[d][0], f"/moved{step}", None, [("x", "not read, the hash is known")]))
@@ -47,7 +47,7 @@ def test_merges_equal_a_new_index(spark, tmp_path, fan):
             else:
                 now[d] = (h, path, None, turns)
     stored = index.read(spark, at)
-    assert len(stored.segments) < 5 if fan == 2 else len(stored.segments) == 5
+    assert len(stored.segments) < 4
     anew = index.update(index.read(spark, str(tmp_path / "anew")), *tables(spark, now))
     assert content(stored) == content(anew)
     # an older version can still be read until its files are removed
