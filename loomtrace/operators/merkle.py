@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .canonical import checkpoint
@@ -92,7 +92,7 @@ def compare(left: Tree, right: Tree) -> Differences:
     """Keys that only one table has, or with another hash: ``key``, ``left`` and ``right`` rows (hash and extra columns, null where missing).
 
     The trees must have the same depth.  Keys that agree are not listed; those of a leaf
-    that differs are read and left out.
+    that differs are read and left out.  A repeated key has a row each time it differs.
     """
     if left.depth != right.depth:
         raise ValueError("trees of another depth")
@@ -107,8 +107,12 @@ def compare(left: Tree, right: Tree) -> Differences:
         few = differing.limit(LITERALS + 1).collect()
         names = sorted(r.node for r in few) if len(few) <= LITERALS else None
     a, b = (checkpoint(_below(t.rows(), "leaf", left.depth, differing, names)) for t in (left, right))
-    side = lambda t, s: t.select(F.col(left.key).alias(f"_{s}"), F.struct(*[c for c in t.columns if c not in ("leaf", left.key)]).alias(s))
-    met = side(a, "left").join(side(b, "right"), F.col("_left").eqNullSafe(F.col("_right")), "full_outer")
-    changed = met.where(~F.col("left.hash").eqNullSafe(F.col("right.hash")) | F.col("left").isNull() | F.col("right").isNull() | ~F.to_json("left").eqNullSafe(F.to_json("right")))
+    side = lambda t: t.select(F.col(left.key).alias("_key"), F.struct(*[c for c in t.columns if c not in ("leaf", left.key)]).alias("_row")).withColumn("_said", F.to_json("_row"))
+    # rows that agree leave in pairs; what is left of a repeated key is paired in order
+    nth = lambda t, *by: t.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy("_said")))
+    a_rows, b_rows = (nth(side(t), "_key", "_said") for t in (a, b))
+    same = lambda t, u: F.col(f"{t}._key").eqNullSafe(F.col(f"{u}._key")) & (F.col(f"{t}._nth") == F.col(f"{u}._nth"))
+    alone = lambda t, u: nth(t.alias("t").join(u.alias("u"), same("t", "u") & (F.col("t._said") == F.col("u._said")), "left_anti").drop("_nth"), "_key")
+    changed = alone(a_rows, b_rows).alias("l").join(alone(b_rows, a_rows).alias("r"), same("l", "r"), "full_outer")
     total = left.level(1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + right.level(1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Differences(changed.select(F.coalesce("_left", "_right").alias(left.key), "left", "right"), nodes_read, a.count() + b.count(), total)
+    return Differences(changed.select(F.coalesce("l._key", "r._key").alias(left.key), F.col("l._row").alias("left"), F.col("r._row").alias("right")), nodes_read, a.count() + b.count(), total)

@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
+from loomtrace import catalog_flow
 from loomtrace.operators import merkle
 
 
@@ -46,3 +48,22 @@ def test_empty_tables(spark, tmp_path):
     assert [(r.id, r.left, r.right.hash) for r in merkle.compare(a, b).rows.collect()] == [("x", None, "h")]
     with pytest.raises(ValueError, match="depth"):
         merkle.compare(a, b._replace(depth=2))
+
+
+def test_repeated_keys(spark, tmp_path):
+    given = lambda pairs: spark.createDataFrame(pairs, "id string, content_hash string")
+    a = merkle.write(given([("x", "1"), ("x", "2"), ("y", "1"), ("y", "1"), (None, "1"), (None, "1")]), "id", "content_hash", str(tmp_path / "a"), 1)
+    b = merkle.write(given([("x", "2"), ("x", "1"), ("y", "2"), ("y", "3"), (None, "1")]), "id", "content_hash", str(tmp_path / "b"), 1)
+    got = sorted(((r.id or "", r.left and r.left.hash, r.right and r.right.hash) for r in merkle.compare(a, b).rows.collect()))
+    assert got == [("", "1", None), ("y", "1", "2"), ("y", "1", "3")]
+
+
+def test_the_query_is_its_sql(spark, tmp_path):
+    """Ids below zero that are missing from both sides by their remainder, one of them made from 7565; repeated and null ids."""
+    ids = [0, 1, 89, 97, 101, 101, 7565, 7565, -97, -5, -90, 8633, None]
+    spark.createDataFrame([(i, f"text {n}" if n else None) for n, i in enumerate(ids)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(catalog_flow.ORACLE_SQL["tree_differences"]).fetchall())
+    assert sorted(map(tuple, catalog_flow.QUERIES["tree_differences"](spark, str(tmp_path)).collect())) == want
+    assert (-7566, "missing") in want
