@@ -2,8 +2,8 @@
 
 A commit writes one segment and a manifest, and never touches what is there:
 
-* ``passages``, in the order of their keys, each with a number; ``postings`` of its new
-  documents, a row a term and block of ``BLOCK`` neighbouring numbers;
+* ``passages``, in the order of their keys within a file, each with a number; ``postings``
+  of its new documents, a row a term and block of ``BLOCK`` neighbouring numbers;
 * ``documents``, a log: the last row of a document counts, and names the segment that
   holds its passages (none once it is gone);
 * ``deletes``: documents that an earlier segment holds no longer (its deletion vector);
@@ -15,8 +15,11 @@ file is created under the next version, which only one writer can do; a commit t
 fails leaves files that no manifest names.  Segments of a like size are merged when there
 are enough of them, so a passage is rewritten a logarithmic number of times.
 
-Postings are sorted by term and block and split by range, so a frequent term lies in many
-files and a rare one is found by the statistics of its file.  Each block carries the
+Postings stay with their passages, so neither texts nor postings move: a file holds those
+of neighbouring passages, sorted by term in runs of ``RUN`` passages, and the statistics of
+its pages lead to a term.  A frequent term lies in all files.  A place is one number, of
+the passage in its block and of the word in it; keys and lengths are read from the passages
+that are met.  Each block carries the
 impacts that no other one in it beats (occurrences and passage length), from which a bound
 of its BM25 scores follows for whatever the collection has become; blocks of all terms
 span the same passages, so bounds add up by block.  The best ``k`` passages are sought in
@@ -32,6 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +47,12 @@ from .search import checkpoint
 
 #: Passages that a block spans, segments of a level before they are merged, bytes of a file, and rows that are handed to every task.
 BLOCK, FAN, FILE_BYTES, SMALL = 16, 4, 128 << 20, 100_000
+#: Passages of a sorted run of postings, words of a passage that a place can tell, and bytes of text a task below which rows move into fewer files.
+RUN, WORDS, LEAST_BYTES = 8192, 1 << 27, 4 << 20
 KEYS = ["document_id", "entry_id", "passage_no"]
 DOCUMENT = "document_id string, source string, native_session_id string, source_path string, canonical_hash string, holder string, n_passages bigint, n_tokens bigint, version bigint"
 PASSAGE = "passage bigint, document_id string, entry_id string, passage_no bigint, parent_entry_id string, role string, provenance string, timestamp string, text string, n_tokens int"
-ENTRY = "struct<passage:bigint,document_id:string,entry_id:string,passage_no:bigint,timestamp:string,n_tokens:int,positions:array<int>>"
-POSTING = f"term string, block bigint, n int, impacts array<struct<f:int,n:int>>, entries array<{ENTRY}>"
+POSTING = "term string, block bigint, n int, impacts array<struct<f:int,n:int>>, places array<int>, documents array<struct<document_id:string,n:int>>"
 TERM = "term string, n_passages bigint, n_documents bigint"
 DELETE = "holder string, document_id string"
 TABLES = {"documents": DOCUMENT, "passages": PASSAGE, "postings": POSTING, "terms": TERM, "deletes": DELETE}
@@ -105,7 +110,12 @@ class Index(NamedTuple):
         """
         gone = self.table("deletes").select(F.col("holder").alias("segment"), "document_id")
         gone = gone.where(F.col("segment").isin([s.name for s in self.segments] if segments is None else list(segments)))
-        return rows.join(gone.distinct(), ["segment", "document_id"], "left_anti")
+        return rows.join(_few(gone.distinct()), ["segment", "document_id"], "left_anti")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys to be handed to every task while they are few, so that what they are joined with stays where it is."""
+    return F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys
 
 
 def _last(log: DataFrame) -> DataFrame:
@@ -174,48 +184,78 @@ def _passages(turns: DataFrame) -> DataFrame:
     """Passages of turns as :func:`said` gives them; within a row, so nothing moves."""
     keys = ["document_id", "entry_id", "parent_entry_id", "role", "provenance", "timestamp"]
     found = search.passages(turns, keys).withColumn("passage_no", F.col("passage_no").cast("bigint"))
-    return found.select(*KEYS, *keys[2:], "text", F.size(search.tokens(F.col("text"))).alias("n_tokens"))
+    return found.select(*KEYS, *keys[2:], "text", search.token_count(F.col("text")).alias("n_tokens"))
 
 
 def postings(passages: DataFrame) -> DataFrame:
-    """``POSTING`` rows of numbered passages, a batch at a time: the blocks of neighbours never move.
+    """``POSTING`` rows of numbered passages, a run at a time: the blocks of neighbours never move.
 
-    A block that two tasks share has a row in each.
+    A block that two tasks share has a row in each.  ``places`` are ``WORDS`` times the
+    passage in the block, and the word in the passage.  The first row that a term has in a
+    run tells how many passages of each document hold it there; in the others that is null.
     """
-    given = passages.select("passage", *KEYS, "timestamp", "n_tokens", search.tokens(F.col("text")).alias("words"))
+    given = passages.select("passage", "document_id", search.tokens(F.col("text")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 32 * BLOCK):
-                part = batch.slice(at, 32 * BLOCK)
-                if len(part.column(6).flatten()):
-                    yield _block_rows(part)
+            for at in range(0, batch.num_rows, RUN):
+                part = batch.slice(at, RUN)
+                if len(part.column(2).flatten()):
+                    yield from _block_rows(part)
 
     return given.mapInArrow(run, POSTING)
 
 
-def _block_rows(part: pa.RecordBatch) -> pa.RecordBatch:
-    """Blocks of a batch: sorted by term, block, passage and place, and cut where these change."""
-    sizes = np.diff(part.column(6).offsets.to_numpy())
-    row = np.repeat(np.arange(part.num_rows), sizes)
-    words = part.column(6).flatten().dictionary_encode()
-    term, block = words.indices.to_numpy(), part.column(0).to_numpy()[row] // BLOCK
-    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.lexsort((place, row, block, term))
-    term, block, row, place = (x[order] for x in (term, block, row, place))
-    new_block = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))
+def _block_rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Blocks of a run: sorted by term, block, passage and place, and cut where these change."""
+    sizes = np.diff(part.column(2).offsets.to_numpy())
+    if sizes.max() > WORDS:
+        raise ValueError(f"a passage of more than {WORDS} words")
+    row = np.repeat(np.arange(part.num_rows, dtype=np.int32), sizes)
+    words = part.column(2).flatten().dictionary_encode()
+    rank = np.empty(len(words.dictionary), np.int32)
+    by_name = pc.array_sort_indices(words.dictionary)
+    rank[by_name.to_numpy()] = np.arange(len(rank), dtype=np.int32)
+    term, passage = rank[words.indices.to_numpy()], part.column(0).to_numpy()
+    named = passage[1:] < passage[:-1]
+    if named.any():  # numbers that are no order: blocks of one task still are in order
+        by_number = np.argsort(passage, kind="stable")
+        place_of = np.empty_like(by_number)
+        place_of[by_number] = np.arange(len(by_number))
+        order = np.lexsort((place_of[row], term))
+    else:
+        order = np.argsort(term, kind="stable")
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)[order]
+    term, row = term[order], row[order]
+    block, inside = passage[row] // BLOCK, (passage[row] % BLOCK).astype(np.int32)
+    new_term = np.append(True, term[1:] != term[:-1])
+    new_block = new_term | np.append(True, block[1:] != block[:-1])
     new_entry = new_block | np.append(True, row[1:] != row[:-1])
     entry_at, block_at = np.flatnonzero(new_entry), np.flatnonzero(new_block)
     f = np.diff(np.append(entry_at, len(row))).astype(np.int32)
     of = row[entry_at]
     offsets = np.append(np.searchsorted(entry_at, block_at), len(entry_at)).astype(np.int32)
-    positions = pa.ListArray.from_arrays(pa.array(np.append(entry_at, len(row)).astype(np.int32)), pa.array(place.astype(np.int32)))
-    columns = [part.column(k).take(pa.array(of)) for k in range(6)]
-    names = ["passage", *KEYS, "timestamp", "n_tokens", "positions"]
-    entries = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([*columns, positions], names))
-    best, counts = _impacts(f, part.column(5).to_numpy()[of], offsets)
-    impacts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(best[:, 0]), pa.array(best[:, 1])], ["f", "n"]))
-    return pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[block_at])), pa.array(block[block_at]), pa.array(np.diff(offsets)), impacts, entries], ["term", "block", "n", "impacts", "entries"])
+    best, counts = _impacts(f, sizes[of], offsets)
+    impacts = _lists(counts, pa.StructArray.from_arrays([pa.array(best[:, 0]), pa.array(best[:, 1])], ["f", "n"]))
+    places = _lists(np.diff(np.append(block_at, len(row))), pa.array(inside * np.int32(WORDS) + place))
+    # passages of a document with each term, at the term's first block
+    ids = part.column(1).dictionary_encode(null_encoding="encode")
+    pairs, held = np.unique(term[entry_at].astype(np.int64) * len(ids.dictionary) + ids.indices.to_numpy()[of], return_counts=True)
+    first = new_term[block_at]
+    per_term = np.zeros(len(block_at), np.int64)
+    per_term[first] = np.bincount(pairs // len(ids.dictionary), minlength=len(rank))[term[block_at[first]]]
+    documents = pa.StructArray.from_arrays([ids.dictionary.take(pa.array(pairs % len(ids.dictionary))), pa.array(held.astype(np.int32))], ["document_id", "n"])
+    documents = _lists(per_term, documents, ~first)
+    names = words.dictionary.take(by_name).take(pa.array(term[block_at]))
+    rows = pa.RecordBatch.from_arrays([names, pa.array(block[block_at]), pa.array(np.diff(offsets)), impacts, places, documents], ["term", "block", "n", "impacts", "places", "documents"])
+    for at in range(0, rows.num_rows, 32 * RUN):
+        yield rows.slice(at, 32 * RUN)
+
+
+def _lists(sizes: np.ndarray, values: pa.Array, null: np.ndarray | None = None) -> pa.ListArray:
+    """Lists of given sizes over consecutive values."""
+    offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, values, mask=None if null is None else pa.array(null))
 
 
 def _impacts(f: np.ndarray, n: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,10 +263,9 @@ def _impacts(f: np.ndarray, n: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     block = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     order = np.lexsort((n, -f, block))
     block, f, n = block[order], f[order], n[order].astype(np.int32)
-    keep, least, last = np.zeros(len(f), bool), 0, -1
-    for k, (b, m) in enumerate(zip(block.tolist(), n.tolist(), strict=True)):
-        if b != last or m < least:
-            keep[k], least, last = True, m, b
+    # the least length so far in its block; blocks after one another fall below all before
+    low = n.astype(np.int64) - block * (int(n.max(initial=0)) + 1)
+    keep = np.append(True, low[1:] < np.minimum.accumulate(low)[:-1])
     return np.stack([f[keep], n[keep]], axis=1), np.bincount(block[keep], minlength=len(offsets) - 1)
 
 
@@ -236,18 +275,27 @@ def _files(spark: SparkSession, rows: int, bytes_: int) -> int:
 
 
 def _write_passages(index: Index, name: str, rows: DataFrame, text: str, make: Callable[[DataFrame], DataFrame]) -> tuple[int, int]:
-    """Store the passages that ``make`` gives of rows, numbered in the order of their keys, and their postings; how many passages and tokens."""
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    """Store the passages that ``make`` gives of rows, numbered in the order of their keys in a file, and their postings; how many passages and tokens.
+
+    Rows stay in their tasks, so a text is never written but in its passages, unless they are so few that files would be small.
+    """
+    each = rows.select(F.octet_length(text).alias("size"), F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    n, size, parts = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     place = lambda table: f"{index.path}/{table}/segment={name}"
     files = _files(index.spark, n, size)
-    ordered = make(rows.repartitionByRange(files, "document_id", "entry_id")).sortWithinPartitions(*KEYS)
-    ordered.select(F.monotonically_increasing_id().alias("passage"), *KEYS, "parent_entry_id", "role", "provenance", "timestamp", "text", "n_tokens").write.parquet(place("passages"))
+    if parts > files and size < parts * LEAST_BYTES:
+        rows = rows.repartitionByRange(files, "document_id", "entry_id")
+    ordered = make(rows).sortWithinPartitions(*KEYS)
+    _store(ordered.select(F.monotonically_increasing_id().alias("passage"), *KEYS, "parent_entry_id", "role", "provenance", "timestamp", "text", "n_tokens"), place("passages"))
     stored = index.spark.read.schema(PASSAGE).parquet(place("passages"))
-    # kept once: splitting by range looks at the rows before it moves them
-    checkpoint(postings(stored)).repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block").write.parquet(place("postings"))
+    _store(postings(stored), place("postings"))
     return tuple(stored.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first())
 
 
+def _store(rows: DataFrame, path: str) -> None:
+    rows.write.option("compression", "zstd").parquet(path)
+
+
 def _term_counts(rows: DataFrame) -> DataFrame:
     """Passages and documents with each term, of ``rows(term, document_id, n)``."""
     each = rows.groupBy("term", "document_id").agg(F.sum("n").alias("n"))
@@ -263,7 +311,7 @@ def _terms_of(passages: DataFrame) -> DataFrame:
 def _write_logs(index: Index, name: str, documents: DataFrame, terms: DataFrame, deletes: DataFrame) -> None:
     for table, rows, order in (("documents", documents, "document_id"), ("terms", terms, "term"), ("deletes", deletes, "holder")):
         columns = [c.split()[0] for c in TABLES[table].split(", ")]
-        rows.select(*columns).sortWithinPartitions(order).write.parquet(f"{index.path}/{table}/segment={name}")
+        _store(rows.select(*columns).sortWithinPartitions(order), f"{index.path}/{table}/segment={name}")
 
 
 def _name(version: int) -> str:
@@ -285,7 +333,7 @@ def commit(index: Index, changed: DataFrame, turns: DataFrame, kept: DataFrame |
     spark, version = index.spark, index.version + 1
     name = _name(version)
     changed = checkpoint(changed.select("document_id", "source", "native_session_id", C.redact(F.col("source_path")).alias("source_path"), "canonical_hash"))
-    n, tokens = _write_passages(index, name, checkpoint(said(turns.join(changed.select("document_id"), "document_id", "left_semi"))), "content", _passages)
+    n, tokens = _write_passages(index, name, said(turns.join(_few(changed.select("document_id")), "document_id", "left_semi")), "content", _passages)
     new = index._replace(version=version, segments=(*index.segments, Segment(name, version, n)))
     count = new.table("passages", (name,)).groupBy("document_id").agg(F.count("*").alias("n_passages"), F.sum("n_tokens").alias("n_tokens"))
     zero = F.lit(0).cast("bigint")
@@ -302,8 +350,8 @@ def commit(index: Index, changed: DataFrame, turns: DataFrame, kept: DataFrame |
     # what leaves takes its terms along: its passages alone are read again
     deletes = had.where("n_passages > 0").select("holder", "document_id")
     holders = tuple(r[0] for r in deletes.select("holder").distinct().collect())  # segments, a few
-    lost = _terms_of(index.table("passages", holders).join(deletes.withColumnRenamed("holder", "segment"), ["segment", "document_id"], "left_semi"))
-    found = _term_counts(new.table("postings", (name,)).select("term", F.explode("entries.document_id").alias("document_id"), F.lit(1).alias("n")))
+    lost = _terms_of(index.table("passages", holders).join(_few(deletes.withColumnRenamed("holder", "segment")), ["segment", "document_id"], "left_semi"))
+    found = _term_counts(new.table("postings", (name,)).where("documents is not null").select("term", F.explode("documents").alias("d")).select("term", "d.document_id", "d.n"))
     less = _term_counts(lost).select("term", (-F.col("n_passages")).alias("n_passages"), (-F.col("n_documents")).alias("n_documents"))
     terms = found.unionByName(less).groupBy("term").agg(F.sum("n_passages").alias("n_passages"), F.sum("n_documents").alias("n_documents"))
     _write_logs(index, name, rows, terms, deletes)
@@ -356,7 +404,7 @@ def merge(index: Index, names: tuple[str, ...]) -> Index:
     version = index.version + 1
     name = _name(version)
     live = index.live(index.table("passages", names), names)
-    n, _ = _write_passages(index, name, checkpoint(live.drop("segment", "passage")), "text", lambda rows: rows)
+    n, _ = _write_passages(index, name, live.drop("segment", "passage"), "text", lambda rows: rows)
     last = _last(index.table("documents", names).drop("segment"))
     rest = tuple(s for s in index.segments if s.name not in names)
     if not rest or min(s.version for s in rest) > max(s.version for s in index.segments if s.name in names):
@@ -380,15 +428,28 @@ def _read(index: Index, terms: list[str]) -> DataFrame:
     return index.table("postings").where(F.col("term").isin(terms))
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """``segment``, ``passage``, ``term``, ``positions`` of blocks: a passage's places of a term are all in one row."""
+    slot = lambda p: F.shiftright(p, 27)
+    each = rows.select("segment", "term", "block", "places", F.explode(F.array_distinct(F.transform("places", slot))).alias("s"))
+    positions = F.transform(F.filter("places", lambda p: slot(p) == F.col("s")), lambda p: p.bitwiseAND(F.lit(WORDS - 1)))
+    return each.select("segment", (F.col("block") * BLOCK + F.col("s")).alias("passage"), "term", positions.alias("positions"))
+
+
 def _entries(index: Index, rows: DataFrame) -> DataFrame:
     """Live entries of blocks: one row a term and passage."""
-    return index.live(rows.select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.*"))
+    return _known(index, _met(rows))
+
+
+def _known(index: Index, rows: DataFrame) -> DataFrame:
+    """``rows(segment, passage)`` of live passages, with their keys, times and lengths."""
+    return index.live(rows.join(index.table("passages").select("segment", "passage", *KEYS, "timestamp", "n_tokens"), ["segment", "passage"]))
 
 
 def counted(index: Index, phrases: list[list[str]]) -> DataFrame:
     """Passages that hold some phrase, as :func:`search.counted` has them, from the postings of their terms alone."""
     terms = sorted({t for p in phrases for t in p})
-    each = _entries(index, _read(index, terms)).groupBy("segment", "passage", *KEYS).agg(F.max("timestamp").alias("timestamp"), F.max("n_tokens").alias("_n"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    each = _met(_read(index, terms)).groupBy("segment", "passage").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
 
     def count(p: list[str]) -> Column:
         places = [F.coalesce(F.try_element_at(F.col("at"), F.lit(t)), F.array().cast("array<int>")) for t in p]
@@ -397,8 +458,10 @@ def counted(index: Index, phrases: list[list[str]]) -> DataFrame:
             first = F.array_intersect(first, _shifted(later, k))
         return F.size(first)
 
-    out = each.select(*KEYS, "timestamp", "_n", *[count(p).alias(f"_f{k}") for k, p in enumerate(phrases)])
-    return checkpoint(out.where(F.greatest(*[F.col(f"_f{k}") for k in range(len(phrases))], F.lit(0)) > 0))
+    counts = [f"_f{k}" for k in range(len(phrases))]
+    out = each.select("segment", "passage", *[count(p).alias(c) for c, p in zip(counts, phrases, strict=True)])
+    out = _known(index, out.where(F.greatest(*map(F.col, counts), F.lit(0)) > 0))
+    return checkpoint(out.select(*KEYS, "timestamp", F.col("n_tokens").alias("_n"), *counts))
 
 
 def _shifted(places: Column, by: int) -> Column:
@@ -411,6 +474,16 @@ def frequencies(index: Index, terms: list[str]) -> dict[str, tuple[int, int]]:
     return {t: next(((r.p, r.d) for r in rows if r.term == t), (0, 0)) for t in terms}
 
 
+def passages_with(index: Index) -> DataFrame:
+    """``term``, ``n_entries``: live passages with each term, counted in the postings; only blocks that hold a deleted passage are looked into."""
+    gone = index.table("deletes").select(F.col("holder").alias("segment"), "document_id").distinct()
+    dead = index.table("passages").select("segment", "document_id", "passage").join(_few(gone), ["segment", "document_id"], "left_semi")
+    dead = dead.groupBy("segment", F.floor(F.col("passage") / BLOCK).alias("block")).agg(F.collect_list(F.pmod("passage", F.lit(BLOCK)).cast("int")).alias("dead"))
+    left = F.size(F.array_except(F.transform("places", lambda p: F.shiftright(p, 27)), "dead"))
+    rows = index.table("postings").select("segment", "term", "block", "n", "places").join(dead, ["segment", "block"], "left")
+    return rows.groupBy("term").agg(F.sum(F.when(F.col("dead").isNull(), F.col("n")).otherwise(left)).alias("n_entries")).where("n_entries > 0")
+
+
 class Found(NamedTuple):
     """The best passages, and how many entries of how many were read for them."""
 
@@ -446,8 +519,8 @@ def best(index: Index, terms: list[str], k: int = search.CANDIDATES) -> Found:
             blocks = F.broadcast(blocks)
         read_ = read_.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi")
         count = lambda t: F.coalesce(F.max(F.when(F.col("term") == t, F.size("positions"))), F.lit(0))
-        part = _entries(index, read_).groupBy("segment", "passage", *KEYS).agg(F.max("timestamp").alias("timestamp"), F.max("n_tokens").alias("_n"), *[count(t).alias(f"_f{i}") for i, t in enumerate(terms)])
-        return search.ranked(part, figures).select(*KEYS, "timestamp", "rank")
+        part = _known(index, _met(read_).groupBy("segment", "passage").agg(*[count(t).alias(f"_f{i}") for i, t in enumerate(terms)]))
+        return search.ranked(part.withColumnRenamed("n_tokens", "_n"), figures).select(*KEYS, "timestamp", "rank")
 
     order = ["rank", *KEYS]
     seeds = checkpoint(bounds.orderBy(F.desc("bound"), "segment", "block").limit(k))  # of one term: their best passages alone are k

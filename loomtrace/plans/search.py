@@ -57,13 +57,19 @@ def passages(turns: DataFrame, keys: list[str], content: str = "content") -> Dat
 def fold(text: Column) -> Column:
     """Lower case without the diacritics of Latin letters."""
     marks, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēėęěğīįłńňōőŕřśšťūůűźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeegiilnnoorrsstuuuzzz"
-    return F.translate(F.lower(text), marks, plain)
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, marks, plain))  # ASCII has no marks
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens a text has; marks do not matter, as they come off letters that stay letters."""
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+"))
+
+
 def phrase(term: str) -> list[str]:
     """Index tokens of a query term; one with a hyphen or underscore is a phrase."""
     return re.findall(r"[^\W_]+", term)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomtrace.plans import index, search
 
@@ -100,3 +101,24 @@ def stored_once(spark, factory):
         index.update(index.read(spark, at), *tables(spark, {"d0-1": ("h2", "/p", None, texts(rng, 5)), "d1-1": ("h2", "/p", "empty_after_normalization", [])}), fan=9)
         _KEPT["index"] = index.read(spark, at)
     return _KEPT["index"]
+
+
+def test_no_text_or_posting_is_kept_aside(spark, tmp_path, monkeypatch):
+    """Commits and a merge keep nothing aside that grows with the texts."""
+    rng, at, aside = random.Random(2), str(tmp_path / "index"), []
+    monkeypatch.setattr(index, "checkpoint", lambda df, f=index.checkpoint: aside.append(set(df.columns)) or f(df))
+    for step in range(2):
+        index.update(index.read(spark, at), *tables(spark, {f"d{step}": ("h", "/p", None, texts(rng, 30))}), fan=2)
+    assert aside and not [c for c in aside if c & {"content", "text", "entries", "places"}]
+
+
+def test_passages_with_each_term(spark, tmp_path_factory):
+    stored = stored_once(spark, tmp_path_factory)
+    want = index._entries(stored, stored.table("postings")).groupBy("term").count().collect()
+    assert sorted(map(tuple, index.passages_with(stored).collect())) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("text", ["", "a b", "É İx ß é1 the_wall", "ŻÓŁĆ-żółć İ"])
+def test_token_count(spark, text):
+    row = spark.createDataFrame([(text,)], "t string").select(F.size(search.tokens(F.col("t"))), search.token_count(F.col("t"))).first()
+    assert row[0] == row[1]
